@@ -1,8 +1,8 @@
 """Packing of documents into sequences of bounded length by multiway differencing.
 
 Each document is tokenised once, in the task that reads it, and cut: as many full windows as fit,
-then the rest as one piece.  Full windows are sequences by themselves.  The rests are dealt by hash
-into groups of about ``group_rows``; each group is partitioned into near-equal windows by the
+then the rest in pieces of at most ``REST`` ids, small enough to balance windows with little padding.
+Full windows are sequences by themselves.  The rests are dealt by hash into groups of about ``group_rows``; each group is partitioned into near-equal windows by the
 Karmarkar-Karp method: the two partial partitions with the largest spread are merged so that the
 fullest windows of one meet the emptiest of the other.  The number of windows starts at the least
 that can hold the group and rises whenever a window exceeds the capacity.
@@ -29,6 +29,7 @@ from fieldspark.llm.common import binary_column, table, written
 
 TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 2048
+REST = 512
 END_ID = 1
 
 
@@ -58,7 +59,7 @@ class WordEncoder:
         return [b"".join(map(get, words)) for words in cut]
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, end_id: int = END_ID, extra: list[str] | None = None) -> DataFrame:
+def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, end_id: int = END_ID, rest: int = REST) -> DataFrame:
     """Tokenise and cut: doc_id, start, length, ids_crc32, doc_tokens."""
     where = path or public_tokenizers.path(TOKENIZER)
     end = np.array([end_id], "<u4").tobytes()
@@ -73,8 +74,9 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, e
                 for i, ids in enumerate(coded):
                     ids += end
                     n = len(ids) // 4
-                    for at in range(0, n, capacity):
-                        part = ids[4 * at : 4 * (at + capacity)]
+                    full = n - n % capacity
+                    for at, size in [*((a, capacity) for a in range(0, full, capacity)), *((a, rest) for a in range(full, n, rest))]:
+                        part = ids[4 * at : 4 * (at + size)]
                         owner.append(lo + i)
                         start.append(at)
                         length.append(len(part) // 4)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from fieldspark.llm import byte_bpe, line_dedup, packing, quality_lm, quality_rules, substring_dedup, topk, toxicity
+from fieldspark.llm import byte_bpe, line_dedup, lm_scoring, ngram_jaccard, packing, quality_lm, quality_rules, substring_dedup, topk, toxicity
 
 QUERIES = {
+    "op1_ngram_jaccard": ngram_jaccard.op1_ngram_jaccard,
     "op2_byte_bpe": byte_bpe.op2_byte_bpe,
     "op3_topk": topk.op3_topk,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_packing": packing.op6_packing,
+    "op7_lm_scoring": lm_scoring.op7_lm_scoring,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_quality_classifier": quality_lm.op10_quality_classifier,

@@ -43,7 +43,7 @@ class Config:
     epochs: int = 8
     batch: int = 32
     rate: float = 0.02
-    max_per_class: int = 4000
+    max_per_class: int = 3000
     base: float = 0.3
     min_rows: int = 40
     seed: int = 5
@@ -126,10 +126,12 @@ def new_model(c: Config, tokens: np.ndarray, first: np.ndarray, y: np.ndarray) -
     size = len(PREFIXES) << c.bits
     e = rng.normal(0, 0.05, (size, c.dim)).astype(np.float32)
     owner = np.repeat(np.arange(len(y)), np.diff(first))
-    seen = np.unique(owner[:, None] * size + tokens)
-    bucket, doc = seen % size, seen // size
-    pos = np.bincount(bucket[y[doc] == 1], minlength=size)
-    neg = np.bincount(bucket[y[doc] == 0], minlength=size)
+    pos = neg = 0
+    for k in range(len(PREFIXES)):  # documents of each class that hold a bucket
+        seen = np.unique(owner * size + tokens[:, k])
+        bucket, toxic = seen % size, y[seen // size] == 1
+        pos = pos + np.bincount(bucket[toxic], minlength=size)
+        neg = neg + np.bincount(bucket[~toxic], minlength=size)
     odds = np.log((pos + 1) / (y.sum() + 2)) - np.log((neg + 1) / ((1 - y).sum() + 2))
     e[:, 0] = np.where(pos + neg >= 3, np.clip(odds, -1, 5) / 3, 0)
     kernels = [rng.normal(0, 0.2, (w, c.dim, c.filters)).astype(np.float32) for w in WIDTHS]
