@@ -11,10 +11,10 @@ Two documents link when 100 * |A & B| >= 75 * |A | B|.
    partner is in the same band or the next.  Each row first meets its tile's leader (its smallest
    member) only: m rows give m pairs.  Components of these links are found.
 4. What is left are pairs in one tile but in different components.  Tiles are cut to ``TILE_ROWS``
-   rows, and block meets block; members carry bitmaps of their hashed shingles.  A bit set in A and
-   not in B proves an element of A outside B, so bit counts bound the overlap from above; pairs
-   below the threshold are dropped before anything is emitted.
-5. Candidates that pass are verified by intersecting the sorted fingerprint arrays.
+   rows, and block meets block.  Sizes and the places of the shared shingle bound the overlap.
+5. Candidates of either round meet the bitmaps of their hashed shingles: a bit set in A and not in B
+   proves an element of A outside B, so bit counts bound the overlap from above.
+6. Those that pass are verified by intersecting the sorted fingerprint arrays.
 
 A pair inside one component is never needed for the result, so a group of thousands of near copies
 costs one pair a member; no other pair is skipped.
@@ -29,7 +29,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -229,39 +228,69 @@ def bitmaps_allow(pairs: DataFrame, heads: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
-def tile_candidates(tiles: DataFrame, labels: DataFrame, heads: DataFrame) -> DataFrame:
-    """Pairs of one tile in different components that the bitmaps allow."""
+def overlap_possible(n: Column, pos: Column, m: Column, at: Column) -> Column:
+    """Whether sets of n and m shingles, whose first common one is at places pos and at, may link."""
+    return F.least(n - pos, m - at) * (100 + PERCENT) >= (n + m) * PERCENT
+
+
+def pairs_of_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of one tile that sizes and places allow, from rows sorted by tile.
+
+    A tile that runs on into the next batch is carried over; it has a bounded number of rows.
+    """
+    names = ["h", "tile_band", "x", "y", "up", "own", "doc_id", "n", "pos", "comp", "lead"]
+    held = {c: np.zeros(0, np.int64) for c in names}
+
+    def work(t: dict[str, np.ndarray]) -> pa.RecordBatch:
+        size = len(t["h"])
+        new = np.concatenate([[True], (np.diff(t["h"]) != 0) | (np.diff(t["tile_band"]) != 0) | (np.diff(t["x"]) != 0) | (np.diff(t["y"]) != 0)]) if size else np.zeros(0, bool)
+        start = np.flatnonzero(new)
+        end = np.repeat(np.append(start[1:], size), np.diff(np.append(start, size))) if size else start
+        out = []
+        rows = np.arange(size)
+        for step in range(1, size):
+            rows = rows[rows + step < end[rows]]
+            if not len(rows):
+                break
+            i, j = rows, rows + step
+            n, m = t["n"][i], t["n"][j]
+            both_up = (t["up"][i] + t["up"][j]) == 0
+            ok = (t["comp"][i] != t["comp"][j]) & (t["up"][i] + t["up"][j] <= 1) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * PERCENT)
+            ok &= (100 + PERCENT) * np.minimum(n - t["pos"][i], m - t["pos"][j]) >= PERCENT * (n + m)
+            ok &= (t["x"][i] == t["y"][i]) | (t["own"][i] != t["own"][j])
+            # pairs with a leader were met in round one
+            lower_leads = np.where(t["up"][i] == 1, t["lead"][i], t["lead"][j])
+            ok &= np.where(both_up, (t["lead"][i] + t["lead"][j]) == 0, lower_leads == 0)
+            a, b = t["doc_id"][i[ok]], t["doc_id"][j[ok]]
+            out.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
+        every = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(every[0]), pa.array(every[1])], names=["a", "b"])
+
+    for b in batches:
+        t = {c: np.concatenate([held[c], b.column(c).to_numpy().astype(np.int64)]) for c in names}
+        last = np.flatnonzero((t["h"] != t["h"][-1]) | (t["tile_band"] != t["tile_band"][-1]) | (t["x"] != t["x"][-1]) | (t["y"] != t["y"][-1])) if len(t["h"]) else []
+        cut = int(last[-1]) + 1 if len(last) else 0
+        yield work({c: v[:cut] for c, v in t.items()})
+        held = {c: v[cut:] for c, v in t.items()}
+    yield work(held)
+
+
+def tile_candidates(tiles: DataFrame, leaders: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs of one tile in different components, without those that round one has met."""
     named = tiles.join(labels, F.col("doc_id") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "doc_id")).drop("node", "root")
     named = written(named, "tiles")
-    mixed = named.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("h", "m")
-    left = named.join(mixed, "h").join(heads.select("doc_id", "n", "bits"), ["doc_id", "n"])
-    # block numbers: a tile of m rows has m / TILE_ROWS blocks; a row goes wherever its block meets another
+    mixed = named.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo < hi and m > 2").select("h", "m")
+    rows = named.join(mixed, "h").join(leaders, ["h", "band"])
+    rows = rows.withColumn("lead", (F.col("doc_id") == F.col("leader.doc_id")).cast("int")).drop("leader")
+    # a tile of m rows has m / TILE_ROWS blocks; a row goes wherever its block meets another
     blocks = F.ceil(F.col("m") / TILE_ROWS).cast("int")
-    left = left.withColumn("own", F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
-    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    left = left.withColumn("up", F.explode(F.array(F.lit(0), F.lit(1))))
-    left = left.withColumns({"tile_band": F.col("band") + F.col("up"), "x": F.least("own", "other"), "y": F.greatest("own", "other")})
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        upper = part[part["up"] == 0]
-        if not len(upper):
-            return pd.DataFrame({"a": [], "b": []})
-        cross = part["x"].iloc[0] != part["y"].iloc[0]
-        bits = folded(part["bits"].tolist())
-        n, comp, own, up, ids = (part[c].to_numpy() for c in ("n", "comp", "own", "up", "doc_id"))
-        at = np.flatnonzero(up == 0)
-        ok = links_possible(bits[at], n[at].astype(np.int64), bits, n.astype(np.int64)) & (comp[at][:, None] != comp)
-        if cross:
-            ok &= own[at][:, None] != own
-        ok &= (up == 1) | (ids[at][:, None] < ids)
-        i, j = np.nonzero(ok)
-        i = at[i]
-        swap = ids[i] > ids[j]
-        i, j = np.where(swap, j, i), np.where(swap, i, j)
-        return pd.DataFrame({"a": ids[i], "b": ids[j]})
-
-    found = left.groupBy("h", "tile_band", "x", "y").applyInPandas(run, "a bigint, b bigint")
-    return found.distinct()
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.withColumn("up", F.explode(F.array(F.lit(0), F.lit(1))))
+    rows = rows.withColumns({"tile_band": F.col("band") + F.col("up"), "x": F.least("own", "other"), "y": F.greatest("own", "other")})
+    tile = ["h", "tile_band", "x", "y"]
+    rows = rows.select(*tile, "up", "own", "doc_id", "n", "pos", "comp", "lead").repartition(*tile).sortWithinPartitions(*tile)
+    return rows.mapInArrow(pairs_of_tiles, "a bigint, b bigint").distinct()
 
 
 def jaccard_join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -276,19 +305,20 @@ def jaccard_join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sure = marked.where(~F.col("maybe")).select("doc_id", "text")
     unsure = marked.where("maybe").join(copies.select(F.col("b").alias("doc_id")).distinct(), "doc_id", "left_anti").select("doc_id", "text")
     heads = written(set_heads(sure.unionByName(unsure), common_counters(docs)), "set-heads")
-    places = heads.select("doc_id", "n", F.explode("prefix").alias("h"))
+    places = heads.select("doc_id", "n", F.posexplode("prefix").alias("pos", "h"))
     shared = heads.select(F.explode("prefix").alias("h")).groupBy("h").count().where("count > 1").select("h")
     tiles = written(places.join(shared, "h").withColumn("band", band(F.col("n"))), "tile-rows")
     # round one: each row with the leaders of its tile and of the tile one band below
-    leaders = tiles.groupBy("h", "band").agg(F.min(F.struct("n", "doc_id")).alias("leader"))
+    leaders = tiles.groupBy("h", "band").agg(F.min(F.struct("n", "doc_id", "pos")).alias("leader"))
     below = tiles.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") - 1))).join(leaders, ["h", "band"])
-    stars = below.where((F.col("doc_id") != F.col("leader.doc_id")) & sizes_fit(F.col("n"), F.col("leader.n")))
+    fit = sizes_fit(F.col("n"), F.col("leader.n")) & overlap_possible(F.col("n"), F.col("pos"), F.col("leader.n"), F.col("leader.pos"))
+    stars = below.where((F.col("doc_id") != F.col("leader.doc_id")) & fit)
     stars = stars.select(F.least("doc_id", "leader.doc_id").alias("a"), F.greatest("doc_id", "leader.doc_id").alias("b")).distinct()
     passed = written(bitmaps_allow(stars, heads), "star-pairs")
     links = written(verified(passed, docs), "star-links")
     # round two: what tiles still hold between different components
     labels = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    rest = written(tile_candidates(tiles, labels, heads), "tile-pairs")
+    rest = written(bitmaps_allow(tile_candidates(tiles, leaders, labels), heads), "tile-pairs")
     more = verified(rest, docs)
     return rows.select("doc_id", "n"), written(links.unionByName(more).unionByName(copies), "links")
 
