@@ -44,9 +44,10 @@ def spread_between(df: DataFrame, file_col: str, order_col: str, start: Column,
     at = F.row_number().over(w.orderBy(order_col)) - 1
     n = F.count(F.lit(1)).over(w)
     a, b = F.unix_micros(start.cast("timestamp")), F.unix_micros(end.cast("timestamp"))
-    us = a + F.when(n > 1, (b - a) * at / (n - 1)).otherwise(0.0)
+    df = df.withColumns({"_at": at, "_n": n, "_a": a, "_b": b})
+    us = F.expr("_a + CASE WHEN _n > 1 THEN ((_b - _a) * _at) DIV (_n - 1) ELSE 0 END")
     us = F.floor(us / 1_000_000) * 1_000_000 if whole_seconds else us
-    return df.withColumn(out, F.timestamp_micros(us.cast("long")))
+    return df.withColumn(out, F.timestamp_micros(us.cast("long"))).drop("_at", "_n", "_a", "_b")
 
 
 def days_since_epoch(ts: Column) -> Column:

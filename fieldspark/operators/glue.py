@@ -25,15 +25,15 @@ def weighted_mean(value: str, weight: Column) -> Column:
     return F.when(total > 0, F.sum(w * F.col(value)) / total)
 
 
-def glue(preds: DataFrame, pairs: Sequence[tuple[str, str]], scale: Column | float, values: Sequence[str] = PREDICTIONS) -> DataFrame:
-    """Weighted mean of predictions at each location.
+def glue(preds: DataFrame, pairs: Sequence[tuple[str, str]], scale: Column | float, values: Sequence[str] = PREDICTIONS, by: Sequence[str] = ()) -> DataFrame:
+    """Weighted mean of predictions at each location, apart for each value of ``by``.
 
     ``pairs`` are (location column, expert column); the weight is a product of normal densities of
     their differences with the given scale.
     """
     weight = reduce(lambda a, b: a * b, [gaussian(F.col(p), F.col(e), scale) for p, e in pairs])
     weighted = preds.withColumn("_w", weight)
-    return weighted.groupBy(*[p for p, _ in pairs]).agg(*[weighted_mean(v, F.col("_w")).alias(v) for v in values])
+    return weighted.groupBy(*by, *[p for p, _ in pairs]).agg(*[weighted_mean(v, F.col("_w")).alias(v) for v in values])
 
 
 def glue_local_predictions(preds: DataFrame, inference_radius: float, r: float = 3.0, x: str = "x", y: str = "y", values: Sequence[str] = PREDICTIONS) -> DataFrame:
@@ -94,9 +94,9 @@ def kernel_smooth(df: DataFrame, value: str, l_x: float, l_y: float, x: str = "x
     else:
         group = {f"g_{c}": F.col(c) for c in by}
         # groups are kept apart by their own column; cells are one cutoff wide in scaled units
-        left = a.select(*[v.alias(k) for k, v in group.items()], (F.col(f"e_{x}") / l_x).alias("u"), (F.col(f"e_{y}") / l_y).alias("v"), f"e_{x}", f"e_{y}")
-        right = b.withColumns({"u": F.col(x) / l_x, "v": F.col(y) / l_y})
-        pairs = near_join(left, right, [Near(["u", "v"], "<=", cutoff)], loc_prefix="l_", keep=[*by, x, y, value], loc_keep=[*group, f"e_{x}", f"e_{y}"])
+        left = a.select(*[v.alias(k) for k, v in group.items()], (F.col(f"e_{x}") / l_x).alias("_u"), (F.col(f"e_{y}") / l_y).alias("_v"), f"e_{x}", f"e_{y}")
+        right = b.withColumns({"_u": F.col(x) / l_x, "_v": F.col(y) / l_y})
+        pairs = near_join(left, right, [Near(["_u", "_v"], "<=", cutoff)], loc_prefix="l_", keep=[*by, x, y, value], loc_keep=[*group, f"e_{x}", f"e_{y}"])
         pairs = pairs.withColumnsRenamed({f"l_e_{x}": f"e_{x}", f"l_e_{y}": f"e_{y}"})
         for c in by:
             pairs = pairs.where(F.col(f"l_g_{c}").eqNullSafe(F.col(c)))

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldspark.functions.columns import OPERATORS
+from fieldspark.sources.scratch import written
 
 
 @dataclass
@@ -121,10 +122,10 @@ def nearest(points: DataFrame, truth: DataFrame, cols: Sequence[str], id_col: st
     for _ in range(max_rounds):
         pairs = near_join(left.select(id_col, *cols), truth, [Near(list(cols), "<=", size)], keep=keep)
         best = F.min(F.struct(distance(cols).alias("distance"), *[F.col(c) for c in keep])).alias("_b")
-        hits = pairs.groupBy(F.col(f"e_{id_col}").alias(id_col)).agg(best).select(id_col, "_b.*")
+        hits = written(pairs.groupBy(F.col(f"e_{id_col}").alias(id_col)).agg(best).select(id_col, "_b.*"), "nearest")
         found = hits if found is None else found.unionByName(hits)
-        rest = left.join(hits, id_col, "left_anti")
-        if not rest.limit(1).count():
+        rest = written(left.join(hits, id_col, "left_anti"), "nearest-left")
+        if rest.isEmpty():
             break
         left, size = rest, size * 2
     return points.join(found, id_col, "left")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from fieldspark.plans import grids, joins, regression, scans, tracks
 
+_MODULES = (scans, grids, tracks, joins, regression)
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLE_SQL: dict = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
+
+flagship = regression.flagship
