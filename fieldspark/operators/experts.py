@@ -93,7 +93,7 @@ def fit_experts(experts: DataFrame, selected: DataFrame, c: ExpertConfig, start:
         if not len(expert):
             return pd.DataFrame(columns=[*out_names])
         began = time.perf_counter()
-        e = expert.iloc[0]
+        e = {k: expert[k].iloc[0] for k in expert.columns}  # a row as one Series would turn ids into doubles
         row: dict[str, Any] = {"expert_id": e["expert_id"], **{x: e[x] for x in coords}, "num_obs": len(obs), "objective_value": None, "parameters_optimised": False, "optimise_success": False, "device": socket.gethostname(), **dict.fromkeys(names)}
         first = {n: np.asarray(e[n], float) for n in names if given and e[n] is not None}
         model = c.model_for(len(obs))
