@@ -14,6 +14,7 @@ hash is worked in blocks of ``group_rows`` rows, so no group grows without bound
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from fieldspark.llm.common import binary_column, table, written
 
@@ -33,15 +35,40 @@ REST = 512
 END_ID = 1
 
 
+#: Words of printable ASCII (no apostrophe) and Latin-1 letters: their normal form is their lower case.
+PLAIN = re.compile("[\x21-\x26\x28-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+#: What this vocabulary cuts such words into: runs of letters, single digits, runs of anything else.
+PART = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+
+
 class WordEncoder:
-    """Ids of texts, word by word: no token of this vocabulary crosses ASCII white space."""
+    """Ids of texts, word by word: no token of this vocabulary crosses ASCII white space.
+
+    Plain words go straight to the library's merge model, part by part; all others through its whole
+    chain of normaliser, splitter and model.  Words and parts are remembered within the slice.
+    """
 
     def __init__(self, path: str, max_words: int = 400_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        by_byte = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {c: by_byte.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
         self.known: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         self.max_words = max_words
 
+    def encode_word(self, word: str) -> bytes:
+        if not PLAIN.fullmatch(word):
+            return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        out = []
+        for part in PART.findall(word.lower()):
+            ids = self.parts.get(part)
+            if ids is None:
+                ids = self.parts[part] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(part.translate(self.letters))])
+            out.append(ids)
+        return b"".join(out)
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         cut = [t.split() for t in texts]
@@ -49,12 +76,9 @@ class WordEncoder:
         for words in cut:
             new.update(words)
         if len(self.known) + len(new) > self.max_words:
-            self.known = {}
-        missing = [w for w in new if w not in self.known]
-        for lo in range(0, len(missing), 4096):
-            part = missing[lo : lo + 4096]
-            coded = self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, coded, strict=True))
+            self.known, self.parts = {}, {}
+        new.difference_update(self.known)
+        self.known.update([(w, self.encode_word(w.decode())) for w in new])
         get = self.known.__getitem__
         return [b"".join(map(get, words)) for words in cut]
 
