@@ -8,9 +8,11 @@ anchor, the least fingerprint of its runs of ``ANCHOR`` words: equal windows hav
 a sketch of anchor counts (each document counts an anchor once) overestimates the count of every
 window.  Each partition makes its own sketch; the sketches are merged segment by segment, and of the
 sum only the bits "estimated in two documents or more" are kept: ``2 * 2**bits`` bits, with ``bits``
-at most ``MAX_BITS``, are broadcast.  The second pass emits only windows estimated repeated, and
-groups them exactly by a 128-bit fingerprint.  A sketch too small for its input lets more windows
-through and loses none.
+at most ``MAX_BITS``, are broadcast.  The second pass takes only windows estimated repeated and
+groups them exactly by a 96-bit fingerprint: first inside each task, where all but the smallest
+document of a window are settled, then one row for each task and window across the cluster.  So a
+window that a third of all documents hold costs one row a task.  A sketch too small for its input
+lets more windows through and loses none.
 
 Null texts have no words.  Rows without a doc_id and texts with fewer than ``width`` words keep all
 words.  Rows that repeat a doc_id are one document with several texts.
@@ -31,7 +33,9 @@ from pyspark.sql import functions as F
 from fieldspark.llm.common import Words, binary_column, chunks, sliding_min, table, window_hashes
 
 WIDTH = 50
-ANCHOR = 8
+ANCHOR = 30
+#: Windows that a task holds before it sends what it found.
+HELD = 2_000_000
 SEGMENT = 20
 MAX_BITS = 28
 
@@ -52,7 +56,7 @@ def _cells(anchors: np.ndarray, bits: int) -> list[np.ndarray]:
 def sketch_bits(docs: DataFrame) -> int:
     """About two counters for each anchor that the input can hold."""
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    return min(MAX_BITS, max(SEGMENT, math.ceil(math.log2(max(2, size / 6 / 20 * 4)))))
+    return min(MAX_BITS, max(SEGMENT, math.ceil(math.log2(max(2, size / 6 / 10 * 4)))))
 
 
 def repeated_bits(docs: DataFrame, bits: int, width: int = WIDTH) -> np.ndarray:
@@ -126,31 +130,65 @@ def _estimated(anchors: np.ndarray, bits_set: np.ndarray, bits: int) -> np.ndarr
 
 
 def removed_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, text_id (a fingerprint of the row's text) and start of each window to remove."""
+    """doc_id and fingerprint (f1) of each window to remove; a document may hold it several times."""
     spark = docs.sparkSession
     bits = sketch_bits(docs)
     shared = spark.sparkContext.broadcast(repeated_bits(docs, bits, width))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def flush() -> pa.RecordBatch:
+            f1, f2, doc = (np.concatenate([h[i] for h in held]) if held else np.zeros(0, np.int64) for i in range(3))
+            held.clear()
+            order = np.lexsort((doc, f2, f1))
+            f1, f2, doc = f1[order], f2[order].astype(np.int32), doc[order]
+            new = np.ones(len(f1), bool)
+            new[1:] = (f1[1:] != f1[:-1]) | (f2[1:] != f2[:-1])
+            other = new.copy()
+            other[1:] |= doc[1:] != doc[:-1]
+            f1, f2, doc, new = f1[other], f2[other], doc[other], new[other]
+            return pa.RecordBatch.from_arrays([pa.array(f1), pa.array(f2), pa.array(doc), pa.array(~new)], names=["f1", "f2", "doc_id", "sure"])
+
+        size = 0
         for b in batches:
             ids = b.column("doc_id").to_numpy(zero_copy_only=False)
             for first, texts in chunks(binary_column(b)):
                 w = Words(texts)
                 at, anchors, h = _windows(w, width)
-                ok = _estimated(anchors, shared.value, bits)
-                at = at[ok]
+                at = at[_estimated(anchors, shared.value, bits)]
                 if not len(at):
                     continue
-                f1 = window_hashes(h, width)[at]
-                f2 = window_hashes(w.hashes(1), width, 1)[at]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array(ids[first + w.doc[at]], pa.int64()), pa.array((at - w.first[w.doc[at]]).astype(np.int32))],
-                    names=["f1", "f2", "doc_id", "start"],
-                )
-
-    rows = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(emit, "f1 bigint, f2 bigint, doc_id bigint, start int")
-    first = rows.groupBy("f1", "f2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("last > first").drop("last")
-    return rows.join(first, ["f1", "f2"]).where("doc_id > first").select("doc_id", "start", "f1")
+                f2 = window_hashes(w.hashes(1), width, 1)[at] >> np.uint64(33)
+                held.append((window_hashes(h, width)[at].view(np.int64), f2.astype(np.int64), ids[first + w.doc[at]]))
+                size += len(at)
+                if size > HELD:
+                    yield flush()
+                    size = 0
+        yield flush()
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """From rows sorted by window and document: those that are not their window's smallest."""
+        last: tuple[int, int, int] | None = None  # window and smallest document so far
+        for b in batches:
+            f1, f2, doc, sure = (b.column(c).to_numpy(zero_copy_only=False) for c in ("f1", "f2", "doc_id", "sure"))
+            open_at = np.flatnonzero(~sure)
+            gone = sure.copy()
+            if len(open_at):
+                a, c, d = f1[open_at], f2[open_at], doc[open_at]
+                new = np.ones(len(a), bool)
+                new[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
+                if last is not None and (a[0], c[0]) == last[:2]:
+                    new[0] = False
+                run = np.cumsum(new)
+                least = np.concatenate([[last[2] if last is not None else 0], d[new]])
+                gone[open_at] = d > least[run]
+                last = (a[-1], c[-1], least[run[-1]])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[gone]), pa.array(f1[gone])], names=["doc_id", "f1"])
+
+    rows = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(emit, "f1 bigint, f2 int, doc_id bigint, sure boolean")
+    dealt = rows.repartition(F.when(F.col("sure"), F.xxhash64("doc_id", "f1")).otherwise(F.col("f1"))).sortWithinPartitions("f1", "f2", "doc_id")
+    return dealt.mapInArrow(judge, "doc_id bigint, f1 bigint")
 
 
 def covered(w: Words, i: int, starts: np.ndarray, width: int) -> np.ndarray:
@@ -164,7 +202,7 @@ def covered(w: Words, i: int, starts: np.ndarray, width: int) -> np.ndarray:
 
 def _apply(docs: DataFrame, extra: list[str], width: int, digest: bool) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, the kept words (or their digest) and ``extra``."""
-    gone = removed_windows(docs, width).groupBy("doc_id").agg(F.collect_list(F.struct("start", "f1")).alias("gone"))
+    gone = removed_windows(docs, width).groupBy("doc_id").agg(F.collect_list("f1").alias("gone"))
     own = [F.col(c).alias(f"c{i}_") for i, c in enumerate(extra)]
     joined = docs.select("doc_id", "text", *own).join(gone.select(F.col("doc_id").alias("g_id"), "gone"), F.col("doc_id") == F.col("g_id"), "left").drop("g_id")
     kept_type = "string" if digest else "binary"
@@ -185,11 +223,8 @@ def _apply(docs: DataFrame, extra: list[str], width: int, digest: bool) -> DataF
                     if gone_here.is_valid:
                         if h is None:
                             h = window_hashes(w.hashes(), width).view(np.int64)
-                        x = gone_here.values
-                        at, f1 = x.field("start").to_numpy().astype(np.int64), x.field("f1").to_numpy()
-                        ok = at <= n - width  # another row of this doc_id may be longer
-                        at, f1 = at[ok], f1[ok]
-                        at = at[h[w.first[i] + at] == f1]
+                        own = h[w.first[i] : max(w.first[i], w.first[i + 1] - width + 1)]
+                        at = np.flatnonzero(np.isin(own, gone_here.values.to_numpy()))
                         out = covered(w, i, at, width)
                         removed = int(out.sum())
                         words = [x for x, o in zip(words, out.tolist(), strict=True) if not o]
