@@ -77,8 +77,7 @@ class WordEncoder:
             new.update(words)
         if len(self.known) + len(new) > self.max_words:
             self.known, self.parts = {}, {}
-        new.difference_update(self.known)
-        self.known.update([(w, self.encode_word(w.decode())) for w in new])
+        self.known.update([(w, self.encode_word(w.decode())) for w in new if w not in self.known])
         get = self.known.__getitem__
         return [b"".join(map(get, words)) for words in cut]
 
