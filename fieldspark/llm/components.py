@@ -36,10 +36,10 @@ def _is_stars(edges: DataFrame) -> bool:
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the least node reachable) of every node that has an edge; no edges, no rows."""
-    edges = edges.where("u <> v").select("u", "v").distinct()
+    edges = written(edges.where("u <> v").select("u", "v").distinct(), "edges")
     while True:
-        # two rounds to a write: each round shortens the paths, stars are the fixed point
-        edges = written(_small_star(_large_star(_small_star(_large_star(edges)))), "edges")
+        # each round shortens the paths; stars are the fixed point
+        edges = written(_small_star(written(_large_star(edges), "edges")), "edges")
         if _is_stars(edges):
             break
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -8,8 +8,8 @@ Two documents link when 100 * |A & B| >= 75 * |A | B|.
    within the first ``n - ceil(0.75 n) + 1`` of each; these prefixes are the tiles' keys.  Frequency
    comes from a fixed number of counters; it moves work, never a result.
 3. A tile is a prefix shingle and a size band; sizes in a band differ by less than 4/3, so a linked
-   partner is in the same band or the next.  Each row first meets its tile's leader (its smallest
-   member) only: m rows give m pairs.  Components of these links are found.
+   partner is in the same band or the next.  Each row first meets its tile's leader (a member drawn
+   by hash, another in each tile) only: m rows give m pairs.  Components of these links are found.
 4. What is left are pairs in one tile but in different components.  Tiles are cut to ``TILE_ROWS``
    rows, and block meets block.  Sizes and the places of the shared shingle bound the overlap.
 5. Candidates of either round meet the bitmaps of their hashed shingles: a bit set in A and not in B
@@ -26,9 +26,11 @@ that repeat a doc_id are one node.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,9 +40,10 @@ from fieldspark.llm.components import components
 
 SHINGLE = 5
 PERCENT = 75
-COUNTERS = 20
+COUNTERS, SEGMENT = 23, 19
 TILE_ROWS = 256
 FILTER_SLOTS = 1 << 18
+FILTER_BITS, FILTER_SEGMENT = 26, 20
 
 
 def shingle_sets(texts: list[bytes]) -> Iterator[np.ndarray]:
@@ -96,21 +99,47 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def common_counters(docs: DataFrame) -> np.ndarray:
-    """Frequency class of each counter: 0 for the usual load, more for every doubling above it."""
+    """Frequency class of each counter: 0 for the usual load, more for every doubling above it.
+
+    Each task counts into all counters, capped at 255, and sends them segment by segment; segments
+    are summed in two rounds, so no task meets those of all others.
+    """
+    size = 1 << SEGMENT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << COUNTERS, np.int64)
+        total = np.zeros(1 << COUNTERS, np.uint8)
         for b in batches:
             for _, texts in chunks(binary_column(b)):
                 every = np.concatenate(list(shingle_sets(texts)))
-                total += np.bincount((every >> np.uint64(64 - COUNTERS)).astype(np.int64), minlength=len(total))
-        at = np.flatnonzero(total > 8 + 4 * total.mean())
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at]), pa.array(np.full(len(at), total.mean()))], names=["at", "n", "mean"])
+                at, n = np.unique((every >> np.uint64(64 - COUNTERS)).astype(np.int64), return_counts=True)
+                total[at] = np.minimum(total[at] + n, 255)
+        parts = [zlib.compress(total[i : i + size].tobytes(), 1) for i in range(0, len(total), size)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["segment", "counts"])
+
+    def merge(part: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(size, np.uint32)
+        for c in part["counts"]:
+            raw = zlib.decompress(c)
+            total += np.frombuffer(raw, np.uint8 if len(raw) == size else "<u4")
+        return pd.DataFrame({"segment": part["segment"].iloc[:1], "counts": [zlib.compress(total.astype("<u4").tobytes(), 1)]})
+
+    schema = "segment int, counts binary"
+    sketches = docs.select("text").mapInArrow(run, schema).withColumn("salt", F.spark_partition_id() % 32)
+    some = sketches.groupBy("segment", "salt").applyInPandas(merge, schema)
+    merged = written(some.groupBy("segment").applyInPandas(merge, schema), "counters")
+
+    def classes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            out = []
+            for c in x["counts"]:
+                n = np.frombuffer(zlib.decompress(c), "<u4").astype(float)
+                usual = max(8.0, 2 * n.mean())  # shingles spread evenly, so one segment's mean will do
+                out.append(zlib.compress(np.where(n > usual, np.maximum(1, np.log2(np.maximum(n, 1) / usual) + 1), 0).astype(np.uint8).tobytes()))
+            yield pd.DataFrame({"segment": x["segment"], "counts": out})
 
-    heavy = docs.select("text").mapInArrow(run, "at int, n bigint, mean double").groupBy("at").agg(F.sum("n").alias("n"), F.sum("mean").alias("mean"))
-    got = heavy.toPandas()  # at most 2**COUNTERS rows, of which only those far above the mean exist
     out = np.zeros(1 << COUNTERS, np.uint8)
-    out[got["at"]] = np.maximum(1, np.log2(got["n"] / got["mean"].clip(lower=0.25))).astype(np.uint8)
+    for r in merged.mapInPandas(classes, schema).toLocalIterator():
+        out[r["segment"] * size : (r["segment"] + 1) * size] = np.frombuffer(zlib.decompress(r["counts"]), np.uint8)
     return out
 
 
@@ -233,6 +262,40 @@ def overlap_possible(n: Column, pos: Column, m: Column, at: Column) -> Column:
     return F.least(n - pos, m - at) * (100 + PERCENT) >= (n + m) * PERCENT
 
 
+def places(heads: DataFrame, shared: DataFrame) -> DataFrame:
+    """doc_id, n, pos, h of the prefix shingles that may be in ``shared``.
+
+    A filter of 2**FILTER_BITS bits, merged by segment, spares the join nearly all others.
+    """
+    size = 1 << FILTER_SEGMENT
+    at = F.shiftrightunsigned(F.col("h"), 64 - FILTER_BITS)
+    slots = shared.select(at.alias("slot")).distinct().select(F.shiftright("slot", FILTER_SEGMENT).alias("segment"), (F.col("slot") % size).alias("slot"))
+
+    def pack(part: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros(size, np.uint8)
+        out[part["slot"].to_numpy()] = 1
+        return pd.DataFrame({"segment": part["segment"].iloc[:1], "bits": [np.packbits(out, bitorder="little").tobytes()]})
+
+    bits = np.zeros(1 << FILTER_BITS >> 3, np.uint8)
+    for r in slots.groupBy("segment").applyInPandas(pack, "segment bigint, bits binary").toLocalIterator():
+        bits[r["segment"] * size >> 3 : (r["segment"] + 1) * size >> 3] = np.frombuffer(r["bits"], np.uint8)
+    filter_bits = heads.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("prefix")
+            h = lists.flatten().to_numpy()
+            sizes = np.diff(lists.offsets.to_numpy())
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            pos = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            slot = h.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+            ok = np.flatnonzero((filter_bits.value[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1)
+            own = pa.array(owner[ok])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(own), b.column("n").take(own), pa.array(pos[ok].astype(np.int32)), pa.array(h[ok])], names=["doc_id", "n", "pos", "h"])
+
+    return heads.select("doc_id", "n", "prefix").mapInArrow(run, "doc_id bigint, n int, pos int, h bigint")
+
+
 def pairs_of_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of one tile that sizes and places allow, from rows sorted by tile.
 
@@ -305,11 +368,13 @@ def jaccard_join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sure = marked.where(~F.col("maybe")).select("doc_id", "text")
     unsure = marked.where("maybe").join(copies.select(F.col("b").alias("doc_id")).distinct(), "doc_id", "left_anti").select("doc_id", "text")
     heads = written(set_heads(sure.unionByName(unsure), common_counters(docs)), "set-heads")
-    places = heads.select("doc_id", "n", F.posexplode("prefix").alias("pos", "h"))
     shared = heads.select(F.explode("prefix").alias("h")).groupBy("h").count().where("count > 1").select("h")
-    tiles = written(places.join(shared, "h").withColumn("band", band(F.col("n"))), "tile-rows")
+    shared = written(shared, "shared-shingles")
+    tiles = places(heads, shared).join(shared, "h").withColumn("band", band(F.col("n")))
+    tiles = written(tiles, "tile-rows")
     # round one: each row with the leaders of its tile and of the tile one band below
-    leaders = tiles.groupBy("h", "band").agg(F.min(F.struct("n", "doc_id", "pos")).alias("leader"))
+    pick = F.struct(F.xxhash64("h", "doc_id").alias("draw"), "n", "doc_id", "pos")
+    leaders = tiles.groupBy("h", "band").agg(F.min(pick).alias("leader"))
     below = tiles.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") - 1))).join(leaders, ["h", "band"])
     fit = sizes_fit(F.col("n"), F.col("leader.n")) & overlap_possible(F.col("n"), F.col("pos"), F.col("leader.n"), F.col("leader.pos"))
     stars = below.where((F.col("doc_id") != F.col("leader.doc_id")) & fit)
