@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import pytest
-from conftest import TINY
-from oracle import assert_same
+from tests.conftest import TINY
+from tests.oracle import assert_same
 
 from fieldspark.plans.catalog import ORACLE_SQL, QUERIES, flagship
 
