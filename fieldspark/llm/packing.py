@@ -48,7 +48,7 @@ class WordEncoder:
     chain of normaliser, splitter and model.  Words and parts are remembered within the slice.
     """
 
-    def __init__(self, path: str, max_words: int = 400_000):
+    def __init__(self, path: str, max_words: int = 1_000_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
