@@ -43,7 +43,7 @@ class Config:
     epochs: int = 8
     batch: int = 32
     rate: float = 0.02
-    max_per_class: int = 3000
+    max_per_class: int = 2500
     base: float = 0.3
     min_rows: int = 40
     seed: int = 5
