@@ -42,12 +42,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def chunks(texts: Iterable[bytes | None]) -> Iterator[tuple[int, list[bytes]]]:
-    """(index of the first text, texts) in runs of about CHUNK_BYTES; null counts as empty."""
+def chunks(texts: Iterable[bytes | None], most: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
+    """(index of the first text, texts) in runs of about ``most`` bytes; null counts as empty."""
     first, run, size = 0, [], 0
     for i, x in enumerate(texts):
         x = x or b""
-        if run and size + len(x) > CHUNK_BYTES:
+        if run and size + len(x) > most:
             yield first, run
             first, run, size = i, [], 0
         run.append(x)

@@ -3,22 +3,26 @@
 Tokens are the words of a text (ASCII lower case) and one end; all words that training has not seen
 are one more type.  With N training tokens of V types, a word w after a word v has probability
 
-    P(w | v) = L2 * c(g(v), g(w)) / c(g(v)) * q(w | g(w)) + (1 - L2) * P1(w)
+    P(w | v) = L2 * c(v, w) / c(v) + (1 - L2) * P1(w)
     P1(w)    = L1 * c(w) / N + (1 - L1) / (V + 1)
 
-where g maps a word to itself if it is one of the ``HEAD`` most frequent, else to one tail class, and
-q spreads the tail class over its words in proportion to P1.  L2 depends on the bucket (binary
-logarithm) of the context's frequency.  L1 and L2 are learned by expectation-maximisation: estimates
-from one part of the training documents, held-out counts from the other.  The final estimates use
-all training counts.  For a given context the probabilities of all types sum to one.
-
-The counts of words grow with the corpus: each slice of the input (one task of the scan) sends its
-distinct words with their counts, and gets back their totals by a join on the word's fingerprint; a
-cogroup brings them to the slice's texts.  Bigrams of classes have at most (HEAD + 2)**2 counters
-whatever the input (17 MB as probabilities), and only those are broadcast.
+with exact counts of all words and all word pairs; a text's first word follows the end token.  L2
+depends on the bucket (binary logarithm) of the context's frequency, and is 0 after unseen words.
+L1 and L2 are learned by expectation-maximisation: estimates from one part of the training
+documents, held-out counts from the other.  The final estimates use all training counts.  For a
+given context the probabilities of all types sum to one.
+
+The counts of words and pairs grow with the corpus, so no task and no broadcast holds them all: each
+slice of the input (one task of the scan) sends its distinct words and pairs with their counts, in
+order and cut into shards by ranges of fingerprints; a shard sums what all slices sent and answers
+each with totals in the order in which it asked, so that no fingerprint is sent back.  A cogroup
+brings the answers to the slice's texts, which give the same fingerprints in the same order.  The
+number of shards follows the number of slices: a shard does not grow with the corpus.  What L2 needs
+of the held-out pairs is their mass by bucket and by the logarithm of c(v, w) / c(v) / P1(w), in
+steps of 1 / STEPS octave; only those sums reach the driver.
 
 ``docs`` must read the same rows into the same tasks each time (a table or file scan does); a slice
-that misses a word raises an error rather than guess.  Documents with remainder 1 are held out and
+that then has other words or pairs raises an error rather than guess.  Documents with remainder 1 are held out and
 teach nothing; neither do rows without a doc_id.  Null and empty texts are the end token alone.
 """
 
@@ -35,11 +39,17 @@ from pyspark.sql import functions as F
 
 from fieldspark.llm.common import Words, binary_column, chunks, crc_mod, mix, table, written
 
+#: Sizes of the class model of ``Mixture``; scoring does not use them.
 HEAD = 2046
 TAIL, BEGIN = HEAD, HEAD + 1
 SIDE = HEAD + 2
 BUCKETS = 48
 ROUNDS = 30
+#: Bytes of text that are cut into tokens at once: a slice's distinct pairs need the worker's memory.
+CHUNK = 1 << 19
+#: Histogram steps to an octave, and the step of held-out pairs that estimation has not seen.
+STEPS = 64
+NEVER = -(1 << 20)
 #: Stands for the end token among the fingerprints of words.
 END_WORD = -1
 #: Parts of the documents: estimation, deleted (for the weights), neither.
@@ -57,44 +67,101 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
-def tallies(docs: DataFrame) -> DataFrame:
-    """slice, key, n_est and n_del: the distinct words of each task and their counts by part."""
+def pairs_of(keys: np.ndarray) -> np.ndarray:
+    """Fingerprint of each token with the one before it; a text's first follows an end."""
+    prior = np.concatenate([[END_WORD], keys[:-1]]).astype(np.int64)
+    return mix(mix(prior.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) + keys.view(np.uint64)).view(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        size, number = 0, 0
 
-        def folded() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            keys = np.concatenate([h[0] for h in held])
-            order = np.argsort(keys, kind="stable")
-            keys = keys[order]
-            cut = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            return keys[cut], *(np.add.reduceat(np.concatenate([h[i] for h in held])[order], cut) for i in (1, 2))
+def folded(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Distinct keys in order, and the sums of each further column."""
+    keys = np.concatenate([h[0] for h in held])
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    cut = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[cut], *(np.add.reduceat(np.concatenate([h[i] for h in held])[order], cut, dtype=held[0][i].dtype) for i in range(1, len(held[0])))
+
+
+def packed(x: np.ndarray) -> bytes:
+    """64-bit numbers, compressed with all first bytes first, which suits numbers in order and small ones."""
+    planes = np.ascontiguousarray(x, np.int64).view(np.uint8).reshape(-1, 8).T.tobytes()
+    return len(planes).to_bytes(8, "little") + (pa.compress(planes, codec="zstd", asbytes=True) if planes else b"")
+
 
+def unpacked(x: bytes) -> np.ndarray:
+    size = int.from_bytes(x[:8], "little")
+    planes = pa.decompress(x[8:], decompressed_size=size, codec="zstd", asbytes=True) if size else b""
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+
+
+def tallies(docs: DataFrame, shards: int) -> DataFrame:
+    """pair, shard, slice and the packed keys, n_est and n_del: the distinct words and pairs of each task and their counts by part."""
+    edges = np.array([-(1 << 63) + i * (1 << 64) // shards for i in range(shards)], np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bool, list[tuple[np.ndarray, ...]]] = {False: [], True: []}
+        size, most, number = {False: 0, True: 0}, {False: 500_000, True: 500_000}, 0
         for b in batches:
             part = b.column("part").to_numpy()
             number = b.column("slice")[0].as_py() if len(part) else number
-            for at, texts in chunks(binary_column(b)):
-                keys, first = tokens(texts)
+            for at, texts in chunks(binary_column(b), CHUNK):
+                words, first = tokens(texts)
                 owner = np.repeat(part[at : at + len(texts)], np.diff(first))
-                for p in (ESTIMATION, DELETED, OUT):
-                    k, n = np.unique(keys[owner == p], return_counts=True)
-                    zero = np.zeros(len(k), np.int64)
-                    held.append((k, n if p == ESTIMATION else zero, n if p == DELETED else zero))
-                    size += len(k)
-                if size > 4_000_000:
-                    held[:] = [folded()]
-                    size = len(held[0][0]) // 2
-        if size:
-            keys, est, deleted = folded()
-            for lo in range(0, len(keys), 100_000):
-                k = keys[lo : lo + 100_000]
+                for pair, keys in ((False, words), (True, pairs_of(words))):
+                    for p in (ESTIMATION, DELETED, OUT):
+                        k, n = np.unique(keys[owner == p], return_counts=True)
+                        n, zero = n.astype(np.int32), np.zeros(len(k), np.int32)
+                        held[pair].append((k, n if p == ESTIMATION else zero, n if p == DELETED else zero))
+                        size[pair] += len(k)
+                    if size[pair] > most[pair]:
+                        held[pair][:] = [folded(held[pair])]
+                        size[pair] = len(held[pair][0][0])
+                        most[pair] = 500_000 + size[pair] * 5 // 4
+        for pair in (False, True):
+            if not size[pair]:
+                continue
+            keys, est, deleted = folded(held.pop(pair))
+            cut = np.append(np.searchsorted(keys, edges), len(keys))
+            for lo in range(0, shards, 8):
+                spans = [(i, slice(cut[i], cut[i + 1])) for i in range(lo, min(lo + 8, shards)) if cut[i] < cut[i + 1]]
+                columns = [[packed(x[at]) for _, at in spans] for x in (keys, est, deleted)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(k), number, np.int32)), pa.array(k), pa.array(est[lo : lo + 100_000]), pa.array(deleted[lo : lo + 100_000])],
-                    names=["slice", "key", "n_est", "n_del"],
+                    [pa.array([pair] * len(spans), pa.bool_()), pa.array([i for i, _ in spans], pa.int32()), pa.array([number] * len(spans), pa.int32()), *[pa.array(c, pa.binary()) for c in columns]],
+                    names=["pair", "shard", "slice", "keys", "n_est", "n_del"],
                 )
 
-    return docs.mapInArrow(run, "slice int, key bigint, n_est bigint, n_del bigint")
+    return docs.mapInArrow(run, "pair boolean, shard int, slice int, keys binary, n_est binary, n_del binary")
+
+
+def totals(asked: DataFrame) -> DataFrame:
+    """The answers of each shard: pair, shard, slice, value and est (packed), value_sum and est_sum.
+
+    ``value`` has the training count of each key that the slice sent, ``est`` the estimation count of
+    each that its deleted part holds; the sums are of those keys.  For words, a row of slice -1 has
+    tokens and types (all, then estimation) as ``value``, and as ``est`` pairs of a count in estimation
+    and the held-out mass of the words with that count.
+    """
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        keys = [unpacked(x) for x in rows["keys"]]
+        deleted = [unpacked(x) for x in rows["n_del"]]
+        sent = np.concatenate([unpacked(x) for x in rows["n_est"]])
+        every, at = np.unique(np.concatenate(keys), return_inverse=True)
+        est = np.bincount(at, sent, len(every)).astype(np.int64)
+        value = est + np.bincount(at, np.concatenate(deleted), len(every)).astype(np.int64)
+        out, lo = [], 0
+        for number, k, d in zip(rows["slice"], keys, deleted, strict=True):
+            own = at[lo : lo + len(k)]
+            lo += len(k)
+            out.append((number, packed(value[own]), packed(est[own[d > 0]]), int(k.sum()), int(k[d > 0].sum())))
+        if not rows["pair"].iloc[0]:
+            count, inverse = np.unique(est, return_inverse=True)
+            mass = np.bincount(inverse, value - est).astype(np.int64)
+            out.append((-1, packed(np.array([value.sum(), est.sum(), (value > 0).sum(), (est > 0).sum()])), packed(np.stack([count, mass]).ravel()), 0, 0))
+        frame = pd.DataFrame(out, columns=["slice", "value", "est", "value_sum", "est_sum"])
+        return frame.assign(pair=rows["pair"].iloc[0], shard=rows["shard"].iloc[0])
+
+    return asked.groupBy("pair", "shard").applyInPandas(run, "pair boolean, shard int, slice int, value binary, est binary, value_sum bigint, est_sum bigint")
 
 
 def classes_of(keys: np.ndarray, head: np.ndarray) -> np.ndarray:
@@ -112,40 +179,13 @@ def before(classes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def class_bigrams(docs: DataFrame, head: np.ndarray) -> np.ndarray:
-    """Counts of class pairs in the estimation and the deleted part: (2, SIDE, SIDE)."""
-    shared = docs.sparkSession.sparkContext.broadcast(head)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, SIDE * SIDE), np.int32)
-        for b in batches:
-            part = b.column("part").to_numpy()
-            for at, texts in chunks(binary_column(b)):
-                keys, first = tokens(texts)
-                owner = np.repeat(part[at : at + len(texts)], np.diff(first))
-                c = classes_of(keys, shared.value)
-                code = before(c, first) * SIDE + c
-                for p in (ESTIMATION, DELETED):
-                    k, n = np.unique(code[owner == p], return_counts=True)
-                    total[p, k] += n.astype(np.int32)
-        at = np.flatnonzero(total.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[0, at], pa.int64()), pa.array(total[1, at], pa.int64())], names=["code", "n_est", "n_del"])
-
-    pairs = docs.select("text", "part").mapInArrow(run, "code int, n_est bigint, n_del bigint")
-    got = pairs.groupBy("code").agg(F.sum("n_est").alias("n_est"), F.sum("n_del").alias("n_del")).toArrow()  # at most SIDE**2 rows
-    out = np.zeros((2, SIDE * SIDE))
-    code = got["code"].to_numpy()
-    out[0, code], out[1, code] = got["n_est"].to_numpy(), got["n_del"].to_numpy()
-    return out.reshape(2, SIDE, SIDE)
-
-
 def bucket(count: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(count + 1).astype(int), BUCKETS - 1)
 
 
 @dataclass
 class Mixture:
-    """The interpolated model, once the counts are known."""
+    """The same interpolation over classes: frequent words, and one class of all others."""
 
     head: np.ndarray
     n: float
@@ -176,54 +216,24 @@ def unigram_weight(histogram: pd.DataFrame, n_est: float, types: int) -> float:
     return l1
 
 
-def bigram_weights(est: np.ndarray, deleted: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    """Weight of the bigram estimates by bucket of the context's frequency."""
-    context = est.sum(axis=1)
-    ratio = est / np.maximum(context, 1)[:, None]
-    of = bucket(context)
+def bigram_weights(histogram: pd.DataFrame) -> np.ndarray:
+    """Weight of the bigram estimates by bucket of the context's frequency, from (bucket, step, mass)."""
+    b, step, mass = (histogram[c].to_numpy() for c in ("bucket", "step", "mass"))
+    odds = np.where(step == NEVER, 0.0, 2.0 ** (np.maximum(step, -1000 * STEPS) / STEPS))
+    seen = np.bincount(b, mass, BUCKETS)
     weights = np.full(BUCKETS, 0.5)
     weights[0] = 0
-    v, w = np.nonzero(deleted)
-    mass, b = deleted[v, w], of[v]
     for _ in range(ROUNDS):
-        own = weights[b] * ratio[v, w]
-        r = own / np.maximum(own + (1 - weights[b]) * lower[w], 1e-300)
-        seen = np.bincount(b, mass, BUCKETS)
-        new = np.bincount(b, mass * r, BUCKETS) / np.maximum(seen, 1e-300)
+        own = weights[b] * odds
+        new = np.bincount(b, mass * own / (own + 1 - weights[b]), BUCKETS) / np.maximum(seen, 1e-300)
         weights = np.where(seen > 0, np.clip(new, 1e-6, 1 - 1e-6), weights)
         weights[0] = 0
     return weights
 
 
-def fit(read: DataFrame, words: DataFrame) -> Mixture:
-    """``words``: key, est and value (all training counts) of every type."""
-    r = words.agg(F.sum("value"), F.sum("est"), F.sum(F.when(F.col("value") > 0, 1).otherwise(0)), F.sum(F.when(F.col("est") > 0, 1).otherwise(0))).first()
-    n, n_est, types, types_est = (float(x or 0) for x in r)
-    top = words.where("value > 0").orderBy(F.desc("value"), "key").limit(HEAD).toPandas()
-    order = np.argsort(top["key"].to_numpy())
-    head, value, est_value = (top[c].to_numpy()[order] for c in ("key", "value", "est"))
-    histogram = words.where("value > est").groupBy("est").agg(F.sum(F.col("value") - F.col("est")).alias("mass")).toPandas()
-    l1 = unigram_weight(histogram, n_est, int(types_est))
-    est, deleted = class_bigrams(read, head)
-
-    def lower(count: np.ndarray, total: float, all_types: float) -> np.ndarray:
-        """P1 of each class: head words, the tail as a whole, and nothing for BEGIN."""
-        out = np.zeros(SIDE)
-        out[: len(count)] = l1 * count / max(total, 1) + (1 - l1) / (all_types + 1)
-        seen = int((count > 0).sum())
-        out[TAIL] = l1 * (total - count.sum()) / max(total, 1) + (1 - l1) * (all_types - seen + 1) / (all_types + 1)
-        return out
-
-    by_bucket = bigram_weights(est, deleted, lower(est_value, n_est, types_est))
-    every = est + deleted
-    context = every.sum(axis=1)
-    ratio = (every / np.maximum(context, 1)[:, None]).astype(np.float32)
-    return Mixture(head, n, int(types), l1, by_bucket[bucket(context)], ratio, float(lower(value, n, types)[TAIL]))
-
-
 def lookup(keys: np.ndarray):
     """A function from keys to their places: one table probe, and a search for the few that collide."""
-    bits = max(10, int(len(keys) * 4 - 1).bit_length())
+    bits = max(10, int(len(keys) * 2 - 1).bit_length())
     place = lambda k: (mix(k.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
     at = np.zeros(1 << bits, np.int32)
     at[place(keys)] = np.arange(len(keys))
@@ -232,48 +242,101 @@ def lookup(keys: np.ndarray):
         out = at[place(asked)]
         off = np.flatnonzero(keys[out] != asked)
         if len(off):
-            out[off] = np.minimum(np.searchsorted(keys, asked[off]), len(keys) - 1)
-            if (keys[out[off]] != asked[off]).any():
-                raise RuntimeError("the input's slices changed between two reads: pass a table or a file scan")
+            out[off] = np.searchsorted(keys, asked[off])
         return out
 
     return find
 
 
+def answered(texts: pd.Series, got: pd.DataFrame):
+    """Two functions from fingerprints to counts, of words and of pairs, from a slice's texts and its answers."""
+    out = []
+    for pair, of in ((False, lambda keys: keys), (True, pairs_of)):
+        rows = got[got["pair"] == pair].sort_values("shard")
+        keys = [np.zeros(0, np.int64)]
+        for _, some in chunks(texts, CHUNK):
+            keys.append(np.unique(of(tokens(some)[0])))
+            if sum(map(len, keys[1:])) > len(keys[0]) // 4 + 500_000:
+                keys = [np.unique(np.concatenate(keys))]
+        keys = np.unique(np.concatenate(keys))
+        n = np.concatenate([np.zeros(0, np.int64), *(unpacked(x) for x in rows["n"])])
+        n = n if len(n) and n.max() >= 1 << 31 else n.astype(np.int32)
+        if len(n) != len(keys) or (keys.sum() - rows["sum"].to_numpy(np.int64).sum()):
+            raise RuntimeError("the input's slices changed between two reads: pass a table or a file scan")
+        out.append(lambda asked, find=lookup(keys), n=n: n[find(asked)])
+    return out
+
+
+def before_counts(counts: np.ndarray, end: int) -> np.ndarray:
+    """Frequency of the context of each token, from the frequencies of the tokens."""
+    return np.concatenate([[end], counts[:-1]])
+
+
+END_ONLY = np.full(1, END_WORD, np.int64)
+
+
+def held_out_histogram(bodies: DataFrame, got: DataFrame, l1: float, n_est: int, types_est: int) -> pd.DataFrame:
+    """bucket, step and mass of the pairs of the deleted part; ``got`` has counts of the estimation part."""
+
+    def run(texts: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+        if not len(texts):
+            return pd.DataFrame({"bucket": [], "step": [], "mass": []})
+        words, pairs = answered(texts["text"], got)
+        held = []
+        for _, some in chunks(texts["text"], CHUNK):
+            keys, _ = tokens(some)
+            c = words(keys)
+            context = before_counts(c, words(END_ONLY)[0])
+            p1 = l1 * c / max(n_est, 1) + (1 - l1) / (types_est + 1)
+            both = pairs(pairs_of(keys))
+            step = np.where(both > 0, np.round(np.log2(np.maximum(both, 1) / np.maximum(context, 1) / p1) * STEPS), NEVER).astype(np.int64)
+            held.append(np.unique(step * BUCKETS + bucket(context), return_counts=True))
+        code, n = folded(held)
+        return pd.DataFrame({"bucket": code % BUCKETS, "step": code // BUCKETS, "mass": n})
+
+    each = bodies.groupBy("slice").cogroup(got.groupBy("slice")).applyInPandas(run, "bucket long, step long, mass long")
+    return each.groupBy("bucket", "step").agg(F.sum("mass").alias("mass")).toPandas()  # bounded by the steps of a double
+
+
 def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
     remainder = crc_mod("doc_id", 5)
     part = F.when(remainder.isNull() | (remainder == 1), OUT).when(remainder == 0, DELETED).otherwise(ESTIMATION).cast("int")
     read = docs.select("doc_id", "text", part.alias("part"), F.spark_partition_id().alias("slice"))
-    asked = written(tallies(read.select("text", "part", "slice")), "lm-tallies")
-    words = asked.groupBy("key").agg(F.sum("n_est").alias("est"), (F.sum("n_est") + F.sum("n_del")).alias("value"))
-    words = written(words, "lm-words")
-    model = fit(read, words)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most SIDE**2 estimates
-    replies = asked.select("slice", "key").join(words.select("key", "value"), "key").select("slice", "key", "value")
-    floor = model.n + 0.5 * (model.types + 1)
-    total = int(model.n)
+    shards = max(16, 2 * read.rdd.getNumPartitions())
+    sums = written(totals(tallies(read.select("text", "part", "slice"), shards)), "lm-totals")
+    counts, histogram = np.zeros(4, np.int64), [(np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    for r in sums.where("slice = -1").select("value", "est").toLocalIterator():  # one row a shard
+        counts += unpacked(r["value"])
+        histogram = [folded([*histogram, tuple(unpacked(r["est"]).reshape(2, -1))])]
+    n, n_est, types, types_est = map(int, counts)
+    l1 = unigram_weight(pd.DataFrame({"est": histogram[0][0], "mass": histogram[0][1]}), n_est, types_est)
+    body = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")
+    sums = sums.where("slice >= 0")
+    est = sums.where("length(est) > 8").select("slice", "pair", "shard", F.col("est").alias("n"), F.col("est_sum").alias("sum"))
+    l2 = bigram_weights(held_out_histogram(read.where(F.col("part") == DELETED).select("slice", body), est, l1, n_est, types_est))
+    value = sums.select("slice", "pair", "shard", F.col("value").alias("n"), F.col("value_sum").alias("sum"))
+    floor = n + 0.5 * (types + 1)
 
     def run(texts: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        order = np.argsort(got["key"].to_numpy())
-        values = got["value"].to_numpy(float)[order]
-        find = lookup(got["key"].to_numpy()[order])
-        base_of = np.log10((values + 0.5) / floor)
+        words, pairs = answered(texts["text"], got)
         out: dict[str, list[np.ndarray]] = {"n_tokens": [], "n_known": [], "base_score": [], "score": []}
-        for _, some in chunks(texts["text"]):
+        for _, some in chunks(texts["text"], CHUNK):
             keys, first = tokens(some)
-            at = find(keys)
-            logs = shared.value.log10(keys, first, values[at])
+            c = words(keys)
+            context = before_counts(c, words(END_ONLY)[0])
+            w = l2[bucket(context)]
+            logs = np.log10(w * pairs(pairs_of(keys)) / np.maximum(context, 1) + (1 - w) * (l1 * c / max(n, 1) + (1 - l1) / (types + 1)))
             out["n_tokens"].append(np.diff(first))
-            out["n_known"].append(np.add.reduceat((values[at] > 0).astype(np.int64), first[:-1]))
-            out["base_score"].append(np.add.reduceat(base_of[at], first[:-1]))
+            out["n_known"].append(np.add.reduceat((c > 0).astype(np.int64), first[:-1]))
+            out["base_score"].append(np.add.reduceat(np.log10((c + 0.5) / floor), first[:-1]))
             out["score"].append(np.add.reduceat(logs, first[:-1]))
         columns = {k: np.concatenate(v) if v else np.zeros(0) for k, v in out.items()}
-        return pd.DataFrame({"doc_id": texts["doc_id"], "held_out": texts["held_out"], "train_tokens": total, **columns})
+        return pd.DataFrame({"doc_id": texts["doc_id"], "held_out": texts["held_out"], "train_tokens": n, **columns})
 
-    bodies = read.select("slice", "doc_id", F.coalesce(remainder == 1, F.lit(False)).alias("held_out"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+    bodies = read.select("slice", "doc_id", F.coalesce(remainder == 1, F.lit(False)).alias("held_out"), body)
     schema = "doc_id long, held_out boolean, train_tokens long, n_tokens long, n_known long, base_score double, score double"
-    scored = bodies.groupBy("slice").cogroup(replies.groupBy("slice")).applyInPandas(run, schema)
+    scored = bodies.groupBy("slice").cogroup(value.groupBy("slice")).applyInPandas(run, schema)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

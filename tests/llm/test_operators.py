@@ -262,6 +262,50 @@ def test_lm_model_is_a_distribution_and_beats_the_base(spark):
     assert sum(p) == pytest.approx(1.0)
 
 
+def test_lm_counts_every_pair_of_a_large_vocabulary(spark):
+    """Against a plain version: no pair of rare words shares a class, whatever the vocabulary."""
+    import random
+
+    r = random.Random(5)
+    rows = [" ".join(f"w{int(10 ** r.uniform(0, 3.9))}" for _ in range(60)) for _ in range(400)]
+    rows += [" ".join(f"u{k} v{k}" for k in r.sample(range(2500), 25)) for _ in range(600)]
+    rows += [None, "", "w1 unseen-in-training"]
+    docs = lm_scoring.written(cases.table(spark, rows).repartition(3), "lm-test")
+    got = by_id(lm_scoring.score_documents(docs), "score")
+    texts = {i: ["", *[w.lower() for w in (t or "").split()], ""] for i, t in enumerate(rows)}
+    rest = {i: zlib.crc32(str(i).encode()) % 5 for i in texts}
+
+    def counts(ids):
+        c, p = Counter(), Counter()
+        for i in ids:
+            c.update(texts[i][1:])
+            p.update(zip(texts[i], texts[i][1:]))
+        return c, p, sum(c.values()), len(c)
+
+    c, p, n, v = counts([i for i in texts if rest[i] not in (0, 1)])
+    held = [x for i in texts if rest[i] == 0 for x in zip(texts[i], texts[i][1:])]
+    l1 = 0.9
+    for _ in range(lm_scoring.ROUNDS):
+        l1 = sum(l1 * c[w] / n / (l1 * c[w] / n + (1 - l1) / (v + 1)) for _, w in held) / len(held)
+    bucket = lambda k: int(math.log2(k + 1))
+    l2 = dict.fromkeys(range(48), 0.5)
+    odds = [(bucket(c[a]), p[a, b] / c[a] / (l1 * c[b] / n + (1 - l1) / (v + 1))) for a, b in held if c[a]]
+    for _ in range(lm_scoring.ROUNDS):
+        sums, mass = Counter(), Counter()
+        for b, x in odds:
+            sums[b] += l2[b] * x / (l2[b] * x + 1 - l2[b])
+            mass[b] += 1
+        l2 |= {b: min(max(sums[b] / mass[b], 1e-6), 1 - 1e-6) for b in mass}
+    c, p, n, v = counts([i for i in texts if rest[i] != 1])
+    assert v > 3 * lm_scoring.HEAD
+    for i, t in texts.items():
+        want = 0.0
+        for a, b in zip(t, t[1:]):
+            w = l2[bucket(c[a])] if c[a] else 0
+            want += math.log10(w * p[a, b] / max(c[a], 1) + (1 - w) * (l1 * c[b] / n + (1 - l1) / (v + 1)))
+        assert got[i] == pytest.approx(want, rel=1e-3), i
+
+
 # ---- toxicity
 
 
