@@ -201,6 +201,29 @@ def test_lines_shared_run_goes_from_the_later_text(spark):
     assert got[0] == rows[0] and "shared run" not in got[1] and got[1].startswith("other start") and got[2] == ""
 
 
+def test_lines_only_the_first_of_each_stays(spark):
+    """Brute force over runs that start in different texts, single lines, one-line texts and null ids."""
+    import random
+
+    r = random.Random(2)
+    rows = ["X x\nY y", "head\nX x\n Y y \nZ z", "X x\nY y\nZ z\nown", "one line", "one line", None, "", "a\n\na\n \nb"]
+    rows += ["\n".join(r.choice([f"s{r.randrange(40)}", f"t{r.randrange(5000)}", "hot", " "]) for _ in range(r.randint(1, 9))) for _ in range(120)]
+    seen: set[str] = set()
+    want = {}
+    for i, t in enumerate(rows):
+        kept = []
+        for line in (t or "").split("\n"):
+            if not line.strip() or line.strip() not in seen:
+                kept.append(line)
+            seen.add(line.strip())
+        want[i] = None if t is None else "\n".join(kept)
+    docs = cases.table(spark, rows)
+    twice = docs.where("doc_id in (2, 20)").unionByName(docs).repartition(3)
+    out = line_dedup.line_dedup(twice.unionByName(docs.where("doc_id = 2").withColumn("doc_id", F.lit(None).cast("long")))).collect()
+    assert len(out) == len(rows) + 3
+    assert all(x["text"] == (rows[2] if x["doc_id"] is None else want[x["doc_id"]]) for x in out)
+
+
 # ---- packing
 
 
