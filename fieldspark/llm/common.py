@@ -6,17 +6,26 @@ cuts.  Fingerprints are 64-bit polynomial sums, taken with NumPy over a whole ba
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are fingerprinted in chunks of about this many bytes, to bound a worker's memory.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
+#: A chunk's bytes (or words) meet 64-bit arithmetic in blocks of this many, however long a text is.
+BLOCK = 1 << 18
+#: Bytes of an Arrow batch that goes to a Python worker.
+BATCH_BYTES = 4 << 20
+#: Bits of a filter of keys, and of the segments in which it is put together.
+FILTER_BITS, FILTER_SEGMENT = 26, 20
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -34,12 +43,64 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+def _give_memory_back() -> None:
+    """Let the C library return large freed arrays to the system: Python workers live for many tasks."""
+    with contextlib.suppress(OSError, AttributeError):
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 8 << 20)  # M_TRIM_THRESHOLD
+
+
+_give_memory_back()
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Send texts to Python workers in batches of bounded bytes, not only of bounded rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: lineage ends there."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that nothing reads any more, to free the shared folder."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.scratch_path)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def bit_filter(keys: DataFrame, column: str) -> np.ndarray:
+    """2**FILTER_BITS bits (packed), set at the leading bits of each 64-bit key of ``column``.
+
+    Segments are put together in tasks; the array has the same size whatever the input.
+    """
+    size = 1 << FILTER_SEGMENT
+    at = F.shiftrightunsigned(F.col(column), 64 - FILTER_BITS)
+    slots = keys.select(at.alias("slot")).distinct().select(F.shiftright("slot", FILTER_SEGMENT).alias("segment"), (F.col("slot") % size).alias("slot"))
+
+    def pack(part: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros(size, np.uint8)
+        out[part["slot"].to_numpy()] = 1
+        return pd.DataFrame({"segment": part["segment"].iloc[:1], "bits": [np.packbits(out, bitorder="little").tobytes()]})
+
+    bits = np.zeros(1 << FILTER_BITS >> 3, np.uint8)
+    for r in slots.groupBy("segment").applyInPandas(pack, "segment bigint, bits binary").collect():
+        bits[r["segment"] * size >> 3 : (r["segment"] + 1) * size >> 3] = np.frombuffer(r["bits"], np.uint8)
+    return bits
+
+
+def may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys a filter of ``bit_filter`` may hold; false is certain."""
+    slot = keys.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+    return (bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
 def chunks(texts: Iterable[bytes | None], most: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
@@ -62,7 +123,10 @@ def binary_column(batch: pa.RecordBatch, name: str = "text") -> list[bytes | Non
 
 
 class _Powers:
-    """Powers of an odd number and of its inverse modulo 2**64, extended on demand."""
+    """Powers of an odd number and of its inverse modulo 2**64, extended on demand.
+
+    Those of a long run (one huge word) are made for it alone and not kept.
+    """
 
     def __init__(self, base: int):
         self.base, self.inverse = base, pow(base, -1, 1 << 64)
@@ -70,11 +134,10 @@ class _Powers:
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = 1 << max(10, (n - 1).bit_length())
-            for name, base in (("up", self.base), ("down", self.inverse)):
-                steps = np.full(size, base, np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.multiply.accumulate(steps))
+            made = [np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(max(n, 1024) - 1, base, np.uint64)])) for base in (self.base, self.inverse)]
+            if n > 4 * BLOCK:
+                return made[0][:n], made[1][:n]
+            self.up, self.down = made
         return self.up[:n], self.down[:n]
 
 
@@ -112,22 +175,32 @@ class Words:
         self.first = np.searchsorted(self.doc, np.arange(self.n_docs + 1))
 
     def hashes(self, family: int = 0) -> np.ndarray:
-        """A 64-bit fingerprint of each word."""
-        up, down = _BYTES[family].get(len(self.data))
-        total = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up, out=total[1:])
-        h = (total[self.ends] - total[self.starts]) * down[self.starts]
-        return mix(h ^ (self.ends - self.starts).astype(np.uint64) << np.uint64(56))
+        """A 64-bit fingerprint of each word; it depends on the word alone, not on the blocks."""
+        out = np.empty(len(self.starts), np.uint64)
+        lo = 0
+        while lo < len(out):
+            hi = max(lo + 1, int(np.searchsorted(self.ends, self.starts[lo] + BLOCK, side="right")))
+            at, stop = int(self.starts[lo]), int(self.ends[hi - 1])
+            up, down = _BYTES[family].get(stop - at)
+            total = np.zeros(stop - at + 1, np.uint64)
+            np.cumsum((self.data[at:stop].astype(np.uint64) + np.uint64(1)) * up, out=total[1:])
+            start, end = self.starts[lo:hi] - at, self.ends[lo:hi] - at
+            h = (total[end] - total[start]) * down[start]
+            out[lo:hi] = mix(h ^ (end - start).astype(np.uint64) << np.uint64(56))
+            lo = hi
+        return out
 
 
 def window_hashes(words: np.ndarray, width: int, family: int = 0) -> np.ndarray:
     """Fingerprints of all runs of ``width`` consecutive word fingerprints."""
-    if len(words) < width:
-        return np.zeros(0, np.uint64)
-    up, down = _WORDS[family].get(len(words) + 1)
-    total = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(words * up[:-1], out=total[1:])
-    return mix((total[width:] - total[:-width]) * down[: len(words) - width + 1])
+    out = np.empty(max(0, len(words) - width + 1), np.uint64)
+    for lo in range(0, len(out), BLOCK):
+        part = words[lo : min(lo + BLOCK, len(out)) + width - 1]
+        up, down = _WORDS[family].get(len(part) + 1)
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part * up[:-1], out=total[1:])
+        out[lo : lo + BLOCK] = mix((total[width:] - total[:-width]) * down[: len(part) - width + 1])
+    return out
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -141,6 +214,17 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
+def new_text(docs: DataFrame, column: str, text: F.Column, rest: list[str]) -> F.Column:
+    """A column of ``docs`` after its texts became ``text``; the columns in ``rest`` came back as c0_, c1_ ..."""
+    if column == "text":
+        out = text
+    elif column == "n_chars":
+        out = F.when(text.isNull(), F.col(f"c{rest.index(column)}_")).otherwise(F.length(text).cast("long"))
+    else:
+        out = F.col(f"c{rest.index(column)}_")
+    return out.cast(docs.schema[column].dataType).alias(column)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldspark.llm.common import Words, binary_column, chunks, sliding_min, table, window_hashes
+from fieldspark.llm.common import Words, binary_column, chunks, new_text, sliding_min, small_batches, table, window_hashes
 
 WIDTH = 50
 ANCHOR = 30
@@ -202,6 +202,7 @@ def covered(w: Words, i: int, starts: np.ndarray, width: int) -> np.ndarray:
 
 def _apply(docs: DataFrame, extra: list[str], width: int, digest: bool) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, the kept words (or their digest) and ``extra``."""
+    small_batches(docs.sparkSession)
     gone = removed_windows(docs, width).groupBy("doc_id").agg(F.collect_list("f1").alias("gone"))
     own = [F.col(c).alias(f"c{i}_") for i, c in enumerate(extra)]
     joined = docs.select("doc_id", "text", *own).join(gone.select(F.col("doc_id").alias("g_id"), "gone"), F.col("doc_id") == F.col("g_id"), "left").drop("g_id")
@@ -234,7 +235,7 @@ def _apply(docs: DataFrame, extra: list[str], width: int, digest: bool) -> DataF
                     else:
                         kept.append(b" ".join(words) if removed else t)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string() if digest else pa.binary()), *[b.column(f"c{i}_") for i in range(len(extra))]],
+                [b.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()) if digest else pa.array(kept, pa.binary(), mask=np.asarray(b.column("text").is_null())), *[b.column(f"c{i}_") for i in range(len(extra))]],
                 names=["doc_id", "n_words", "n_removed", "kept", *[f"c{i}_" for i in range(len(extra))]],
             )
 
@@ -247,11 +248,10 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     A text that loses nothing stays as it is.  ``n_chars``, where there is one, follows the text.
     """
-    out = _apply(docs, docs.columns, width, digest=False)
+    rest = [c for c in docs.columns if c != "text"]
+    out = _apply(docs, rest, width, digest=False)
     text = F.col("kept").cast("string")
-    null = F.col(f"c{docs.columns.index('text')}_").isNull()
-    new = {"text": F.when(~null, text), "n_chars": F.when(~null, F.length(text).cast("long"))}
-    return out.select(*[new.get(c, F.col(f"c{i}_")).cast(docs.schema[c].dataType).alias(c) for i, c in enumerate(docs.columns)])
+    return out.select(*[new_text(docs, c, text, rest) for c in docs.columns])
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldspark.llm.common import _BYTES, binary_column, chunks, crc_mod, mix, table
+from fieldspark.llm.common import _BYTES, binary_column, chunks, crc_mod, mix, small_batches, table
 
 _TOKEN = np.zeros(256, bool)
 _TOKEN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -248,12 +248,16 @@ def fit(docs: DataFrame, labels: DataFrame, config: Config | None = None) -> Mod
     return m
 
 
-def score(docs: DataFrame, model: Model | None, extra: list[str] | None = None) -> DataFrame:
-    """doc_id, score, predicted, flagged (by the language's threshold) and the ``extra`` columns."""
+def score(docs: DataFrame, model: Model | None, extra: list[str] | None = None, text: str = "text") -> DataFrame:
+    """doc_id, score, predicted, flagged (by the language's threshold) and the ``extra`` columns.
+
+    ``text`` names the column of texts; it goes to the workers once, though it be among ``extra``.
+    """
     extra = extra or []
     base = model.config.base if model else Config().base
     kept = [docs.schema[c] for c in extra]
-    source = docs.select("doc_id", F.col("lang").alias("_lang"), F.col("text").alias("_text"), *extra)
+    small_batches(docs.sparkSession)
+    source = docs.select("doc_id", F.col("lang").alias("_lang"), F.col(text).alias("_text"), *[c for c in extra if c != text])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by Config
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +269,7 @@ def score(docs: DataFrame, model: Model | None, extra: list[str] | None = None)
                 for at, part in chunks(texts):
                     s[at : at + len(part)] = m.scores(part)
             limits = np.array([m.thresholds.get(x, base) if m else base for x in b.column("_lang").to_pylist()])
-            own = [b.column(c) for c in extra]
+            own = [b.column("_text" if c == text else c) for c in extra]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(s), pa.array((s >= base).astype(np.int32)), pa.array(s >= limits), *own],
                 names=["doc_id", "score", "predicted", "flagged", *extra],
@@ -285,6 +289,6 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the language's threshold does not flag, with their columns."""
     names = docs.columns
-    inside = docs.select(*[F.col(c).alias(f"c{i}_") for i, c in enumerate(names)], "doc_id", "lang", "text")
-    scored = score(inside, fit(docs, labels), [f"c{i}_" for i in range(len(names))])
+    inside = docs.select(*[F.col(c).alias(f"c{i}_") for i, c in enumerate(names)], "doc_id", "lang")
+    scored = score(inside, fit(docs, labels), [f"c{i}_" for i in range(len(names))], f"c{names.index('text')}_")
     return scored.where(~F.col("flagged")).select(*[F.col(f"c{i}_").alias(c) for i, c in enumerate(names)])
