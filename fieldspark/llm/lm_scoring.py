@@ -12,40 +12,36 @@ L1 and L2 are learned by expectation-maximisation: estimates from one part of th
 documents, held-out counts from the other.  The final estimates use all training counts.  For a
 given context the probabilities of all types sum to one.
 
-The counts of words and pairs grow with the corpus, so no task and no broadcast holds them all: each
-slice of the input (one task of the scan) sends its distinct words and pairs with their counts, in
-order and cut into shards by ranges of fingerprints; a shard sums what all slices sent and answers
-each with totals in the order in which it asked, so that no fingerprint is sent back.  A cogroup
-brings the answers to the slice's texts, which give the same fingerprints in the same order.  The
-number of shards follows the number of slices: a shard does not grow with the corpus.  What L2 needs
-of the held-out pairs is their mass by bucket and by the logarithm of c(v, w) / c(v) / P1(w), in
-steps of 1 / STEPS octave; only those sums reach the driver.
-
-``docs`` must read the same rows into the same tasks each time (a table or file scan does); a slice
-that then has other words or pairs raises an error rather than guess.  Documents with remainder 1 are held out and
-teach nothing; neither do rows without a doc_id.  Null and empty texts are the end token alone.
+The counts of words and pairs grow with the corpus, so no task and no broadcast holds them all.  The
+documents are written in units of about ``UNIT_BYTES`` of text.  A unit asks for the totals of its
+distinct words and pairs: it sends them with its own counts, in order and cut into shards by ranges of
+fingerprints.  A shard sums what all units sent and answers each with totals in the order in which it
+asked, so that no fingerprint is sent back.  A cogroup brings the answers to the unit's texts, which
+give the same fingerprints in the same order.  There are as many shards as units, so neither a unit
+nor a shard grows with the corpus.  What L2 needs of the held-out pairs is their mass by bucket and by
+the logarithm of c(v, w) / c(v) / P1(w), in steps of 1 / STEPS octave; only those sums reach the driver.
+
+Documents with remainder 1 are held out and teach nothing; neither do rows without a doc_id.  Null and
+empty texts are the end token alone.  Repeated rows are documents of their own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldspark.llm.common import Words, binary_column, chunks, crc_mod, mix, table, written
+from fieldspark.llm.common import Words, binary_column, chunks, crc_mod, mix, small_batches, table, written
 
-#: Sizes of the class model of ``Mixture``; scoring does not use them.
-HEAD = 2046
-TAIL, BEGIN = HEAD, HEAD + 1
-SIDE = HEAD + 2
 BUCKETS = 48
 ROUNDS = 30
-#: Bytes of text that are cut into tokens at once: a slice's distinct pairs need the worker's memory.
+#: Bytes of text of a unit, whose distinct pairs need a worker's memory, and of a part cut into tokens at once.
+UNIT_BYTES = 8 << 20
 CHUNK = 1 << 19
 #: Histogram steps to an octave, and the step of held-out pairs that estimation has not seen.
 STEPS = 64
@@ -94,116 +90,120 @@ def unpacked(x: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
 
 
-def tallies(docs: DataFrame, shards: int) -> DataFrame:
-    """pair, shard, slice and the packed keys, n_est and n_del: the distinct words and pairs of each task and their counts by part."""
-    edges = np.array([-(1 << 63) + i * (1 << 64) // shards for i in range(shards)], np.int64)
+def in_units(docs: DataFrame) -> DataFrame:
+    """doc_id, text, part, held_out and unit of all documents; a written table.
+
+    A unit is a stretch of what one task reads: about ``UNIT_BYTES`` of text, and whole documents.
+    """
+    remainder = crc_mod("doc_id", 5)
+    part = F.when(remainder.isNull() | (remainder == 1), OUT).when(remainder == 0, DELETED).otherwise(ESTIMATION).cast("int")
+    body = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")
+    read = docs.select(F.col("doc_id").cast("long"), body, part.alias("part"), F.coalesce(remainder == 1, F.lit(False)).alias("held_out"), F.spark_partition_id().alias("task"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bool, list[tuple[np.ndarray, ...]]] = {False: [], True: []}
-        size, most, number = {False: 0, True: 0}, {False: 500_000, True: 500_000}, 0
+        before = 0
         for b in batches:
-            part = b.column("part").to_numpy()
-            number = b.column("slice")[0].as_py() if len(part) else number
-            for at, texts in chunks(binary_column(b), CHUNK):
-                words, first = tokens(texts)
-                owner = np.repeat(part[at : at + len(texts)], np.diff(first))
-                for pair, keys in ((False, words), (True, pairs_of(words))):
-                    for p in (ESTIMATION, DELETED, OUT):
-                        k, n = np.unique(keys[owner == p], return_counts=True)
-                        n, zero = n.astype(np.int32), np.zeros(len(k), np.int32)
-                        held[pair].append((k, n if p == ESTIMATION else zero, n if p == DELETED else zero))
-                        size[pair] += len(k)
-                    if size[pair] > most[pair]:
-                        held[pair][:] = [folded(held[pair])]
-                        size[pair] = len(held[pair][0][0])
-                        most[pair] = 500_000 + size[pair] * 5 // 4
-        for pair in (False, True):
-            if not size[pair]:
+            sizes = pc.binary_length(b.column("text")).to_numpy().astype(np.int64)
+            start = before + np.cumsum(sizes) - sizes
+            before += int(sizes.sum())
+            unit = (b.column("task").to_numpy().astype(np.int64) << 32) + start // UNIT_BYTES
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "text", "part", "held_out")), pa.array(unit)], names=["doc_id", "text", "part", "held_out", "unit"])
+
+    return written(read.mapInArrow(run, "doc_id bigint, text binary, part int, held_out boolean, unit bigint"), "lm-units")
+
+
+class Tally:
+    """The distinct words and pairs of a unit and their counts by part."""
+
+    def __init__(self):
+        self.held: dict[bool, list[tuple[np.ndarray, ...]]] = {False: [], True: []}
+
+    def add(self, texts: list[bytes], part: np.ndarray) -> None:
+        for at, some in chunks(texts, CHUNK):
+            words, first = tokens(some)
+            owner = np.repeat(part[at : at + len(some)], np.diff(first))
+            for pair, keys in ((False, words), (True, pairs_of(words))):
+                for p in (ESTIMATION, DELETED, OUT):
+                    k, n = np.unique(keys[owner == p], return_counts=True)
+                    n, zero = n.astype(np.int32), np.zeros(len(k), np.int32)
+                    self.held[pair].append((k, n if p == ESTIMATION else zero, n if p == DELETED else zero))
+
+    def blobs(self, unit: int, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """The sums, packed shard by shard."""
+        for pair, held in self.held.items():
+            if not sum(len(h[0]) for h in held):
                 continue
-            keys, est, deleted = folded(held.pop(pair))
+            keys, est, deleted = folded(held)
             cut = np.append(np.searchsorted(keys, edges), len(keys))
-            for lo in range(0, shards, 8):
-                spans = [(i, slice(cut[i], cut[i + 1])) for i in range(lo, min(lo + 8, shards)) if cut[i] < cut[i + 1]]
-                columns = [[packed(x[at]) for _, at in spans] for x in (keys, est, deleted)]
+            spans = [(i, slice(cut[i], cut[i + 1])) for i in np.flatnonzero(np.diff(cut)).tolist()]
+            for lo in range(0, len(spans), 64):
+                some = spans[lo : lo + 64]
+                columns = [[packed(x[at]) for _, at in some] for x in (keys, est, deleted)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([pair] * len(spans), pa.bool_()), pa.array([i for i, _ in spans], pa.int32()), pa.array([number] * len(spans), pa.int32()), *[pa.array(c, pa.binary()) for c in columns]],
-                    names=["pair", "shard", "slice", "keys", "n_est", "n_del"],
+                    [pa.array([pair] * len(some), pa.bool_()), pa.array([i for i, _ in some], pa.int32()), pa.array([unit] * len(some), pa.int64()), *[pa.array(c, pa.binary()) for c in columns]],
+                    names=["pair", "shard", "unit", "keys", "n_est", "n_del"],
                 )
 
-    return docs.mapInArrow(run, "pair boolean, shard int, slice int, keys binary, n_est binary, n_del binary")
+
+def tallies(units: DataFrame, shards: int) -> DataFrame:
+    """pair, shard, unit and the packed keys, n_est and n_del."""
+    edges = np.array([-(1 << 63) + i * (1 << 64) // shards for i in range(shards)], np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally, own = Tally(), None
+        for b in batches:
+            unit, part, texts = b.column("unit").to_numpy(), b.column("part").to_numpy(), binary_column(b)
+            cuts = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1], [True]])) if len(unit) else []
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if own is not None and unit[lo] != own:
+                    yield from tally.blobs(own, edges)
+                    tally = Tally()
+                own = int(unit[lo])
+                tally.add(texts[lo:hi], part[lo:hi])
+        if own is not None:
+            yield from tally.blobs(own, edges)
+
+    return units.select("text", "part", "unit").mapInArrow(run, "pair boolean, shard int, unit bigint, keys binary, n_est binary, n_del binary")
 
 
 def totals(asked: DataFrame) -> DataFrame:
-    """The answers of each shard: pair, shard, slice, value and est (packed), value_sum and est_sum.
+    """The answers of each shard: pair, shard, unit, value and est (packed).
 
-    ``value`` has the training count of each key that the slice sent, ``est`` the estimation count of
-    each that its deleted part holds; the sums are of those keys.  For words, a row of slice -1 has
-    tokens and types (all, then estimation) as ``value``, and as ``est`` pairs of a count in estimation
-    and the held-out mass of the words with that count.
+    ``value`` has the training count of each key of the unit, in order, and ``est`` the estimation count
+    of each that its deleted part holds.  For words, a row of unit -1 has tokens and types (all, then
+    estimation) as ``value``, and as ``est`` pairs of a count in estimation and the held-out mass of the
+    words with that count.
     """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        keys = [unpacked(x) for x in rows["keys"]]
-        deleted = [unpacked(x) for x in rows["n_del"]]
-        sent = np.concatenate([unpacked(x) for x in rows["n_est"]])
-        every, at = np.unique(np.concatenate(keys), return_inverse=True)
-        est = np.bincount(at, sent, len(every)).astype(np.int64)
-        value = est + np.bincount(at, np.concatenate(deleted), len(every)).astype(np.int64)
+        parts = {}
+        for unit, *x in zip(rows["unit"], *(rows[c] for c in ("keys", "n_est", "n_del")), strict=True):
+            parts.setdefault(unit, []).append(tuple(map(unpacked, x)))
+        # a unit that two tasks have read has sent two parts; its texts ask once
+        parts = {u: x[0] if len(x) == 1 else folded(x) for u, x in parts.items()}
+        sent = [np.concatenate([x[i] for x in parts.values()]) for i in range(3)]
+        every, at = np.unique(sent[0], return_inverse=True)
+        est = np.bincount(at, sent[1], len(every)).astype(np.int64)
+        value = est + np.bincount(at, sent[2], len(every)).astype(np.int64)
         out, lo = [], 0
-        for number, k, d in zip(rows["slice"], keys, deleted, strict=True):
-            own = at[lo : lo + len(k)]
-            lo += len(k)
-            out.append((number, packed(value[own]), packed(est[own[d > 0]]), int(k.sum()), int(k[d > 0].sum())))
+        for unit, (keys, _, deleted) in parts.items():
+            own = at[lo : lo + len(keys)]
+            lo += len(keys)
+            out.append((unit, packed(value[own]), packed(est[own[deleted > 0]])))
         if not rows["pair"].iloc[0]:
             count, inverse = np.unique(est, return_inverse=True)
             mass = np.bincount(inverse, value - est).astype(np.int64)
-            out.append((-1, packed(np.array([value.sum(), est.sum(), (value > 0).sum(), (est > 0).sum()])), packed(np.stack([count, mass]).ravel()), 0, 0))
-        frame = pd.DataFrame(out, columns=["slice", "value", "est", "value_sum", "est_sum"])
+            out.append((-1, packed(np.array([value.sum(), est.sum(), (value > 0).sum(), (est > 0).sum()])), packed(np.stack([count, mass]).ravel())))
+        frame = pd.DataFrame(out, columns=["unit", "value", "est"])
         return frame.assign(pair=rows["pair"].iloc[0], shard=rows["shard"].iloc[0])
 
-    return asked.groupBy("pair", "shard").applyInPandas(run, "pair boolean, shard int, slice int, value binary, est binary, value_sum bigint, est_sum bigint")
-
-
-def classes_of(keys: np.ndarray, head: np.ndarray) -> np.ndarray:
-    """Class of each token: its place in the sorted head, or the tail."""
-    if not len(head):
-        return np.full(len(keys), TAIL, np.int64)
-    at = np.minimum(np.searchsorted(head, keys), len(head) - 1)
-    return np.where(head[at] == keys, at, TAIL)
-
-
-def before(classes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Class of the token before each; the first of a text follows BEGIN."""
-    out = np.concatenate([[BEGIN], classes[:-1]])
-    out[first[:-1]] = BEGIN
-    return out
+    return asked.groupBy("pair", "shard").applyInPandas(run, "pair boolean, shard int, unit bigint, value binary, est binary")
 
 
 def bucket(count: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(count + 1).astype(int), BUCKETS - 1)
 
 
-@dataclass
-class Mixture:
-    """The same interpolation over classes: frequent words, and one class of all others."""
-
-    head: np.ndarray
-    n: float
-    types: int
-    l1: float
-    l2: np.ndarray  # by class of the context
-    ratio: np.ndarray  # (SIDE, SIDE) maximum-likelihood estimates
-    tail_mass: float
-
-    def log10(self, keys: np.ndarray, first: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        c = classes_of(keys, self.head)
-        v = before(c, first)
-        p1 = self.l1 * counts / max(self.n, 1) + (1 - self.l1) / (self.types + 1)
-        q = np.where(c == TAIL, p1 / self.tail_mass, 1.0)
-        w = self.l2[v]
-        return np.log10(w * self.ratio[v, c] * q + (1 - w) * p1)
-
-
 def unigram_weight(histogram: pd.DataFrame, n_est: float, types: int) -> float:
     """Weight of the word estimates against the uniform, from (count in estimation, held-out mass)."""
     l1 = 0.9
@@ -249,7 +249,7 @@ def lookup(keys: np.ndarray):
 
 
 def answered(texts: pd.Series, got: pd.DataFrame):
-    """Two functions from fingerprints to counts, of words and of pairs, from a slice's texts and its answers."""
+    """Two functions from fingerprints to counts, of words and of pairs, from a unit's texts and its answers."""
     out = []
     for pair, of in ((False, lambda keys: keys), (True, pairs_of)):
         rows = got[got["pair"] == pair].sort_values("shard")
@@ -261,8 +261,8 @@ def answered(texts: pd.Series, got: pd.DataFrame):
         keys = np.unique(np.concatenate(keys))
         n = np.concatenate([np.zeros(0, np.int64), *(unpacked(x) for x in rows["n"])])
         n = n if len(n) and n.max() >= 1 << 31 else n.astype(np.int32)
-        if len(n) != len(keys) or (keys.sum() - rows["sum"].to_numpy(np.int64).sum()):
-            raise RuntimeError("the input's slices changed between two reads: pass a table or a file scan")
+        if len(n) != len(keys):
+            raise RuntimeError("a unit's texts differ from those that it was counted with")
         out.append(lambda asked, find=lookup(keys), n=n: n[find(asked)])
     return out
 
@@ -294,28 +294,26 @@ def held_out_histogram(bodies: DataFrame, got: DataFrame, l1: float, n_est: int,
         code, n = folded(held)
         return pd.DataFrame({"bucket": code % BUCKETS, "step": code // BUCKETS, "mass": n})
 
-    each = bodies.groupBy("slice").cogroup(got.groupBy("slice")).applyInPandas(run, "bucket long, step long, mass long")
+    each = bodies.groupBy("unit").cogroup(got.groupBy("unit")).applyInPandas(run, "bucket long, step long, mass long")
     return each.groupBy("bucket", "step").agg(F.sum("mass").alias("mass")).toPandas()  # bounded by the steps of a double
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
-    remainder = crc_mod("doc_id", 5)
-    part = F.when(remainder.isNull() | (remainder == 1), OUT).when(remainder == 0, DELETED).otherwise(ESTIMATION).cast("int")
-    read = docs.select("doc_id", "text", part.alias("part"), F.spark_partition_id().alias("slice"))
-    shards = max(16, 2 * read.rdd.getNumPartitions())
-    sums = written(totals(tallies(read.select("text", "part", "slice"), shards)), "lm-totals")
+    small_batches(docs.sparkSession)
+    units = in_units(docs)
+    shards = max(16, units.select("unit").distinct().count())
+    sums = written(totals(tallies(units, shards)), "lm-totals")
     counts, histogram = np.zeros(4, np.int64), [(np.zeros(1, np.int64), np.zeros(1, np.int64))]
-    for r in sums.where("slice = -1").select("value", "est").toLocalIterator():  # one row a shard
+    for r in sums.where("unit = -1").select("value", "est").toLocalIterator():  # one row a shard
         counts += unpacked(r["value"])
         histogram = [folded([*histogram, tuple(unpacked(r["est"]).reshape(2, -1))])]
     n, n_est, types, types_est = map(int, counts)
     l1 = unigram_weight(pd.DataFrame({"est": histogram[0][0], "mass": histogram[0][1]}), n_est, types_est)
-    body = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")
-    sums = sums.where("slice >= 0")
-    est = sums.where("length(est) > 8").select("slice", "pair", "shard", F.col("est").alias("n"), F.col("est_sum").alias("sum"))
-    l2 = bigram_weights(held_out_histogram(read.where(F.col("part") == DELETED).select("slice", body), est, l1, n_est, types_est))
-    value = sums.select("slice", "pair", "shard", F.col("value").alias("n"), F.col("value_sum").alias("sum"))
+    sums = sums.where("unit >= 0")
+    est = sums.where("length(est) > 8").select("unit", "pair", "shard", F.col("est").alias("n"))
+    l2 = bigram_weights(held_out_histogram(units.where(F.col("part") == DELETED).select("unit", "text"), est, l1, n_est, types_est))
+    value = sums.select("unit", "pair", "shard", F.col("value").alias("n"))
     floor = n + 0.5 * (types + 1)
 
     def run(texts: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
@@ -334,9 +332,9 @@ def score_documents(docs: DataFrame) -> DataFrame:
         columns = {k: np.concatenate(v) if v else np.zeros(0) for k, v in out.items()}
         return pd.DataFrame({"doc_id": texts["doc_id"], "held_out": texts["held_out"], "train_tokens": n, **columns})
 
-    bodies = read.select("slice", "doc_id", F.coalesce(remainder == 1, F.lit(False)).alias("held_out"), body)
+    bodies = units.select("unit", "doc_id", "held_out", "text")
     schema = "doc_id long, held_out boolean, train_tokens long, n_tokens long, n_known long, base_score double, score double"
-    scored = bodies.groupBy("slice").cogroup(value.groupBy("slice")).applyInPandas(run, schema)
+    scored = bodies.groupBy("unit").cogroup(value.groupBy("unit")).applyInPandas(run, schema)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
