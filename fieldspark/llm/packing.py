@@ -2,13 +2,15 @@
 
 Each document is tokenised once, in the task that reads it, and cut: as many full windows as fit,
 then the rest in pieces of at most ``REST`` ids, small enough to balance windows with little padding.
-Full windows are sequences by themselves.  The rests are dealt by hash into groups of about ``group_rows``; each group is partitioned into near-equal windows by the
-Karmarkar-Karp method: the two partial partitions with the largest spread are merged so that the
-fullest windows of one meet the emptiest of the other.  The number of windows starts at the least
-that can hold the group and rises whenever a window exceeds the capacity.
-
-Null and empty texts have the end id alone.  Repeated rows are packed each; a group of rows with one
-hash is worked in blocks of ``group_rows`` rows, so no group grows without bound.
+Full windows are sequences by themselves and take no further part.  The rests are dealt by their
+place in the table of pieces, whatever they hold, into groups of about ``group_rows``; each group is
+partitioned into near-equal windows by the Karmarkar-Karp method: the two partial partitions with the
+largest spread are merged so that the fullest windows of one meet the emptiest of the other.  The
+number of windows starts at the least that can hold the group and rises whenever a window exceeds the
+capacity.
+
+Null and empty texts have the end id alone.  Repeated rows are packed each.  A special token that
+stands in a text is one id, as the tokenizers library has it.  Rows without a doc_id are packed too.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
-from fieldspark.llm.common import binary_column, table, written
+from fieldspark.llm.common import binary_column, small_batches, table, written
 
 TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 2048
@@ -44,13 +46,15 @@ PART = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\
 class WordEncoder:
     """Ids of texts, word by word: no token of this vocabulary crosses ASCII white space.
 
-    Plain words go straight to the library's merge model, part by part; all others through its whole
-    chain of normaliser, splitter and model.  Words and parts are remembered within the slice.
+    Plain words go straight to the library's merge model, part by part; all others, and words that hold
+    one of the vocabulary's added tokens, through its whole chain of normaliser, splitter and model.
+    Words and parts are remembered within the slice.
     """
 
     def __init__(self, path: str, max_words: int = 1_000_000):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or "(?!)")
         self.model = self.tokenizer.model
         by_byte = ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {c: by_byte.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
@@ -59,7 +63,7 @@ class WordEncoder:
         self.max_words = max_words
 
     def encode_word(self, word: str) -> bytes:
-        if not PLAIN.fullmatch(word):
+        if not PLAIN.fullmatch(word) or self.added.search(word):
             return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         out = []
         for part in PART.findall(word.lower()):
@@ -157,31 +161,26 @@ def windows(sizes: np.ndarray, capacity: int) -> np.ndarray:
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY, group_rows: int = 768) -> DataFrame:
-    """Give each piece of ``cut`` its sequence_id and offset."""
-    groups = max(1, -(-cut.where(F.col("length") < capacity).count() // group_rows))
+    """Give each piece of ``cut``, a written table, its sequence_id and offset."""
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    full = cut.where(F.col("length") >= capacity).select(*names, (F.monotonically_increasing_id() + F.lit(1 << 62)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rests = cut.where(F.col("length") < capacity)
+    groups = max(1, -(-rests.count() // group_rows))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["doc_id", "start", "ids_crc32"], ignore_index=True)
-        sequence = np.zeros(len(part), np.int64)
-        full = np.flatnonzero(part["length"].to_numpy() >= capacity)
-        rest = np.flatnonzero(part["length"].to_numpy() < capacity)
-        sequence[full] = np.arange(len(full))
-        used = len(full)
-        for lo in range(0, len(rest), 2 * group_rows):
-            at = rest[lo : lo + 2 * group_rows]
-            sequence[at] = used + windows(part["length"].to_numpy()[at], capacity)
-            used = int(sequence[at].max()) + 1
-        part["sequence_id"] = sequence + (part["group"].to_numpy() << 32)
+        part["sequence_id"] = windows(part["length"].to_numpy(), capacity) + (part["group"].to_numpy() << 32)
         part = part.sort_values("sequence_id", kind="stable")
         part["offset"] = part.groupby("sequence_id")["length"].cumsum() - part["length"]
         return part.drop(columns="group")
 
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-    grouped = cut.select(*names, F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)).alias("group"))
-    return grouped.groupBy("group").applyInPandas(run, ", ".join(f"{n} bigint" for n in [*names, "sequence_id", "offset"]))
+    grouped = rests.select(*names, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).alias("group"))
+    packed = grouped.groupBy("group").applyInPandas(run, ", ".join(f"{n} bigint" for n in [*names, "sequence_id", "offset"]))
+    return full.unionByName(packed)
 
 
 def packing(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
+    small_batches(docs.sparkSession)
     return pack(written(pieces(docs, capacity, path), "pieces"), capacity)
 
 
