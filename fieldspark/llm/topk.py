@@ -11,8 +11,9 @@ block is sent to every chunk by an equi-join on the chunk's number, and only k r
 chunk leave a task.  Chunk winners are merged by keeping k per query in two rounds.
 
 Vectors that are null, empty, or hold a null, NaN or infinity take no part, as candidates or as queries;
-neither do vectors of another length than the query's.  Ties go to the smaller vec_id; a repeated
-vec_id keeps its rows.  A candidate with the query's own vec_id is skipped.  Products must fit 64 bits.
+neither do vectors of another length than the query's.  Ties go to the smaller vec_id.  A candidate
+with the query's own vec_id is skipped.  Rows that repeat a vec_id are rows of their own: as candidates
+each may be found, and as queries each gets its own k results.  Products must fit 64 bits.
 """
 
 from __future__ import annotations
@@ -123,7 +124,9 @@ def top_k(vectors: DataFrame, k: int = K, every: int = 100, scale: float = 1024.
     rows = integers(vectors, id_col, vec_col, scale)
     chunks = written(blocks(rows, CHUNK_ROWS, cells=True).withColumn("chunk", F.monotonically_increasing_id()), "va-file")
     asked = blocks(rows.where(F.col("vec_id") % every == 0).repartitionByRange(max(1, spark.sparkContext.defaultParallelism), "vec_id"), QUERY_ROWS, cells=False)
-    asked = asked.select("dim", F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("exact").alias("q"))
+    # a query is a row, not an id: its block and its place there
+    asked = asked.select("dim", F.monotonically_increasing_id().alias("q_block"), F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("exact").alias("q"))
+    asked = written(asked, "va-queries")
     # every query block goes to every chunk of its dimension: the chunk list is a few bytes a chunk
     pairs = asked.join(chunks.select("dim", "chunk"), "dim").join(chunks.drop("dim"), "chunk")
 
@@ -136,18 +139,20 @@ def top_k(vectors: DataFrame, k: int = K, every: int = 100, scale: float = 1024.
                 own, q = np.frombuffer(r.q_ids, "<i8"), np.frombuffer(r.q, "<i8").reshape(r.q_n, r.dim)
                 found = list(search(ids, exact, np.frombuffer(r.low, "<f8"), np.frombuffer(r.width, "<f8"), grid, q, own, k))
                 yield pd.DataFrame({
+                    "q_block": r.q_block,
+                    "q_at": np.repeat(np.arange(len(own)), [len(x) for _, x, _ in found]),
                     "query_id": np.repeat(own, [len(x) for _, x, _ in found]),
                     "vec_id": np.concatenate([x for _, x, _ in found]),
                     "score": np.concatenate([s for _, _, s in found]),
                     "chunk": r.chunk,
                 })
 
-    found = pairs.select("dim", "n", "ids", "exact", "low", "width", "cells", "q_n", "q_ids", "q", "chunk")
-    found = found.mapInPandas(run, "query_id bigint, vec_id bigint, score bigint, chunk bigint")
+    found = pairs.select("dim", "n", "ids", "exact", "low", "width", "cells", "q_block", "q_n", "q_ids", "q", "chunk")
+    found = found.mapInPandas(run, "q_block bigint, q_at bigint, query_id bigint, vec_id bigint, score bigint, chunk bigint")
     best = [F.col("score").desc(), F.col("vec_id")]
     salted = found.withColumn("salt", F.pmod(F.xxhash64("chunk"), F.lit(64)))
-    some = salted.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "salt").orderBy(*best))).where(F.col("r") <= k)
-    ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*best))).where(F.col("rank") <= k)
+    some = salted.withColumn("r", F.row_number().over(Window.partitionBy("q_block", "q_at", "salt").orderBy(*best))).where(F.col("r") <= k)
+    ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("q_block", "q_at").orderBy(*best))).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
