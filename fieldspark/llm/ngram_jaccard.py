@@ -8,16 +8,20 @@ Two documents link when 100 * |A & B| >= 75 * |A | B|.
    within the first ``n - ceil(0.75 n) + 1`` of each; these prefixes are the tiles' keys.  Frequency
    comes from a fixed number of counters; it moves work, never a result.
 3. A tile is a prefix shingle and a size band; sizes in a band differ by less than 4/3, so a linked
-   partner is in the same band or the next.  Each row first meets its tile's leader (a member drawn
-   by hash, another in each tile) only: m rows give m pairs.  Components of these links are found.
+   partner is in the same band or the next.  In rounds every row first meets one leader of its tiles
+   only.  In the first round a tile's leader is its most central member, that whose prefix shingles
+   the most others share for its size: among near copies the one that links with the most.  In later rounds it is
+   drawn by a hash of the id that is the same in all tiles.  A row takes the leader of most of its
+   tiles, so a round of m rows has at most m pairs.  Tiles of one component take no further part.
+   Rounds go on, with new draws, while one pair in ``PAYS`` links and more than ``FEW`` are met.
 4. What is left are pairs in one tile but in different components.  Tiles are cut to ``TILE_ROWS``
    rows, and block meets block.  Sizes and the places of the shared shingle bound the overlap.
-5. Candidates of either round meet the bitmaps of their hashed shingles: a bit set in A and not in B
+5. Candidates of each round meet the bitmaps of their hashed shingles: a bit set in A and not in B
    proves an element of A outside B, so bit counts bound the overlap from above.
 6. Those that pass are verified by intersecting the sorted fingerprint arrays.
 
-A pair inside one component is never needed for the result, so a group of thousands of near copies
-costs one pair a member; no other pair is skipped.
+A pair inside one component is never needed for the result and is left out once that is known; no
+other pair is skipped.  Tables of a round are deleted when the next one has been written.
 
 Empty texts have the empty set and link with nothing.  Rows without a doc_id get no component.  Rows
 that repeat a doc_id are one node.
@@ -32,18 +36,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldspark.llm.common import Words, binary_column, chunks, mix, table, window_hashes, written
+from fieldspark.llm.common import Words, binary_column, bit_filter, chunks, dropped, may_hold, mix, small_batches, table, window_hashes, written
 from fieldspark.llm.components import components
 
 SHINGLE = 5
 PERCENT = 75
 COUNTERS, SEGMENT = 23, 19
 TILE_ROWS = 256
-FILTER_SLOTS = 1 << 18
-FILTER_BITS, FILTER_SEGMENT = 26, 20
+PAYS, FEW = 8, 16
 
 
 def shingle_sets(texts: list[bytes]) -> Iterator[np.ndarray]:
@@ -138,8 +141,9 @@ def common_counters(docs: DataFrame) -> np.ndarray:
             yield pd.DataFrame({"segment": x["segment"], "counts": out})
 
     out = np.zeros(1 << COUNTERS, np.uint8)
-    for r in merged.mapInPandas(classes, schema).toLocalIterator():
+    for r in merged.mapInPandas(classes, schema).collect():
         out[r["segment"] * size : (r["segment"] + 1) * size] = np.frombuffer(zlib.decompress(r["counts"]), np.uint8)
+    dropped(merged)
     return out
 
 
@@ -152,6 +156,19 @@ def prefix(s: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return s[:size] if not own.any() else s[np.argsort(own, kind="stable")[:size]]
 
 
+def set_key(s: np.ndarray) -> np.uint64:
+    """A fingerprint of a set; with its size and ``second_key`` it stands for the set."""
+    return mix(s).sum(dtype=np.uint64)
+
+
+def second_key(s: np.ndarray) -> np.uint64:
+    return np.bitwise_xor.reduce(s * np.uint64(0x9E3779B97F4A7C15))
+
+
+def longs(keys: list[np.uint64]) -> pa.Array:
+    return pa.array(np.array(keys, np.uint64).view(np.int64))
+
+
 def set_keys(docs: DataFrame) -> DataFrame:
     """doc_id, n and the key of the set (two longs)."""
 
@@ -161,28 +178,39 @@ def set_keys(docs: DataFrame) -> DataFrame:
             for _, texts in chunks(binary_column(b)):
                 for s in shingle_sets(texts):
                     n.append(len(s))
-                    k1.append(np.bitwise_xor.reduce(s * np.uint64(0x9E3779B97F4A7C15)))
-                    k2.append(mix(s).sum(dtype=np.uint64))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int32()), *(pa.array(np.array(k, np.uint64).view(np.int64)) for k in (k1, k2))], names=["doc_id", "n", "k1", "k2"])
+                    k1.append(second_key(s))
+                    k2.append(set_key(s))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int32()), longs(k1), longs(k2)], names=["doc_id", "n", "k1", "k2"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n int, k1 bigint, k2 bigint")
 
 
-def set_heads(docs: DataFrame, classes: np.ndarray) -> DataFrame:
-    """doc_id, n, bitmap and prefix of each set that is not empty."""
-    shared = docs.sparkSession.sparkContext.broadcast(classes)
+def set_heads(docs: DataFrame, classes: np.ndarray, copies: DataFrame) -> DataFrame:
+    """doc_id, n, bitmap and prefix of each set that is not empty, without the sets of ``copies``.
+
+    A filter tells most documents from the copies; only those that it may hold meet the exact list.
+    """
+    copied = bit_filter(copies.select(F.xxhash64("b").alias("key")), "key")
+    shared = docs.sparkSession.sparkContext.broadcast((classes, copied))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, copied = shared.value
         for b in batches:
-            n, bits, first = [], [], []
+            n, bits, first, k2 = [], [], [], []
             for _, texts in chunks(binary_column(b)):
                 for s in shingle_sets(texts):
                     n.append(len(s))
+                    k2.append(set_key(s))
                     bits.append(bitmap(s) if len(s) else b"")
-                    first.append(prefix(s, shared.value).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int32()), pa.array(bits, pa.binary()), pa.array(first, pa.list_(pa.int64()))], names=["doc_id", "n", "bits", "prefix"])
+                    first.append(prefix(s, classes).view(np.int64))
+            maybe = may_hold(copied, b.column("key").to_numpy())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int32()), longs(k2), pa.array(maybe), pa.array(bits, pa.binary()), pa.array(first, pa.list_(pa.int64()))], names=["doc_id", "n", "k2", "maybe", "bits", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n int, bits binary, prefix array<bigint>").where("n > 0")
+    every = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("key"))
+    heads = written(every.mapInArrow(run, "doc_id bigint, n int, k2 bigint, maybe boolean, bits binary, prefix array<bigint>").where("n > 0"), "set-heads")
+    unsure = heads.where("maybe").join(copies.select(F.col("b").alias("doc_id"), "k2"), ["doc_id", "k2"], "left_anti")
+    names = ["doc_id", "n", "bits", "prefix"]
+    return heads.where("not maybe").select(names).unionByName(written(unsure.select(names), "heads-of-copies"))
 
 
 def band(n: Column) -> Column:
@@ -193,43 +221,31 @@ def sizes_fit(a: Column, b: Column) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
 
 
-def slot(name: str) -> Column:
-    """A hash of an id with FILTER_SLOTS values."""
-    return F.pmod(F.xxhash64(name), F.lit(FILTER_SLOTS)).alias("slot")
-
-
-def maybe_in(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
-    """``docs`` with a boolean ``maybe``: false only if the doc_id is certainly not in ``ids``.
-
-    The broadcast side has at most FILTER_SLOTS rows whatever the input.
-    """
-    slots = ids.select(slot(name)).distinct().withColumn("maybe", F.lit(True))
-    marked = docs.withColumn("slot", slot("doc_id")).join(F.broadcast(slots), "slot", "left").drop("slot")
-    return marked.withColumn("maybe", F.coalesce("maybe", F.lit(False)))
-
-
 def fingerprint_arrays(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """doc_id, k2 and sorted fingerprints of the documents in ``ids`` (and a few by chance)."""
+    wanted = docs.sparkSession.sparkContext.broadcast(bit_filter(ids.select(F.xxhash64("doc_id").alias("key")), "key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            b = b.filter(pa.array(may_hold(wanted.value, b.column("key").to_numpy())))
             sets, keys = [], []
             for _, texts in chunks(binary_column(b)):
                 for s in shingle_sets(texts):
                     sets.append(s.tobytes())
-                    keys.append(mix(s).sum(dtype=np.uint64))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sets, pa.binary())], names=["doc_id", "k2", "s"])
+                    keys.append(set_key(s))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), longs(keys), pa.array(sets, pa.binary())], names=["doc_id", "k2", "s"])
 
-    some = maybe_in(docs, ids, "doc_id").where("maybe").select("doc_id", "text")
+    some = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("key"))
     return some.mapInArrow(run, "doc_id bigint, k2 bigint, s binary")
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets link, by exact intersection."""
+def verified(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+    """The pairs (a, b) whose sets link, by exact intersection; a written table."""
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
-    arrays = written(fingerprint_arrays(docs, ids), "fingerprints").dropDuplicates(["doc_id", "k2"])
-    left = arrays.select(F.col("doc_id").alias("a"), F.col("s").alias("a_s"))
-    right = arrays.select(F.col("doc_id").alias("b"), F.col("s").alias("b_s"))
+    arrays = written(fingerprint_arrays(docs, ids), "fingerprints")
+    once = arrays.dropDuplicates(["doc_id", "k2"])
+    left = once.select(F.col("doc_id").alias("a"), F.col("s").alias("a_s"))
+    right = once.select(F.col("doc_id").alias("b"), F.col("s").alias("b_s"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "a_s", "b_s")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +253,9 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             ok = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch.column("a_s").to_pylist(), batch.column("b_s").to_pylist(), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.mapInArrow(run, "a bigint, b bigint")
+    out = written(both.mapInArrow(run, "a bigint, b bigint"), name)
+    dropped(arrays)
+    return out
 
 
 def bitmaps_allow(pairs: DataFrame, heads: DataFrame) -> DataFrame:
@@ -263,23 +281,8 @@ def overlap_possible(n: Column, pos: Column, m: Column, at: Column) -> Column:
 
 
 def places(heads: DataFrame, shared: DataFrame) -> DataFrame:
-    """doc_id, n, pos, h of the prefix shingles that may be in ``shared``.
-
-    A filter of 2**FILTER_BITS bits, merged by segment, spares the join nearly all others.
-    """
-    size = 1 << FILTER_SEGMENT
-    at = F.shiftrightunsigned(F.col("h"), 64 - FILTER_BITS)
-    slots = shared.select(at.alias("slot")).distinct().select(F.shiftright("slot", FILTER_SEGMENT).alias("segment"), (F.col("slot") % size).alias("slot"))
-
-    def pack(part: pd.DataFrame) -> pd.DataFrame:
-        out = np.zeros(size, np.uint8)
-        out[part["slot"].to_numpy()] = 1
-        return pd.DataFrame({"segment": part["segment"].iloc[:1], "bits": [np.packbits(out, bitorder="little").tobytes()]})
-
-    bits = np.zeros(1 << FILTER_BITS >> 3, np.uint8)
-    for r in slots.groupBy("segment").applyInPandas(pack, "segment bigint, bits binary").toLocalIterator():
-        bits[r["segment"] * size >> 3 : (r["segment"] + 1) * size >> 3] = np.frombuffer(r["bits"], np.uint8)
-    filter_bits = heads.sparkSession.sparkContext.broadcast(bits)
+    """doc_id, n, pos, h of the prefix shingles that may be in ``shared``; a filter spares the join most others."""
+    filter_bits = heads.sparkSession.sparkContext.broadcast(bit_filter(shared, "h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -288,8 +291,7 @@ def places(heads: DataFrame, shared: DataFrame) -> DataFrame:
             sizes = np.diff(lists.offsets.to_numpy())
             owner = np.repeat(np.arange(len(sizes)), sizes)
             pos = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            slot = h.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
-            ok = np.flatnonzero((filter_bits.value[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1)
+            ok = np.flatnonzero(may_hold(filter_bits.value, h))
             own = pa.array(owner[ok])
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(own), b.column("n").take(own), pa.array(pos[ok].astype(np.int32)), pa.array(h[ok])], names=["doc_id", "n", "pos", "h"])
 
@@ -301,7 +303,7 @@ def pairs_of_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
     A tile that runs on into the next batch is carried over; it has a bounded number of rows.
     """
-    names = ["h", "tile_band", "x", "y", "up", "own", "doc_id", "n", "pos", "comp", "lead"]
+    names = ["h", "tile_band", "x", "y", "up", "own", "doc_id", "n", "pos", "comp"]
     held = {c: np.zeros(0, np.int64) for c in names}
 
     def work(t: dict[str, np.ndarray]) -> pa.RecordBatch:
@@ -317,13 +319,9 @@ def pairs_of_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 break
             i, j = rows, rows + step
             n, m = t["n"][i], t["n"][j]
-            both_up = (t["up"][i] + t["up"][j]) == 0
             ok = (t["comp"][i] != t["comp"][j]) & (t["up"][i] + t["up"][j] <= 1) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * PERCENT)
             ok &= (100 + PERCENT) * np.minimum(n - t["pos"][i], m - t["pos"][j]) >= PERCENT * (n + m)
             ok &= (t["x"][i] == t["y"][i]) | (t["own"][i] != t["own"][j])
-            # pairs with a leader were met in round one
-            lower_leads = np.where(t["up"][i] == 1, t["lead"][i], t["lead"][j])
-            ok &= np.where(both_up, (t["lead"][i] + t["lead"][j]) == 0, lower_leads == 0)
             a, b = t["doc_id"][i[ok]], t["doc_id"][j[ok]]
             out.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
         every = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
@@ -338,13 +336,34 @@ def pairs_of_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield work(held)
 
 
-def tile_candidates(tiles: DataFrame, leaders: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of one tile in different components, without those that round one has met."""
-    named = tiles.join(labels, F.col("doc_id") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "doc_id")).drop("node", "root")
-    named = written(named, "tiles")
-    mixed = named.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo < hi and m > 2").select("h", "m")
-    rows = named.join(mixed, "h").join(leaders, ["h", "band"])
-    rows = rows.withColumn("lead", (F.col("doc_id") == F.col("leader.doc_id")).cast("int")).drop("leader")
+def leader_pairs(tiles: DataFrame, number: int) -> DataFrame:
+    """At most one pair for each row of the tiles: with the leader, in another component, of most of its tiles."""
+    draw = F.struct(F.lit(0.0) if number else -F.col("central"), F.xxhash64("doc_id", F.lit(number)))
+    pick = F.struct(draw.alias("draw"), "n", "doc_id", "pos", "comp")
+    # written first: both sides of the join are then plain exchanges, and a hot tile can be split
+    leaders = written(tiles.groupBy("h", "band").agg(F.min(pick).alias("leader")), "leaders")
+    below = tiles.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") - 1))).join(leaders, ["h", "band"])
+    fit = sizes_fit(F.col("n"), F.col("leader.n")) & overlap_possible(F.col("n"), F.col("pos"), F.col("leader.n"), F.col("leader.pos"))
+    stars = below.where((F.col("comp") != F.col("leader.comp")) & fit).groupBy("doc_id", F.col("leader.doc_id").alias("other")).agg(F.count("*").alias("tiles"))
+    best = stars.groupBy("doc_id").agg(F.max_by("other", F.struct("tiles", F.xxhash64("other"))).alias("other"))
+    out = written(best.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct(), "leader-pairs")
+    dropped(leaders)
+    return out
+
+
+def still_mixed(tiles: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of tiles that hold more than one component."""
+    names = ["h", "band", "doc_id", "n", "pos", "central"]
+    named = tiles.select(names).join(labels, F.col("doc_id") == F.col("node"), "left").select(*names, F.coalesce("root", "doc_id").alias("comp"))
+    mixed = written(named.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("h"), "mixed-tiles")
+    out = written(named.join(mixed, "h"), "tile-rows")
+    dropped(tiles, mixed)
+    return out
+
+
+def tile_candidates(tiles: DataFrame) -> DataFrame:
+    """Pairs of one tile in different components."""
+    rows = tiles.join(written(tiles.groupBy("h").agg(F.count("*").alias("m")), "tile-sizes"), "h")
     # a tile of m rows has m / TILE_ROWS blocks; a row goes wherever its block meets another
     blocks = F.ceil(F.col("m") / TILE_ROWS).cast("int")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
@@ -352,46 +371,59 @@ def tile_candidates(tiles: DataFrame, leaders: DataFrame, labels: DataFrame) ->
     rows = rows.withColumn("up", F.explode(F.array(F.lit(0), F.lit(1))))
     rows = rows.withColumns({"tile_band": F.col("band") + F.col("up"), "x": F.least("own", "other"), "y": F.greatest("own", "other")})
     tile = ["h", "tile_band", "x", "y"]
-    rows = rows.select(*tile, "up", "own", "doc_id", "n", "pos", "comp", "lead").repartition(*tile).sortWithinPartitions(*tile)
+    rows = rows.select(*tile, "up", "own", "doc_id", "n", "pos", "comp").repartition(*tile).sortWithinPartitions(*tile)
     return rows.mapInArrow(pairs_of_tiles, "a bigint, b bigint").distinct()
 
 
+def labels_of(links: DataFrame) -> DataFrame:
+    return components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+
+
 def jaccard_join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows with doc_id, n and class; links as pairs (a, b) that connect each component)."""
     docs = docs.select("doc_id", "text")
+    small_batches(docs.sparkSession)
     rows = written(set_keys(docs), "set-keys")
     usable = rows.where("doc_id is not null and n > 0")
-    classes = usable.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"))
-    copies = written(usable.join(classes, ["k1", "k2", "n"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct(), "copies")
-    # only documents that share a slot with a copy must meet the exact list of copies
-    marked = maybe_in(docs.where("doc_id is not null"), copies, "b")
-    sure = marked.where(~F.col("maybe")).select("doc_id", "text")
-    unsure = marked.where("maybe").join(copies.select(F.col("b").alias("doc_id")).distinct(), "doc_id", "left_anti").select("doc_id", "text")
-    heads = written(set_heads(sure.unionByName(unsure), common_counters(docs)), "set-heads")
-    shared = heads.select(F.explode("prefix").alias("h")).groupBy("h").count().where("count > 1").select("h")
-    shared = written(shared, "shared-shingles")
-    tiles = places(heads, shared).join(shared, "h").withColumn("band", band(F.col("n")))
+    key = ["k1", "k2", "n"]
+    classes = written(usable.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last").drop("last"), "classes")
+    copies = written(usable.join(classes, key).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"), "k2").distinct(), "copies")
+    dropped(classes)
+    heads = set_heads(docs, common_counters(docs), copies)
+    shared = written(heads.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count("*").alias("m")).where("m > 1"), "shared-shingles")
+    central = (F.sum("m").over(Window.partitionBy("doc_id")) / F.col("n")).alias("central")
+    tiles = places(heads, shared).join(shared, "h").select("h", band(F.col("n")).alias("band"), "doc_id", "n", "pos", central, F.col("doc_id").alias("comp"))
     tiles = written(tiles, "tile-rows")
-    # round one: each row with the leaders of its tile and of the tile one band below
-    pick = F.struct(F.xxhash64("h", "doc_id").alias("draw"), "n", "doc_id", "pos")
-    leaders = tiles.groupBy("h", "band").agg(F.min(pick).alias("leader"))
-    below = tiles.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") - 1))).join(leaders, ["h", "band"])
-    fit = sizes_fit(F.col("n"), F.col("leader.n")) & overlap_possible(F.col("n"), F.col("pos"), F.col("leader.n"), F.col("leader.pos"))
-    stars = below.where((F.col("doc_id") != F.col("leader.doc_id")) & fit)
-    stars = stars.select(F.least("doc_id", "leader.doc_id").alias("a"), F.greatest("doc_id", "leader.doc_id").alias("b")).distinct()
-    passed = written(bitmaps_allow(stars, heads), "star-pairs")
-    links = written(verified(passed, docs), "star-links")
-    # round two: what tiles still hold between different components
-    labels = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    rest = written(bitmaps_allow(tile_candidates(tiles, leaders, labels), heads), "tile-pairs")
-    more = verified(rest, docs)
-    return rows.select("doc_id", "n"), written(links.unionByName(more).unionByName(copies), "links")
+    dropped(shared)
+    links, more, number = None, True, 0
+    while more:
+        pairs = leader_pairs(tiles, number)
+        new = step(pairs, heads, docs, "leader-links")
+        tested, found = pairs.count(), new.count()
+        dropped(pairs)
+        links = new if links is None else links.unionByName(new)
+        labels = labels_of(links)
+        tiles = still_mixed(tiles, labels)
+        dropped(labels)
+        # a handful of rows may as well meet whole tiles
+        more, number = found * PAYS > tested and tested > FEW, number + 1
+    links = links.unionByName(step(tile_candidates(tiles), heads, docs, "tile-links"))
+    dropped(tiles)
+    return rows.select("doc_id", "n"), links.unionByName(copies.select("a", "b"))
+
+
+def step(pairs: DataFrame, heads: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+    """The links among some pairs: by bitmaps, then exactly."""
+    passed = written(bitmaps_allow(pairs, heads), f"{name}-maybe")
+    out = verified(passed, docs, name)
+    dropped(passed)
+    return out
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     rows, links = jaccard_join(docs)
-    labels = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    labels = labels_of(links)
     out = rows.join(labels, F.col("doc_id") == F.col("node"), "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
 
