@@ -83,32 +83,19 @@ def substring_kept(texts: dict[int, str | None], width: int = 50) -> dict[int, l
     return out
 
 
-def lines_kept(texts: dict[int, str | None]) -> dict[int, str | None]:
-    """Line dedup by following each winnowed gram to its first place, one match at a time."""
-    from fieldspark.llm.line_dedup import line_hashes, selected, text_key
-
-    rows = []
-    for i, t in texts.items():
-        lines, at, h = line_hashes((t or "").encode())
-        rows.append((i, text_key((t or "").encode()), lines, at, h.tolist(), [list(map(int, x)) for x in selected(h)]))
-    rows.sort(key=lambda r: (r[0], r[1]))
-    first: dict[int, tuple[int, int]] = {}
-    for k, r in enumerate(rows):
-        for p, g in zip(*r[5], strict=True):
-            first.setdefault(g, (k, p))
-    out = {}
-    for k, (i, _, lines, at, h, (places, grams)) in enumerate(rows):
-        gone = set()
-        for p, g in zip(places, grams, strict=True):
-            ak, ap = first[g]
-            if (ak, ap) == (k, p):
-                continue
-            a = rows[ak][4]
-            for step in (1, -1):
-                x, y = p, ap
-                while 0 <= x < len(h) and 0 <= y < len(a) and h[x] == a[y]:
-                    gone.add(at[x])
-                    x, y = x + step, y + step
-        kept = b"\n".join(x for n, x in enumerate(lines) if n not in gone).decode()
-        out[i] = None if texts[i] is None else kept
+def lines_kept(texts: dict[int, str | None], min_run: int = 1) -> dict[int, str | None]:
+    """Delete each line of a run of lines that has been seen before, in order of ids and places."""
+    seen: set[tuple[str, ...]] = set()
+    out: dict[int, str | None] = {}
+    for i in sorted(texts):
+        lines = (texts[i] or "").split("\n")
+        bare = [x.strip(" \t\n\v\f\r") for x in lines]
+        at = [k for k, x in enumerate(bare) if x]
+        gone: set[int] = set()
+        for p in range(len(at) - min_run + 1):
+            run = tuple(bare[k] for k in at[p : p + min_run])
+            if run in seen:
+                gone.update(at[p : p + min_run])
+            seen.add(run)
+        out[i] = None if texts[i] is None else "\n".join(x for k, x in enumerate(lines) if k not in gone)
     return out

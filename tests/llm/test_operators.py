@@ -61,6 +61,36 @@ def test_jaccard_null_and_repeated_ids(spark):
     assert [r["component_id"] for r in rows if r["doc_id"] is None] == [None, None]
 
 
+def test_jaccard_near_copies_cost_about_one_pair_each(spark, monkeypatch):
+    import random
+
+    r = random.Random(4)
+    base = [f"t{i}" for i in range(400)]
+    counts = {}
+    for m, changes in ((100, 4), (400, 4), (200, 6)):  # with six changes many pairs are just below the bound
+        rows = []
+        for k in range(m):
+            w = list(base)
+            for p in r.sample(range(400), changes):
+                w[p] = f"m{k}.{p}"
+            rows.append(" ".join(w))
+        seen = []
+        whole = ngram_jaccard.bitmaps_allow
+        monkeypatch.setattr(ngram_jaccard, "bitmaps_allow", lambda pairs, heads, seen=seen, whole=whole: seen.append(pairs.count()) or whole(pairs, heads))
+        got = by_id(ngram_jaccard.near_duplicates(cases.table(spark, rows)), "component_id")
+        monkeypatch.undo()
+        assert set(got.values()) == {0}
+        counts[m, changes] = sum(seen)
+    assert counts[100, 4] <= 110 and counts[400, 4] <= 440 and counts[200, 6] <= 20 * 200, counts
+
+
+def test_jaccard_a_repeated_id_keeps_the_links_of_all_its_texts(spark):
+    a, b, c = ("a b c d e f g", "p q r s t u v w x y z", "p q r s t u v w x y z2")
+    docs = spark.createDataFrame([(3, a), (5, a), (5, b), (9, c)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in ngram_jaccard.near_duplicates(docs).collect()}
+    assert got == {3: 3, 5: 3, 9: 3}
+
+
 def test_bitmaps_never_rule_out_a_link():
     r = np.random.default_rng(1)
     for _ in range(200):
@@ -147,6 +177,15 @@ def test_top_k_with_ties_and_bad_vectors(spark):
     assert {tuple(x) for x in topk.top_k(df).collect()} == brute_top_k(vectors)
 
 
+def test_top_k_repeated_rows_are_queries_of_their_own(spark):
+    r = np.random.default_rng(3)
+    vectors = [(i, np.float32(r.normal(size=6)).tolist()) for i in range(60)]
+    want = sorted(brute_top_k(vectors) | {(q, k, v, s) for q, k, v, s in brute_top_k(vectors)})
+    rows = [*vectors, vectors[0]]
+    got = sorted(tuple(x) for x in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect())
+    assert got == sorted([*want, *want])
+
+
 def test_top_k_few_rows(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [0.5, 0.25])], "vec_id long, embedding array<float>")
     assert {tuple(x) for x in topk.top_k(df).collect()} == brute_top_k([(0, [1.0, 2.0]), (1, [0.5, 0.25])])
@@ -201,25 +240,22 @@ def test_lines_shared_run_goes_from_the_later_text(spark):
     assert got[0] == rows[0] and "shared run" not in got[1] and got[1].startswith("other start") and got[2] == ""
 
 
-def test_lines_only_the_first_of_each_stays(spark):
-    """Brute force over runs that start in different texts, single lines, one-line texts and null ids."""
+def line_rows():
     import random
 
     r = random.Random(2)
-    rows = ["X x\nY y", "head\nX x\n Y y \nZ z", "X x\nY y\nZ z\nown", "one line", "one line", None, "", "a\n\na\n \nb"]
-    rows += ["\n".join(r.choice([f"s{r.randrange(40)}", f"t{r.randrange(5000)}", "hot", " "]) for _ in range(r.randint(1, 9))) for _ in range(120)]
-    seen: set[str] = set()
-    want = {}
-    for i, t in enumerate(rows):
-        kept = []
-        for line in (t or "").split("\n"):
-            if not line.strip() or line.strip() not in seen:
-                kept.append(line)
-            seen.add(line.strip())
-        want[i] = None if t is None else "\n".join(kept)
+    rows = ["X x\nY y", "head\nX x\n Y y \nZ z", "X x\nY y\nZ z\nown", "one line", "one line", None, "", "a\n\na\n \nb", "hot\n" * 3000]
+    return rows + ["\n".join(r.choice([f"s{r.randrange(40)}", f"t{r.randrange(5000)}", "hot", " "]) for _ in range(r.randint(1, 9))) for _ in range(120)]
+
+
+@pytest.mark.parametrize("min_run", [1, 2, 3])
+def test_lines_only_the_first_of_equal_runs_stays(spark, min_run):
+    """Brute force over runs that start in different texts, single lines, one-line texts and null ids."""
+    rows = line_rows()
+    want = cases.lines_kept(dict(enumerate(rows)), min_run)
     docs = cases.table(spark, rows)
     twice = docs.where("doc_id in (2, 20)").unionByName(docs).repartition(3)
-    out = line_dedup.line_dedup(twice.unionByName(docs.where("doc_id = 2").withColumn("doc_id", F.lit(None).cast("long")))).collect()
+    out = line_dedup.line_dedup(twice.unionByName(docs.where("doc_id = 2").withColumn("doc_id", F.lit(None).cast("long"))), min_run).collect()
     assert len(out) == len(rows) + 3
     assert all(x["text"] == (rows[2] if x["doc_id"] is None else want[x["doc_id"]]) for x in out)
 
@@ -241,6 +277,19 @@ def test_packing_covers_every_id_once(spark):
     assert (sums - ordered.length == ordered.offset).all() and sums.max() <= 2048
 
 
+def test_packing_special_tokens_and_full_windows(spark):
+    t = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    rows = ["a<|endoftext|>b <|startoftext|> <|ENDOFTEXT|>", "x<|endoftext|>\u0301y \ud55c\uad6d<|endoftext|>", "w " * 9000, "v " * 4095]
+    got = packing.packing(cases.table(spark, rows * 2)).toPandas()
+    for i, text in enumerate(rows * 2):
+        ids = np.array([*t.encode(text, add_special_tokens=False).ids, 1], "<u4")
+        own = got[got.doc_id == i].sort_values("start")
+        assert own.length.sum() == len(ids) and all(zlib.crc32(ids[s : s + n].tobytes()) == c for s, n, c in zip(own.start, own.length, own.ids_crc32, strict=True))
+    full = got[got.length == 2048]
+    assert len(full) == 2 * (4 + 2) and full.sequence_id.is_unique and (full.offset == 0).all()
+    assert not set(full.sequence_id) & set(got[got.length < 2048].sequence_id)
+
+
 def test_differencing_balances():
     sizes = np.random.default_rng(4).integers(1, 512, 700)
     out = packing.windows(sizes, 2048)
@@ -264,7 +313,7 @@ def test_lm_base_score_and_counts(spark):
         assert got[i][4] == pytest.approx(base) and math.isfinite(got[i][5]) and got[i][5] < 0
 
 
-def test_lm_model_is_a_distribution_and_beats_the_base(spark):
+def test_lm_model_beats_the_base(spark):
     import random
 
     r = random.Random(1)
@@ -272,20 +321,9 @@ def test_lm_model_is_a_distribution_and_beats_the_base(spark):
     docs = cases.table(spark, rows)
     out = lm_scoring.score_documents(docs).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert out[0] > out[1]
-    head = np.array([-5, 3, 9], np.int64)
-    ratio = np.zeros((lm_scoring.SIDE, lm_scoring.SIDE), np.float32)
-    ratio[0, :2], ratio[0, lm_scoring.TAIL] = (0.5, 0.2), 0.3
-    counts = {-5: 10.0, 3: 6.0, 9: 4.0, 100: 2.0, 101: 1.0, 102: 0.0}
-    n, types, l1 = 23.0, 5, 0.8
-    tail = sum(l1 * counts[k] / n + (1 - l1) / (types + 1) for k in (100, 101, 102))
-    l2 = np.zeros(lm_scoring.SIDE)
-    l2[0] = 0.6
-    m = lm_scoring.Mixture(head, n, types, l1, l2, ratio, tail)
-    p = [10 ** m.log10(np.array([-5, k], np.int64), np.array([0, 2]), np.array([10.0, c]))[1] for k, c in counts.items()]
-    assert sum(p) == pytest.approx(1.0)
-
-
-def test_lm_counts_every_pair_of_a_large_vocabulary(spark):
+
+
+def test_lm_counts_every_pair_of_a_large_vocabulary(spark, monkeypatch):
     """Against a plain version: no pair of rare words shares a class, whatever the vocabulary."""
     import random
 
@@ -293,7 +331,8 @@ def test_lm_counts_every_pair_of_a_large_vocabulary(spark):
     rows = [" ".join(f"w{int(10 ** r.uniform(0, 3.9))}" for _ in range(60)) for _ in range(400)]
     rows += [" ".join(f"u{k} v{k}" for k in r.sample(range(2500), 25)) for _ in range(600)]
     rows += [None, "", "w1 unseen-in-training"]
-    docs = lm_scoring.written(cases.table(spark, rows).repartition(3), "lm-test")
+    docs = cases.table(spark, rows).repartition(3)
+    monkeypatch.setattr(lm_scoring, "UNIT_BYTES", 20_000)
     got = by_id(lm_scoring.score_documents(docs), "score")
     texts = {i: ["", *[w.lower() for w in (t or "").split()], ""] for i, t in enumerate(rows)}
     rest = {i: zlib.crc32(str(i).encode()) % 5 for i in texts}
@@ -320,7 +359,7 @@ def test_lm_counts_every_pair_of_a_large_vocabulary(spark):
             mass[b] += 1
         l2 |= {b: min(max(sums[b] / mass[b], 1e-6), 1 - 1e-6) for b in mass}
     c, p, n, v = counts([i for i in texts if rest[i] != 1])
-    assert v > 3 * lm_scoring.HEAD
+    assert v > 6000
     for i, t in texts.items():
         want = 0.0
         for a, b in zip(t, t[1:]):
