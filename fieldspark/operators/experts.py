@@ -35,7 +35,7 @@ class ExpertConfig:
     gp: GPConfig = field(default_factory=GPConfig)
     model: str = "exact"
     min_obs: int = 3
-    max_exact_obs: int = 2000
+    max_exact_obs: int | None = None  # groups above it use the sparse bound, if one is set
     replacement_model: str | None = None
     replacement_threshold: int = 0
     optimise: bool = True
@@ -47,10 +47,10 @@ class ExpertConfig:
     params_to_store: Sequence[str] = PARAMS
 
     def model_for(self, n: int) -> Model:
-        """The model of a group of ``n`` rows: the replacement below its threshold, sparse above the limit."""
+        """The model of a group of ``n`` rows: the replacement below its threshold, sparse above a limit that is set."""
         if self.replacement_model and n < self.replacement_threshold:
             return model_by_name(self.replacement_model)
-        return model_by_name("sparse" if self.model == "exact" and n > self.max_exact_obs else self.model)
+        return model_by_name("sparse" if self.model == "exact" and self.max_exact_obs and n > self.max_exact_obs else self.model)
 
 
 def with_expert_id(df: DataFrame, coords: Sequence[str]) -> DataFrame:

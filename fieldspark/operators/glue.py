@@ -80,11 +80,11 @@ class SmoothingConfig:
     min: float | None = None
 
 
-def kernel_smooth(df: DataFrame, value: str, l_x: float, l_y: float, x: str = "x", y: str = "y", by: Sequence[str] = (), cutoff: float | None = 4.0) -> DataFrame:
+def kernel_smooth(df: DataFrame, value: str, l_x: float, l_y: float, x: str = "x", y: str = "y", by: Sequence[str] = (), cutoff: float | None = None) -> DataFrame:
     """Each point's kernel-weighted mean over the points of its group.
 
-    Points farther than ``cutoff`` scaled lengths are left out (a bucket join); None takes all
-    pairs, which is quadratic and meant for small tables.
+    By default all pairs of a group count, which is exact and quadratic in the group.  A ``cutoff``
+    leaves out points farther than so many scaled lengths (a bucket join), for large groups.
     """
     a = df.select(*by, F.col(x).alias(f"e_{x}"), F.col(y).alias(f"e_{y}")).distinct()
     b = df.select(*by, x, y, value).where(F.col(value).isNotNull() & ~F.isnan(F.col(value)))
@@ -105,7 +105,7 @@ def kernel_smooth(df: DataFrame, value: str, l_x: float, l_y: float, x: str = "x
     return out.withColumnsRenamed({f"e_{x}": x, f"e_{y}": y})
 
 
-def smooth_parameters(params: DataFrame, config: dict[str, SmoothingConfig], coords: Sequence[str], xy: tuple[str, str] = ("x", "y"), cutoff: float | None = 4.0) -> DataFrame:
+def smooth_parameters(params: DataFrame, config: dict[str, SmoothingConfig], coords: Sequence[str], xy: tuple[str, str] = ("x", "y"), cutoff: float | None = None) -> DataFrame:
     """Long parameter table (coords, param, dim, value): chosen parameters clamped and smoothed over
     xy within equal other coordinates and dimensions; the others stay as they are."""
     by = [c for c in coords if c not in xy]

@@ -7,6 +7,7 @@ predicates follow.  Each pair is found once, and no side is broadcast or crossed
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -111,21 +112,25 @@ def expert_as_location(experts: DataFrame, coords: Sequence[str]) -> DataFrame:
     return experts.select("expert_id", *[F.col(c).alias(f"pred_loc_{c}") for c in coords])
 
 
-def nearest(points: DataFrame, truth: DataFrame, cols: Sequence[str], id_col: str, truth_id: str, values: Sequence[str], radius: float, max_rounds: int = 12) -> DataFrame:
+def nearest(points: DataFrame, truth: DataFrame, cols: Sequence[str], id_col: str, truth_id: str, values: Sequence[str], radius: float) -> DataFrame:
     """The nearest truth row of each point, ties to the smaller truth id.
 
-    A hit within the bucket size is certain; points without one go on with a doubled size.  Points
-    still alone after ``max_rounds`` come back with NULLs.
+    A hit within the bucket size is certain; points without one go on with a doubled size, up to the
+    box around all rows of both sides, so every point with whole coordinates finds its truth row.
+    Points or truth rows with a missing coordinate take no part; such points come back with NULLs.
     """
-    left, found, size = points, None, radius
+    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in cols])
+    left, truth, found, size = points.where(whole), truth.where(whole), None, radius
     keep = [truth_id, *values]
-    for _ in range(max_rounds):
+    box = left.select(*cols).unionByName(truth.select(*cols)).agg(*[(F.max(c) - F.min(c)).cast("double").alias(f"r{i}") for i, c in enumerate(cols)]).first()
+    furthest = math.sqrt(sum((r or 0.0) ** 2 for r in box))
+    while True:
         pairs = near_join(left.select(id_col, *cols), truth, [Near(list(cols), "<=", size)], keep=keep)
         best = F.min(F.struct(distance(cols).alias("distance"), *[F.col(c) for c in keep])).alias("_b")
         hits = written(pairs.groupBy(F.col(f"e_{id_col}").alias(id_col)).agg(best).select(id_col, "_b.*"), "nearest")
         found = hits if found is None else found.unionByName(hits)
         rest = written(left.join(hits, id_col, "left_anti"), "nearest-left")
-        if rest.isEmpty():
+        if size > furthest or rest.isEmpty():
             break
         left, size = rest, size * 2
     return points.join(found, id_col, "left")

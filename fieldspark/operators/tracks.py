@@ -27,7 +27,7 @@ def time_gap(col: str, group: Sequence[str], order: Sequence[str], unit_ms: floa
 def number_tracks(df: DataFrame, gap_col: str, threshold: float, group: Sequence[str], order: Sequence[str], start: int = 0, out: str = "track") -> DataFrame:
     """Running count of gaps above the threshold (strictly; unknown gaps never count) per group."""
     w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn(out, F.sum(F.when(F.col(gap_col) > threshold, 1).otherwise(0)).over(w) + start)
+    return df.withColumn(out, F.sum(F.when((F.col(gap_col) > threshold) & ~F.isnan(F.col(gap_col).cast("double")), 1).otherwise(0)).over(w) + start)
 
 
 def continue_tracks(df: DataFrame, track_col: str, group: Sequence[str], first_by: str, start: int = 0) -> DataFrame:

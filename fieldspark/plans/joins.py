@@ -154,10 +154,10 @@ def u4_intersect(spark, sf_dir):
 
 @query("g8_raster_value", """
 WITH r AS (SELECT p_size AS cx, avg(p_retailprice) AS v FROM part GROUP BY 1)
-SELECT l_orderkey, l_linenumber, round(v - l_discount, 6) AS height FROM lineitem LEFT JOIN r ON l_quantity = cx WHERE l_linenumber = 1""")
+SELECT l_orderkey, l_linenumber, round(v - l_discount, 6) AS height FROM lineitem LEFT JOIN r ON l_quantity = cx""")
 def g8_raster_value(spark, sf_dir):
     raster = read(spark, sf_dir, "part").groupBy((F.col("p_size") * 1.0).alias("x")).agg(F.avg("p_retailprice").alias("v")).withColumn("y", F.lit(0.0))
-    pts = read(spark, sf_dir, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_linenumber", "l_discount", F.col("l_quantity").alias("x"), F.lit(0.0).alias("y"))
+    pts = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_discount", F.col("l_quantity").alias("x"), F.lit(0.0).alias("y"))
     return value_at_nearest_cell(pts, raster, "x", "y", "v", 1.0, "geoid").select("l_orderkey", "l_linenumber", F.round(F.col("geoid") - F.col("l_discount"), 6).alias("height"))
 
 

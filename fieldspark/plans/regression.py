@@ -135,12 +135,12 @@ def a20_mean_by_location(spark, sf_dir):
 
 
 def parameter_points(spark, sf_dir):
-    p = read(spark, sf_dir, "part").where("p_partkey <= 1000")
+    p = read(spark, sf_dir, "part")
     keys = [(F.col("p_size") * 1.0).alias("x"), (F.col("p_partkey") % 40 * 1.0).alias("y"), (F.col("p_partkey") % 2).cast("int").alias("dim")]
     return p.groupBy(*keys).agg(F.max("p_retailprice").alias("v"))
 
 
-POINTS_SQL = "q AS (SELECT p_size * 1.0 AS x, p_partkey % 40 * 1.0 AS y, (p_partkey % 2)::INTEGER AS dim, max(p_retailprice) AS v FROM part WHERE p_partkey <= 1000 GROUP BY 1, 2, 3)"
+POINTS_SQL = "q AS (SELECT p_size * 1.0 AS x, p_partkey % 40 * 1.0 AS y, (p_partkey % 2)::INTEGER AS dim, max(p_retailprice) AS v FROM part GROUP BY 1, 2, 3)"
 
 
 @query("a15_kernel_smooth", f"""WITH {POINTS_SQL}

@@ -371,3 +371,13 @@ def test_statistics_of_a_column(spark):
     v = [1.0, 2.0, 4.0, 9.0, 12.5]
     r = stats.statistics(spark.createDataFrame([(x,) for x in v], "v double"), "v", qs=[0.25]).first()
     assert r["std"] == pytest.approx(np.std(v)) and r["q0.250"] == 2.0 and r["size"] == 5
+
+
+def test_missing_gaps_and_missing_coordinates(spark):
+    rows = [(1, 1.0), (2, float("nan")), (3, 0.5), (4, None), (5, 11.0)]
+    out = tracks.number_tracks(spark.createDataFrame(rows, "k int, gap double"), "gap", 10.0, [], ["k"]).collect()
+    assert {r["k"]: r["track"] for r in out} == {1: 0, 2: 0, 3: 0, 4: 0, 5: 1}
+    points = spark.createDataFrame([(1, 0.0, 0.0), (2, None, 1.0), (3, 5e6, -5e6), (4, float("nan"), 0.0)], "id long, x double, y double")
+    truth = spark.createDataFrame([(7, 1.0, 0.0, 70.0), (8, -1.0, 0.0, 80.0), (9, None, None, 90.0)], "t long, x double, y double, v double")
+    got = {r["id"]: r["v"] for r in nearby.nearest(points, truth, ["x", "y"], "id", "t", ["v"], 1.0).collect()}
+    assert got == {1: 70.0, 2: None, 3: 70.0, 4: None}
