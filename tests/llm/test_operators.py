@@ -436,10 +436,78 @@ def test_quality_model_prefers_trusted_text(spark):
     assert all(by_id(quality_lm.classify(docs, labels.limit(0)), "kept").values())
 
 
-def test_kneser_ney_sums_to_one(spark):
-    docs = cases.table(spark)
-    p = 10 ** quality_lm.probabilities(quality_lm.count_grams(docs)).astype(float)
-    assert np.allclose(p.reshape(-1, quality_lm.CLASSES).sum(axis=1), 1, atol=1e-4)
+def plain_kneser_ney(texts, order):
+    """Log probability of a text's tokens under interpolated modified Kneser-Ney, with dictionaries of tuples."""
+    ends = [[x.lower() for x in cases.words(t)] + ["END"] for t in texts]
+    padded = [["START"] * (order - 1) + w for w in ends]
+    level = {order: Counter(tuple(w[i - order + 1 : i + 1]) for w in padded for i in range(order - 1, len(w)))}
+    for k in range(order - 1, 0, -1):
+        level[k] = Counter(g[1:] for g in level[k + 1])
+    types = len(level[1])
+    cuts = {}
+    for k, counts in level.items():
+        n = [sum(c == j for c in counts.values()) for j in (1, 2, 3, 4)]
+        if all(n[:3]):
+            y = n[0] / (n[0] + 2 * n[1])
+            cuts[k] = [min(max(j - (j + 1) * y * n[j] / n[j - 1], 0.05), j - 0.05) for j in (1, 2, 3)]
+        else:
+            cuts[k] = [0.5, 0.75, 0.9]
+    seen = {k: {} for k in level}
+    for k, counts in level.items():
+        for g, n in counts.items():
+            total = seen[k].setdefault(g[:-1], [0, 0.0])
+            total[0] += n
+            total[1] += cuts[k][min(n, 3) - 1]
+
+    def p(g):
+        if not g:
+            return 1 / (types + 1)
+        k, lower = len(g), p(g[1:])
+        if g[:-1] not in seen[k]:
+            return lower
+        n, (total, spare) = level[k][g], seen[k][g[:-1]]
+        return (n - cuts[k][min(n, 3) - 1] if n else 0) / total + spare / total * lower
+
+    vocabulary = [*{w for ws in ends for w in ws}, "UNKNOWN"]
+
+    def logs(text):
+        w = ["START"] * (order - 1) + [x.lower() for x in cases.words(text)] + ["END"]
+        return [np.log10(p(tuple(w[i - order + 1 : i + 1]))) for i in range(order - 1, len(w))]
+
+    return logs, lambda context: sum(p((*context, w)) for w in vocabulary)
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_perplexities_equal_plain_kneser_ney(spark, order, monkeypatch):
+    monkeypatch.setattr(quality_lm, "UNIT_BYTES", 20_000)
+    texts = own_texts()
+    trained = [t for i, t in texts.items() if i % 2]
+    logs, mass = plain_kneser_ney(trained, order)
+    assert np.isclose(mass(("END",) * (order - 1)), 1) and np.isclose(mass((*["START"] * (order - 2), b"w1")), 1)
+    counts = quality_lm.written(quality_lm.count_grams(cases.table(spark, trained), order), "test-counts")
+    docs = quality_lm.written(cases.table(spark, extra=True).repartition(3), "test-docs")
+    got = {r["doc_id"]: r for r in quality_lm.perplexities(docs, *quality_lm.model_of(counts, order), order).collect()}
+    assert set(got) == set(texts)
+    for i, t in texts.items():
+        want = logs(t)
+        assert got[i]["n_tokens"] == len(want)
+        assert np.isclose(np.log10(got[i]["perplexity"]), -np.mean(want), atol=0.01)
+
+
+def test_hot_contexts_are_dealt_over_tasks(spark):
+    big = spark.range(30_000).selectExpr("id AS g2", "IF(id % 3 = 0, id, -1) AS c2")
+    small = big.groupBy("c2").count().selectExpr("c2", "c2 * 2 AS v", "count AS rows")
+    out = quality_lm.spread_join(big, small, "c2", "rows")
+    assert out.count() == 30_000 and out.where("v <> c2 * 2").count() == 0
+
+
+def test_quality_of_odd_rows(spark):
+    rows = [(1, "a b c", "en"), (1, "a b c", "en"), (None, "a b d", None), (2, None, "en"), (3, "", "fr"), ((1 << 60) + 1, "a b c", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in (1, 2, 3, (1 << 60) + 1, None)], "doc_id long, quality int, toxic int")
+    out = quality_lm.classify(docs, labels).collect()
+    assert sorted(str(r["doc_id"]) for r in out) == sorted(str(r[0]) for r in rows)
+    assert all(r["perplexity"] > 0 and r["kept"] is not None for r in out)
 
 
 # ---- empty tables
