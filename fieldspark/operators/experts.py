@@ -33,10 +33,10 @@ class ExpertConfig:
     obs_col: str
     local_select: Sequence[Near]
     gp: GPConfig = field(default_factory=GPConfig)
-    model: str = "exact"
+    model: str | Model = "exact"
     min_obs: int = 3
     max_exact_obs: int | None = None  # groups above it use the sparse bound, if one is set
-    replacement_model: str | None = None
+    replacement_model: str | Model | None = None
     replacement_threshold: int = 0
     optimise: bool = True
     pred_method: str = "from_table"  # or 'expert_loc', 'shift'

@@ -288,7 +288,10 @@ class SparseGP:
 MODELS: dict[str, Callable[[], Model]] = {"exact": ExactGP, "sparse": SparseGP}
 
 
-def model_by_name(name: str) -> Model:
+def model_by_name(name: str | Model) -> Model:
+    """A registered model, or the object itself if one is given instead of a name."""
+    if not isinstance(name, str):
+        return name
     if name not in MODELS:
         raise ValueError(f"unknown model {name!r}")
     return MODELS[name]()

@@ -72,9 +72,9 @@ def j7_expert_locations(spark, sf_dir):
     return expert_as_location(e, ["x"])
 
 
-@query("j9_not_done", "SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("j9_not_done", "SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
 def j9_not_done(spark, sf_dir):
-    done = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct()
+    done = read(spark, sf_dir, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey")).distinct()
     return not_done(read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), done, ["c_custkey"])
 
 

@@ -6,7 +6,6 @@ Spark prunes columns and pushes filters into the source.
 
 from __future__ import annotations
 
-import os
 import re
 import warnings
 from collections.abc import Sequence
@@ -68,21 +67,28 @@ def load(
 
 
 def matching_files(dirs: Sequence[str] | str, regex: str, sub_dirs: Sequence[str] | str | None = None, strict: bool = True, walk: bool = False) -> list[str]:
-    """Files of a local or mounted file system whose base name holds a match of ``regex``.
+    """Files whose base name holds a match of ``regex``, on any file system that Spark reads.
 
     ``sub_dirs`` is joined to every directory; with ``walk`` all directories below count.
     """
     dirs = [dirs] if isinstance(dirs, str) else list(dirs)
     subs = [None] if sub_dirs is None else [sub_dirs] if isinstance(sub_dirs, str) else list(sub_dirs)
     found: list[str] = []
-    for top in (os.path.join(d, s) if s else d for d in dirs for s in subs):
-        if not os.path.isdir(top):
+    spark = SparkSession.builder.getOrCreate()
+    for top in (f"{d.rstrip('/')}/{s}" if s else d.rstrip("/") for d in dirs for s in subs):
+        place = spark._jvm.org.apache.hadoop.fs.Path(top)
+        fs = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        if not fs.exists(place) or not fs.getFileStatus(place).isDirectory():
             if strict:
                 raise FileNotFoundError(top)
             warnings.warn(f"no directory {top}", stacklevel=2)
             continue
-        places = ((p, names) for p, _, names in os.walk(top)) if walk else [(top, os.listdir(top))]
-        found += [os.path.join(p, n) for p, names in places for n in names if re.search(regex, n)]
+        root = fs.makeQualified(place).toString().rstrip("/")
+        listing = fs.listFiles(place, walk)
+        while listing.hasNext():
+            path = listing.next().getPath()
+            if re.search(regex, path.getName()):
+                found.append(top + path.toString().removeprefix(root))
     return sorted(found)
 
 

@@ -12,6 +12,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldspark.functions.columns import ColumnSpec, add_columns
 from fieldspark.functions.predicates import select_rows
 
 META = "_meta"
@@ -118,8 +119,11 @@ class Store:
         self.read(table).write.mode("overwrite").option("header", True).csv(path)
 
 
-def collect_results(store: Store, suffix: str = "", tables: Sequence[str] | None = None, locations: str | None = "expert_locs", coords: Sequence[str] = ()) -> dict[str, DataFrame]:
-    """All result tables with a suffix; with ``coords`` the location columns are joined to each."""
+def collect_results(store: Store, suffix: str = "", tables: Sequence[str] | None = None, locations: str | None = "expert_locs", coords: Sequence[str] = (), col_funcs: dict[str, Sequence[ColumnSpec]] | None = None) -> dict[str, DataFrame]:
+    """All result tables with a suffix; with ``coords`` the location columns are joined to each.
+
+    ``col_funcs`` names columns to add by table, without the suffix.
+    """
     names = [t for t in store.tables() if t.endswith(suffix) and (tables is None or t.removesuffix(suffix) in tables)]
     out = {t: store.read(t) for t in names}
     places = f"{locations}{suffix}" if locations else None
@@ -127,6 +131,8 @@ def collect_results(store: Store, suffix: str = "", tables: Sequence[str] | None
         for t in names:
             if t not in (places, f"{CONFIGS}{suffix}") and set(coords) <= set(out[t].columns):
                 out[t] = attach_locations(out[t], out[places], coords)
+    for t, specs in (col_funcs or {}).items():
+        out[f"{t}{suffix}"] = add_columns(out[f"{t}{suffix}"], specs)
     return out
 
 
