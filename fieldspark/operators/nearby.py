@@ -95,7 +95,9 @@ def prediction_locations(experts: DataFrame, locations: DataFrame, max_dist: flo
 
     A coordinate that the locations lack is taken from the expert.
     """
-    pairs = near_join(experts, locations.distinct(), [Near(list(dist_cols), "<", max_dist), *local_select], keep=[c for c in coords if c in locations.columns], loc_keep=["expert_id", *coords])
+    one = dist_cols[0]
+    ball = [Near(list(dist_cols), "<", max_dist)] if len(dist_cols) > 1 else [Near(one, "<", max_dist), Near(one, ">", -max_dist)]
+    pairs = near_join(experts, locations.distinct(), [*ball, *local_select], keep=[c for c in coords if c in locations.columns], loc_keep=["expert_id", *coords])
     value = lambda c: F.col(c) if c in locations.columns else F.col(f"e_{c}")
     return pairs.select(F.col("e_expert_id").alias("expert_id"), *[value(c).alias(f"pred_loc_{c}") for c in coords])
 

@@ -11,10 +11,10 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldspark.functions.predicates import select_rows
+from fieldspark.functions.predicates import run_bounds, select_rows
 from fieldspark.operators.experts import ExpertConfig, fit_experts, long_parameters, predict_experts, select_for_experts, wide_parameters, with_expert_id
 from fieldspark.operators.glue import SmoothingConfig, glue, smooth_parameters
-from fieldspark.operators.nearby import local_select, prediction_locations
+from fieldspark.operators.nearby import _windows, local_select, prediction_locations
 from fieldspark.operators.stats import scores
 
 
@@ -34,13 +34,15 @@ def in_fold(fold_cols: Sequence[str], prefix: str = "fold_") -> Column:
     return reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"{prefix}{c}")) for c in fold_cols])
 
 
-def training_rows(selected: DataFrame, fold_table: DataFrame, cols: Sequence[str]) -> DataFrame:
+def training_rows(selected: DataFrame, fold_table: DataFrame, cols: Sequence[str], pairs: DataFrame | None = None) -> DataFrame:
     """Every fold's training rows: the local selections that are not in the fold.
 
-    The raw observations are never multiplied by folds; their local selections are.
+    The raw observations are never multiplied by folds; their local selections are: by all folds, or by
+    those that ``pairs`` (expert_id, fold_id) names for the expert.
     """
     side = fold_table.select("fold_id", *[F.col(c).alias(f"fold_{c}") for c in cols])
-    return selected.crossJoin(side).where(~in_fold(cols)).drop(*[f"fold_{c}" for c in cols])
+    met = selected.crossJoin(side) if pairs is None else selected.join(pairs.join(side, "fold_id"), "expert_id")
+    return met.where(~in_fold(cols)).drop(*[f"fold_{c}" for c in cols])
 
 
 def held_out_locations(df: DataFrame, fold_table: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -60,16 +62,23 @@ def cross_validate(
 ) -> dict[str, DataFrame]:
     """Fit without each fold, optionally smooth per fold, predict its rows, blend and score.
 
-    ``fold_id`` is one more key of the same two grouped jobs.  ``obs`` needs the fold columns.
+    ``fold_id`` is one more key of the same two grouped jobs.  ``obs`` needs the fold columns.  An expert
+    is fitted without a fold only if the fold has a row that it predicts, so many folds in many places
+    cost no more than their neighbourhoods; with ``smooth`` every expert is, as its parameters count.
     """
     fold_table = folds(obs, fold_cols, wheres)
     experts = with_expert_id(experts, c.coords)
     # fold columns ride along in the selection and are dropped after the fold test
     chosen = select_for_experts_with(experts, obs, c, fold_cols)
-    training = training_rows(chosen, fold_table, fold_cols).drop(*fold_cols)
+    truth = held_out_locations(obs, fold_table, fold_cols)
+    places = prediction_locations(experts, truth.select(*c.coords).distinct(), c.max_dist, c.dist_cols, c.coords)
+    located = places.join(truth.select("fold_id", *[F.col(x).alias(f"pred_loc_{x}") for x in c.coords]).distinct(), [f"pred_loc_{x}" for x in c.coords])
+    near = None if smooth else materialise(located.select("expert_id", "fold_id").distinct(), "xval-pairs")
+    training = training_rows(chosen, fold_table, fold_cols, near).drop(*fold_cols)
     key = F.xxhash64("expert_id", "fold_id")
     keyed = lambda df: df.withColumn("run_id", key)
-    pairs = keyed(experts.select("expert_id", *c.coords).crossJoin(fold_table.select("fold_id")))
+    every = experts.select("expert_id", *c.coords)
+    pairs = keyed(every.crossJoin(fold_table.select("fold_id")) if near is None else every.join(near, "expert_id"))
     by_run = lambda df: keyed(df).drop("expert_id", "fold_id").withColumnRenamed("run_id", "expert_id")
     names = pairs.select("run_id", "expert_id", "fold_id")
     runs = pairs.select(F.col("run_id").alias("expert_id"), *c.coords)
@@ -80,9 +89,6 @@ def cross_validate(
         smoothed = smooth_parameters(params, smooth, [*c.coords, "fold_id"])
         start = wide_parameters(smoothed, pairs.select(F.col("run_id").alias("expert_id"), *c.coords, "fold_id"), [*c.coords, "fold_id"])
         fitted = materialise(fit_experts(runs, training, replace(c, optimise=False), start), "xval-smooth")
-    truth = held_out_locations(obs, fold_table, fold_cols)
-    places = prediction_locations(experts, truth.select(*c.coords).distinct(), c.max_dist, c.dist_cols, c.coords)
-    located = places.join(truth.select("fold_id", *[F.col(x).alias(f"pred_loc_{x}") for x in c.coords]).distinct(), [f"pred_loc_{x}" for x in c.coords])
     preds = predict_experts(fitted, training, by_run(located), c)
     preds = preds.join(names.withColumnRenamed("expert_id", "own_id").withColumnRenamed("run_id", "expert_id"), "expert_id").drop("expert_id").withColumnRenamed("own_id", "expert_id")
     return {"folds": fold_table, "fit": fitted, "preds": preds, "scores": score_folds(preds, truth, c)}
@@ -93,6 +99,7 @@ def select_for_experts_with(experts: DataFrame, obs: DataFrame, c: ExpertConfig,
     if not extra:
         return select_for_experts(experts, obs, c)
     rows = obs.where(F.col(c.obs_col).isNotNull()).select(*c.coords, c.obs_col, *[x for x in extra if x not in c.coords])
+    rows = select_rows(rows, run_bounds(experts, _windows(c.local_select)))
     got = local_select(experts, rows, c.local_select, rows.columns, c.coords)
     return got.select("expert_id", *c.coords, F.col(c.obs_col).alias("_obs"), *[x for x in extra if x not in c.coords])
 

@@ -14,6 +14,7 @@ from fieldspark.operators.experts import ExpertConfig, fit_experts, run_and_stor
 from fieldspark.operators.glue import glue
 from fieldspark.operators.gp import GPConfig
 from fieldspark.operators.nearby import Near, latest_per, sample_truth
+from fieldspark.operators.xval import cross_validate
 from fieldspark.plans.regression import PREDS_SQL, mean_sql, predictions, rounded
 from fieldspark.plans.tables import read
 from fieldspark.sources.ingest import ingest
@@ -249,3 +250,17 @@ def e3_fitted_variance(spark, sf_dir):
 def e11_replacement_model(spark, sf_dir):
     run = run_experts(*one_each(spark, sf_dir), alone(PLAIN, replacement_model="sparse", replacement_threshold=2))
     return run.run_details.select("x", "model")
+
+
+@query("x4_scores_by_fold", """
+WITH o AS (SELECT s_suppkey AS k, 0 AS fold, s_nationkey / 10.0 AS x, s_acctbal / 1000 AS y FROM supplier UNION ALL SELECT s_suppkey, 1, 1 + s_nationkey / 20.0, s_suppkey % 7 FROM supplier),
+ p AS (SELECT a.fold, a.y, b.y AS other, abs(a.x - b.x) / 2 * sqrt(3) AS d FROM o a JOIN o b ON a.k = b.k AND a.fold <> b.fold),
+ q AS (SELECT fold, y - 1.5 * (1 + d) * exp(-d) / 1.6 * other AS e, 1.6 - pow(1.5 * (1 + d) * exp(-d), 2) / 1.6 AS v FROM p)
+SELECT fold, count(*) AS n, round(sqrt(avg(e * e)), 7) AS rmse, round(avg(ln(sqrt(v) * sqrt(2 * pi())) + e * e / (2 * v)), 7) AS mean_nll FROM q GROUP BY 1""")
+def x4_scores_by_fold(spark, sf_dir):
+    """Two folds, each with one observation near every expert: the one predicts the other."""
+    places, first = one_each(spark, sf_dir)
+    second = read(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 100.0 + 1 + F.col("s_nationkey") / 20.0).alias("x"), (F.col("s_suppkey") % 7).cast("double").alias("obs"))
+    obs = first.withColumn("fold", F.lit(0)).unionByName(second.withColumn("fold", F.lit(1)))
+    out = cross_validate(places, obs, alone(PLAIN, max_dist=5.0, dist_cols=("x",)), ["fold"])
+    return out["scores"].join(out["folds"], "fold_id").select("fold", "n", F.round("rmse", 7).alias("rmse"), F.round("mean_nll", 7).alias("mean_nll"))

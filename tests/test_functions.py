@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import itertools
 import math
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -367,6 +368,32 @@ def test_folds_partition_the_rows(spark):
     assert held.join(train, ["fold_id", "id"]).count() == 0
 
 
+def test_smoothed_cross_validation_equals_runs_by_hand(spark):
+    from fieldspark.operators.experts import ExpertConfig, fit_experts, long_parameters, predict_experts, select_for_experts, wide_parameters
+    from fieldspark.operators.glue import SmoothingConfig, smooth_parameters
+    from fieldspark.operators.gp import GPConfig
+    from fieldspark.operators.nearby import Near, prediction_locations
+
+    r = np.random.default_rng(5)
+    rows = [(float(x), float(y), float(np.sin(x) + y / 5 + r.normal() / 10), (x * 3 + y) % 2) for x in range(6) for y in range(4)]
+    obs = spark.createDataFrame(rows, "x double, y double, obs double, k int")
+    places = spark.createDataFrame([(1, 1.0, 1.5), (2, 4.0, 1.5)], "expert_id long, x double, y double")
+    c = ExpertConfig(["x", "y"], "obs", [Near(["x", "y"], "<=", 2.5)], GPConfig(lengthscales=[1.0, 1.0], bounds={"lengthscales": ([0.3, 0.3], [9.0, 9.0])}, max_iter=10), max_dist=2.0)
+    smooth = {"lengthscales": SmoothingConfig(3.0, 3.0)}
+    out = xval.cross_validate(places, obs, c, ["k"], smooth=smooth)
+    fold = {f["k"]: f["fold_id"] for f in out["folds"].collect()}
+    got = {(p["fold_id"], p["expert_id"], p["pred_loc_x"], p["pred_loc_y"]): p["f_star"] for p in out["preds"].collect()}
+    want = {}
+    for k in (0, 1):
+        chosen = select_for_experts(places, obs.where(f"k <> {k}"), c)
+        params = smooth_parameters(long_parameters(fit_experts(places, chosen, c), c.coords), smooth, c.coords)
+        fitted = fit_experts(places, chosen, replace(c, optimise=False), wide_parameters(params, places, c.coords))
+        at = prediction_locations(places, obs.where(f"k = {k}").select("x", "y"), 2.0, ["x", "y"], ["x", "y"])
+        want |= {(fold[k], p["expert_id"], p["pred_loc_x"], p["pred_loc_y"]): p["f_star"] for p in predict_experts(fitted, chosen, at, c).collect()}
+    assert got.keys() == want.keys() and len(got) > 8
+    assert all(got[i] == pytest.approx(want[i], abs=1e-6) for i in want)
+
+
 def test_statistics_of_a_column(spark):
     v = [1.0, 2.0, 4.0, 9.0, 12.5]
     r = stats.statistics(spark.createDataFrame([(x,) for x in v], "v double"), "v", qs=[0.25]).first()
