@@ -137,7 +137,9 @@ def f15_quantile_clip(spark, sf_dir):
     return quantile_clip(o, "o_totalprice", 0.05, 0.95, ["o_orderpriority"]).select("o_orderkey", "o_orderpriority", "o_totalprice")
 
 
-@query("f16_down_sample")
+@query("f16_down_sample", """
+SELECT o_orderkey, o_totalprice FROM orders
+WHERE ('0x' || substr(md5(o_orderkey::VARCHAR), 1, 8))::BIGINT < (SELECT CASE WHEN count(*) <= 1000 THEN 4294967296 ELSE floor(4294967296::DOUBLE * 1000 / count(*)) END FROM orders)""")
 def f16_down_sample(spark, sf_dir):
     return down_sample(read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), 1000, ["o_orderkey"])
 

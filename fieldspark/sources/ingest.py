@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import logging
 from collections.abc import Sequence
 from typing import Any
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from fieldspark.sources.scan import matching_files, read_files
 from fieldspark.sources.store import Store
 
+#: The partition column of an ingested table.
+BATCH = "batch_id"
 LEDGER_SCHEMA = "file_dir string, sub_dir string, config_id int, n_rows bigint"
 
 
@@ -25,10 +29,17 @@ def new_batches(batches: DataFrame, ledger: DataFrame) -> DataFrame:
     return batches.join(ledger, cond, "left_anti")
 
 
+def batch_id(file_dir: str, sub_dir: str | None, config_id: int) -> str:
+    """The partition of a batch; a letter in front keeps it text when partitions are listed."""
+    return "b" + hashlib.sha256(json.dumps([file_dir, sub_dir, config_id]).encode()).hexdigest()[:32]
+
+
 def ingest(spark: SparkSession, store: Store, table: str, file_dirs: Sequence[str], regex: str, sub_dirs: Sequence[str | None] = (None,), config: Any = None, overwrite: bool = False, **read_options: Any) -> int:
     """Append every new batch (directory x sub-directory x config) and note it; the rows appended.
 
-    A batch that cannot be read or is empty is logged and left for the next run.
+    A batch that cannot be read or is empty is logged and left for the next run.  A batch is one
+    partition (``batch_id``) that its rows replace, so one that was written but not noted when a run
+    died is written again in its place.
     """
     ledger_name = f"_{table}_batches"
     config_id = store.config_id(config if config is not None else read_options)
@@ -39,14 +50,20 @@ def ingest(spark: SparkSession, store: Store, table: str, file_dirs: Sequence[st
     for b in batches.orderBy("file_dir", "sub_dir").collect():
         try:
             df = read_files(spark, matching_files(b["file_dir"], regex, b["sub_dir"]), **read_options)
-            n = df.count()
+            if df.isEmpty():
+                logging.warning("batch %s is empty", b)
+                continue
+            if first:
+                # an overwrite that dies on its way must not leave the old ledger beside new rows
+                store.write(spark.createDataFrame([], LEDGER_SCHEMA), ledger_name)
+            seen = Observation()
+            rows = df.withColumn(BATCH, F.lit(batch_id(b["file_dir"], b["sub_dir"], config_id)))
+            rows = rows.observe(seen, F.count(F.lit(1)).alias("n"))
+            store.write(rows, table, append=not first, config=config, partition_by=[BATCH], replace_partitions=True)
         except (PySparkException, FileNotFoundError) as e:
             logging.warning("batch %s skipped: %s", b, e)
             continue
-        if not n:
-            logging.warning("batch %s is empty", b)
-            continue
-        store.write(df, table, append=not first, config=config)
-        store.write(spark.createDataFrame([(b["file_dir"], b["sub_dir"], config_id, n)], LEDGER_SCHEMA), ledger_name, append=not first)
+        n = seen.get["n"]
+        store.write(spark.createDataFrame([(b["file_dir"], b["sub_dir"], config_id, n)], LEDGER_SCHEMA), ledger_name, append=True)
         total, first = total + n, False
     return total

@@ -57,9 +57,14 @@ class Store:
     def read(self, table: str, where: Any = None, columns: Sequence[str] | None = None) -> DataFrame:
         return select_rows(self.spark.read.parquet(f"{self.root}/{table}"), where, columns=columns)
 
-    def write(self, df: DataFrame, table: str, append: bool = False, config: Any = None, run_info: bool = False, partition_by: Sequence[str] = ()) -> None:
-        """Write or append a table; metadata rows are appended, and replaced by an overwrite."""
-        writer = df.write.mode("append" if append else "overwrite")
+    def write(self, df: DataFrame, table: str, append: bool = False, config: Any = None, run_info: bool = False, partition_by: Sequence[str] = (), replace_partitions: bool = False) -> None:
+        """Write or append a table; metadata rows are appended, and replaced by an overwrite.
+
+        With ``replace_partitions`` an append takes the place of the partitions that it has rows for.
+        """
+        writer = df.write.mode("append" if append and not replace_partitions else "overwrite")
+        if append and replace_partitions:
+            writer = writer.option("partitionOverwriteMode", "dynamic")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.root}/{table}")
         rows = [(table, "config", json_text(config))] if config is not None else []
         if run_info:

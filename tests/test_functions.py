@@ -359,6 +359,21 @@ def test_ingest_keeps_a_ledger(spark, tmp_path):
     assert len(scan.matching_files(str(tmp_path), r"RAW", walk=True)) == 2
 
 
+def test_ingest_writes_a_batch_again_that_was_not_noted(spark, tmp_path):
+    for name in ("d1", "d2"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "A.csv").write_text("lon,lat\n" + "".join(f"{i},{i}\n" for i in range(4)))
+    s = store.Store(spark, f"file://{tmp_path}/out")
+    run = lambda **more: ingest.ingest(spark, s, "obs", [str(tmp_path / "d1"), str(tmp_path / "d2")], r"\.csv$", schema="lon double, lat double", **more)
+    assert run() == 8
+    # as if the last run had died between the rows of the second batch and its ledger row
+    noted = s.read("_obs_batches").where(F.col("file_dir").endswith("d1")).collect()
+    s.write(spark.createDataFrame(noted, ingest.LEDGER_SCHEMA), "_obs_batches")
+    assert run() == 4 and s.read("obs").count() == 8 and s.read("_obs_batches").count() == 2
+    assert s.read("obs").select(ingest.BATCH).distinct().count() == 2
+    assert run(overwrite=True) == 8 and s.read("obs").count() == 8
+
+
 def test_folds_partition_the_rows(spark):
     df = spark.createDataFrame([(i, i % 3) for i in range(30)], "id long, k long")
     f = xval.folds(df, ["k"])
