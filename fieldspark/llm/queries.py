@@ -20,5 +20,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op3_topk": topk.ORACLE_SQL,
     "op4_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op5_line_dedup": line_dedup.ORACLE_SQL,
     "op9_quality_rules": quality_rules.ORACLE_SQL,
 }
