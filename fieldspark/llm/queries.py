@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_ngram_jaccard": ngram_jaccard.ORACLE_SQL,
     "op3_topk": topk.ORACLE_SQL,
     "op4_substring_dedup": substring_dedup.ORACLE_SQL,
     "op5_line_dedup": line_dedup.ORACLE_SQL,
