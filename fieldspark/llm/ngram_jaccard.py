@@ -14,8 +14,10 @@ Two documents link when 100 * |A & B| >= 75 * |A | B|.
    drawn by a hash of the id that is the same in all tiles.  A row takes the leader of most of its
    tiles, so a round of m rows has at most m pairs.  Tiles of one component take no further part.
    Rounds go on, with new draws, while one pair in ``PAYS`` links and more than ``FEW`` are met.
-4. What is left are pairs in one tile but in different components.  Tiles are cut to ``TILE_ROWS``
-   rows, and block meets block.  Sizes and the places of the shared shingle bound the overlap.
+4. What is left are pairs in one tile but in different components.  The rows outside a tile's largest component
+   meet the rest of the tile, so a tile of one large component and a few others costs only what the others ask.
+   The asked rows are dealt out in blocks of about ``TILE_ROWS``; sizes and the places of the shared shingle
+   bound the overlap.
 5. Candidates of each round meet the bitmaps of their hashed shingles: a bit set in A and not in B
    proves an element of A outside B, so bit counts bound the overlap from above.
 6. Those that pass are verified by intersecting the sorted fingerprint arrays.
@@ -31,7 +33,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -45,7 +47,7 @@ from fieldspark.llm.components import components
 SHINGLE = 5
 PERCENT = 75
 COUNTERS, SEGMENT = 23, 19
-TILE_ROWS = 256
+TILE_ROWS = 4096
 PAYS, FEW = 8, 16
 
 
@@ -298,44 +300,6 @@ def places(heads: DataFrame, shared: DataFrame) -> DataFrame:
     return heads.select("doc_id", "n", "prefix").mapInArrow(run, "doc_id bigint, n int, pos int, h bigint")
 
 
-def pairs_of_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of one tile that sizes and places allow, from rows sorted by tile.
-
-    A tile that runs on into the next batch is carried over; it has a bounded number of rows.
-    """
-    names = ["h", "tile_band", "x", "y", "up", "own", "doc_id", "n", "pos", "comp"]
-    held = {c: np.zeros(0, np.int64) for c in names}
-
-    def work(t: dict[str, np.ndarray]) -> pa.RecordBatch:
-        size = len(t["h"])
-        new = np.concatenate([[True], (np.diff(t["h"]) != 0) | (np.diff(t["tile_band"]) != 0) | (np.diff(t["x"]) != 0) | (np.diff(t["y"]) != 0)]) if size else np.zeros(0, bool)
-        start = np.flatnonzero(new)
-        end = np.repeat(np.append(start[1:], size), np.diff(np.append(start, size))) if size else start
-        out = []
-        rows = np.arange(size)
-        for step in range(1, size):
-            rows = rows[rows + step < end[rows]]
-            if not len(rows):
-                break
-            i, j = rows, rows + step
-            n, m = t["n"][i], t["n"][j]
-            ok = (t["comp"][i] != t["comp"][j]) & (t["up"][i] + t["up"][j] <= 1) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * PERCENT)
-            ok &= (100 + PERCENT) * np.minimum(n - t["pos"][i], m - t["pos"][j]) >= PERCENT * (n + m)
-            ok &= (t["x"][i] == t["y"][i]) | (t["own"][i] != t["own"][j])
-            a, b = t["doc_id"][i[ok]], t["doc_id"][j[ok]]
-            out.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
-        every = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(every[0]), pa.array(every[1])], names=["a", "b"])
-
-    for b in batches:
-        t = {c: np.concatenate([held[c], b.column(c).to_numpy().astype(np.int64)]) for c in names}
-        last = np.flatnonzero((t["h"] != t["h"][-1]) | (t["tile_band"] != t["tile_band"][-1]) | (t["x"] != t["x"][-1]) | (t["y"] != t["y"][-1])) if len(t["h"]) else []
-        cut = int(last[-1]) + 1 if len(last) else 0
-        yield work({c: v[:cut] for c, v in t.items()})
-        held = {c: v[cut:] for c, v in t.items()}
-    yield work(held)
-
-
 def leader_pairs(tiles: DataFrame, number: int) -> DataFrame:
     """At most one pair for each row of the tiles: with the leader, in another component, of most of its tiles."""
     draw = F.struct(F.lit(0.0) if number else -F.col("central"), F.xxhash64("doc_id", F.lit(number)))
@@ -362,17 +326,19 @@ def still_mixed(tiles: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def tile_candidates(tiles: DataFrame) -> DataFrame:
-    """Pairs of one tile in different components."""
-    rows = tiles.join(written(tiles.groupBy("h").agg(F.count("*").alias("m")), "tile-sizes"), "h")
-    # a tile of m rows has m / TILE_ROWS blocks; a row goes wherever its block meets another
+    """Pairs of one tile in different components that sizes and places allow."""
+    parts = tiles.groupBy("h", "comp").agg(F.count("*").alias("m")).groupBy("h").agg(F.max_by("comp", F.struct("m", "comp")).alias("largest"), F.sum("m").alias("m"))
+    rows = written(tiles.join(written(parts, "tile-parts"), "h"), "tile-rows")
     blocks = F.ceil(F.col("m") / TILE_ROWS).cast("int")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.withColumn("up", F.explode(F.array(F.lit(0), F.lit(1))))
-    rows = rows.withColumns({"tile_band": F.col("band") + F.col("up"), "x": F.least("own", "other"), "y": F.greatest("own", "other")})
-    tile = ["h", "tile_band", "x", "y"]
-    rows = rows.select(*tile, "up", "own", "doc_id", "n", "pos", "comp").repartition(*tile).sortWithinPartitions(*tile)
-    return rows.mapInArrow(pairs_of_tiles, "a bigint, b bigint").distinct()
+    outside = (F.col("comp") != F.col("largest")).alias("outside")
+    asked = rows.select("h", "band", F.pmod(F.xxhash64("doc_id"), blocks).cast("int").alias("block"), F.col("doc_id").alias("b"), F.col("n").alias("b_n"), F.col("pos").alias("b_pos"), F.col("comp").alias("b_comp"), outside)
+    asking = rows.where("comp <> largest").select("h", F.explode(F.array([F.col("band") + i for i in (-1, 0, 1)])).alias("band"), F.sequence(F.lit(0), blocks - 1).alias("blocks"), F.col("doc_id").alias("a"), F.col("n").alias("a_n"), F.col("pos").alias("a_pos"), F.col("comp").alias("a_comp"))
+    asking = asking.withColumn("block", F.explode("blocks")).drop("blocks")
+    # two rows that both ask meet once
+    fit = (F.col("a_comp") != F.col("b_comp")) & (~F.col("outside") | (F.col("a") < F.col("b"))) & sizes_fit(F.col("a_n"), F.col("b_n"))
+    fit &= overlap_possible(F.col("a_n"), F.col("a_pos"), F.col("b_n"), F.col("b_pos"))
+    pairs = asking.join(asked, ["h", "band", "block"]).where(fit)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def labels_of(links: DataFrame) -> DataFrame:
@@ -395,10 +361,19 @@ def jaccard_join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     tiles = places(heads, shared).join(shared, "h").select("h", band(F.col("n")).alias("band"), "doc_id", "n", "pos", central, F.col("doc_id").alias("comp"))
     tiles = written(tiles, "tile-rows")
     dropped(shared)
+    links = tile_links(tiles, lambda pairs, name: step(pairs, heads, docs, name))
+    return rows.select("doc_id", "n"), links.unionByName(copies.select("a", "b"))
+
+
+def tile_links(tiles: DataFrame, test: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """Links (a, b) that join all rows of tiles which links of one tile can join; ``test`` keeps the pairs that link.
+
+    ``tiles`` is a written table of h, band, doc_id, n, pos, central and comp (the doc_id at first); it is deleted.
+    """
     links, more, number = None, True, 0
     while more:
         pairs = leader_pairs(tiles, number)
-        new = step(pairs, heads, docs, "leader-links")
+        new = test(pairs, "leader-links")
         tested, found = pairs.count(), new.count()
         dropped(pairs)
         links = new if links is None else links.unionByName(new)
@@ -407,9 +382,9 @@ def jaccard_join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         dropped(labels)
         # a handful of rows may as well meet whole tiles
         more, number = found * PAYS > tested and tested > FEW, number + 1
-    links = links.unionByName(step(tile_candidates(tiles), heads, docs, "tile-links"))
+    links = links.unionByName(test(tile_candidates(tiles), "tile-links"))
     dropped(tiles)
-    return rows.select("doc_id", "n"), links.unionByName(copies.select("a", "b"))
+    return links
 
 
 def step(pairs: DataFrame, heads: DataFrame, docs: DataFrame, name: str) -> DataFrame:
