@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldspark.llm import byte_bpe, line_dedup, lm_scoring, ngram_jaccard, packing, quality_lm, quality_rules, spelling, substring_dedup, topk, toxicity
+from fieldspark.llm import byte_bpe, fingerprints, lexical, line_dedup, lm_scoring, ngram_jaccard, packing, quality_lm, quality_rules, spelling, substring_dedup, topk, toxicity
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_jaccard.op1_ngram_jaccard,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_quality_classifier": quality_lm.op10_quality_classifier,
     "op11_spelling_variants": spelling.op11_spelling_variants,
+    "op12_fingerprints": fingerprints.op12_fingerprints,
+    "op13_lexical_search": lexical.op13_lexical_search,
 }
 
 ORACLE_SQL = {
@@ -25,4 +27,5 @@ ORACLE_SQL = {
     "op5_line_dedup": line_dedup.ORACLE_SQL,
     "op9_quality_rules": quality_rules.ORACLE_SQL,
     "op11_spelling_variants": spelling.ORACLE_SQL,
+    "op13_lexical_search": lexical.ORACLE_SQL,
 }
