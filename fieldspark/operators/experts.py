@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import socket
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 
 from fieldspark.functions.predicates import run_bounds, select_rows
 from fieldspark.operators.compare import not_done
+from fieldspark.operators.covariance import predict_covariance
 from fieldspark.operators.gp import PARAMS, GPConfig, Model, model_by_name
 from fieldspark.operators.nearby import Near, _windows, expert_as_location, local_select, prediction_locations, shifted_locations
+from fieldspark.sources.scratch import written
 
 DETAILS = "num_obs bigint, run_time double, objective_value double, parameters_optimised boolean, optimise_success boolean, model string, device string"
 
@@ -45,6 +47,7 @@ class ExpertConfig:
     offsets: dict[str, Sequence[float]] = field(default_factory=dict)
     table_suffix: str = ""
     params_to_store: Sequence[str] = PARAMS
+    full_cov: bool = False  # also the covariance of each expert's locations
 
     def model_for(self, n: int) -> Model:
         """The model of a group of ``n`` rows: the replacement below its threshold, sparse above a limit that is set."""
@@ -159,26 +162,26 @@ class ExpertRun:
     run_details: DataFrame
     params: DataFrame
     preds: DataFrame
+    covariance: DataFrame | None = None
 
 
-def run_experts(experts: DataFrame, obs: DataFrame, c: ExpertConfig, locations: DataFrame | None = None, done: DataFrame | None = None, load_params: DataFrame | None = None, materialise=None) -> ExpertRun:
+def run_experts(experts: DataFrame, obs: DataFrame, c: ExpertConfig, locations: DataFrame | None = None, done: DataFrame | None = None, load_params: DataFrame | None = None, materialise: Callable[[DataFrame, str], DataFrame] = written) -> ExpertRun:
     """Fit and predict all experts that ``done`` lacks and that have a location to predict.
 
-    ``materialise`` (a function from DataFrame and name to DataFrame) should write the fit result and
-    read it back, so that its two users do not fit twice.
+    ``materialise`` (a function from DataFrame and name to DataFrame) writes the selections and the fit and reads
+    them back, as both have several users; by default to the scratch folder.
     """
     experts = with_expert_id(experts, c.coords)
     if done is not None:
         experts = not_done(experts, done, c.coords)
     places = locations_of(experts, c, locations)
     experts = experts.join(places.select("expert_id").distinct(), "expert_id", "left_semi")
-    selected = select_for_experts(experts, obs, c)
+    selected = materialise(select_for_experts(experts, obs, c), "selected")
     start = None if load_params is None else wide_parameters(load_params, experts, c.coords)
-    fitted = fit_experts(experts, selected, c, start)
-    if materialise is not None:
-        fitted = materialise(fitted, "fit")
+    fitted = materialise(fit_experts(experts, selected, c, start), "fit")
     details = fitted.drop(*PARAMS)
-    return ExpertRun(details, long_parameters(fitted, c.coords, c.params_to_store), predict_experts(fitted, selected, places, c))
+    covariance = predict_covariance(fitted, selected, places, c) if c.full_cov else None
+    return ExpertRun(details, long_parameters(fitted, c.coords, c.params_to_store), predict_experts(fitted, selected, places, c), covariance)
 
 
 def run_and_store(store, experts: DataFrame, obs: DataFrame, c: ExpertConfig, locations: DataFrame | None = None, load_params: DataFrame | None = None, config: Any = None) -> int:
@@ -200,6 +203,8 @@ def run_and_store(store, experts: DataFrame, obs: DataFrame, c: ExpertConfig, lo
 
     run = run_experts(experts, obs, c, locations, done, load_params, keep)
     store.write(run.preds, name("preds"), append=done is not None)
+    if run.covariance is not None:
+        store.write(run.covariance, name("covariance"), append=store.exists(name("covariance")))
     if load_params is None or c.optimise:
         store.write(run.params, name("params"), append=done is not None)
     store.write(run.run_details.withColumn("config_id", F.lit(config_id)), name("run_details"), append=done is not None, config=config)

@@ -39,7 +39,10 @@ class GPConfig:
 
 
 class Model(Protocol):
-    """What an expert's model must offer; any object with these two methods can be plugged in."""
+    """What an expert's model must offer; any object with these methods can be plugged in.
+
+    ``covariance`` is called by ``predict_covariance`` alone.
+    """
 
     name: str
 
@@ -47,6 +50,8 @@ class Model(Protocol):
 
     def predict(self, x: np.ndarray, y: np.ndarray, c: GPConfig, params: dict[str, np.ndarray], new: np.ndarray) -> dict[str, np.ndarray]: ...
 
+    def covariance(self, x: np.ndarray, c: GPConfig, params: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray: ...
+
 
 def squared_parts(a: np.ndarray, b: np.ndarray, ell: np.ndarray) -> np.ndarray:
     """Scaled squared differences of each dimension: (d, n, m)."""
@@ -207,7 +212,7 @@ class ExactGP:
         z, value, ok = minimise(f, space.pack(), c.max_iter)
         return space.unpack(z)[0], value, ok
 
-    def predict(self, x, y, c, params, new, full_cov: bool = False):
+    def predict(self, x, y, c, params, new):
         x, y, mean, scale = scaled(x, y, c)
         new = new / scale
         k, _ = kernel_of(squared_parts(x, x, params["lengthscales"]), c.kernel, params["kernel_variance"][0])
@@ -220,11 +225,15 @@ class ExactGP:
             const = self.constant(inv.T @ inv, y, c)
         f = a.T @ np.linalg.solve(chol, y - const) + const
         var = params["kernel_variance"][0] - (a * a).sum(axis=0)
-        out = {"f_star": f, "f_var": np.maximum(var, 0), "y_var": np.maximum(var, 0) + params["likelihood_variance"][0], "f_bar": np.full(len(new), mean)}
-        if full_cov:
-            kss, _ = kernel_of(squared_parts(new, new, params["lengthscales"]), c.kernel, params["kernel_variance"][0])
-            out["f_cov"] = kss - a.T @ a
-        return out
+        return {"f_star": f, "f_var": np.maximum(var, 0), "y_var": np.maximum(var, 0) + params["likelihood_variance"][0], "f_bar": np.full(len(new), mean)}
+
+    def covariance(self, x, c, params, a, b):
+        """Posterior covariance between two sets of locations."""
+        x, _, _, scale = scaled(x, np.zeros(len(x)), c)
+        k = lambda p, q: kernel_of(squared_parts(p, q, params["lengthscales"]), c.kernel, params["kernel_variance"][0])[0]
+        chol = np.linalg.cholesky(k(x, x) + params["likelihood_variance"][0] * np.eye(len(x)))
+        left, right = (np.linalg.solve(chol, k(x, p / scale)) for p in (a, b))
+        return k(a / scale, b / scale) - left.T @ right
 
 
 class SparseGP:
@@ -284,6 +293,15 @@ class SparseGP:
         var = np.maximum(s2 - (u * u).sum(axis=0) + (w * w).sum(axis=0), 0)
         return {"f_star": w.T @ v, "f_var": var, "y_var": var + noise, "f_bar": np.full(len(new), mean)}
 
+    def covariance(self, x, c, params, a, b):
+        """Posterior covariance between two sets of locations."""
+        x, _, _, scale = scaled(x, np.zeros(len(x)), c)
+        z = self.inducing(x, c)
+        s2, _, lz, _, lb = self._factors(x, c, params, z)
+        k = lambda p, q: kernel_of(squared_parts(p, q, params["lengthscales"]), c.kernel, s2)[0]
+        u, v = (np.linalg.solve(lz, k(z, p / scale)) for p in (a, b))
+        return k(a / scale, b / scale) - u.T @ v + np.linalg.solve(lb, u).T @ np.linalg.solve(lb, v)
+
 
 MODELS: dict[str, Callable[[], Model]] = {"exact": ExactGP, "sparse": SparseGP}
 

@@ -4,18 +4,18 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldspark.operators.numbering import dense_ranks
+from fieldspark.operators.quantiles import exact_quantiles, quantile_name
+
 MEASURES = ("size", "num_not_nan", "num_inf", "min", "mean", "max", "std", "skew", "kurtosis")
 QUANTILES = (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 
 
-def quantile_name(q: float) -> str:
-    return f"q{q:.3f}"
-
-
 def measure(col: str | Column, name: str) -> Column:
     c = F.col(col) if isinstance(col, str) else col
     table = {
@@ -31,31 +31,42 @@ def measure(col: str | Column, name: str) -> Column:
 
 
 def statistics(df: DataFrame, val_col: str, by: Sequence[str] = (), measures: Sequence[str] = MEASURES, qs: Sequence[float] = QUANTILES, approximate: int | None = None) -> DataFrame:
-    """One row per group: the measures, then the quantiles in one pass.
+    """One row per group: the measures in one aggregation, then the quantiles.
 
-    Exact quantiles keep a map of the group's distinct values; ``approximate`` (an accuracy) bounds it.
+    Quantiles are exact, by counted brackets (a few passes, bounded memory); with ``approximate`` (an accuracy)
+    they come from a sketch in the first aggregation.
     """
     out = [measure(val_col, m).alias(m) for m in measures]
-    if qs:
-        at = F.array(*[F.lit(float(q)) for q in qs])
-        q = F.percentile(val_col, at) if approximate is None else F.percentile_approx(val_col, list(qs), approximate)
-        out.append(q.alias("_q"))
-    agg = df.groupBy(*by).agg(*out)
-    return agg.withColumns({quantile_name(q): F.col("_q")[i] for i, q in enumerate(qs)}).drop("_q") if qs else agg
+    if not qs:
+        return df.groupBy(*by).agg(*out)
+    if approximate is not None:
+        agg = df.groupBy(*by).agg(*out, F.percentile_approx(val_col, list(qs), approximate).alias("_q"))
+        return agg.withColumns({quantile_name(q): F.col("_q")[i] for i, q in enumerate(qs)}).drop("_q")
+    return _with_groups(df.groupBy(*by).agg(*out), exact_quantiles(df, val_col, qs, by), by)
+
+
+def _with_groups(df: DataFrame, per_group: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Each row with the row of its group; without groups there is one row for all."""
+    side = per_group.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)], *[F.col(f"`{c}`") for c in per_group.columns if c not in by])
+    if not by:
+        return df.crossJoin(F.broadcast(side))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(by)])
+    return df.join(side, same).drop(*[f"_g{i}" for i in range(len(by))])
 
 
 def block_statistics(df: DataFrame, block_col: str, block_size: int, val_col: str, **options) -> DataFrame:
     """Statistics over blocks of consecutive distinct values of ``block_col``.
 
-    The distinct values are ranked on their own; rows get the block by a join.
+    The distinct values are ranked on their own, in ranges; rows get the block by a join.
     """
-    values = df.select(block_col).where(F.col(block_col).isNotNull()).distinct()
-    ranked = values.withColumn("block", F.floor((F.dense_rank().over(Window.orderBy(block_col)) - 1) / block_size))
+    ranked = dense_ranks(df, [block_col], "_rank").select(block_col, F.floor((F.col("_rank") - 1) / block_size).alias("block"))
     return statistics(df.join(ranked, block_col), val_col, ["block"], **options)
 
 
 def describe_blocks(blocks: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return blocks.select(*cols).summary("count", "mean", "stddev", "min", "25%", "50%", "75%", "max")
+    """Of the statistics of blocks, how each is spread: one row a column."""
+    rows = blocks.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in cols])).alias("r")).select("r.*")
+    return statistics(rows, "v", ["column"], ("num_not_nan", "mean", "std", "min", "max"), (0.25, 0.5, 0.75))
 
 
 def histogram(df: DataFrame, col: str, n_bins: int, low: float | None = None, high: float | None = None, by: Sequence[str] = ()) -> DataFrame:
@@ -71,16 +82,14 @@ def histogram(df: DataFrame, col: str, n_bins: int, low: float | None = None, hi
 
 
 def quantile_clip(df: DataFrame, col: str, q_low: float, q_high: float, by: Sequence[str] = ()) -> DataFrame:
-    """Rows between two quantiles of their group, both included."""
-    limits = df.groupBy(*by).agg(F.percentile(col, F.array(F.lit(q_low), F.lit(q_high))).alias("_q"))
-    joined = df.join(limits, list(by)) if by else df.crossJoin(F.broadcast(limits))  # without groups: one row
-    return joined.where(F.col(col).between(F.col("_q")[0], F.col("_q")[1])).drop("_q")
+    """Rows between two exact quantiles of their group, both included; groups are told apart null-safely."""
+    limits = exact_quantiles(df, col, [q_low, q_high], by).toDF(*by, "_low", "_high")
+    return _with_groups(df, limits, by).where(F.col(col).between(F.col("_low"), F.col("_high"))).drop("_low", "_high")
 
 
 def quantile_limits(df: DataFrame, by: Sequence[str], col: str, qs: Sequence[float] = (0.01, 0.99)) -> DataFrame:
-    """Colour limits: quantiles of each group."""
-    agg = df.groupBy(*by).agg(F.percentile(col, F.array(*[F.lit(float(q)) for q in qs])).alias("_q"))
-    return agg.select(*by, *[F.col("_q")[i].alias(quantile_name(q)) for i, q in enumerate(qs)])
+    """Colour limits: exact quantiles of each group."""
+    return exact_quantiles(df, col, qs, by)
 
 
 def down_sample(df: DataFrame, max_rows: int, key_cols: Sequence[str], total: int | None = None) -> DataFrame:

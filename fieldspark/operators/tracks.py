@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldspark.operators.numbering import running_sum
+
 
 def diff_distance(cols: Sequence[str], group: Sequence[str], order: Sequence[str], p: float = 2, k: int = 1, default: float | None = None) -> Column:
     """p-norm of the step from the row ``k`` back in the group; the first rows get ``default``."""
@@ -33,12 +35,13 @@ def number_tracks(df: DataFrame, gap_col: str, threshold: float, group: Sequence
 def continue_tracks(df: DataFrame, track_col: str, group: Sequence[str], first_by: str, start: int = 0) -> DataFrame:
     """Make numbers run on from one group to the next, in order of the groups' first ``first_by``.
 
-    Groups are aggregated first: the one unpartitioned window runs over one row per group.
+    Groups are aggregated first; their sizes are summed up in ranges of the order, however many groups there are.
     """
     size = df.groupBy(*group).agg((F.max(track_col) + 1).alias("_n"), F.min(first_by).alias("_first"))
-    before = Window.orderBy("_first", *group).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = size.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)) + start).drop("_n", "_first")
-    return df.join(offsets, list(group)).withColumn(track_col, F.col(track_col) + F.col("_offset")).drop("_offset")
+    offsets = running_sum(size, "_n", ["_first", *group], "_offset", include_own=False)
+    offsets = offsets.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], (F.col("_offset") + start).alias("_offset"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(group)])
+    return df.join(offsets, same).withColumn(track_col, F.col(track_col) + F.col("_offset")).drop("_offset", *[f"_g{i}" for i in range(len(group))])
 
 
 def run_position(df: DataFrame, value_col: str, order: Sequence[str], group: Sequence[str] = (), out: str = "position") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldspark.operators.compare import common_locations, compare_tables, differences, join_rounded, match, not_done, of_experts
 from fieldspark.operators.grid import value_at_nearest_cell
+from fieldspark.operators.lattice import bilinear_value
 from fieldspark.operators.nearby import Near, band_terms, distance, expert_as_location, local_select, near_join, nearest, prediction_locations, shifted_locations
 from fieldspark.plans.tables import SCALED_SQL, experts, experts_sql, observations, read, scaled_observations
 from fieldspark.sources.store import attach_locations
@@ -161,6 +162,20 @@ def g8_raster_value(spark, sf_dir):
     return value_at_nearest_cell(pts, raster, "x", "y", "v", 1.0, "geoid").select("l_orderkey", "l_linenumber", F.round(F.col("geoid") - F.col("l_discount"), 6).alias("height"))
 
 
+RASTER_SQL = "r AS (SELECT p_size AS cx, p_partkey % 40 AS cy, avg(p_retailprice) AS v FROM part WHERE p_partkey % 9 <> 0 GROUP BY 1, 2)"
+
+
+@query("g8_bilinear_value", f"""WITH {RASTER_SQL},
+ p AS (SELECT row_number() OVER () AS id, l_orderkey, l_linenumber, l_quantity + l_discount * 7 AS x, l_extendedprice / 2700 AS y FROM lineitem),
+ c AS (SELECT id, l_orderkey, l_linenumber, floor(x) + i AS cx, floor(y) + j AS cy, (CASE WHEN i = 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END) * (CASE WHEN j = 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) AS w FROM p, range(2) a(i), range(2) b(j))
+SELECT c.l_orderkey, c.l_linenumber, round(sum(w * v) / sum(CASE WHEN v IS NOT NULL THEN w END), 6) AS height FROM c LEFT JOIN r ON c.cx = r.cx AND c.cy = r.cy AND w > 0 GROUP BY c.id, 1, 2""")
+def g8_bilinear_value(spark, sf_dir):
+    """A raster with holes, read between its cells; points outside have no value."""
+    raster = read(spark, sf_dir, "part").where("p_partkey % 9 <> 0").groupBy((F.col("p_size") * 1.0).alias("x"), (F.col("p_partkey") % 40 * 1.0).alias("y")).agg(F.avg("p_retailprice").alias("v"))
+    pts = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") + F.col("l_discount") * 7).alias("x"), (F.col("l_extendedprice") / 2700).alias("y"))
+    return bilinear_value(pts, raster, "x", "y", "v", 1.0, "height").select("l_orderkey", "l_linenumber", F.round("height", 6).alias("height"))
+
+
 @query("j1_distances", f"WITH {SCALED_SQL}, {experts_sql()} SELECT expert_id, round(min(sqrt(pow(o.x - e.x, 2) + pow(o.y - e.y, 2))), 6) AS nearest FROM experts e JOIN obs o ON sqrt(pow(o.x - e.x, 2) + pow(o.y - e.y, 2)) <= {RADIUS} GROUP BY 1")
 def j1_distances(spark, sf_dir):
     pairs = near_join(experts(spark), observations(spark, sf_dir).withColumn("x", F.col("x") / 2000.0), [Near(["x", "y"], "<=", RADIUS)], keep=["id"])

@@ -8,6 +8,7 @@ from fieldspark.operators.binning import bin_by
 from fieldspark.operators.experts import ExpertConfig, fit_experts, long_parameters, run_experts, select_for_experts, wide_parameters
 from fieldspark.operators.glue import SmoothingConfig, glue_1d, glue_by_spacing, glue_local_predictions, kernel_smooth, mean_by_location, smooth_parameters, weighted_values
 from fieldspark.operators.gp import GPConfig
+from fieldspark.operators.lattice import smooth_lattice
 from fieldspark.operators.nearby import Near
 from fieldspark.operators.stats import scores
 from fieldspark.operators.xval import cross_validate, folds, held_out_locations, training_rows
@@ -157,6 +158,20 @@ def a15_kernel_smooth_full(spark, sf_dir):
     return rounded(kernel_smooth(parameter_points(spark, sf_dir), "v", 3.0, 2.0, by=["dim"], cutoff=None), "v", digits=6)
 
 
+LATTICE_SQL = """q AS (SELECT l_returnflag AS source, floor(l_quantity)::BIGINT AS ix, floor(l_extendedprice / 3000)::BIGINT AS iy, avg(l_discount) AS v, count(*) AS n FROM lineitem GROUP BY 1, 2, 3),
+ d AS (SELECT source, ix, iy, CASE WHEN n % 4 <> 0 THEN v END AS v FROM q)"""
+
+
+@query("a18_smooth_lattice", f"""WITH {LATTICE_SQL}
+SELECT a.source, a.ix, a.iy, round(sum(b.v * exp(-0.5 * (pow(b.ix - a.ix, 2) + pow(b.iy - a.iy, 2)) / 2.25)) / sum(exp(-0.5 * (pow(b.ix - a.ix, 2) + pow(b.iy - a.iy, 2)) / 2.25)), 7) AS v
+FROM d a JOIN d b ON a.source = b.source AND abs(a.ix - b.ix) <= 6 AND abs(a.iy - b.iy) <= 6 AND b.v IS NOT NULL WHERE a.v IS NOT NULL GROUP BY 1, 2, 3""")
+def a18_smooth_lattice(spark, sf_dir):
+    """Mean discounts on a lattice with holes, smoothed for each source."""
+    cells = read(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("source"), F.floor("l_quantity").alias("ix"), F.floor(F.col("l_extendedprice") / 3000).alias("iy")).agg(F.avg("l_discount").alias("v"), F.count("*").alias("n"))
+    holed = cells.select("source", "ix", "iy", F.when(F.col("n") % 4 != 0, F.col("v")).alias("v"))
+    return rounded(smooth_lattice(holed, "v", 1.5, ["source"]).where("v is not null"), "v")
+
+
 @query("a16_smooth_parameters", f"""WITH {POINTS_SQL}, c AS (SELECT x, y, dim, greatest(least(v, 990), 905) AS v FROM q)
 SELECT a.x, a.y, 'lengthscales' AS param, a.dim, round(sum(b.v * exp(-0.5 * (pow((b.x - a.x) / 2, 2) + pow((b.y - a.y) / 2, 2)))) / sum(exp(-0.5 * (pow((b.x - a.x) / 2, 2) + pow((b.y - a.y) / 2, 2)))), 6) AS value
 FROM c a JOIN c b ON a.dim = b.dim GROUP BY 1, 2, 4
