@@ -5,6 +5,7 @@ NULL values are left out of both sums; where all weights vanish the result is NU
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -80,17 +81,28 @@ class SmoothingConfig:
     min: float | None = None
 
 
-def kernel_smooth(df: DataFrame, value: str, l_x: float, l_y: float, x: str = "x", y: str = "y", by: Sequence[str] = (), cutoff: float | None = None) -> DataFrame:
-    """Each point's kernel-weighted mean over the points of its group.
+def kernel_smooth(df: DataFrame, value: str, l_x: float, l_y: float, x: str = "x", y: str = "y", by: Sequence[str] = (), cutoff: float | None = None, error: float | None = None) -> DataFrame:
+    """Each point's kernel-weighted mean over the points of its group; groups are told apart null-safely.
 
-    By default all pairs of a group count, which is exact and quadratic in the group.  A ``cutoff``
-    leaves out points farther than so many scaled lengths (a bucket join), for large groups.
+    By default all pairs of a group count, which is exact and quadratic in the group.  A group's rows are dealt over
+    all tasks, and its points meet each share; so one large group is as much parallel work as many small ones.  A ``cutoff``
+    leaves out points farther than so many scaled lengths (a bucket join).  ``error`` chooses the cutoff: a point with
+    a value weighs 1 in its own mean, so leaving out weights of at most ``error`` in all moves the mean by
+    at most 2 ``error`` times the range of the group's values.  Points without a value have no such weight of
+    their own and meet all points.  Points without whole coordinates have no mean: NULL, or no row with a cutoff.
     """
+    if error is not None:
+        own = reduce(lambda p, q: p & q, [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(by)], F.lit(True))
+        known = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value)))
+        largest = known.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
+        near = kernel_smooth(known, value, l_x, l_y, x, y, by, math.sqrt(2 * math.log(max(2.0, largest / error))))
+        done = known.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)], F.col(x).alias("_gx"), F.col(y).alias("_gy")).distinct()
+        alone = df.join(done, own & (F.col(x) == F.col("_gx")) & (F.col(y) == F.col("_gy")), "left_anti").select(*by, x, y)
+        return near.unionByName(_smooth_pairs(_all_pairs(alone, known, value, x, y, by), value, l_x, l_y, x, y, by))
     a = df.select(*by, F.col(x).alias(f"e_{x}"), F.col(y).alias(f"e_{y}")).distinct()
     b = df.select(*by, x, y, value).where(F.col(value).isNotNull() & ~F.isnan(F.col(value)))
-    sx, sy = (F.col(x) - F.col(f"e_{x}")) / l_x, (F.col(y) - F.col(f"e_{y}")) / l_y
     if cutoff is None:
-        pairs = a.join(b, list(by)) if by else a.crossJoin(b)
+        pairs = _all_pairs(df, b, value, x, y, by)
     else:
         group = {f"g_{c}": F.col(c) for c in by}
         # groups are kept apart by their own column; cells are one cutoff wide in scaled units
@@ -100,12 +112,27 @@ def kernel_smooth(df: DataFrame, value: str, l_x: float, l_y: float, x: str = "x
         pairs = pairs.withColumnsRenamed({f"l_e_{x}": f"e_{x}", f"l_e_{y}": f"e_{y}"})
         for c in by:
             pairs = pairs.where(F.col(f"l_g_{c}").eqNullSafe(F.col(c)))
+    return _smooth_pairs(pairs, value, l_x, l_y, x, y, by)
+
+
+def _all_pairs(points: DataFrame, rows: DataFrame, value: str, x: str, y: str, by: Sequence[str]) -> DataFrame:
+    """Every point (as e_x, e_y) with every row of its group, dealt by shares of the rows."""
+    shares = 4 * int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a = points.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)], F.col(x).alias(f"e_{x}"), F.col(y).alias(f"e_{y}")).distinct()
+    a = a.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    b = rows.select(*by, x, y, value, F.pmod(F.xxhash64(x, y, value), F.lit(shares)).cast("int").alias("_of"))
+    same = reduce(lambda p, q: p & q, [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(by)], F.col("_share") == F.col("_of"))
+    return a.join(b, same)
+
+
+def _smooth_pairs(pairs: DataFrame, value: str, l_x: float, l_y: float, x: str, y: str, by: Sequence[str]) -> DataFrame:
+    sx, sy = (F.col(x) - F.col(f"e_{x}")) / l_x, (F.col(y) - F.col(f"e_{y}")) / l_y
     weighted = pairs.withColumn("_w", F.exp(-0.5 * (sx * sx + sy * sy)))
     out = weighted.groupBy(*by, f"e_{x}", f"e_{y}").agg(weighted_mean(value, F.col("_w")).alias(value))
     return out.withColumnsRenamed({f"e_{x}": x, f"e_{y}": y})
 
 
-def smooth_parameters(params: DataFrame, config: dict[str, SmoothingConfig], coords: Sequence[str], xy: tuple[str, str] = ("x", "y"), cutoff: float | None = None) -> DataFrame:
+def smooth_parameters(params: DataFrame, config: dict[str, SmoothingConfig], coords: Sequence[str], xy: tuple[str, str] = ("x", "y"), cutoff: float | None = None, error: float | None = None) -> DataFrame:
     """Long parameter table (coords, param, dim, value): chosen parameters clamped and smoothed over
     xy within equal other coordinates and dimensions; the others stay as they are."""
     by = [c for c in coords if c not in xy]
@@ -116,7 +143,7 @@ def smooth_parameters(params: DataFrame, config: dict[str, SmoothingConfig], coo
         v = v if c.max is None else F.least(v, F.lit(float(c.max)))
         v = v if c.min is None else F.greatest(v, F.lit(float(c.min)))
         own = params.where(F.col("param") == name).withColumn("value", v)
-        smooth = kernel_smooth(own, "value", c.l_x, c.l_y, *xy, by=[*by, "dim"], cutoff=cutoff).where(F.col("value").isNotNull())
+        smooth = kernel_smooth(own, "value", c.l_x, c.l_y, *xy, by=[*by, "dim"], cutoff=cutoff, error=error).where(F.col("value").isNotNull())
         out = out.unionByName(smooth.withColumn("param", F.lit(name)).select(*names))
     return out
 

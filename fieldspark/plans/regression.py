@@ -158,6 +158,32 @@ def a15_kernel_smooth_full(spark, sf_dir):
     return rounded(kernel_smooth(parameter_points(spark, sf_dir), "v", 3.0, 2.0, by=["dim"], cutoff=None), "v", digits=6)
 
 
+NULLS_SQL = """q AS (SELECT p_size * 1.0 AS x, p_partkey % 40 * 1.0 AS y, CASE WHEN p_partkey % 5 > 0 THEN (p_partkey % 2)::INTEGER END AS dim, max(CASE WHEN p_partkey % 7 > 0 THEN p_retailprice END) AS v FROM part GROUP BY 1, 2, 3)"""
+
+
+def points_with_nulls(spark, sf_dir):
+    """Parameter points of which a fifth have no group and some no value."""
+    p = read(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    keys = [(F.col("p_size") * 1.0).alias("x"), (k % 40 * 1.0).alias("y"), F.when(k % 5 > 0, (k % 2).cast("int")).alias("dim")]
+    return p.groupBy(*keys).agg(F.max(F.when(k % 7 > 0, F.col("p_retailprice"))).alias("v"))
+
+
+NULLS_SMOOTH_SQL = f"""WITH {NULLS_SQL}, w AS (SELECT a.dim, a.x, a.y, b.v, exp(-0.5 * (pow((b.x - a.x) / 3, 2) + pow((b.y - a.y) / 2, 2))) AS w FROM q a JOIN q b ON a.dim IS NOT DISTINCT FROM b.dim AND b.v IS NOT NULL)
+SELECT dim, x, y, round(sum(v * w) / sum(w), 6) AS v FROM w GROUP BY 1, 2, 3"""
+
+
+@query("a15_kernel_smooth_nulls", NULLS_SMOOTH_SQL)
+def a15_kernel_smooth_nulls(spark, sf_dir):
+    return rounded(kernel_smooth(points_with_nulls(spark, sf_dir), "v", 3.0, 2.0, by=["dim"]), "v", digits=6)
+
+
+@query("a15_kernel_smooth_error", NULLS_SMOOTH_SQL)
+def a15_kernel_smooth_error(spark, sf_dir):
+    """The same without most far pairs: at most 2e-11 of the values' range is lost."""
+    return rounded(kernel_smooth(points_with_nulls(spark, sf_dir), "v", 3.0, 2.0, by=["dim"], error=1e-11), "v", digits=6)
+
+
 LATTICE_SQL = """q AS (SELECT l_returnflag AS source, floor(l_quantity)::BIGINT AS ix, floor(l_extendedprice / 3000)::BIGINT AS iy, avg(l_discount) AS v, count(*) AS n FROM lineitem GROUP BY 1, 2, 3),
  d AS (SELECT source, ix, iy, CASE WHEN n % 4 <> 0 THEN v END AS v FROM q)"""
 

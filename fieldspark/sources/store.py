@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
+import types
 from collections.abc import Sequence
 from dataclasses import asdict, is_dataclass
 from datetime import datetime, timezone
@@ -22,22 +24,51 @@ CONFIG_SCHEMA = "config_id int, config_hash string, config string, created_at ti
 
 
 def json_text(value: Any) -> str:
-    """Canonical JSON of a configuration; dataclasses as dicts, what JSON lacks as text."""
+    """Canonical JSON of a configuration, the same in every process.
+
+    Dataclasses become dicts, sets sorted lists, functions their name with a hash of what they do (code, defaults and
+    captured values), and other objects the name of their class with their attributes.
+    """
 
     def plain(x: Any) -> Any:
         if is_dataclass(x) and not isinstance(x, type):
             return plain(asdict(x))
         if isinstance(x, dict):
             return {str(k): plain(v) for k, v in x.items()}
-        if isinstance(x, (list, tuple, set)):
+        if isinstance(x, (set, frozenset)):
+            return sorted((plain(v) for v in x), key=lambda v: json.dumps(v, sort_keys=True))
+        if isinstance(x, (list, tuple)):
             return [plain(v) for v in x]
         if hasattr(x, "tolist"):
             return x.tolist()
-        return x if isinstance(x, (str, int, float, bool, type(None))) else str(x)
+        if isinstance(x, (str, int, float, bool, type(None))):
+            return x
+        if isinstance(x, functools.partial):
+            return {"partial": plain(x.func), "args": plain(x.args), "keywords": plain(x.keywords)}
+        if isinstance(x, types.MethodType):
+            return {"method": plain(x.__func__), "of": plain(x.__self__)}
+        if isinstance(x, types.FunctionType):
+            captured = [plain(c.cell_contents) for c in x.__closure__ or ()]
+            return {"function": f"{x.__module__}.{x.__qualname__}", "hash": digest([code_text(x.__code__), plain(x.__defaults__), plain(x.__kwdefaults__), captured])}
+        if isinstance(x, (type, types.BuiltinFunctionType, types.ModuleType)):
+            return f"{getattr(x, '__module__', None) or ''}.{getattr(x, '__qualname__', x.__name__)}"
+        if type(x).__repr__ is object.__repr__:
+            return {"object": plain(type(x)), "attributes": plain(vars(x)) if hasattr(x, "__dict__") else []}
+        return str(x)
 
     return json.dumps(plain(value), sort_keys=True)
 
 
+def digest(x: Any) -> str:
+    return hashlib.sha256(json.dumps(x, sort_keys=True).encode()).hexdigest()[:16]
+
+
+def code_text(code: types.CodeType) -> list:
+    """What a function does, without where it stands in its file."""
+    constants = [code_text(c) if isinstance(c, types.CodeType) else sorted(map(repr, c)) if isinstance(c, frozenset) else repr(c) for c in code.co_consts]
+    return [code.co_code.hex(), constants, list(code.co_names), list(code.co_varnames)]
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -105,6 +136,9 @@ class Store:
             new = row["top"] + 1
         else:
             new = 1
+        # runs at the same time may see the same top: the file of an id can be made by one of them only
+        while not self._fs.createNewFile(self._path(f"{self.root}/_ids/{new}")):
+            new += 1
         at = datetime.now(timezone.utc).replace(tzinfo=None)
         self.spark.createDataFrame([(new, digest, text, at)], CONFIG_SCHEMA).coalesce(1).write.mode("append").parquet(f"{self.root}/{CONFIGS}")
         return new
