@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from datetime import timedelta
 
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from fieldspark.operators.binning import Axis
 from fieldspark.operators.tracks import continue_tracks, diff_distance, minimum_spacing, number_tracks, run_position, time_gap, track_starts
 from fieldspark.plans.tables import events, read
 from fieldspark.sources.scratch import scratch_root
-from fieldspark.streaming.streams import daily_bins, run_to_end, track_sessions
+from fieldspark.streaming.streams import daily_bin_sums, daily_bins, read_daily_bins, replace_batch, track_sessions, write_daily_bins, write_tracks
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -137,9 +138,31 @@ def st2_daily_bins(spark, sf_dir):
 
 @query("st2_daily_bins_streamed", DAILY_SQL)
 def st2_daily_bins_streamed(spark, sf_dir):
-    """The same aggregation as a stream, run over all that is available in complete mode."""
+    """The same as a table that a stream keeps; its last batch is run a second time, which changes nothing."""
     stream = spark.readStream.schema(events(spark, sf_dir).schema).parquet(f"{sf_dir}/events.parquet*")
-    return run_to_end(daily(stream), f"daily_{uuid.uuid4().hex}", f"{scratch_root(spark)}/streams/{uuid.uuid4().hex}", "complete")
+    rows = lambda df: df.select(F.col("ts").cast("timestamp").alias("ts"), "event_type", F.col("value").alias("x"), (F.col("user_id") % 150).cast("double").alias("y"), F.col("value").alias("mean"))
+    root = f"{scratch_root(spark)}/streams/{uuid.uuid4().hex}"
+    axes = [("x", Axis(0.0, 200.0, 20.0)), ("y", Axis(0.0, 150.0, 50.0))]
+    done = write_daily_bins(rows(stream), f"{root}/bins", f"{root}/checkpoint", "ts", "mean", *axes, ["event_type"])
+    done.awaitTermination()
+    replace_batch(daily_bin_sums(rows(events(spark, sf_dir)), "ts", "mean", *axes, ["event_type"]), 0, f"{root}/bins", ["day"])
+    out = read_daily_bins(spark, f"{root}/bins", "mean", *axes, ["event_type"])
+    return out.select(F.unix_seconds(F.col("day").cast("timestamp")).alias("day"), "event_type", F.col("x").alias("value_bin"), F.col("y").alias("user_bin"), F.round("mean", 6).alias("mean"), "n")
+
+
+@query("st3_tracks_streamed", f"WITH {GAPS_SQL} SELECT event_id, track FROM t")
+def st3_tracks_streamed(spark, sf_dir):
+    """Tracks numbered by a stream that is started again for the last third of the events."""
+    e = events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    root = f"{scratch_root(spark)}/streams/{uuid.uuid4().hex}"
+    cuts = e.agg(F.percentile_approx(F.unix_micros("ts"), [1 / 3, 2 / 3])).first()[0]
+    third = lambda k: F.when(F.unix_micros("ts") < cuts[0], 0).when(F.unix_micros("ts") < cuts[1], 1).otherwise(2) == k
+    for part in range(3):
+        e.where(third(part)).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        if part:  # the first start finds two files, the second what has come since
+            stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+            write_tracks(stream, f"{root}/tracks", f"{root}/checkpoint", "ts", ["user_id"], ORDER, timedelta(days=1)).awaitTermination()
+    return spark.read.parquet(f"{root}/tracks").select("event_id", "track")
 
 
 @query("st3_track_sessions", f"""WITH {GAPS_SQL} SELECT user_id, epoch_us(min(ts)) AS track_start, count(*) AS n, round(avg(value), 6) AS value FROM t GROUP BY user_id, track""")

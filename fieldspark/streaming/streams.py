@@ -1,14 +1,18 @@
-"""Structured Streaming forms: incremental file ingest, daily binned means, tracks by time gap."""
+"""Structured Streaming forms: incremental file ingest, tables of daily bins, tracks by time gap."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from datetime import timedelta
 from typing import Any
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from fieldspark.functions.columns import ColumnSpec, add_columns, nan_to_null, select_columns
 from fieldspark.functions.predicates import select_rows
@@ -44,8 +48,104 @@ def track_sessions(df: DataFrame, time_col: str, group: Sequence[str], gap: str,
     return out.select(*group, F.col("s.start").alias("track_start"), F.col("s.end").alias("track_end"), "n", *values)
 
 
-def run_to_end(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Drive a stream over what is available into a memory table and return it (tests, small results)."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return df.sparkSession.table(name)
+def replace_batch(batch: DataFrame, batch_id: int, path: str, partition_by: Sequence[str] = ()) -> None:
+    """Write a micro-batch as partitions of its own, in place of what an earlier try of the same batch left."""
+    rows = batch.withColumn("batch", F.lit(batch_id).cast("long"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by, "batch").parquet(path)
+
+
+def write_stream(df: DataFrame, path: str, checkpoint: str, partition_by: Sequence[str] = (), prepare: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
+    """Run a stream over what is available into a table, batch by batch; a batch that is run again changes nothing.
+
+    ``prepare`` is applied to each micro-batch as a plain DataFrame.
+    """
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        replace_batch(prepare(batch) if prepare else batch, batch_id, path, partition_by)
+
+    return df.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def daily_bin_sums(df: DataFrame, time_col: str, val_col: str, x: tuple[str, Axis], y: tuple[str, Axis], by: Sequence[str] = ()) -> DataFrame:
+    """day, by, ix, iy, s and n of each day and bin: what daily means are made of, and what batches can add up."""
+    (x_col, x_axis), (y_col, y_axis) = x, y
+    rows = df.withColumns({"day": F.to_date(time_col), "ix": x_axis.index(F.col(x_col)), "iy": y_axis.index(F.col(y_col))})
+    return rows.where("day is not null and ix is not null and iy is not null").groupBy("day", *by, "ix", "iy").agg(F.sum(val_col).alias("s"), F.count(val_col).alias("n"))
+
+
+def write_daily_bins(df: DataFrame, path: str, checkpoint: str, time_col: str, val_col: str, x: tuple[str, Axis], y: tuple[str, Axis], by: Sequence[str] = ()) -> StreamingQuery:
+    """Keep a table of daily bins by a stream: each batch replaces its own share of the days that it touches.
+
+    No watermark is needed: rows of any age add to their day.
+    """
+    return write_stream(df, path, checkpoint, ["day"], lambda batch: daily_bin_sums(batch, time_col, val_col, x, y, by))
+
+
+def read_daily_bins(spark: SparkSession, path: str, val_col: str, x: tuple[str, Axis], y: tuple[str, Axis], by: Sequence[str] = ()) -> DataFrame:
+    """Mean and count per day, group and bin, all batches together."""
+    sums = spark.read.parquet(path).groupBy("day", *by, "ix", "iy").agg((F.sum("s") / F.sum("n")).alias(val_col), F.sum("n").alias("n"))
+    return sums.select("day", *by, x[1].centre(F.col("ix")).alias(x[0]), y[1].centre(F.col("iy")).alias(y[0]), val_col, "n")
+
+
+class TrackNumbers(StatefulProcessor):
+    """Each group's last time and track number, as keyed state."""
+
+    def __init__(self, time_col: str, order: Sequence[str], threshold_us: float, start: int, names: Sequence[str]):
+        self.time_col, self.order, self.threshold_us, self.start, self.names = time_col, list(order), threshold_us, start, list(names)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("track", "last_us bigint, track bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last, track = self.state.get() if self.state.exists() else (None, self.start)
+        part = pd.concat(list(rows), ignore_index=True).sort_values(self.order, na_position="first", kind="stable", ignore_index=True)
+        known = part[self.time_col].notna().to_numpy()
+        us = part[self.time_col].to_numpy("datetime64[us]").astype("int64")[known]
+        if len(us):
+            # rows older than what was seen before open no track
+            before = np.maximum.accumulate(np.concatenate([[us[0] if last is None else last], us[:-1]]))
+            opened = np.zeros(len(part), np.int64)
+            opened[known] = us - before > self.threshold_us
+            tracks = track + np.cumsum(opened)
+            last, track = int(max(us.max(), before[0])), int(tracks[-1])
+        else:
+            tracks = np.full(len(part), track)
+        if last is not None:
+            self.state.update((last, track))
+        yield part.assign(track=tracks)[self.names]
+
+    def close(self) -> None:
+        pass
+
+
+def stream_tracks(df: DataFrame, time_col: str, group: Sequence[str], order: Sequence[str], threshold: timedelta, start: int = 0) -> DataFrame:
+    """The rows of a stream with their ``track``, which runs on over micro-batches and restarts.
+
+    A row more than ``threshold`` after the one before it in its group opens a track.  Batches that come in the order of
+    time give what ``number_tracks`` gives on the whole table; a row that comes late takes the group's current
+    track.  Rows without a time take it too.  A task holds a group's rows of one micro-batch, which ``maxFilesPerTrigger`` bounds.
+    """
+    schema = T.StructType([*df.schema.fields, T.StructField("track", T.LongType())])
+    numbers = TrackNumbers(time_col, order, threshold / timedelta(microseconds=1), start, schema.names)
+    return df.groupBy(*group).transformWithStateInPandas(numbers, schema, "append", "none")
+
+
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Streams that are started inside keep their state in RocksDB, which keyed state needs; the session is left as it was."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def write_tracks(df: DataFrame, path: str, checkpoint: str, time_col: str, group: Sequence[str], order: Sequence[str], threshold: timedelta, start: int = 0) -> StreamingQuery:
+    """Number the tracks of what is available and append it to a table, each batch once; the checkpoint keeps the groups' state."""
+    with keyed_state(df.sparkSession):
+        return write_stream(stream_tracks(df, time_col, group, order, threshold, start), path, checkpoint)
