@@ -42,7 +42,7 @@ from fieldspark.llm.common import binary_column, dropped, small_batches, table,
 
 K = 10
 BLOCK_ITEMS, BLOCK_TERMS = 2048, 1 << 17
-CHUNK_ROWS, CHUNK_TERMS = 8192, 1 << 21
+CHUNK_ROWS, CHUNK_TERMS = 2048, 1 << 19
 LEAF_ROWS = 32
 #: Leaves of each tree that are scored for the floor.
 TRIES = 2
@@ -130,7 +130,7 @@ class Tree(NamedTuple):
     ids: np.ndarray  # doc_id of each row
     row: np.ndarray  # where each row's terms begin, and the end
     at: np.ndarray  # term numbers
-    weight: np.ndarray  # integer weights
+    weight: np.ndarray  # integer weights, below 2**31
     lo: np.ndarray  # first row of each node
     hi: np.ndarray
     left: np.ndarray  # children, -1 for leaves
@@ -292,7 +292,7 @@ def search(tree: Tree, asked: np.ndarray, value: np.ndarray, pull: np.ndarray, k
     return ids, scores, seen
 
 
-_KINDS = {"ids": "<i8", "row": "<i4", "at": "<i4", "weight": "<i8", "lo": "<i4", "hi": "<i4", "left": "<i4", "right": "<i4", "least": "<i8", "r_row": "<i4", "r_group": "<i4", "r_value": "<f8", "c_row": "<i4", "c_at": "<i4", "c_value": "<f8"}
+_KINDS = {"ids": "<i8", "row": "<i4", "at": "<i4", "weight": "<i4", "lo": "<i4", "hi": "<i4", "left": "<i4", "right": "<i4", "least": "<i8", "r_row": "<i4", "r_group": "<i4", "r_value": "<f8", "c_row": "<i4", "c_at": "<i4", "c_value": "<f8"}
 
 
 def trees(rows: DataFrame, scale: np.ndarray, group: np.ndarray, n_docs: int, n_terms: int) -> DataFrame:
