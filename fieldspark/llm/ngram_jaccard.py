@@ -33,7 +33,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -48,6 +48,7 @@ SHINGLE = 5
 PERCENT = 75
 COUNTERS, SEGMENT = 23, 19
 TILE_ROWS = 4096
+SMALL_SETS = 24 << 20
 PAYS, FEW = 8, 16
 
 
@@ -242,12 +243,17 @@ def fingerprint_arrays(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
-    """The pairs (a, b) whose sets link, by exact intersection; a written table."""
+    """The pairs (a, b) whose sets link, by exact intersection; a written table.
+
+    Sets that take up to ``SMALL_SETS`` bytes in all are sent to every task, once for all their pairs; more are shuffled.
+    """
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
     arrays = written(fingerprint_arrays(docs, ids), "fingerprints")
     once = arrays.dropDuplicates(["doc_id", "k2"])
-    left = once.select(F.col("doc_id").alias("a"), F.col("s").alias("a_s"))
-    right = once.select(F.col("doc_id").alias("b"), F.col("s").alias("b_s"))
+    small = (arrays.agg(F.sum(F.length("s") + 64)).first()[0] or 0) <= SMALL_SETS
+    sent = F.broadcast if small else lambda df: df
+    left = sent(once.select(F.col("doc_id").alias("a"), F.col("s").alias("a_s")))
+    right = sent(once.select(F.col("doc_id").alias("b"), F.col("s").alias("b_s")))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "a_s", "b_s")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,14 +306,20 @@ def places(heads: DataFrame, shared: DataFrame) -> DataFrame:
     return heads.select("doc_id", "n", "prefix").mapInArrow(run, "doc_id bigint, n int, pos int, h bigint")
 
 
-def leader_pairs(tiles: DataFrame, number: int) -> DataFrame:
+#: Whether two rows may link by further columns of theirs; the names of the columns, and a condition on both rows' values.
+Alike = tuple[Sequence[str], Callable[[Callable[[str], Column], Callable[[str], Column]], Column]]
+ANY: Alike = ((), lambda a, b: F.lit(True))
+
+
+def leader_pairs(tiles: DataFrame, number: int, alike: Alike = ANY) -> DataFrame:
     """At most one pair for each row of the tiles: with the leader, in another component, of most of its tiles."""
     draw = F.struct(F.lit(0.0) if number else -F.col("central"), F.xxhash64("doc_id", F.lit(number)))
-    pick = F.struct(draw.alias("draw"), "n", "doc_id", "pos", "comp")
+    pick = F.struct(draw.alias("draw"), "n", "doc_id", "pos", "comp", *alike[0])
     # written first: both sides of the join are then plain exchanges, and a hot tile can be split
     leaders = written(tiles.groupBy("h", "band").agg(F.min(pick).alias("leader")), "leaders")
     below = tiles.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") - 1))).join(leaders, ["h", "band"])
     fit = sizes_fit(F.col("n"), F.col("leader.n")) & overlap_possible(F.col("n"), F.col("pos"), F.col("leader.n"), F.col("leader.pos"))
+    fit &= alike[1](F.col, lambda c: F.col(f"leader.{c}"))
     stars = below.where((F.col("comp") != F.col("leader.comp")) & fit).groupBy("doc_id", F.col("leader.doc_id").alias("other")).agg(F.count("*").alias("tiles"))
     best = stars.groupBy("doc_id").agg(F.max_by("other", F.struct("tiles", F.xxhash64("other"))).alias("other"))
     out = written(best.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct(), "leader-pairs")
@@ -317,7 +329,7 @@ def leader_pairs(tiles: DataFrame, number: int) -> DataFrame:
 
 def still_mixed(tiles: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of tiles that hold more than one component."""
-    names = ["h", "band", "doc_id", "n", "pos", "central"]
+    names = [c for c in tiles.columns if c != "comp"]
     named = tiles.select(names).join(labels, F.col("doc_id") == F.col("node"), "left").select(*names, F.coalesce("root", "doc_id").alias("comp"))
     mixed = written(named.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("h"), "mixed-tiles")
     out = written(named.join(mixed, "h"), "tile-rows")
@@ -325,18 +337,19 @@ def still_mixed(tiles: DataFrame, labels: DataFrame) -> DataFrame:
     return out
 
 
-def tile_candidates(tiles: DataFrame) -> DataFrame:
+def tile_candidates(tiles: DataFrame, alike: Alike = ANY) -> DataFrame:
     """Pairs of one tile in different components that sizes and places allow."""
     parts = tiles.groupBy("h", "comp").agg(F.count("*").alias("m")).groupBy("h").agg(F.max_by("comp", F.struct("m", "comp")).alias("largest"), F.sum("m").alias("m"))
     rows = written(tiles.join(written(parts, "tile-parts"), "h"), "tile-rows")
     blocks = F.ceil(F.col("m") / TILE_ROWS).cast("int")
     outside = (F.col("comp") != F.col("largest")).alias("outside")
-    asked = rows.select("h", "band", F.pmod(F.xxhash64("doc_id"), blocks).cast("int").alias("block"), F.col("doc_id").alias("b"), F.col("n").alias("b_n"), F.col("pos").alias("b_pos"), F.col("comp").alias("b_comp"), outside)
-    asking = rows.where("comp <> largest").select("h", F.explode(F.array([F.col("band") + i for i in (-1, 0, 1)])).alias("band"), F.sequence(F.lit(0), blocks - 1).alias("blocks"), F.col("doc_id").alias("a"), F.col("n").alias("a_n"), F.col("pos").alias("a_pos"), F.col("comp").alias("a_comp"))
+    asked = rows.select("h", "band", F.pmod(F.xxhash64("doc_id"), blocks).cast("int").alias("block"), F.col("doc_id").alias("b"), F.col("n").alias("b_n"), F.col("pos").alias("b_pos"), F.col("comp").alias("b_comp"), outside, *[F.col(c).alias(f"b_{c}") for c in alike[0]])
+    asking = rows.where("comp <> largest").select("h", F.explode(F.array([F.col("band") + i for i in (-1, 0, 1)])).alias("band"), F.sequence(F.lit(0), blocks - 1).alias("blocks"), F.col("doc_id").alias("a"), F.col("n").alias("a_n"), F.col("pos").alias("a_pos"), F.col("comp").alias("a_comp"), *[F.col(c).alias(f"a_{c}") for c in alike[0]])
     asking = asking.withColumn("block", F.explode("blocks")).drop("blocks")
     # two rows that both ask meet once
     fit = (F.col("a_comp") != F.col("b_comp")) & (~F.col("outside") | (F.col("a") < F.col("b"))) & sizes_fit(F.col("a_n"), F.col("b_n"))
     fit &= overlap_possible(F.col("a_n"), F.col("a_pos"), F.col("b_n"), F.col("b_pos"))
+    fit &= alike[1](lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"))
     pairs = asking.join(asked, ["h", "band", "block"]).where(fit)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -365,14 +378,15 @@ def jaccard_join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.select("doc_id", "n"), links.unionByName(copies.select("a", "b"))
 
 
-def tile_links(tiles: DataFrame, test: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+def tile_links(tiles: DataFrame, test: Callable[[DataFrame, str], DataFrame], alike: Alike = ANY) -> DataFrame:
     """Links (a, b) that join all rows of tiles which links of one tile can join; ``test`` keeps the pairs that link.
 
-    ``tiles`` is a written table of h, band, doc_id, n, pos, central and comp (the doc_id at first); it is deleted.
+    ``tiles`` is a written table of h, band, doc_id, n, pos, central and comp (the doc_id at first), and what ``alike``
+    asks for; it is deleted.
     """
     links, more, number = None, True, 0
     while more:
-        pairs = leader_pairs(tiles, number)
+        pairs = leader_pairs(tiles, number, alike)
         new = test(pairs, "leader-links")
         tested, found = pairs.count(), new.count()
         dropped(pairs)
@@ -382,7 +396,7 @@ def tile_links(tiles: DataFrame, test: Callable[[DataFrame, str], DataFrame]) ->
         dropped(labels)
         # a handful of rows may as well meet whole tiles
         more, number = found * PAYS > tested and tested > FEW, number + 1
-    links = links.unionByName(test(tile_candidates(tiles), "tile-links"))
+    links = links.unionByName(test(tile_candidates(tiles, alike), "tile-links"))
     dropped(tiles)
     return links
 
