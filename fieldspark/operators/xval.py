@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import replace
 from functools import reduce
 from typing import Any
@@ -11,11 +11,14 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldspark.functions.predicates import run_bounds, select_rows
+from fieldspark.functions.predicates import combined, run_bounds, select_rows
 from fieldspark.operators.experts import ExpertConfig, fit_experts, long_parameters, predict_experts, select_for_experts, wide_parameters, with_expert_id
-from fieldspark.operators.glue import SmoothingConfig, glue, smooth_parameters
+from fieldspark.operators.glue import SmoothingConfig, _all_pairs, glue
+from fieldspark.operators.gp import PARAMS
 from fieldspark.operators.nearby import _windows, local_select, prediction_locations
 from fieldspark.operators.stats import scores
+from fieldspark.sources.scratch import written
+from fieldspark.sources.store import json_text
 
 
 def where_products(wheres: Sequence[Sequence[dict[str, Any]]]) -> list[list[dict[str, Any]]]:
@@ -30,25 +33,68 @@ def folds(df: DataFrame, cols: Sequence[str], wheres: Sequence[Sequence[dict[str
     return every.select(F.xxhash64(*cols).alias("fold_id"), *cols)
 
 
+def where_folds(df: DataFrame, cols: Sequence[str], wheres: Sequence[Sequence[dict[str, Any]]] = ()) -> DataFrame:
+    """fold_id, where_id and values: the folds of each combination of predicates, kept apart.
+
+    ``where_id`` is the place of the combination among all.  Equal values under two combinations are two folds, as
+    their training rows differ.
+    """
+    rows = with_wheres(df, wheres).select(*cols, F.explode("_wheres").alias("where_id")).distinct()
+    texts = F.array(*[F.lit(json_text(w)) for w in _combinations(wheres)])
+    return rows.select(F.xxhash64(F.get(texts, F.col("where_id")), *cols).alias("fold_id"), "where_id", *cols)
+
+
+def _combinations(wheres: Sequence[Sequence[dict[str, Any]]]) -> list[list[dict[str, Any]]]:
+    return where_products(wheres) or [[]]
+
+
+def with_wheres(df: DataFrame, wheres: Sequence[Sequence[dict[str, Any]]], known_only: bool = False) -> DataFrame:
+    """The rows with ``_wheres``: which combinations of predicates they satisfy.
+
+    With ``known_only`` predicates on columns that ``df`` lacks are left out.
+    """
+    holds = []
+    for k, rules in enumerate(_combinations(wheres)):
+        cond = combined(df, [r for r in rules if not known_only or r.get("col") in df.columns])
+        holds.append(F.lit(k) if cond is None else F.when(cond, F.lit(k)))
+    return df.withColumn("_wheres", F.array_compact(F.array(*holds)))
+
+
 def in_fold(fold_cols: Sequence[str], prefix: str = "fold_") -> Column:
     return reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"{prefix}{c}")) for c in fold_cols])
 
 
+def _side(fold_table: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Folds with their values as fold_<c>, and where_id if they have one."""
+    return fold_table.select("fold_id", *[c for c in ("where_id",) if c in fold_table.columns], *[F.col(c).alias(f"fold_{c}") for c in cols])
+
+
+def _satisfied(rows: DataFrame, side: DataFrame) -> Column:
+    """Whether a row satisfies the predicates of a fold; always, where the one or the other has none."""
+    return F.array_contains("_wheres", F.col("where_id")) if "_wheres" in rows.columns and "where_id" in side.columns else F.lit(True)
+
+
 def training_rows(selected: DataFrame, fold_table: DataFrame, cols: Sequence[str], pairs: DataFrame | None = None) -> DataFrame:
-    """Every fold's training rows: the local selections that are not in the fold.
+    """Every fold's training rows: the local selections that satisfy its predicates and are not in the fold.
 
-    The raw observations are never multiplied by folds; their local selections are: by all folds, or by
-    those that ``pairs`` (expert_id, fold_id) names for the expert.
+    The raw observations are never multiplied by folds; their local selections are, by those folds that
+    ``pairs`` (expert_id, fold_id) names for the expert.  Without it every fold gets its rows of all that is selected; the rows
+    are dealt in shares and each share meets the folds.
     """
-    side = fold_table.select("fold_id", *[F.col(c).alias(f"fold_{c}") for c in cols])
-    met = selected.crossJoin(side) if pairs is None else selected.join(pairs.join(side, "fold_id"), "expert_id")
-    return met.where(~in_fold(cols)).drop(*[f"fold_{c}" for c in cols])
+    side = _side(fold_table, cols)
+    if pairs is not None:
+        met = selected.join(pairs.select("expert_id", "fold_id").join(side, "fold_id"), "expert_id")
+    else:
+        shares = 4 * int(selected.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = selected.withColumn("_share", F.pmod(F.xxhash64(*[c for c in selected.columns if c != "_wheres"]), F.lit(shares)).cast("int"))
+        met = dealt.join(side.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))), "_share").drop("_share")
+    return met.where(~in_fold(cols) & _satisfied(selected, side)).drop("where_id", "_wheres", *[f"fold_{c}" for c in cols])
 
 
 def held_out_locations(df: DataFrame, fold_table: DataFrame, cols: Sequence[str]) -> DataFrame:
     """The rows of each fold, with its fold_id."""
-    side = fold_table.select("fold_id", *[F.col(c).alias(f"fold_{c}") for c in cols])
-    return df.join(side, in_fold(cols)).drop(*[f"fold_{c}" for c in cols])
+    side = _side(fold_table, cols)
+    return df.join(side, in_fold(cols) & _satisfied(df, side)).drop("where_id", "_wheres", *[f"fold_{c}" for c in cols])
 
 
 def cross_validate(
@@ -58,42 +104,112 @@ def cross_validate(
     fold_cols: Sequence[str],
     wheres: Sequence[Sequence[dict[str, Any]]] = (),
     smooth: dict[str, SmoothingConfig] | None = None,
-    materialise=lambda df, name: df,
+    materialise: Callable[[DataFrame, str], DataFrame] = written,
 ) -> dict[str, DataFrame]:
     """Fit without each fold, optionally smooth per fold, predict its rows, blend and score.
 
     ``fold_id`` is one more key of the same two grouped jobs.  ``obs`` needs the fold columns.  An expert
     is fitted without a fold only if the fold has a row that it predicts, so many folds in many places
-    cost no more than their neighbourhoods; with ``smooth`` every expert is, as its parameters count.
+    cost no more than their neighbourhoods.
+
+    Each combination of ``wheres`` has folds of its own: their training rows and held-out rows satisfy it, and
+    so do the experts, as far as they have its columns.
+
+    With ``smooth`` all experts' parameters count in each fold.  They are fitted and summed up once; a fold then adds the
+    differences of those experts alone that select a row of it, to the sums of those alone that predict a row of it.
     """
-    fold_table = folds(obs, fold_cols, wheres)
-    experts = with_expert_id(experts, c.coords)
+    fold_table = materialise(where_folds(obs, fold_cols, wheres), "xval-folds")
+    experts = with_wheres(with_expert_id(experts, c.coords), wheres, known_only=True)
+    rows = with_wheres(obs, wheres)
     # fold columns ride along in the selection and are dropped after the fold test
-    chosen = select_for_experts_with(experts, obs, c, fold_cols)
-    truth = held_out_locations(obs, fold_table, fold_cols)
-    places = prediction_locations(experts, truth.select(*c.coords).distinct(), c.max_dist, c.dist_cols, c.coords)
-    located = places.join(truth.select("fold_id", *[F.col(x).alias(f"pred_loc_{x}") for x in c.coords]).distinct(), [f"pred_loc_{x}" for x in c.coords])
-    near = None if smooth else materialise(located.select("expert_id", "fold_id").distinct(), "xval-pairs")
-    training = training_rows(chosen, fold_table, fold_cols, near).drop(*fold_cols)
-    key = F.xxhash64("expert_id", "fold_id")
-    keyed = lambda df: df.withColumn("run_id", key)
+    chosen = materialise(select_for_experts_with(experts.drop("_wheres"), rows, c, [*fold_cols, "_wheres"]), "xval-selected")
+    truth = held_out_locations(rows, fold_table, fold_cols)
+    places = prediction_locations(experts.drop("_wheres"), truth.select(*c.coords).distinct(), c.max_dist, c.dist_cols, c.coords)
+    held = truth.select("fold_id", *[F.col(x).alias(f"pred_loc_{x}") for x in c.coords]).distinct()
+    located = places.join(held, [f"pred_loc_{x}" for x in c.coords])
+    if wheres:
+        ids = fold_table.select("fold_id", "where_id")
+        located = located.join(ids, "fold_id").join(experts.select("expert_id", "_wheres"), "expert_id").where("array_contains(_wheres, where_id)").drop("where_id", "_wheres")
+    near = materialise(located.select("expert_id", "fold_id").distinct(), "xval-pairs")
     every = experts.select("expert_id", *c.coords)
-    pairs = keyed(every.crossJoin(fold_table.select("fold_id")) if near is None else every.join(near, "expert_id"))
+    keyed = lambda df: df.withColumn("run_id", F.xxhash64("expert_id", "fold_id"))
     by_run = lambda df: keyed(df).drop("expert_id", "fold_id").withColumnRenamed("run_id", "expert_id")
-    names = pairs.select("run_id", "expert_id", "fold_id")
-    runs = pairs.select(F.col("run_id").alias("expert_id"), *c.coords)
-    training = by_run(training)
-    fitted = materialise(fit_experts(runs, training, c), "xval-fit")
+    runs_of = lambda pairs: by_run(pairs.join(every, "expert_id"))
+    training_of = lambda pairs: by_run(training_rows(chosen, fold_table, fold_cols, pairs).drop(*fold_cols))
+    training = training_of(near)
     if smooth:
-        params = long_parameters(fitted, c.coords).join(names.select(F.col("run_id").alias("expert_id"), "fold_id"), "expert_id").drop("expert_id")
-        smoothed = smooth_parameters(params, smooth, [*c.coords, "fold_id"])
-        start = wide_parameters(smoothed, pairs.select(F.col("run_id").alias("expert_id"), *c.coords, "fold_id"), [*c.coords, "fold_id"])
-        fitted = materialise(fit_experts(runs, training, replace(c, optimise=False), start), "xval-smooth")
+        start = smoothed_per_fold(experts, chosen, fold_table, fold_cols, near, c, smooth, runs_of, training_of, materialise)
+        fitted = materialise(fit_experts(runs_of(near), training, replace(c, optimise=False), start), "xval-smooth")
+    else:
+        fitted = materialise(fit_experts(runs_of(near), training, c), "xval-fit")
+    names = keyed(near).withColumnRenamed("expert_id", "own_id").withColumnRenamed("run_id", "expert_id")
     preds = predict_experts(fitted, training, by_run(located), c)
-    preds = preds.join(names.withColumnRenamed("expert_id", "own_id").withColumnRenamed("run_id", "expert_id"), "expert_id").drop("expert_id").withColumnRenamed("own_id", "expert_id")
+    preds = preds.join(names, "expert_id").drop("expert_id").withColumnRenamed("own_id", "expert_id")
     return {"folds": fold_table, "fit": fitted, "preds": preds, "scores": score_folds(preds, truth, c)}
 
 
+def smoothed_per_fold(experts: DataFrame, chosen: DataFrame, fold_table: DataFrame, fold_cols: Sequence[str], near: DataFrame, c: ExpertConfig, smooth: dict[str, SmoothingConfig], runs_of, training_of, materialise) -> DataFrame:
+    """expert_id (a run's) and one array per parameter for the pairs ``near``: smoothed over all experts without the fold.
+
+    Base fits use all rows of a combination of predicates.  A fold changes the fits of the experts that select
+    one of its rows; the kernel sums of a pair are the base's plus the differences of these.
+    """
+    coords, xy = list(c.coords), ("x", "y")
+    others = [x for x in coords if x not in xy]
+    ids = fold_table.select("fold_id", "where_id")
+    # base: one run for each expert and combination
+    base_pairs = experts.select("expert_id", F.explode("_wheres").alias("where_id"))
+    base_id = F.xxhash64(F.lit("base"), "expert_id", "where_id")
+    base_runs = base_pairs.join(experts.select("expert_id", *coords), "expert_id").withColumn("run_id", base_id)
+    base_rows = chosen.withColumn("where_id", F.explode("_wheres")).withColumn("run_id", base_id).select(F.col("run_id").alias("expert_id"), *coords, "_obs")
+    base_fit = fit_experts(base_runs.select(F.col("run_id").alias("expert_id"), *coords), base_rows, c)
+    base = long_parameters(base_fit, coords).withColumnRenamed("expert_id", "run_id").join(base_runs.select("run_id", "expert_id", "where_id"), "run_id").drop("run_id")
+    base = materialise(base, "xval-base")
+    # changed: the folds that an expert selects a row of
+    side = _side(fold_table, fold_cols)
+    changed = materialise(chosen.join(side, in_fold(fold_cols) & _satisfied(chosen, side)).select("expert_id", "fold_id").distinct(), "xval-changed")
+    changed_fit = fit_experts(runs_of(changed), training_of(changed), c)
+    named = changed.withColumn("run_id", F.xxhash64("expert_id", "fold_id"))
+    new = long_parameters(changed_fit, coords).withColumnRenamed("expert_id", "run_id").join(named, "run_id").drop("run_id")
+    # an expert that lost its fit has no rows in ``new``: its base values go
+    old = changed.join(ids, "fold_id").join(base, ["expert_id", "where_id"]).drop("where_id")
+    sign = lambda df, k: df.withColumn("_sign", F.lit(float(k)))
+    differences = materialise(sign(new, 1).unionByName(sign(old, -1)), "xval-differences")
+    wanted = near.join(ids, "fold_id").join(experts.select("expert_id", *[F.col(x).alias(f"e_{x}") for x in coords]), "expert_id")
+    out = None
+    for name in PARAMS:
+        if name not in smooth:
+            own = near.join(ids, "fold_id").join(base.where(F.col("param") == name), ["expert_id", "where_id"]).join(changed, ["expert_id", "fold_id"], "left_anti")
+            mine = own.select("expert_id", "fold_id", "param", "dim", "value").unionByName(new.where(F.col("param") == name).join(near, ["expert_id", "fold_id"]).select("expert_id", "fold_id", "param", "dim", "value"))
+        else:
+            k = smooth[name]
+            v = F.col("value")
+            v = v if k.max is None else F.least(v, F.lit(float(k.max)))
+            v = v if k.min is None else F.greatest(v, F.lit(float(k.min)))
+            weight = F.exp(-0.5 * (F.pow((F.col("x") - F.col("e_x")) / k.l_x, 2) + F.pow((F.col("y") - F.col("e_y")) / k.l_y, 2)))
+            clean = lambda df: df.where((F.col("param") == name) & F.col("value").isNotNull() & ~F.isnan("value")).withColumn("value", v)  # noqa: B023, E731
+            known = clean(base)
+            by = ["where_id", "dim", *others]
+            # sums at every expert's place, with a value of its own or not
+            dims = range(len(coords) if name == "lengthscales" else 1)
+            at = experts.select(F.explode("_wheres").alias("where_id"), *coords).distinct().withColumn("dim", F.explode(F.array(*[F.lit(d) for d in dims])))
+            sums = _all_pairs(at, known, "value", *xy, by)
+            sums = sums.groupBy(*by, "e_x", "e_y").agg(F.sum(weight * F.col("value")).alias("_s"), F.sum(weight).alias("_w"))
+            same = reduce(lambda p, q: p & q, [F.col(x).eqNullSafe(F.col(f"e_{x}")) for x in others], F.lit(True))
+            moved = clean(differences).drop("expert_id").join(wanted, "fold_id").where(same)
+            moved = moved.groupBy("expert_id", "fold_id", "dim").agg(F.sum(F.col("_sign") * weight * F.col("value")).alias("_ds"), F.sum(F.col("_sign") * weight).alias("_dw"))
+            full = wanted.join(sums.select("where_id", "dim", *[F.col(x).alias(f"_o_{x}") for x in others], "e_x", "e_y", "_s", "_w"), ["where_id", "e_x", "e_y"])
+            for x in others:
+                full = full.where(F.col(f"e_{x}").eqNullSafe(F.col(f"_o_{x}")))
+            both = full.select("expert_id", "fold_id", "dim", "_s", "_w").join(moved, ["expert_id", "fold_id", "dim"], "full")
+            s, w = (F.coalesce(a, F.lit(0.0)) + F.coalesce(b, F.lit(0.0)) for a, b in (("_s", "_ds"), ("_w", "_dw")))
+            # what is left of a sum whose every term went is rounding
+            mine = both.select("expert_id", "fold_id", F.lit(name).alias("param"), "dim", F.when(w > 1e-12 * F.coalesce("_w", F.lit(0.0)), s / w).alias("value")).where(F.col("value").isNotNull())
+        out = mine if out is None else out.unionByName(mine)
+    runs = near.select(F.xxhash64("expert_id", "fold_id").alias("expert_id"), F.xxhash64("expert_id", "fold_id").alias("run_id"))
+    return wide_parameters(out.select(F.xxhash64("expert_id", "fold_id").alias("run_id"), "param", "dim", "value"), runs, ["run_id"])
+
+
 def select_for_experts_with(experts: DataFrame, obs: DataFrame, c: ExpertConfig, extra: Sequence[str]) -> DataFrame:
     """The experts' selections with further columns of the observations."""
     if not extra:
