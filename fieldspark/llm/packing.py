@@ -11,11 +11,16 @@ capacity.
 
 Null and empty texts have the end id alone.  Repeated rows are packed each.  A special token that
 stands in a text is one id, as the tokenizers library has it.  Rows without a doc_id are packed too.
+
+Any tokenizer file will do.  One that normalises and splits as ``word_bpe_49k.json`` does, into parts that no white
+space is in, is applied word by word, and words are remembered; any other encodes whole texts.
 """
 
 from __future__ import annotations
 
+import functools
 import heapq
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -43,16 +48,31 @@ PLAIN = re.compile("[\x21-\x26\x28-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+
 PART = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
 
 
+#: Fixed values of the file format: the steps before the merges for which PLAIN, PART and encoding by words hold.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLITTERS = [{"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+
+
+def splits_words(tokenizer: Tokenizer) -> bool:
+    """Whether a tokenizer's steps are those that encoding by words is made for."""
+    file = json.loads(tokenizer.to_str())
+    before = (file["normalizer"] or {}).get("normalizers"), (file["pre_tokenizer"] or {}).get("pretokenizers")
+    plain = all(not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]) and not re.search(r"\s", t["content"]) for t in file["added_tokens"])
+    return before == (NORMALIZERS, SPLITTERS) and plain and file["model"]["type"] == "BPE" and file["model"]["dropout"] is None and file["truncation"] is None
+
+
 class WordEncoder:
-    """Ids of texts, word by word: no token of this vocabulary crosses ASCII white space.
+    """Ids of texts, word by word where the file allows it: no token then crosses ASCII white space.
 
     Plain words go straight to the library's merge model, part by part; all others, and words that hold
     one of the vocabulary's added tokens, through its whole chain of normaliser, splitter and model.
-    Words and parts are remembered within the slice.
+    Words and parts are remembered, up to ``max_words``.
     """
 
     def __init__(self, path: str, max_words: int = 1_000_000):
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_words = splits_words(self.tokenizer)
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added)) or "(?!)")
         self.model = self.tokenizer.model
@@ -75,6 +95,8 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        if not self.by_words:
+            return [np.array(self.tokenizer.encode(t.decode(), add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
         cut = [t.split() for t in texts]
         new: set[bytes] = set()
         for words in cut:
@@ -86,13 +108,19 @@ class WordEncoder:
         return [b"".join(map(get, words)) for words in cut]
 
 
+@functools.lru_cache(maxsize=1)
+def encoder_of(path: str) -> WordEncoder:
+    """The encoder of a worker process: what one task learns serves the next ones."""
+    return WordEncoder(path)
+
+
 def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, end_id: int = END_ID, rest: int = REST) -> DataFrame:
     """Tokenise and cut: doc_id, start, length, ids_crc32, doc_tokens."""
     where = path or public_tokenizers.path(TOKENIZER)
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(where)
+        encoder = encoder_of(where)
         for b in batches:
             texts = binary_column(b)
             for lo in range(0, len(texts), 1024):
