@@ -35,7 +35,7 @@ def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], by: Sequence[s
     g = [f"_g{i}" for i in range(len(by))]
     v = F.col(col).cast("double")
     rows = df.select(*[F.col(c).alias(a) for c, a in zip(by, g, strict=True)], v.alias("_v"))
-    rows = rows.select(*g, F.when(~F.isnan("_v"), F.greatest(F.lit(-_LARGEST), F.least(F.lit(_LARGEST), F.col("_v")))).alias("_v"))
+    rows = rows.select(*g, F.when(F.col("_v").isNotNull() & ~F.isnan("_v"), F.greatest(F.lit(-_LARGEST), F.least(F.lit(_LARGEST), F.col("_v")))).alias("_v"))
     same = lambda a, b: reduce(lambda x, y: x & y, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in g], F.lit(True))
     group = written(rows.groupBy(*g).agg(F.count("_v").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")), "quantile-groups")
     # the ranks on both sides of each quantile

@@ -11,7 +11,7 @@ from fieldspark.operators.gp import GPConfig
 from fieldspark.operators.lattice import smooth_lattice
 from fieldspark.operators.nearby import Near
 from fieldspark.operators.stats import scores
-from fieldspark.operators.xval import cross_validate, folds, held_out_locations, training_rows
+from fieldspark.operators.xval import cross_validate, folds, held_out_locations, training_rows, where_folds, with_wheres
 from fieldspark.plans.tables import experts, read, scaled_observations
 
 QUERIES: dict = {}
@@ -235,6 +235,28 @@ def x1_folds(spark, sf_dir):
     return folds(li, ["l_returnflag", "year"], wheres).drop("fold_id")
 
 
+WHERES = [[{"col": "l_quantity", "comp": "<", "val": 30}, {"col": "l_quantity", "comp": ">", "val": 15}], [{"col": "l_tax", "comp": "<=", "val": 0.04}]]
+WHERES_SQL = "w AS (SELECT *, year(l_shipdate) AS year, i AS where_id FROM lineitem, range(2) r(i) WHERE (CASE WHEN i = 0 THEN l_quantity < 30 ELSE l_quantity > 15 END) AND l_tax <= 0.04)"
+
+
+@query("x1_folds_of_wheres", f"WITH {WHERES_SQL} SELECT DISTINCT where_id, l_returnflag, year FROM w")
+def x1_folds_of_wheres(spark, sf_dir):
+    """Two overlapping predicates, each joined to a third: their folds stay apart."""
+    li = read(spark, sf_dir, "lineitem").withColumn("year", F.year("l_shipdate").cast("long"))
+    return where_folds(li, ["l_returnflag", "year"], WHERES).drop("fold_id")
+
+
+@query("x2_training_rows_of_wheres", f"""WITH {WHERES_SQL}, f AS (SELECT DISTINCT where_id, l_returnflag AS held FROM w)
+SELECT f.where_id, held, count(*) FILTER (WHERE l_returnflag <> held) AS n_training, count(*) FILTER (WHERE l_returnflag = held) AS n_held_out, round(sum(l_discount) FILTER (WHERE l_returnflag <> held), 4) AS total FROM f JOIN w USING (where_id) GROUP BY 1, 2""")
+def x2_training_rows_of_wheres(spark, sf_dir):
+    """Training and held-out rows both satisfy the predicates of their fold."""
+    li = read(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity", "l_tax", "l_discount")
+    f, rows = where_folds(li, ["l_returnflag"], WHERES), with_wheres(li, WHERES)
+    training = training_rows(rows, f, ["l_returnflag"]).groupBy("fold_id").agg(F.count("*").alias("n_training"), F.round(F.sum("l_discount"), 4).alias("total"))
+    held = held_out_locations(rows, f, ["l_returnflag"]).groupBy("fold_id").agg(F.count("*").alias("n_held_out"))
+    return f.join(training, "fold_id").join(held, "fold_id").select("where_id", F.col("l_returnflag").alias("held"), "n_training", "n_held_out", "total")
+
+
 @query("x2_training_rows", """
 WITH f AS (SELECT DISTINCT o_orderpriority AS p FROM orders) SELECT p AS fold, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders, f WHERE o_orderpriority <> p GROUP BY 1""")
 def x2_training_rows(spark, sf_dir):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from fieldspark.functions.columns import ColumnSpec, add_columns, rename_all
 from fieldspark.functions.mathfun import known
 from fieldspark.functions.predicates import select_rows
 from fieldspark.operators.experts import ExpertConfig, fit_experts, run_and_store, run_experts, select_for_experts
-from fieldspark.operators.glue import glue
+from fieldspark.operators.glue import SmoothingConfig, glue
 from fieldspark.operators.gp import GPConfig
 from fieldspark.operators.nearby import Near, latest_per, sample_truth
 from fieldspark.operators.xval import cross_validate
@@ -264,3 +265,18 @@ def x4_scores_by_fold(spark, sf_dir):
     obs = first.withColumn("fold", F.lit(0)).unionByName(second.withColumn("fold", F.lit(1)))
     out = cross_validate(places, obs, alone(PLAIN, max_dist=5.0, dist_cols=("x",)), ["fold"])
     return out["scores"].join(out["folds"], "fold_id").select("fold", "n", F.round("rmse", 7).alias("rmse"), F.round("mean_nll", 7).alias("mean_nll"))
+
+
+@query("x5_smoothed_scores_by_fold", """
+WITH o AS (SELECT s_suppkey AS k, 0 AS fold, s_nationkey / 10.0 AS x, s_acctbal / 1000 AS y FROM supplier UNION ALL SELECT s_suppkey, 1, 1 + s_nationkey / 20.0, s_suppkey % 7 FROM supplier),
+ p AS (SELECT a.fold, a.y, b.y AS other, abs(a.x - b.x) / 2 * sqrt(3) AS d FROM o a JOIN o b ON a.k = b.k AND a.fold <> b.fold),
+ q AS (SELECT fold, y - 1.5 * (1 + d) * exp(-d) / 1.55 * other AS e, 1.55 - pow(1.5 * (1 + d) * exp(-d), 2) / 1.55 AS v FROM p)
+SELECT fold, count(*) AS n, round(sqrt(avg(e * e)), 7) AS rmse, round(avg(ln(sqrt(v) * sqrt(2 * pi())) + e * e / (2 * v)), 7) AS mean_nll FROM q GROUP BY 1""")
+def x5_smoothed_scores_by_fold(spark, sf_dir):
+    """The same two folds; each predicts with a noise variance of at most 0.05, smoothed over all experts."""
+    places, first = one_each(spark, sf_dir)
+    second = read(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 100.0 + 1 + F.col("s_nationkey") / 20.0).alias("x"), (F.col("s_suppkey") % 7).cast("double").alias("obs"))
+    obs = first.withColumn("fold", F.lit(0)).unionByName(second.withColumn("fold", F.lit(1))).withColumn("y", F.lit(0.0))
+    c = replace(alone(PLAIN, max_dist=5.0, dist_cols=("x",)), coords=["x", "y"])
+    out = cross_validate(places.withColumn("y", F.lit(0.0)), obs, c, ["fold"], smooth={"likelihood_variance": SmoothingConfig(500.0, 1.0, max=0.05)})
+    return out["scores"].join(out["folds"], "fold_id").select("fold", "n", F.round("rmse", 7).alias("rmse"), F.round("mean_nll", 7).alias("mean_nll"))
