@@ -43,3 +43,13 @@ def test_pipeline_stages(spark):
         docs = out
     rows = corpus_pipeline.STAGES[-1][1](spark, docs, TINY).toPandas()
     assert set(rows.doc_id) == set(after) and rows.groupby("sequence_id").length.sum().max() <= 2048
+    # the whole pipeline gives what its stages give one by one
+    piece = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    whole = corpus_pipeline.run(spark, TINY).toPandas()
+    assert sorted(map(tuple, whole[piece].to_numpy().tolist())) == sorted(map(tuple, rows[piece].to_numpy().tolist()))
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{TINY}/{name}.parquet").where("false").write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
