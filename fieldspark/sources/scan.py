@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,9 +71,14 @@ def matching_files(dirs: Sequence[str] | str, regex: str, sub_dirs: Sequence[str
 
     ``sub_dirs`` is joined to every directory; with ``walk`` all directories below count.
     """
+    return sorted(path for path, _ in listed_files(dirs, regex, sub_dirs, strict, walk))
+
+
+def listed_files(dirs: Sequence[str] | str, regex: str, sub_dirs: Sequence[str] | str | None = None, strict: bool = True, walk: bool = False) -> list[tuple[str, str]]:
+    """The files of ``matching_files``, each with the name under which a scan knows it (see ``scan_name``)."""
     dirs = [dirs] if isinstance(dirs, str) else list(dirs)
     subs = [None] if sub_dirs is None else [sub_dirs] if isinstance(sub_dirs, str) else list(sub_dirs)
-    found: list[str] = []
+    found: list[tuple[str, str]] = []
     spark = SparkSession.builder.getOrCreate()
     for top in (f"{d.rstrip('/')}/{s}" if s else d.rstrip("/") for d in dirs for s in subs):
         place = spark._jvm.org.apache.hadoop.fs.Path(top)
@@ -88,8 +93,13 @@ def matching_files(dirs: Sequence[str] | str, regex: str, sub_dirs: Sequence[str
         while listing.hasNext():
             path = listing.next().getPath()
             if re.search(regex, path.getName()):
-                found.append(top + path.toString().removeprefix(root))
-    return sorted(found)
+                found.append((top + path.toString().removeprefix(root), re.sub(r"^(\w+):/+", r"\1:/", path.toUri().toString())))
+    return found
+
+
+def scan_name() -> Column:
+    """The URI of a row's file, with one slash behind its scheme, however it was written."""
+    return F.regexp_replace(F.input_file_name(), r"^(\w+):/+", "$1:/")
 
 
 def read_files(
@@ -102,10 +112,12 @@ def read_files(
     row_select: Any = None,
     col_select: Sequence[str] | None = None,
     new_column_names: Sequence[str] | None = None,
+    file_col: str | None = None,
 ) -> DataFrame:
     """One scan over all files: add columns, filter, project, rename.
 
-    Column functions may ask for the file name.  A declared schema avoids a pass to infer it.
+    Column functions may ask for the file name.  A declared schema avoids a pass to infer it.  ``file_col`` adds
+    each row's ``scan_name`` as one more column, the last one.
     """
     if not paths:
         raise FileNotFoundError("no file matches")
@@ -115,7 +127,14 @@ def read_files(
         options.setdefault("inferSchema", True)
     reader = spark.read.format(fmt).options(**options)
     df = nan_to_null((reader.schema(schema) if schema is not None else reader).load(list(paths)))
-    return rename_all(select_columns(select_rows(add_columns(df, col_funcs), row_select), col_select), new_column_names)
+    if file_col:
+        df = df.withColumn(file_col, scan_name())
+        col_select = [*col_select, file_col] if col_select is not None else None
+        new_column_names = [*new_column_names, file_col] if new_column_names is not None else None
+    out = select_columns(select_rows(add_columns(df, col_funcs), row_select), col_select)
+    if file_col:
+        out = out.select(*[c for c in out.columns if c != file_col], file_col)
+    return rename_all(out, new_column_names)
 
 
 def read_from_directories(spark: SparkSession, dirs: Sequence[str] | str, regex: str, sub_dirs: Sequence[str] | str | None = None, strict: bool = True, walk: bool = False, **options: Any) -> DataFrame:

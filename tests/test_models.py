@@ -197,3 +197,28 @@ def test_cross_validation_with_wheres_equals_runs_on_parts(spark):
         for r in own.collect():
             assert got[d, r["k"]] == (r["n"], pytest.approx(r["rmse"], abs=1e-9))
     assert xval.mean_over_folds(out["scores"]).first()["n_folds"] == 4
+
+
+def test_ingest_in_one_scan_skips_only_what_cannot_be_read(spark, tmp_path):
+    from fieldspark.sources import ingest, store
+
+    for k in range(5):
+        spark.range(3).selectExpr("id", f"{k} AS k").coalesce(1).write.parquet(f"{tmp_path}/in/a b={k}")
+    (tmp_path / "in" / "bad").mkdir()
+    (tmp_path / "in" / "bad" / "x.parquet").write_bytes(b"not parquet")
+    s = store.Store(spark, f"file://{tmp_path}/out")
+    dirs = [f"{tmp_path}/in/a b={k}" for k in range(3)] + [f"file://{tmp_path}/in/a b=3", f"{tmp_path}/in/bad", f"{tmp_path}/in/a b=4"]
+    run = lambda some: ingest.ingest(spark, s, "t", some, r"\.parquet$", schema="id long, k int", engine="parquet")
+    assert run(dirs) == 15 and run(dirs) == 0
+    assert sorted((r["id"], r["k"]) for r in s.read("t").collect()) == sorted((i, k) for i in range(3) for k in range(5))
+    assert s.read("t").select(ingest.BATCH).distinct().count() == 5 == s.read("_t_batches").count()
+
+    def jobs(n):
+        fresh = store.Store(spark, f"file://{tmp_path}/out{n}")
+        tag = f"ingest-{n}"
+        spark.sparkContext.setJobGroup(tag, tag)
+        ingest.ingest(spark, fresh, "t", dirs[:n], r"\.parquet$", schema="id long, k int", engine="parquet")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(tag))
+
+    assert jobs(1) == jobs(4)
