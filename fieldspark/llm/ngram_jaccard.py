@@ -48,7 +48,7 @@ SHINGLE = 5
 PERCENT = 75
 COUNTERS, SEGMENT = 23, 19
 TILE_ROWS = 4096
-SMALL_SETS = 24 << 20
+SMALL_SETS = 4 << 20
 PAYS, FEW = 8, 16
 
 
