@@ -7,7 +7,6 @@ predicates follow.  Each pair is found once, and no side is broadcast or crossed
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -17,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldspark.functions.columns import OPERATORS
-from fieldspark.sources.scratch import written
+from fieldspark.sources.scratch import dropped, written
 
 
 @dataclass
@@ -117,27 +116,70 @@ def expert_as_location(experts: DataFrame, coords: Sequence[str]) -> DataFrame:
 def nearest(points: DataFrame, truth: DataFrame, cols: Sequence[str], id_col: str, truth_id: str, values: Sequence[str], radius: float) -> DataFrame:
     """The nearest truth row of each point, ties to the smaller truth id.
 
-    A hit within the bucket size is certain; points without one go on with a doubled size, up to the
-    box around all rows of both sides, so every point with whole coordinates finds its truth row.
+    One pass looks within ``radius`` by cells of that size.  Points without a hit go down a tree of cells: at
+    each level they keep the cells that may hold their nearest row, by bounds on the distance to the rows in a cell, and
+    at the end meet the rows of these alone.  So lone points cost a few cells a level, wherever the rows lie,
+    and every point with whole coordinates finds its truth row.
     Points or truth rows with a missing coordinate take no part; such points come back with NULLs.
     """
     whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in cols])
-    left, truth, found, size = points.where(whole), truth.where(whole), None, radius
+    left, truth = points.where(whole).select(id_col, *cols), truth.where(whole)
     keep = [truth_id, *values]
-    box = left.select(*cols).unionByName(truth.select(*cols)).agg(*[(F.max(c) - F.min(c)).cast("double").alias(f"r{i}") for i, c in enumerate(cols)]).first()
-    furthest = math.sqrt(sum((r or 0.0) ** 2 for r in box))
-    while True:
-        pairs = near_join(left.select(id_col, *cols), truth, [Near(list(cols), "<=", size)], keep=keep)
-        best = F.min(F.struct(distance(cols).alias("distance"), *[F.col(c) for c in keep])).alias("_b")
-        hits = written(pairs.groupBy(F.col(f"e_{id_col}").alias(id_col)).agg(best).select(id_col, "_b.*"), "nearest")
-        found = hits if found is None else found.unionByName(hits)
-        rest = written(left.join(hits, id_col, "left_anti"), "nearest-left")
-        if size > furthest or rest.isEmpty():
-            break
-        left, size = rest, size * 2
+    pairs = near_join(left, truth, [Near(list(cols), "<=", radius)], keep=keep)
+    best = F.min(F.struct(distance(cols).alias("distance"), *[F.col(c) for c in keep])).alias("_b")
+    found = written(pairs.groupBy(F.col(f"e_{id_col}").alias(id_col)).agg(best).select(id_col, "_b.*"), "nearest")
+    rest = written(left.join(found, id_col, "left_anti"), "nearest-left")
+    if not rest.isEmpty():
+        found = found.unionByName(nearest_by_cells(rest, truth, cols, id_col, keep, radius))
+    dropped(rest)
     return points.join(found, id_col, "left")
 
 
+#: Each level's cells are so many times as wide as those of the level below; a power of two keeps cells inside each other.
+WIDER = 8
+
+
+def nearest_by_cells(points: DataFrame, truth: DataFrame, cols: Sequence[str], id_col: str, keep: Sequence[str], size: float) -> DataFrame:
+    """id_col, distance and ``keep`` of the nearest truth row, by going down levels of cells; written."""
+    dims = range(len(cols))
+    key = lambda level: [F.floor(F.col(c).cast("double") / (size * WIDER**level)).cast("long").alias(f"_k{i}") for i, c in enumerate(cols)]
+    span = truth.agg(*[(F.max(c) - F.min(c)).cast("double").alias(f"s{i}") for i, c in enumerate(cols)]).first()
+    if span[0] is None:  # no truth at all
+        return written(points.limit(0).select(id_col, F.lit(0.0).alias("distance"), *[F.lit(None).cast(truth.schema[c].dataType).alias(c) for c in keep]), "nearest")
+    top = 0
+    while size * WIDER**top < max(span):
+        top += 1
+
+    def cells(level: int) -> DataFrame:
+        """The cells that hold a row, with the box around their rows."""
+        edges = [f(c).cast("double").alias(f"_{side}{i}") for i, c in enumerate(cols) for f, side in ((F.min, "lo"), (F.max, "hi"))]
+        return truth.groupBy(*key(level)).agg(*edges)
+
+    def possible(met: DataFrame) -> DataFrame:
+        x = [F.col(c).cast("double") for c in cols]
+        total = lambda parts: reduce(lambda a, b: a + b, [p * p for p in parts])
+        least = total([F.greatest(F.lit(0.0), F.col(f"_lo{i}") - x[i], x[i] - F.col(f"_hi{i}")) for i in dims])
+        most = total([F.greatest(F.abs(x[i] - F.col(f"_lo{i}")), F.abs(x[i] - F.col(f"_hi{i}"))) for i in dims])
+        bound = F.min(most).over(Window.partitionBy(id_col, *cols))
+        return met.withColumn("_far", bound).where(least <= F.col("_far") * (1 + 1e-9)).select(id_col, *cols, *[F.col(f"_k{i}").alias(f"_p{i}") for i in dims])
+
+    first = cells(top).collect()  # the box spans at most two cells an axis
+    structs = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in r.asDict()]) for r in first])
+    held = written(possible(points.withColumn("_c", F.explode(structs)).select(id_col, *cols, "_c.*")), "nearest-cells")
+    for level in range(top - 1, -1, -1):
+        below = cells(level).select("*", *[F.floor(F.col(f"_k{i}") / WIDER).cast("long").alias(f"_p{i}") for i in dims])
+        new = written(possible(held.join(below, [f"_p{i}" for i in dims])), "nearest-cells")
+        dropped(held)
+        held = new
+    rows = truth.select(*[F.col(c).alias(f"_t{i}") for i, c in enumerate(cols)], *keep, *[k.alias(f"_p{i}") for i, k in enumerate(key(0))])
+    met = held.join(rows, [f"_p{i}" for i in dims])
+    away = F.sqrt(reduce(lambda a, b: a + b, [F.pow(F.col(f"_t{i}") - F.col(c), 2) for i, c in enumerate(cols)]))
+    best = F.min(F.struct(away.alias("distance"), *[F.col(c) for c in keep])).alias("_b")
+    out = written(met.groupBy(id_col).agg(best).select(id_col, "_b.*"), "nearest")
+    dropped(held)
+    return out
+
+
 def sample_truth(points: DataFrame, truth: DataFrame, cols: Sequence[str], id_col: str, truth_id: str, value: str, radius: float, noise: float = 0.0, seed: int = 0, demean: bool = True) -> DataFrame:
     """Synthetic observations: nearest truth, minus the mean, plus Gaussian noise."""
     out = nearest(points, truth, cols, id_col, truth_id, [value], radius)

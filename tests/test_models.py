@@ -222,3 +222,17 @@ def test_ingest_in_one_scan_skips_only_what_cannot_be_read(spark, tmp_path):
         return len(spark.sparkContext.statusTracker().getJobIdsForGroup(tag))
 
     assert jobs(1) == jobs(4)
+
+
+def test_nearest_of_lone_points_and_clusters(spark):
+    from fieldspark.operators import nearby
+
+    r = np.random.default_rng(3)
+    truth = np.concatenate([r.normal(size=(300, 2)), r.normal(size=(200, 2)) * 0.1 + [4000, -900], [[-1e6, 7.0]] * 3])
+    points = np.concatenate([r.normal(size=(40, 2)) * 2, r.uniform(-5000, 5000, size=(40, 2)), [[-9e5, 0.0], [3e7, 3e7], [4000.0, -900.0]]])
+    t = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(truth)], "t long, x double, y double")
+    p = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(points)], "id long, x double, y double")
+    got = {x["id"]: (x["t"], x["distance"]) for x in nearby.nearest(p, t, ["x", "y"], "id", "t", [], 0.5).collect()}
+    far = np.sqrt(((points[:, None] - truth[None]) ** 2).sum(axis=2))
+    assert got == {i: (int(d.argmin()), pytest.approx(d.min())) for i, d in enumerate(far)}
+    assert nearby.nearest(p, t.where("false"), ["x", "y"], "id", "t", [], 0.5).where("t is null").count() == len(points)
