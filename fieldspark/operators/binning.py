@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from fieldspark.functions.columns import ColumnSpec, add_columns
 from fieldspark.functions.predicates import select_rows
 from fieldspark.operators.stats import statistics
+from fieldspark.sources.store import Store
 
 DEFAULT_RANGE = (-4_500_000.0, 4_500_000.0)
 STATISTICS: dict[str, Callable[[Column], Column]] = {
@@ -135,6 +136,16 @@ def run_binning(df: DataFrame, c: BinConfig) -> tuple[DataFrame, DataFrame]:
     return bins, statistics(rows, c.val_col, c.load_by)
 
 
+def store_binning(store: Store, df: DataFrame, c: BinConfig, table: str = "data", raw_config: Any = None) -> None:
+    """Run a binning and keep its bins as ``table`` and its statistics as ``<table>_statistics``, with two attributes:
+    ``config``, that of the bins, and ``raw_data_config``, that of what was binned."""
+    bins, stats = run_binning(df, c)
+    store.write(bins, table, config=c, run_info=True)
+    store.write(stats, f"{table}_statistics", config=c)
+    for t in (table, f"{table}_statistics"):
+        store.add_attribute(t, "raw_data_config", raw_config)
+
+
 def bin_days(df: DataFrame, val_col: str, date_col: str, grid_res_km: float = 50.0, x_col: str = "x", y_col: str = "y", all_dates: bool = True, **options: Any) -> DataFrame:
     """Daily grids; with ``all_dates`` gap days in the data's range appear with NULL values."""
     bins = bin_by(df, val_col, [date_col], x_col, y_col, grid_res_km * 1000, dense=all_dates, **options)

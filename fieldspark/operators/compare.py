@@ -12,19 +12,20 @@ from pyspark.sql import functions as F
 def match(x: DataFrame, y: DataFrame, x_col: str, y_col: str, tol: float | None = None, check: bool = False) -> DataFrame:
     """Rows of ``x`` with ``y_idx``: the least ``idx`` of ``y`` whose value equals, or is within ``tol``.
 
-    Tolerance matches meet in buckets of width ``tol``, each x in three.  With ``check`` a value that
-    has no match is an error; else its index is NULL.
+    A row's match depends on its value alone, so each distinct value is matched once.  Tolerance matches meet
+    in buckets of width ``tol``, each x in three.  With ``check`` a value that has no match is an error; else
+    its index is NULL, as it is for NULL.
     """
     right = y.select(F.col(y_col).alias("_y"), F.col("idx").alias("y_idx"))
-    left = x.withColumn("_row", F.monotonically_increasing_id()) if "idx" not in x.columns else x.withColumn("_row", F.col("idx"))
+    values = x.select(F.col(x_col).alias("_x")).distinct().where("_x is not null")
     if tol is None:
-        pairs = left.select("_row", F.col(x_col).alias("_x")).join(right, F.col("_x") == F.col("_y"))
+        pairs = values.join(right, F.col("_x") == F.col("_y"))
     else:
         b = lambda c: F.floor(F.col(c) / (tol or 1e-300)).cast("long")
-        near = left.select("_row", F.col(x_col).alias("_x")).withColumn("_b", F.explode(F.sequence(b("_x") - 1, b("_x") + 1)))
+        near = values.withColumn("_b", F.explode(F.sequence(b("_x") - 1, b("_x") + 1)))
         pairs = near.join(right.withColumn("_b", b("_y")), "_b").where(F.abs(F.col("_x") - F.col("_y")) < tol)
-    first = pairs.groupBy("_row").agg(F.min("y_idx").alias("y_idx"))
-    out = left.join(first, "_row", "left").drop("_row")
+    first = pairs.groupBy("_x").agg(F.min("y_idx").alias("y_idx"))
+    out = x.join(first, F.col(x_col) == F.col("_x"), "left").drop("_x")
     if check and out.where("y_idx is null").limit(1).count():
         raise ValueError("a value has no match")
     return out

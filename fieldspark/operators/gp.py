@@ -7,6 +7,7 @@ between bounds where there are any, else the logarithm.
 
 from __future__ import annotations
 
+import importlib
 import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
@@ -307,9 +308,15 @@ MODELS: dict[str, Callable[[], Model]] = {"exact": ExactGP, "sparse": SparseGP}
 
 
 def model_by_name(name: str | Model) -> Model:
-    """A registered model, or the object itself if one is given instead of a name."""
+    """A registered model, the class at a path (``package.module:Class`` or with a dot), or the object itself if one is given."""
     if not isinstance(name, str):
         return name
-    if name not in MODELS:
+    if name in MODELS:
+        return MODELS[name]()
+    module, _, attribute = name.replace(":", ".").rpartition(".")
+    if not module:
         raise ValueError(f"unknown model {name!r}")
-    return MODELS[name]()
+    made = getattr(importlib.import_module(module), attribute)()
+    if not all(callable(getattr(made, m, None)) for m in ("fit", "predict")):
+        raise TypeError(f"{name!r} has no fit and predict")
+    return made

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from fieldspark.functions.columns import ColumnSpec, add_columns, select_columns
 from fieldspark.functions.predicates import select_rows
 from fieldspark.operators.tracks import minimum_spacing_all
+from fieldspark.sources.scan import load
 
 
 def edges(low: float, high: float, grid_res: float | None = None, step_size: float | None = None, num_step: int | None = None) -> tuple[float, float, int]:
@@ -81,6 +82,17 @@ def expert_locations(
     return out.orderBy(*sort_by) if sort_by else out
 
 
+def given_locations(spark: SparkSession, source: str | DataFrame | dict[str, Sequence], coords: Sequence[str], masks: Sequence[tuple[DataFrame, Sequence[str]]] = (), **options: Any) -> DataFrame:
+    """Expert locations from a table, a file or a dict of columns, in one call: distinct coordinates and their ``expert_id``.
+
+    ``options`` are those of ``sources.scan.load``; rows without one of the coordinates are left out.
+    """
+    out = load(spark, source, **options).dropna("any", subset=list(coords)).dropDuplicates(list(coords))
+    for mask, cols in masks:
+        out = masked(out, [mask], cols)
+    return out.withColumn("expert_id", F.xxhash64(*coords))
+
+
 def lattice_values(df: DataFrame, x_col: str, y_col: str, val_col: str, decimals: int = 1, fill: Any = None) -> DataFrame:
     """Scattered cells on a regular lattice, empty ones filled: ix, iy, x, y, value.
 

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from fieldspark.functions.columns import ColumnSpec
 from fieldspark.functions.geo import degrees_from_text, project, unproject
 from fieldspark.functions.mathfun import inverse_sigmoid, inverse_softplus, matern32, sigmoid, softplus
-from fieldspark.operators.binning import BinConfig, bin_by, bin_days, run_binning
-from fieldspark.operators.grid import expert_locations, grid_2d, had_observation, lattice_rows, lattice_values, masked, thin_lattice
+from fieldspark.operators.binning import BinConfig, bin_by, bin_days, run_binning, store_binning
+from fieldspark.operators.grid import expert_locations, given_locations, grid_2d, had_observation, lattice_rows, lattice_values, masked, thin_lattice
 from fieldspark.operators.stats import block_statistics, histogram, quantile_limits, statistics
 from fieldspark.plans.tables import LONLAT_SQL, OBS_SQL, X_RANGE, lon_lat, observations, read
+from fieldspark.sources.scan import union_all
+from fieldspark.sources.scratch import scratch_root
+from fieldspark.sources.store import Store, from_dict
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -92,6 +97,47 @@ def a6_binning_run(spark, sf_dir):
     return rounded(binning_run(spark, sf_dir)[0], "obs")
 
 
+def whole_run():
+    return BinConfig("obs", 1000.0, ["source"], x_range=X_RANGE, y_range=(0.0, 50_000.0), row_select=[{"col": "obs", "comp": ">", "val": 0.01}])
+
+
+@query("a7_bins_at_once", f"WITH {BINS_SQL} SELECT source, {CENTRES}, round(avg(obs), 9) AS obs FROM b WHERE obs > 0.01 GROUP BY source, ix, iy")
+def a7_bins_at_once(spark, sf_dir):
+    return rounded(run_binning(boxed(spark, sf_dir), whole_run())[0], "obs")
+
+
+@query("s10_stored_bins", f"WITH {BINS_SQL} SELECT source, {CENTRES}, round(avg(obs), 9) AS obs, 1000.0 AS grid_res, 'lineitem' AS raw FROM b WHERE obs > 0.01 GROUP BY source, ix, iy")
+def s10_stored_bins(spark, sf_dir):
+    """Bins are kept with their own configuration and that of what was binned, and both are read back."""
+    store = Store(spark, f"{scratch_root(spark)}/store-{uuid.uuid4().hex}")
+    store_binning(store, boxed(spark, sf_dir), whole_run(), "bins", {"table": "lineitem"})
+    config = from_dict(BinConfig, store.attribute("bins", "config")[-1])
+    raw = store.attribute("bins", "raw_data_config")[-1]["table"]
+    return rounded(store.read("bins"), "obs").withColumns({"grid_res": F.lit(config.grid_res), "raw": F.lit(raw)})
+
+
+@query("s15_run_provenance", """SELECT o_orderpriority, count(*) AS n, sha256('{"col": "' || o_orderpriority || '"}') AS config_hash FROM orders GROUP BY 1""")
+def s15_run_provenance(spark, sf_dir):
+    """A table a priority, each with its run noted."""
+    store = Store(spark, f"{scratch_root(spark)}/store-{uuid.uuid4().hex}")
+    o = read(spark, sf_dir, "orders")
+    out = []
+    for r in o.select("o_orderpriority").distinct().collect():  # five priorities
+        p = r["o_orderpriority"]
+        name = "t" + p[0]
+        store.write(o.where(F.col("o_orderpriority") == p), name, config={"col": p}, run_info=True)
+        out.append(store.read(name).groupBy("o_orderpriority").agg(F.count("*").alias("n")).withColumn("config_hash", F.lit(store.attribute(name, "run_info")[-1]["config_hash"])))
+    return union_all(out)
+
+
+@query("g5_given_locations", "SELECT DISTINCT s_nationkey::DOUBLE AS x, floor(s_acctbal / 1000) AS y, s_nationkey * 2.0 AS t FROM supplier WHERE s_nationkey IN (SELECT p_size FROM part)")
+def g5_given_locations(spark, sf_dir):
+    """Locations out of a table in one call: derived columns, distinct coordinates, a mask."""
+    part = read(spark, sf_dir, "part").select((F.col("p_size") * 1.0).alias("x"))
+    out = given_locations(spark, read(spark, sf_dir, "supplier"), ["x", "y"], [(part, ["x"])], col_funcs=[ColumnSpec("x", lambda n: n.cast("double"), ["s_nationkey"]), ColumnSpec("y", lambda b: F.floor(b / 1000).cast("double"), ["s_acctbal"]), ColumnSpec("t", "x * 2")])
+    return out.select("x", "y", "t")
+
+
 STATS_SQL = """count(*) AS size, count({v}) AS num_not_nan, sum(CASE WHEN isinf({v}) THEN 1 ELSE 0 END)::BIGINT AS num_inf, min({v}) AS min,
  round(avg({v}), 6) AS mean, max({v}) AS max, round(stddev_pop({v}), 6) AS std,
  round((avg({v}*{v}*{v}) - 3*avg({v})*avg({v}*{v}) + 2*pow(avg({v}), 3)) / pow(stddev_pop({v}), 3), 4) AS skew,

@@ -118,3 +118,28 @@ def e10_experts_without_locations(spark, sf_dir):
     c = config(pred_method="from_table", max_dist=5.0, dist_cols=("x",))
     at = places.where("expert_id % 3 = 0").select((F.col("x") + 1.0).alias("x"))
     return run_experts(places, obs, c, at).run_details.select("expert_id")
+
+
+@query("k3_model_by_path", f"""WITH {PAIR_SQL}
+SELECT id * 100.0 + e AS pred_loc_x, 'exact' AS model, round((k1 * (1.6 * y1 - c * y2) + k2 * (1.6 * y2 - c * y1)) / det, 8) AS f_star FROM p""")
+def k3_model_by_path(spark, sf_dir):
+    """The model is named by where it is defined."""
+    run = run_experts(*two_each(spark, sf_dir), config(model="fieldspark.operators.gp:ExactGP"))
+    return run.preds.join(run.run_details.select("expert_id", "model"), "expert_id").select("pred_loc_x", "model", F.round("f_star", 8).alias("f_star"))
+
+
+@query("e17_sparse_two_observations", f"""WITH {PAIR_SQL},
+ m AS (SELECT *, 1.5 * 1.000001 AS b, (1.5 * 1.000001 * 1.5 - c * c) / (pow(1.5 * 1.000001, 2) - c * c) AS m1, 1.5 * 0.000001 * c / (pow(1.5 * 1.000001, 2) - c * c) AS m2 FROM p),
+ q AS (SELECT *, 1.5 * m1 + c * m2 + 0.1 AS s1, 1.5 * m2 + c * m1 AS s2, k1 * m1 + k2 * m2 AS q1, k1 * m2 + k2 * m1 AS q2, b + 10 * (2.25 + c * c) AS p1, c + 30 * c AS p2 FROM m)
+SELECT id * 100.0 + e AS pred_loc_x, round((q1 * (s1 * y1 - s2 * y2) + q2 * (s1 * y2 - s2 * y1)) / (s1 * s1 - s2 * s2), 7) AS f_star,
+ round(1.5 - (b * k1 * k1 - 2 * c * k1 * k2 + b * k2 * k2) / (b * b - c * c) + (p1 * k1 * k1 - 2 * p2 * k1 * k2 + p1 * k2 * k2) / (p1 * p1 - p2 * p2), 7) AS f_var FROM q""")
+def e17_sparse_two_observations(spark, sf_dir):
+    """The sparse model with both observations as inducing points, its jitter included."""
+    preds = run_experts(*two_each(spark, sf_dir), config(model="sparse")).preds
+    return preds.select("pred_loc_x", F.round("f_star", 7).alias("f_star"), F.round("f_var", 7).alias("f_var"))
+
+
+@query("e19_details_of_a_run", "SELECT s_suppkey * 100.0 AS x, true AS has_device, true AS timed, 'exact' AS model FROM supplier")
+def e19_details_of_a_run(spark, sf_dir):
+    d = run_experts(*two_each(spark, sf_dir), config()).run_details
+    return d.select("x", (F.length("device") > 0).alias("has_device"), F.col("run_time").between(0, 3600).alias("timed"), "model")

@@ -7,9 +7,9 @@ import hashlib
 import json
 import types
 from collections.abc import Sequence
-from dataclasses import asdict, is_dataclass
+from dataclasses import asdict, fields, is_dataclass
 from datetime import datetime, timezone
-from typing import Any
+from typing import Any, get_args, get_type_hints
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +59,26 @@ def json_text(value: Any) -> str:
     return json.dumps(plain(value), sort_keys=True)
 
 
+def from_dict(kind: type, values: dict[str, Any]) -> Any:
+    """A dataclass from the dict that ``asdict`` or a stored configuration gives; dataclasses inside it as well.
+
+    Names that it does not have are an error; lists of dicts become lists of the dataclass that the field's type names.
+    """
+    hints, known = get_type_hints(kind), {f.name for f in fields(kind)}
+    if unknown := sorted(set(values) - known):
+        raise ValueError(f"{kind.__name__} has no {unknown}")
+
+    def built(hint: Any, v: Any) -> Any:
+        inside = [h for h in (hint, *get_args(hint)) if is_dataclass(h)]
+        if inside and isinstance(v, dict):
+            return from_dict(inside[0], v)
+        if inside and isinstance(v, (list, tuple)):
+            return [built(inside[0], x) for x in v]
+        return v
+
+    return kind(**{k: built(hints[k], v) for k, v in values.items()})
+
+
 def digest(x: Any) -> str:
     return hashlib.sha256(json.dumps(x, sort_keys=True).encode()).hexdigest()[:16]
 
@@ -106,6 +126,9 @@ class Store:
         sc = self.spark.sparkContext
         return {"time": datetime.now(timezone.utc).isoformat(), "spark": sc.version, "app_id": sc.applicationId, "config_hash": hashlib.sha256(json_text(config).encode()).hexdigest()}
 
+    def add_attribute(self, table: str, name: str, value: Any) -> None:
+        self._add_meta([(table, name, json_text(value))], replace=None)
+
     def _add_meta(self, rows: list[tuple], replace: str | None) -> None:
         at = datetime.now(timezone.utc).replace(tzinfo=None)
         if replace is not None:
@@ -158,10 +181,11 @@ class Store:
         self.read(table).write.mode("overwrite").option("header", True).csv(path)
 
 
-def collect_results(store: Store, suffix: str = "", tables: Sequence[str] | None = None, locations: str | None = "expert_locs", coords: Sequence[str] = (), col_funcs: dict[str, Sequence[ColumnSpec]] | None = None) -> dict[str, DataFrame]:
+def collect_results(store: Store, suffix: str = "", tables: Sequence[str] | None = None, locations: str | None = "expert_locs", coords: Sequence[str] = (), col_funcs: dict[str, Sequence[ColumnSpec]] | Sequence[ColumnSpec] | None = None) -> dict[str, DataFrame]:
     """All result tables with a suffix; with ``coords`` the location columns are joined to each.
 
-    ``col_funcs`` names columns to add by table, without the suffix.
+    ``col_funcs`` names columns to add by table, without the suffix; a plain list is added to every table that has the
+    columns which it asks for, in order.
     """
     names = [t for t in store.tables() if t.endswith(suffix) and (tables is None or t.removesuffix(suffix) in tables)]
     out = {t: store.read(t) for t in names}
@@ -170,8 +194,14 @@ def collect_results(store: Store, suffix: str = "", tables: Sequence[str] | None
         for t in names:
             if t not in (places, f"{CONFIGS}{suffix}") and set(coords) <= set(out[t].columns):
                 out[t] = attach_locations(out[t], out[places], coords)
-    for t, specs in (col_funcs or {}).items():
-        out[f"{t}{suffix}"] = add_columns(out[f"{t}{suffix}"], specs)
+    if isinstance(col_funcs, dict):
+        for t, specs in col_funcs.items():
+            out[f"{t}{suffix}"] = add_columns(out[f"{t}{suffix}"], specs)
+        return out
+    for t in out:
+        for spec in col_funcs or ():
+            if {*spec.cols, *spec.col_kwargs.values()} <= set(out[t].columns):
+                out[t] = add_columns(out[t], [spec])
     return out
 
 

@@ -236,3 +236,50 @@ def test_nearest_of_lone_points_and_clusters(spark):
     far = np.sqrt(((points[:, None] - truth[None]) ** 2).sum(axis=2))
     assert got == {i: (int(d.argmin()), pytest.approx(d.min())) for i, d in enumerate(far)}
     assert nearby.nearest(p, t.where("false"), ["x", "y"], "id", "t", [], 0.5).where("t is null").count() == len(points)
+
+
+def test_configurations_are_read_back():
+    from dataclasses import asdict
+
+    from fieldspark.operators.binning import BinConfig
+    from fieldspark.operators.gp import model_by_name
+    from fieldspark.sources.store import from_dict
+
+    c = ExpertConfig(["x"], "obs", [Near("x", "<=", 3.0), Near(["x", "y"], "<", 2.0)], GPConfig(lengthscales=[2.0], bounds={"lengthscales": (0.1, 5.0)}), min_obs=7)
+    assert from_dict(ExpertConfig, asdict(c)) == c and from_dict(BinConfig, asdict(BinConfig("v", 5.0))) == BinConfig("v", 5.0)
+    with pytest.raises(ValueError, match="none_such"):
+        from_dict(GPConfig, {"none_such": 1})
+    assert isinstance(model_by_name("fieldspark.operators.gp.SparseGP"), SparseGP) and isinstance(model_by_name("fieldspark.operators.gp:ExactGP"), ExactGP)
+    for bad, kind in (("nothing", ValueError), ("fieldspark.operators.gp.GPConfig", TypeError)):
+        with pytest.raises(kind):
+            model_by_name(bad)
+
+
+def test_one_set_of_columns_for_all_tables(spark, tmp_path):
+    from fieldspark.functions.columns import ColumnSpec
+    from fieldspark.sources.store import Store, collect_results
+
+    s = Store(spark, f"file://{tmp_path}/s")
+    s.write(spark.createDataFrame([(1.0, 2.0)], "x double, y double"), "a_R")
+    s.write(spark.createDataFrame([(3.0,)], "x double"), "b_R")
+    specs = [ColumnSpec("twice", "*", ["x"], [2]), ColumnSpec("sum", "+", ["x", "y"]), ColumnSpec("more", "+", ["twice"], [1])]
+    out = {t: df.first().asDict() for t, df in collect_results(s, "_R", col_funcs=specs).items()}
+    assert out == {"a_R": {"x": 1.0, "y": 2.0, "twice": 2.0, "sum": 3.0, "more": 3.0}, "b_R": {"x": 3.0, "twice": 6.0, "more": 7.0}}
+
+
+def test_parameters_at_adjusted_coordinates(spark):
+    from fieldspark.operators.experts import wide_parameters
+
+    params = spark.createDataFrame([(1.0, "lengthscales", 0, 5.0), (1.0, "lengthscales", 1, 6.0), (2.0, "kernel_variance", 0, 7.0)], "x double, param string, dim int, value double")
+    experts = spark.createDataFrame([(1, 1.2), (2, 1.9), (3, 9.0)], "expert_id long, x double")
+    got = {r["expert_id"]: (r["lengthscales"], r["kernel_variance"]) for r in wide_parameters(params, experts, ["x"], {"x": lambda c: F.round(c, 0)}).collect()}
+    assert got == {1: ([5.0, 6.0], None), 2: (None, [7.0]), 3: (None, None)}
+
+
+def test_matches_of_rows_that_repeat(spark):
+    from fieldspark.operators.compare import match
+
+    x = spark.createDataFrame([("a", 1.0), ("b", 1.0), ("c", None), ("d", 4.04)], "k string, v double")
+    y = spark.createDataFrame([(0, 1.0), (1, 1.0), (2, 4.0)], "idx int, w double")
+    assert {r["k"]: r["y_idx"] for r in match(x, y, "v", "w").collect()} == {"a": 0, "b": 0, "c": None, "d": None}
+    assert {r["k"]: r["y_idx"] for r in match(x, y, "v", "w", tol=0.1).collect()} == {"a": 0, "b": 0, "c": None, "d": 2}
