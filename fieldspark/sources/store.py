@@ -73,7 +73,7 @@ def from_dict(kind: type, values: dict[str, Any]) -> Any:
         if inside and isinstance(v, dict):
             return from_dict(inside[0], v)
         if inside and isinstance(v, (list, tuple)):
-            return [built(inside[0], x) for x in v]
+            return type(v)(built(inside[0], x) for x in v)
         return v
 
     return kind(**{k: built(hints[k], v) for k, v in values.items()})
