@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from fieldspark.llm.common import Words, binary_column, chunks, dropped, mix, small_batches, table, window_hashes, written
 from fieldspark.llm.components import components
-from fieldspark.llm.ngram_jaccard import SHINGLE, band, tile_links, verified
+from fieldspark.llm.ngram_jaccard import SHINGLE, Alike, tile_links, verified
 
 PERMUTATIONS = 128
 BANDS, BAND = 16, 5
@@ -62,6 +62,11 @@ def _alike(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
     return reduce(lambda x, y: x + y, [F.bit_count(d) for d in differ]) <= DIFFERENT
 
 
+def _least_shared(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
+    """Whether h is the least of the bands that two rows share: a pair then comes once, however many it shares."""
+    return F.array_min(F.array_intersect(a("bands"), b("bands"))) == F.col("h")
+
+
 def signatures(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(one row of PERMUTATIONS bytes a text, number of shingles with repeats)."""
     w = Words([t.lower() for t in texts])
@@ -118,13 +123,15 @@ def signature_rows(docs: DataFrame) -> DataFrame:
 def band_tiles(heads: DataFrame) -> DataFrame:
     """Rows that share a band with another, as tiles of the n-gram join."""
     bands = F.array([F.xxhash64(F.lit(i), F.substring("print", 1 + i * BAND, BAND)) for i in range(BANDS)])
-    rows = heads.select("doc_id", "n", *_PLANES, F.explode(bands).alias("h"))
+    rows = heads.select("doc_id", F.explode(bands).alias("h"))
     shared = rows.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("h", "m")
     # distinct shingles are fewer than shingles, by a factor that is not known here: one size band for all
     zero = F.lit(0)
     # the row that shares most bands with others leads its tiles first
-    central = F.sum("m").over(Window.partitionBy("doc_id")).cast("double").alias("central")
-    tiles = rows.join(written(shared, "shared-bands"), "h").select("h", zero.alias("band"), "doc_id", F.lit(1).alias("n"), zero.alias("pos"), central, F.col("doc_id").alias("comp"), *_PLANES)
+    own = Window.partitionBy("doc_id")
+    central, own_bands = F.sum("m").over(own).cast("double").alias("central"), F.collect_set("h").over(own).alias("bands")
+    tiles = rows.join(written(shared, "shared-bands"), "h").select("h", "doc_id", central, own_bands).join(heads.select("doc_id", *_PLANES).dropDuplicates(["doc_id"]), "doc_id")
+    tiles = tiles.select("h", zero.alias("band"), "doc_id", F.lit(1).alias("n"), zero.alias("pos"), "central", F.col("doc_id").alias("comp"), "bands", *_PLANES)
     return written(tiles, "band-rows")
 
 
@@ -138,7 +145,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     copied = written(copied, "copy-links")
     heads = rows.join(copied.select("doc_id", *key), ["doc_id", *key], "left_anti")
     tiles = band_tiles(heads)
-    links = tile_links(tiles, lambda pairs, name: verified(pairs, docs, name), (_PLANES, _alike))
+    links = tile_links(tiles, lambda pairs, name: verified(pairs, docs, name), Alike([*_PLANES, "bands"], _alike, _least_shared))
     every = links.unionByName(copied.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
     out = components(every.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("doc_id"), F.col("root").alias("class_id"))
     dropped(rows, classes, copied)

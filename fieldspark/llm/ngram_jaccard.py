@@ -34,6 +34,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Callable, Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -306,20 +307,28 @@ def places(heads: DataFrame, shared: DataFrame) -> DataFrame:
     return heads.select("doc_id", "n", "prefix").mapInArrow(run, "doc_id bigint, n int, pos int, h bigint")
 
 
-#: Whether two rows may link by further columns of theirs; the names of the columns, and a condition on both rows' values.
-Alike = tuple[Sequence[str], Callable[[Callable[[str], Column], Callable[[str], Column]], Column]]
-ANY: Alike = ((), lambda a, b: F.lit(True))
+class Alike(NamedTuple):
+    """Further columns of tile rows, and conditions on those of two rows, which are given as functions of a name."""
+
+    columns: Sequence[str] = ()
+    #: whether they may link
+    fits: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] = lambda a, b: F.lit(True)
+    #: whether of all tiles that hold both this one, h, is the one to meet in
+    here: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] = lambda a, b: F.lit(True)
+
+
+ANY = Alike()
 
 
 def leader_pairs(tiles: DataFrame, number: int, alike: Alike = ANY) -> DataFrame:
     """At most one pair for each row of the tiles: with the leader, in another component, of most of its tiles."""
     draw = F.struct(F.lit(0.0) if number else -F.col("central"), F.xxhash64("doc_id", F.lit(number)))
-    pick = F.struct(draw.alias("draw"), "n", "doc_id", "pos", "comp", *alike[0])
+    pick = F.struct(draw.alias("draw"), "n", "doc_id", "pos", "comp", *alike.columns)
     # written first: both sides of the join are then plain exchanges, and a hot tile can be split
     leaders = written(tiles.groupBy("h", "band").agg(F.min(pick).alias("leader")), "leaders")
     below = tiles.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") - 1))).join(leaders, ["h", "band"])
     fit = sizes_fit(F.col("n"), F.col("leader.n")) & overlap_possible(F.col("n"), F.col("pos"), F.col("leader.n"), F.col("leader.pos"))
-    fit &= alike[1](F.col, lambda c: F.col(f"leader.{c}"))
+    fit &= alike.fits(F.col, lambda c: F.col(f"leader.{c}"))
     stars = below.where((F.col("comp") != F.col("leader.comp")) & fit).groupBy("doc_id", F.col("leader.doc_id").alias("other")).agg(F.count("*").alias("tiles"))
     best = stars.groupBy("doc_id").agg(F.max_by("other", F.struct("tiles", F.xxhash64("other"))).alias("other"))
     out = written(best.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct(), "leader-pairs")
@@ -343,13 +352,14 @@ def tile_candidates(tiles: DataFrame, alike: Alike = ANY) -> DataFrame:
     rows = written(tiles.join(written(parts, "tile-parts"), "h"), "tile-rows")
     blocks = F.ceil(F.col("m") / TILE_ROWS).cast("int")
     outside = (F.col("comp") != F.col("largest")).alias("outside")
-    asked = rows.select("h", "band", F.pmod(F.xxhash64("doc_id"), blocks).cast("int").alias("block"), F.col("doc_id").alias("b"), F.col("n").alias("b_n"), F.col("pos").alias("b_pos"), F.col("comp").alias("b_comp"), outside, *[F.col(c).alias(f"b_{c}") for c in alike[0]])
-    asking = rows.where("comp <> largest").select("h", F.explode(F.array([F.col("band") + i for i in (-1, 0, 1)])).alias("band"), F.sequence(F.lit(0), blocks - 1).alias("blocks"), F.col("doc_id").alias("a"), F.col("n").alias("a_n"), F.col("pos").alias("a_pos"), F.col("comp").alias("a_comp"), *[F.col(c).alias(f"a_{c}") for c in alike[0]])
+    asked = rows.select("h", "band", F.pmod(F.xxhash64("doc_id"), blocks).cast("int").alias("block"), F.col("doc_id").alias("b"), F.col("n").alias("b_n"), F.col("pos").alias("b_pos"), F.col("comp").alias("b_comp"), outside, *[F.col(c).alias(f"b_{c}") for c in alike.columns])
+    asking = rows.where("comp <> largest").select("h", F.explode(F.array([F.col("band") + i for i in (-1, 0, 1)])).alias("band"), F.sequence(F.lit(0), blocks - 1).alias("blocks"), F.col("doc_id").alias("a"), F.col("n").alias("a_n"), F.col("pos").alias("a_pos"), F.col("comp").alias("a_comp"), *[F.col(c).alias(f"a_{c}") for c in alike.columns])
     asking = asking.withColumn("block", F.explode("blocks")).drop("blocks")
     # two rows that both ask meet once
     fit = (F.col("a_comp") != F.col("b_comp")) & (~F.col("outside") | (F.col("a") < F.col("b"))) & sizes_fit(F.col("a_n"), F.col("b_n"))
     fit &= overlap_possible(F.col("a_n"), F.col("a_pos"), F.col("b_n"), F.col("b_pos"))
-    fit &= alike[1](lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"))
+    for holds in (alike.fits, alike.here):
+        fit &= holds(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"))
     pairs = asking.join(asked, ["h", "band", "block"]).where(fit)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
