@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fieldspark.operators.binning import bin_by
 from fieldspark.operators.experts import ExpertConfig, fit_experts, long_parameters, run_experts, select_for_experts, wide_parameters
 from fieldspark.operators.glue import SmoothingConfig, glue_1d, glue_by_spacing, glue_local_predictions, kernel_smooth, mean_by_location, smooth_parameters, weighted_values
+from fieldspark.operators.kerneltree import tree_smooth
 from fieldspark.operators.gp import GPConfig
 from fieldspark.operators.lattice import smooth_lattice
 from fieldspark.operators.nearby import Near
@@ -184,6 +185,17 @@ def a15_kernel_smooth_error(spark, sf_dir):
     return rounded(kernel_smooth(points_with_nulls(spark, sf_dir), "v", 3.0, 2.0, by=["dim"], error=1e-11), "v", digits=6)
 
 
+@query("a15_kernel_smooth_tree", f"WITH {NULLS_SQL} SELECT dim, x, y, true AS within FROM q WHERE EXISTS (SELECT 1 FROM q b WHERE b.dim IS NOT DISTINCT FROM q.dim AND b.v IS NOT NULL)")
+def a15_kernel_smooth_tree(spark, sf_dir):
+    """Through the tree of cells; whether each mean is as near to the full sum's as the tree promises."""
+    points, error = points_with_nulls(spark, sf_dir), 0.05
+    tree = tree_smooth(points, "v", 12.0, 10.0, by=["dim"], error=error)
+    full = kernel_smooth(points, "v", 12.0, 10.0, by=["dim"]).select(F.col("dim").alias("d"), F.col("x").alias("fx"), F.col("y").alias("fy"), F.col("v").alias("fv"))
+    spread = points.groupBy(F.col("dim").alias("sd")).agg((F.max("v") - F.min("v")).cast("double").alias("spread"))
+    both = tree.join(full, F.col("dim").eqNullSafe(F.col("d")) & (F.col("x") == F.col("fx")) & (F.col("y") == F.col("fy"))).join(spread, F.col("dim").eqNullSafe(F.col("sd")))
+    return both.select("dim", "x", "y", (F.abs(F.col("v") - F.col("fv")) <= error * F.col("spread") + 1e-9).alias("within"))
+
+
 LATTICE_SQL = """q AS (SELECT l_returnflag AS source, floor(l_quantity)::BIGINT AS ix, floor(l_extendedprice / 3000)::BIGINT AS iy, avg(l_discount) AS v, count(*) AS n FROM lineitem GROUP BY 1, 2, 3),
  d AS (SELECT source, ix, iy, CASE WHEN n % 4 <> 0 THEN v END AS v FROM q)"""
 

@@ -16,6 +16,7 @@ from fieldspark.operators import covariance, lattice, numbering, quantiles, stat
 from fieldspark.operators.experts import ExpertConfig, run_experts
 from fieldspark.operators.glue import kernel_smooth
 from fieldspark.operators.gp import ExactGP, GPConfig, SparseGP
+from fieldspark.operators.kerneltree import tree_smooth
 from fieldspark.operators.nearby import Near
 from fieldspark.streaming import streams
 
@@ -142,6 +143,34 @@ def test_smoothing_keeps_rows_without_a_group(spark):
     assert {k: v for k, v in want.items() if k != ("a", 30.0)} == pytest.approx({(r["g"], r["x"]): r["v"] for r in kernel_smooth(df, "v", 1.0, 1.0, by=["g"], cutoff=9.0).where("v is not null").collect()})
 
 
+@pytest.mark.parametrize("error", [0.2, 0.01])
+def test_tree_smoothing_keeps_its_limit(spark, error):
+    r = np.random.default_rng(7)
+    dense = [(None, *r.uniform(0, 1.5, 2), float(r.normal())) for _ in range(1500)]
+    wide = [("a", *r.uniform(-40, 40, 2), float(r.normal())) for _ in range(300)]
+    rows = [(g, float(u), float(v), z) for g, u, v, z in [*dense, *wide]] + [("a", 1.0, 1.0, 5.0), ("a", 1.0, 1.0, 6.0), ("a", 2.0, 2.0, None), (None, None, 0.0, 3.0), ("b", 0.0, 0.0, 4.0)]
+    df = spark.createDataFrame(rows, "g string, x double, y double, v double")
+    got = {(row["g"], row["x"], row["y"]): row["v"] for row in tree_smooth(df, "v", 1.0, 2.0, by=["g"], error=error).collect()}
+    assert set(got) == {row[:3] for row in rows} and got[None, None, 0.0] is None and got["b", 0.0, 0.0] == pytest.approx(4.0)
+    most = 0.0
+    for g in (None, "a"):
+        p = np.array([(x, y, v) for h, x, y, v in rows if h == g and x is not None and v is not None])
+        at = np.array([k[1:] for k in got if k[0] == g and k[1] is not None])
+        w = np.exp(-0.5 * ((at[:, :1] - p[:, 0]) ** 2 + ((at[:, 1:] - p[:, 1]) / 2) ** 2))
+        off = np.abs(w @ p[:, 2] / w.sum(axis=1) - [got[g, x, y] for x, y in at]).max()
+        assert off <= error * np.ptp(p[:, 2])
+        most = max(most, off)
+    # cells did stand for rows
+    assert most > 1e-12
+
+
+def test_tree_smoothing_of_nothing(spark):
+    df = spark.createDataFrame([], "x double, y double, v double")
+    assert tree_smooth(df, "v", 1.0, 1.0).count() == 0
+    alone = spark.createDataFrame([(1.0, 2.0, None)], "x double, y double, v double")
+    assert tree_smooth(alone, "v", 1.0, 1.0).count() == 0
+
+
 def test_configurations_are_stored_alike_in_every_process():
     code = "import functools; from fieldspark.sources.store import json_text; from fieldspark.operators.gp import SparseGP; k = 3; f = (lambda k: lambda x: x * k)\n"
     code += "print(json_text({'f': f(5), 'm': SparseGP(), 'p': functools.partial(sorted, reverse=True), 's': {'b', 'a', 'c'}, 't': SparseGP}), json_text(f(5)) != json_text(f(6)), json_text(f(5)) == json_text(f(5)))"
