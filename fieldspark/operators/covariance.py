@@ -7,14 +7,17 @@ places; a task holds the expert's observations and two blocks, never the whole m
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import itertools
+from collections.abc import Iterator, Sequence
 from typing import TYPE_CHECKING
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldspark.operators.gathered import as_arrays, dealt, in_order, matrices
 from fieldspark.operators.gp import PARAMS
 
 if TYPE_CHECKING:
@@ -50,26 +53,35 @@ def predict_covariance(fitted: DataFrame, selected: DataFrame, locations: DataFr
     numbered = numbered_locations(locations, coords)
     sizes = numbered.groupBy("expert_id").agg(F.count("*").cast("int").alias("_n"))
     block = F.floor(F.col("i") / block_rows).cast("int")
-    dealt = numbered.join(sizes, "expert_id").withColumn("_to", F.explode(_block_pairs(F.col("_n"), block, block_rows)))
-    dealt = dealt.select("expert_id", "_to.a", "_to.b", "_to.side", "i", *where).join(ready, "expert_id")
+    sides = numbered.join(sizes, "expert_id").withColumn("_to", F.explode(_block_pairs(F.col("_n"), block, block_rows)))
+    sides = sides.select("expert_id", "_to.a", "_to.b", "_to.side", "i", *where)
     last = F.floor((F.col("_n") - 1) / block_rows).cast("int")
     pairs = sizes.select("expert_id", F.explode(F.sequence(F.lit(0), last)).alias("a"), last.alias("_last"))
     pairs = pairs.select("expert_id", "a", F.explode(F.sequence("a", "_last")).alias("b"))
-    near = selected.join(pairs, "expert_id")
-
-    def run(at: pd.DataFrame, obs: pd.DataFrame) -> pd.DataFrame:
-        if not len(at) or not len(obs):
-            return pd.DataFrame({"expert_id": [], "i": [], "j": [], "value": []})
-        obs = obs.sort_values([*coords, "_obs"], ignore_index=True)
-        first, second = (at[at["side"] == s].sort_values("i") for s in (0, 1))
-        params = {n: np.asarray(at[n].iloc[0], float) for n in PARAMS}
-        value = c.model_for(len(obs)).covariance(obs[coords].to_numpy(float), c.gp, params, first[where].to_numpy(float), second[where].to_numpy(float))
-        i, j = (x.ravel() for x in np.meshgrid(first["i"].to_numpy(), second["i"].to_numpy(), indexing="ij"))
-        keep = i <= j
-        return pd.DataFrame({"expert_id": at["expert_id"].iloc[0], "i": i[keep], "j": j[keep], "value": value.ravel()[keep]})
-
     key = ["expert_id", "a", "b"]
-    return dealt.groupBy(*key).cogroup(near.groupBy(*key)).applyInPandas(run, "expert_id bigint, i int, j int, value double")
+    owners = dealt(pairs.select(*key).join(ready, "expert_id"), key)
+    rows = as_arrays(selected, ["expert_id"], [*coords, "_obs"], "_rows")
+    met = owners.join(as_arrays(sides, key, ["side", "i", *where], "_at"), key).join(rows, "expert_id")
+
+    def covariances(e: int, obs: np.ndarray, at: np.ndarray, p: dict) -> list[np.ndarray]:
+        obs = in_order(obs)
+        first, second = (m[np.argsort(m[:, 1])] for m in (at[at[:, 0] == s] for s in (0, 1)))
+        params = {n: np.asarray(p[n], float) for n in PARAMS}
+        value = c.model_for(len(obs)).covariance(obs[:, :-1], c.gp, params, first[:, 2:], second[:, 2:])
+        i, j = (x.ravel().astype(np.int32) for x in np.meshgrid(first[:, 1], second[:, 1], indexing="ij"))
+        keep = i <= j
+        return [np.full(keep.sum(), e, np.int64), i[keep], j[keep], value.ravel()[keep]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            owned = zip(b.column("expert_id").to_pylist(), matrices(b, "_rows"), matrices(b, "_at"), b.select(list(PARAMS)).to_pylist(), strict=True)
+            # some pairs of blocks at a time: a full one gives block_rows ** 2 rows
+            while some := list(itertools.islice(owned, 16)):
+                parts = [covariances(*x) for x in some]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in zip(*parts, strict=True)], names=["expert_id", "i", "j", "value"])
+
+    met = met.select(F.col("expert_id").cast("long"), *PARAMS, "_rows", "_at")
+    return met.mapInArrow(run, "expert_id bigint, i int, j int, value double")
 
 
 def joint_draws(preds: DataFrame, covariance: DataFrame, c: ExpertConfig, n: int, seed: int = 0, max_locations: int = 4096) -> DataFrame:

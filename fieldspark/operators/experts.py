@@ -1,25 +1,27 @@
 """Local experts: each selects nearby observations, fits a model and predicts nearby locations.
 
-Two grouped jobs do the work: fit is a cogroup from the experts' side, so an expert without any
-observation still gets its details row; predict is a cogroup of observations and locations.
+Two grouped jobs do the work: fit joins the observations to the experts' side, so an expert without any
+observation still gets its details row; predict joins observations and locations.  What belongs to an expert is an array in
+its row, and a worker reads many experts at a time.
 """
 
 from __future__ import annotations
 
 import socket
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldspark.functions.predicates import run_bounds, select_rows
 from fieldspark.operators.compare import not_done
 from fieldspark.operators.covariance import predict_covariance
+from fieldspark.operators.gathered import as_arrays, dealt, in_order, matrices
 from fieldspark.operators.gp import PARAMS, GPConfig, Model, model_by_name
 from fieldspark.operators.nearby import Near, _windows, expert_as_location, local_select, prediction_locations, shifted_locations
 from fieldspark.sources.scratch import written
@@ -77,64 +79,69 @@ def select_for_experts(experts: DataFrame, obs: DataFrame, c: ExpertConfig) -> D
     return local_select(experts, rows, c.local_select, [*c.coords, c.obs_col], c.coords).select("expert_id", *c.coords, F.col(c.obs_col).alias("_obs"))
 
 
-def _sorted(part: pd.DataFrame, coords: Sequence[str]) -> pd.DataFrame:
-    return part.sort_values([*coords, "_obs"], ignore_index=True)
-
-
 def fit_experts(experts: DataFrame, selected: DataFrame, c: ExpertConfig, start: DataFrame | None = None) -> DataFrame:
     """One details row per expert, with its parameters as arrays (NULL where nothing was fitted).
 
     ``start`` (expert_id and parameter arrays) sets initial, or with ``optimise=False`` final, values.
     """
     coords, names = list(c.coords), list(PARAMS)
-    left = experts.select("expert_id", *[F.col(x).cast("double") for x in coords])
+    left = dealt(experts.select("expert_id", *[F.col(x).cast("double") for x in coords]), ["expert_id"]).dropDuplicates(["expert_id"])
     given = start is not None
     if given:
         left = left.join(start.select("expert_id", *names), "expert_id", "left")
+    left = left.join(as_arrays(selected, ["expert_id"], [*coords, "_obs"], "_rows"), "expert_id", "left")
 
-    def run(expert: pd.DataFrame, obs: pd.DataFrame) -> pd.DataFrame:
-        if not len(expert):
-            return pd.DataFrame(columns=[*out_names])
+    def fitted(obs: np.ndarray, first: dict[str, np.ndarray]) -> tuple:
         began = time.perf_counter()
-        e = {k: expert[k].iloc[0] for k in expert.columns}  # a row as one Series would turn ids into doubles
-        row: dict[str, Any] = {"expert_id": e["expert_id"], **{x: e[x] for x in coords}, "num_obs": len(obs), "objective_value": None, "parameters_optimised": False, "optimise_success": False, "device": socket.gethostname(), **dict.fromkeys(names)}
-        first = {n: np.asarray(e[n], float) for n in names if given and e[n] is not None}
         model = c.model_for(len(obs))
-        row["model"] = model.name
+        params, value, optimised, ok = {}, None, False, False
         if len(obs) >= c.min_obs and not (given and not first):
-            obs = _sorted(obs, coords)
-            params, value, ok = model.fit(obs[coords].to_numpy(float), obs["_obs"].to_numpy(float), c.gp, first, c.optimise)
-            row |= {n: params[n].tolist() for n in names} | {"objective_value": value, "parameters_optimised": c.optimise, "optimise_success": ok}
-        row["run_time"] = time.perf_counter() - began
-        return pd.DataFrame([row])[out_names]
+            obs = in_order(obs)
+            params, value, ok = model.fit(obs[:, :-1], obs[:, -1], c.gp, first, c.optimise)
+            optimised = c.optimise
+        own = [np.asarray(params[n], float).tolist() if params else None for n in names]
+        return len(obs), time.perf_counter() - began, None if value is None else float(value), bool(optimised), bool(ok), model.name, socket.gethostname(), *own
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            firsts = [{n: np.asarray(v, float) for n in names if (v := r[n]) is not None} for r in b.select(names).to_pylist()] if given else [{} for _ in range(b.num_rows)]
+            rows = [fitted(*x) for x in zip(matrices(b, "_rows"), firsts, strict=True)]
+            done = [pa.array(v, k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds]
+            yield pa.RecordBatch.from_arrays([*[b.column(x) for x in ("expert_id", *coords)], *done], names=out_names)
 
     schema = "expert_id bigint, " + ", ".join(f"`{x}` double" for x in coords) + f", {DETAILS}, " + ", ".join(f"{n} array<double>" for n in names)
     out_names = ["expert_id", *coords, *[d.split()[0] for d in DETAILS.split(", ")], *names]
-    return left.groupBy("expert_id").cogroup(selected.groupBy("expert_id")).applyInPandas(run, schema)
+    kinds = [pa.int64(), pa.float64(), pa.float64(), pa.bool_(), pa.bool_(), pa.string(), pa.string(), *[pa.list_(pa.float64()) for _ in names]]
+    return left.select(F.col("expert_id").cast("long"), *coords, *(names if given else []), "_rows").mapInArrow(run, schema)
 
 
 def predict_experts(fitted: DataFrame, selected: DataFrame, locations: DataFrame, c: ExpertConfig) -> DataFrame:
     """f_star, f_var, y_var, f_bar and f_star_obs (data units) of each expert at each of its locations."""
     coords, names = list(c.coords), list(PARAMS)
-    ready = fitted.where(F.col(names[0]).isNotNull()).select("expert_id", *coords, *names)
-    asked = locations.join(ready, "expert_id")
     where = [f"pred_loc_{x}" for x in coords]
-
-    def run(at: pd.DataFrame, obs: pd.DataFrame) -> pd.DataFrame:
-        if not len(at) or not len(obs):
-            return pd.DataFrame(columns=out_names)
-        obs = _sorted(obs, coords)
-        params = {n: np.asarray(at[n].iloc[0], float) for n in names}
-        got = c.model_for(len(obs)).predict(obs[coords].to_numpy(float), obs["_obs"].to_numpy(float), c.gp, params, at[where].to_numpy(float))
-        out = at[["expert_id", *coords, *where]].copy()
-        for n in ("f_star", "f_var", "y_var", "f_bar"):
-            out[n] = got[n]
-        out["f_star_obs"] = out["f_star"] * c.gp.obs_scale + out["f_bar"]
-        return out[out_names]
+    ready = dealt(fitted.where(F.col(names[0]).isNotNull()).select("expert_id", *coords, *names), ["expert_id"])
+    asked = ready.join(as_arrays(locations, ["expert_id"], where, "_at"), "expert_id").join(as_arrays(selected, ["expert_id"], [*coords, "_obs"], "_rows"), "expert_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            params = b.select(names).to_pylist()
+            sizes, parts = [], []
+            for obs, at, p in zip(matrices(b, "_rows"), matrices(b, "_at"), params, strict=True):
+                obs = in_order(obs)
+                got = c.model_for(len(obs)).predict(obs[:, :-1], obs[:, -1], c.gp, {n: np.asarray(p[n], float) for n in names}, at)
+                sizes.append(len(at))
+                parts.append(np.column_stack([at, *[np.broadcast_to(np.asarray(got[n], float), (len(at),)) for n in ("f_star", "f_var", "y_var", "f_bar")]]))
+            if not parts:
+                continue
+            own = b.select(["expert_id", *coords]).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+            values = np.concatenate(parts)
+            f_star, f_bar = values[:, len(where)], values[:, -1]
+            out = [*own.columns, *[pa.array(v) for v in values.T], pa.array(f_star * c.gp.obs_scale + f_bar)]
+            yield pa.RecordBatch.from_arrays(out, names=out_names)
 
     out_names = ["expert_id", *coords, *where, "f_star", "f_var", "y_var", "f_bar", "f_star_obs"]
     schema = "expert_id bigint, " + ", ".join(f"`{n}` double" for n in out_names[1:])
-    return asked.groupBy("expert_id").cogroup(selected.groupBy("expert_id")).applyInPandas(run, schema)
+    return asked.select(F.col("expert_id").cast("long"), *[F.col(x).cast("double") for x in coords], *names, "_at", "_rows").mapInArrow(run, schema)
 
 
 def long_parameters(fitted: DataFrame, coords: Sequence[str], params: Sequence[str] = PARAMS) -> DataFrame:
