@@ -168,6 +168,12 @@ def scaled(x: np.ndarray, y: np.ndarray, c: GPConfig) -> tuple[np.ndarray, np.nd
     return x / scale, (y - mean) / c.obs_scale, mean, scale
 
 
+def from_first(x: np.ndarray, *others: np.ndarray) -> list[np.ndarray]:
+    """Coordinates as differences from the first row of ``x``: kernels see differences alone, and dividing
+    large coordinates by their scales would round them."""
+    return [p - x[:1] if len(x) else p for p in (x, *others)]
+
+
 class ExactGP:
     name = "exact"
 
@@ -199,7 +205,7 @@ class ExactGP:
         return float((inv @ y).sum() / inv.sum()) if c.mean_function == "constant" else 0.0
 
     def fit(self, x, y, c, start=None, optimise=True):
-        x, y, _, scale = scaled(x, y, c)
+        x, y, _, scale = scaled(*from_first(x), y, c)
         first = {**_start(c, x.shape[1]), **(start or {})}
         space = _Space(c, first, scale)
         if not optimise or not space.names:
@@ -214,6 +220,7 @@ class ExactGP:
         return space.unpack(z)[0], value, ok
 
     def predict(self, x, y, c, params, new):
+        x, new = from_first(x, new)
         x, y, mean, scale = scaled(x, y, c)
         new = new / scale
         k, _ = kernel_of(squared_parts(x, x, params["lengthscales"]), c.kernel, params["kernel_variance"][0])
@@ -230,6 +237,7 @@ class ExactGP:
 
     def covariance(self, x, c, params, a, b):
         """Posterior covariance between two sets of locations."""
+        x, a, b = from_first(x, a, b)
         x, _, _, scale = scaled(x, np.zeros(len(x)), c)
         k = lambda p, q: kernel_of(squared_parts(p, q, params["lengthscales"]), c.kernel, params["kernel_variance"][0])[0]
         chol = np.linalg.cholesky(k(x, x) + params["likelihood_variance"][0] * np.eye(len(x)))
@@ -268,7 +276,7 @@ class SparseGP:
         return float(0.5 * len(x) * math.log(2 * math.pi * noise) + np.log(np.diag(lb)).sum() + 0.5 * (y @ y / noise - v @ v) + 0.5 * trace)
 
     def fit(self, x, y, c, start=None, optimise=True):
-        x, y, _, scale = scaled(x, y, c)
+        x, y, _, scale = scaled(*from_first(x), y, c)
         z = self.inducing(x, c)
         first = {**_start(c, x.shape[1]), **(start or {})}
         space = _Space(c, first, scale)
@@ -284,6 +292,7 @@ class SparseGP:
         return space.unpack(t)[0], value, ok
 
     def predict(self, x, y, c, params, new):
+        x, new = from_first(x, new)
         x, y, mean, scale = scaled(x, y, c)
         z, new = self.inducing(x, c), new / scale
         s2, noise, lz, a, lb = self._factors(x, c, params, z)
@@ -296,6 +305,7 @@ class SparseGP:
 
     def covariance(self, x, c, params, a, b):
         """Posterior covariance between two sets of locations."""
+        x, a, b = from_first(x, a, b)
         x, _, _, scale = scaled(x, np.zeros(len(x)), c)
         z = self.inducing(x, c)
         s2, _, lz, _, lb = self._factors(x, c, params, z)

@@ -8,7 +8,7 @@ from fieldspark.operators.covariance import numbered_locations, predict_covarian
 from fieldspark.operators.experts import ExpertConfig, fit_experts, run_experts, select_for_experts
 from fieldspark.operators.gp import GPConfig
 from fieldspark.operators.nearby import Near, shifted_locations
-from fieldspark.plans.tables import read
+from fieldspark.plans.tables import PER_UNIT, in_units, read, supplier_x
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -24,21 +24,20 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-PLAIN = GPConfig(lengthscales=2.0, kernel_variance=1.5, likelihood_variance=0.1)
-OFFSETS = (-1.0, 0.25, 1.5)
+PLAIN = GPConfig(coords_scale=[PER_UNIT], lengthscales=2.0, kernel_variance=1.5, likelihood_variance=0.1)
+OFFSETS = tuple(v * PER_UNIT for v in (-1.0, 0.25, 1.5))
 
 
 def two_each(spark, sf_dir):
     """Suppliers as experts a hundred apart, each with an observation on either side."""
     s = read(spark, sf_dir, "supplier")
-    x = F.col("s_suppkey") * 100.0
-    right = s.select((x + F.col("s_nationkey") / 10.0).alias("x"), (F.col("s_acctbal") / 1000).alias("obs"))
-    left = s.select((x - 1 - F.col("s_nationkey") / 20.0).alias("x"), (F.col("s_suppkey") % 7).cast("double").alias("obs"))
-    return s.select(F.col("s_suppkey").alias("expert_id"), x.alias("x")), right.unionByName(left)
+    right = s.select(supplier_x(F.col("s_nationkey") / 10.0).alias("x"), (F.col("s_acctbal") / 1000).alias("obs"))
+    left = s.select(supplier_x(-1 - F.col("s_nationkey") / 20.0).alias("x"), (F.col("s_suppkey") % 7).cast("double").alias("obs"))
+    return s.select(F.col("s_suppkey").alias("expert_id"), supplier_x().alias("x")), right.unionByName(left)
 
 
 def config(**more) -> ExpertConfig:
-    near = [Near("x", "<=", 5.0), Near("x", ">=", -5.0)]
+    near = [Near("x", "<=", 5.0 * PER_UNIT), Near("x", ">=", -5.0 * PER_UNIT)]
     return ExpertConfig(["x"], "obs", near, **{"gp": PLAIN, "min_obs": 2, "optimise": False, "pred_method": "shift", "offsets": {"x": OFFSETS}, **more})
 
 
@@ -57,7 +56,7 @@ SELECT id * 100.0 + e AS pred_loc_x, round((k1 * (1.6 * y1 - c * y2) + k2 * (1.6
  round(1.5 - (1.6 * k1 * k1 - 2 * c * k1 * k2 + 1.6 * k2 * k2) / det, 8) AS f_var FROM p""")
 def e4_predict_two_observations(spark, sf_dir):
     preds = run_experts(*two_each(spark, sf_dir), config()).preds
-    return preds.select("pred_loc_x", F.round("f_star", 8).alias("f_star"), F.round("f_var", 8).alias("f_var"))
+    return preds.select(in_units("pred_loc_x"), F.round("f_star", 8).alias("f_star"), F.round("f_var", 8).alias("f_var"))
 
 
 @query("e3_objective_two_observations", f"""WITH {PAIR_SQL}
@@ -65,7 +64,7 @@ SELECT id * 100.0 AS x, 2 AS num_obs, round(0.5 * (1.6 * y1 * y1 - 2 * c * y1 *
 def e3_objective_two_observations(spark, sf_dir):
     """The negative log likelihood of fixed parameters."""
     details = run_experts(*two_each(spark, sf_dir), config()).run_details
-    return details.select("x", F.col("num_obs").cast("int").alias("num_obs"), F.round("objective_value", 7).alias("objective_value"))
+    return details.select(in_units("x"), F.col("num_obs").cast("int").alias("num_obs"), F.round("objective_value", 7).alias("objective_value"))
 
 
 @query("e5_covariance", f"""WITH {PAIR_SQL}
@@ -99,24 +98,24 @@ SELECT x, CASE WHEN best < 0.5 THEN 'low' WHEN best > 30 THEN 'high' ELSE 'insid
 def e7_bounded_variance(spark, sf_dir):
     """One observation y, kernel variance s fixed: the best likelihood variance is y * y - s, kept within its bounds."""
     s = read(spark, sf_dir, "supplier")
-    places = s.select(F.col("s_suppkey").alias("expert_id"), (F.col("s_suppkey") * 100.0).alias("x"))
-    obs = s.select((F.col("s_suppkey") * 100.0 + F.col("s_nationkey") / 10.0).alias("x"), (F.col("s_acctbal") / 1000).alias("obs"))
-    gp = GPConfig(lengthscales=2.0, kernel_variance=0.01, likelihood_variance=1.0, fixed=("lengthscales", "kernel_variance"), bounds={"likelihood_variance": (0.5, 30.0)})
+    places = s.select(F.col("s_suppkey").alias("expert_id"), supplier_x().alias("x"))
+    obs = s.select(supplier_x(F.col("s_nationkey") / 10.0).alias("x"), (F.col("s_acctbal") / 1000).alias("obs"))
+    gp = GPConfig(coords_scale=[PER_UNIT], lengthscales=2.0, kernel_variance=0.01, likelihood_variance=1.0, fixed=("lengthscales", "kernel_variance"), bounds={"likelihood_variance": (0.5, 30.0)})
     c = config(gp=gp, min_obs=1, optimise=True)
     selected = select_for_experts(places, obs, c)
     best = selected.select("expert_id", (F.col("_obs") * F.col("_obs") - 0.01).alias("best"))
     fitted = fit_experts(places, selected, c).join(best, "expert_id")
     side = F.when(F.col("best") < 0.5, "low").when(F.col("best") > 30, "high").otherwise("inside")
     bounded = F.greatest(F.lit(0.5), F.least(F.lit(30.0), F.col("best")))
-    return fitted.select("x", side.alias("side"), (F.abs(F.col("likelihood_variance")[0] - bounded) < 0.01 * bounded).alias("at_optimum"))
+    return fitted.select(in_units("x"), side.alias("side"), (F.abs(F.col("likelihood_variance")[0] - bounded) < 0.01 * bounded).alias("at_optimum"))
 
 
 @query("e10_experts_without_locations", "SELECT s_suppkey AS expert_id FROM supplier WHERE s_suppkey % 3 = 0")
 def e10_experts_without_locations(spark, sf_dir):
     """Experts that have nothing to predict are not run."""
     places, obs = two_each(spark, sf_dir)
-    c = config(pred_method="from_table", max_dist=5.0, dist_cols=("x",))
-    at = places.where("expert_id % 3 = 0").select((F.col("x") + 1.0).alias("x"))
+    c = config(pred_method="from_table", max_dist=5.0 * PER_UNIT, dist_cols=("x",))
+    at = places.where("expert_id % 3 = 0").select((F.col("x") + 1.0 * PER_UNIT).alias("x"))
     return run_experts(places, obs, c, at).run_details.select("expert_id")
 
 
@@ -125,7 +124,7 @@ SELECT id * 100.0 + e AS pred_loc_x, 'exact' AS model, round((k1 * (1.6 * y1 - c
 def k3_model_by_path(spark, sf_dir):
     """The model is named by where it is defined."""
     run = run_experts(*two_each(spark, sf_dir), config(model="fieldspark.operators.gp:ExactGP"))
-    return run.preds.join(run.run_details.select("expert_id", "model"), "expert_id").select("pred_loc_x", "model", F.round("f_star", 8).alias("f_star"))
+    return run.preds.join(run.run_details.select("expert_id", "model"), "expert_id").select(in_units("pred_loc_x"), "model", F.round("f_star", 8).alias("f_star"))
 
 
 @query("e17_sparse_two_observations", f"""WITH {PAIR_SQL},
@@ -136,10 +135,10 @@ SELECT id * 100.0 + e AS pred_loc_x, round((q1 * (s1 * y1 - s2 * y2) + q2 * (s1
 def e17_sparse_two_observations(spark, sf_dir):
     """The sparse model with both observations as inducing points, its jitter included."""
     preds = run_experts(*two_each(spark, sf_dir), config(model="sparse")).preds
-    return preds.select("pred_loc_x", F.round("f_star", 7).alias("f_star"), F.round("f_var", 7).alias("f_var"))
+    return preds.select(in_units("pred_loc_x"), F.round("f_star", 7).alias("f_star"), F.round("f_var", 7).alias("f_var"))
 
 
 @query("e19_details_of_a_run", "SELECT s_suppkey * 100.0 AS x, true AS has_device, true AS timed, 'exact' AS model FROM supplier")
 def e19_details_of_a_run(spark, sf_dir):
     d = run_experts(*two_each(spark, sf_dir), config()).run_details
-    return d.select("x", (F.length("device") > 0).alias("has_device"), F.col("run_time").between(0, 3600).alias("timed"), "model")
+    return d.select(in_units("x"), (F.length("device") > 0).alias("has_device"), F.col("run_time").between(0, 3600).alias("timed"), "model")

@@ -13,7 +13,7 @@ from fieldspark.operators.lattice import smooth_lattice
 from fieldspark.operators.nearby import Near
 from fieldspark.operators.stats import scores
 from fieldspark.operators.xval import cross_validate, folds, held_out_locations, training_rows, where_folds, with_wheres
-from fieldspark.plans.tables import experts, read, scaled_observations
+from fieldspark.plans.tables import PER_UNIT, experts, in_units, read, scaled_observations, supplier_x
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -58,7 +58,7 @@ def e3_fit_experts(spark, sf_dir):
     return long_parameters(fit_experts(e, select_for_experts(e, field(spark, sf_dir), c), c), c.coords)
 
 
-SINGLE = ExpertConfig(["x"], "obs", [Near("x", "<=", 5.0), Near("x", ">=", -5.0)], GPConfig(lengthscales=2.0, kernel_variance=1.5, likelihood_variance=0.1), min_obs=1, optimise=False, pred_method="expert_loc")
+SINGLE = ExpertConfig(["x"], "obs", [Near("x", "<=", 5.0 * PER_UNIT), Near("x", ">=", -5.0 * PER_UNIT)], GPConfig(coords_scale=[PER_UNIT], lengthscales=2.0, kernel_variance=1.5, likelihood_variance=0.1), min_obs=1, optimise=False, pred_method="expert_loc")
 
 
 @query("e4_predict_one_observation", """
@@ -66,10 +66,10 @@ WITH k AS (SELECT s_suppkey, s_acctbal / 1000 AS y, 1.5 * (1 + sqrt(3) * d) * ex
 SELECT s_suppkey * 100.0 AS x, round(k / 1.6 * y, 9) AS f_star, round(1.5 - k * k / 1.6, 9) AS f_var, round(1.6 - k * k / 1.6, 9) AS y_var FROM k""")
 def e4_predict_one_observation(spark, sf_dir):
     s = read(spark, sf_dir, "supplier")
-    obs = s.select((F.col("s_suppkey") * 100.0 + F.col("s_nationkey") / 10.0).alias("x"), (F.col("s_acctbal") / 1000).alias("obs"))
-    places = s.select(F.col("s_suppkey").alias("expert_id"), (F.col("s_suppkey") * 100.0).alias("x"))
+    obs = s.select(supplier_x(F.col("s_nationkey") / 10.0).alias("x"), (F.col("s_acctbal") / 1000).alias("obs"))
+    places = s.select(F.col("s_suppkey").alias("expert_id"), supplier_x().alias("x"))
     preds = run_experts(places, obs, SINGLE).preds
-    return preds.select("x", *[F.round(c, 9).alias(c) for c in ("f_star", "f_var", "y_var")])
+    return preds.select(in_units("x"), *[F.round(c, 9).alias(c) for c in ("f_star", "f_var", "y_var")])
 
 
 @query("e9_run_details", """
@@ -77,10 +77,10 @@ SELECT s_suppkey * 100.0 AS x, CASE WHEN s_nationkey < 12 THEN 1 ELSE 0 END AS n
 def e9_run_details(spark, sf_dir):
     """Experts without any observation still get their details row."""
     s = read(spark, sf_dir, "supplier")
-    obs = s.where("s_nationkey < 12").select((F.col("s_suppkey") * 100.0 + F.col("s_nationkey") / 10.0).alias("x"), (F.col("s_acctbal") / 1000).alias("obs"))
-    places = s.select(F.col("s_suppkey").alias("expert_id"), (F.col("s_suppkey") * 100.0).alias("x"))
+    obs = s.where("s_nationkey < 12").select(supplier_x(F.col("s_nationkey") / 10.0).alias("x"), (F.col("s_acctbal") / 1000).alias("obs"))
+    places = s.select(F.col("s_suppkey").alias("expert_id"), supplier_x().alias("x"))
     d = run_experts(places, obs, SINGLE).run_details
-    return d.select("x", F.col("num_obs").cast("int").alias("num_obs"), F.col("objective_value").isNotNull().alias("fitted"))
+    return d.select(in_units("x"), F.col("num_obs").cast("int").alias("num_obs"), F.col("objective_value").isNotNull().alias("fitted"))
 
 
 def predictions(spark, sf_dir):

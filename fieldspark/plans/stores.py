@@ -17,7 +17,7 @@ from fieldspark.operators.gp import GPConfig
 from fieldspark.operators.nearby import Near, latest_per, sample_truth
 from fieldspark.operators.xval import cross_validate
 from fieldspark.plans.regression import PREDS_SQL, mean_sql, predictions, rounded
-from fieldspark.plans.tables import read
+from fieldspark.plans.tables import PER_UNIT, in_units, read, supplier_x
 from fieldspark.sources.ingest import ingest
 from fieldspark.sources.scan import load, read_from_directories, union_all
 from fieldspark.sources.scratch import scratch_root
@@ -200,15 +200,15 @@ def g9_sample_truth(spark, sf_dir):
 def one_each(spark, sf_dir):
     """Suppliers as experts a hundred apart, each with one observation close by."""
     s = read(spark, sf_dir, "supplier")
-    obs = s.select((F.col("s_suppkey") * 100.0 + F.col("s_nationkey") / 10.0).alias("x"), (F.col("s_acctbal") / 1000).alias("obs"))
-    return s.select(F.col("s_suppkey").alias("expert_id"), (F.col("s_suppkey") * 100.0).alias("x")), obs
+    obs = s.select(supplier_x(F.col("s_nationkey") / 10.0).alias("x"), (F.col("s_acctbal") / 1000).alias("obs"))
+    return s.select(F.col("s_suppkey").alias("expert_id"), supplier_x().alias("x")), obs
 
 
 def alone(gp: GPConfig, **more) -> ExpertConfig:
-    return ExpertConfig(["x"], "obs", [Near("x", "<=", 5.0), Near("x", ">=", -5.0)], gp, **{"min_obs": 1, "optimise": False, "pred_method": "expert_loc", **more})
+    return ExpertConfig(["x"], "obs", [Near("x", "<=", 5.0 * PER_UNIT), Near("x", ">=", -5.0 * PER_UNIT)], gp, **{"min_obs": 1, "optimise": False, "pred_method": "expert_loc", **more})
 
 
-PLAIN = GPConfig(lengthscales=2.0, kernel_variance=1.5, likelihood_variance=0.1)
+PLAIN = GPConfig(coords_scale=[PER_UNIT], lengthscales=2.0, kernel_variance=1.5, likelihood_variance=0.1)
 
 
 @query("e13_stored_results", """
@@ -222,7 +222,7 @@ def e13_stored_results(spark, sf_dir):
     run_and_store(store, places, obs, c)
     out = collect_results(store, "_A", coords=["x"], col_funcs={"preds": [ColumnSpec("twice", "*", ["f_star"], [2])]})
     details = out["run_details_A"].select("x", F.col("num_obs").cast("int"), "config_id")
-    return out["preds_A"].join(details, "x").select("x", F.round("f_star", 9).alias("f_star"), F.round("twice", 9).alias("twice"), "num_obs", "config_id")
+    return out["preds_A"].join(details, "x").select(in_units("x"), F.round("f_star", 9).alias("f_star"), F.round("twice", 9).alias("twice"), "num_obs", "config_id")
 
 
 @query("e2_scaled_data", """
@@ -230,27 +230,27 @@ WITH k AS (SELECT s_suppkey, (s_acctbal / 1000 - 3) / 2 AS y, 1.5 * exp(-0.5 * d
 SELECT s_suppkey * 100.0 AS x, round(k / 1.6 * y, 9) AS f_star, round(1.5 - k * k / 1.6, 9) AS f_var, round(k / 1.6 * y * 2 + 3, 9) AS f_star_obs FROM k""")
 def e2_scaled_data(spark, sf_dir):
     """Scaled coordinates and values, a given mean, another kernel; all parameters fixed while optimising."""
-    gp = GPConfig(kernel="rbf", coords_scale=[4.0], obs_scale=2.0, obs_mean=3.0, lengthscales=2.0, kernel_variance=1.5, likelihood_variance=0.1, fixed=("lengthscales", "kernel_variance", "likelihood_variance"))
+    gp = GPConfig(kernel="rbf", coords_scale=[4.0 * PER_UNIT], obs_scale=2.0, obs_mean=3.0, lengthscales=2.0, kernel_variance=1.5, likelihood_variance=0.1, fixed=("lengthscales", "kernel_variance", "likelihood_variance"))
     preds = run_experts(*one_each(spark, sf_dir), alone(gp, optimise=True)).preds
-    return preds.select("x", *[F.round(c, 9).alias(c) for c in ("f_star", "f_var", "f_star_obs")])
+    return preds.select(in_units("x"), *[F.round(c, 9).alias(c) for c in ("f_star", "f_var", "f_star_obs")])
 
 
 @query("e3_fitted_variance", "SELECT s_suppkey * 100.0 AS x, true AS at_optimum, true AS success FROM supplier WHERE abs(s_acctbal) >= 500")
 def e3_fitted_variance(spark, sf_dir):
     """With one observation y and a fixed kernel variance s the best likelihood variance is y * y - s."""
     places, obs = one_each(spark, sf_dir)
-    c = alone(GPConfig(lengthscales=2.0, kernel_variance=0.01, likelihood_variance=1.0, fixed=("lengthscales", "kernel_variance")), optimise=True)
+    c = alone(GPConfig(coords_scale=[PER_UNIT], lengthscales=2.0, kernel_variance=0.01, likelihood_variance=1.0, fixed=("lengthscales", "kernel_variance")), optimise=True)
     obs = obs.where("abs(obs) >= 0.5")
     fitted = fit_experts(places, select_for_experts(places, obs, c), c).where("num_obs = 1")
     best = select_for_experts(places, obs, c).select("expert_id", (F.col("_obs") * F.col("_obs") - 0.01).alias("best"))
     close = F.abs(F.col("likelihood_variance")[0] - F.col("best")) < 0.001 * F.col("best")
-    return fitted.join(best, "expert_id").select("x", close.alias("at_optimum"), F.col("optimise_success").alias("success"))
+    return fitted.join(best, "expert_id").select(in_units("x"), close.alias("at_optimum"), F.col("optimise_success").alias("success"))
 
 
 @query("e11_replacement_model", "SELECT s_suppkey * 100.0 AS x, 'sparse' AS model FROM supplier")
 def e11_replacement_model(spark, sf_dir):
     run = run_experts(*one_each(spark, sf_dir), alone(PLAIN, replacement_model="sparse", replacement_threshold=2))
-    return run.run_details.select("x", "model")
+    return run.run_details.select(in_units("x"), "model")
 
 
 @query("x4_scores_by_fold", """
@@ -261,9 +261,9 @@ SELECT fold, count(*) AS n, round(sqrt(avg(e * e)), 7) AS rmse, round(avg(ln(sqr
 def x4_scores_by_fold(spark, sf_dir):
     """Two folds, each with one observation near every expert: the one predicts the other."""
     places, first = one_each(spark, sf_dir)
-    second = read(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 100.0 + 1 + F.col("s_nationkey") / 20.0).alias("x"), (F.col("s_suppkey") % 7).cast("double").alias("obs"))
+    second = read(spark, sf_dir, "supplier").select(supplier_x(1 + F.col("s_nationkey") / 20.0).alias("x"), (F.col("s_suppkey") % 7).cast("double").alias("obs"))
     obs = first.withColumn("fold", F.lit(0)).unionByName(second.withColumn("fold", F.lit(1)))
-    out = cross_validate(places, obs, alone(PLAIN, max_dist=5.0, dist_cols=("x",)), ["fold"])
+    out = cross_validate(places, obs, alone(PLAIN, max_dist=5.0 * PER_UNIT, dist_cols=("x",)), ["fold"])
     return out["scores"].join(out["folds"], "fold_id").select("fold", "n", F.round("rmse", 7).alias("rmse"), F.round("mean_nll", 7).alias("mean_nll"))
 
 
@@ -275,8 +275,8 @@ SELECT fold, count(*) AS n, round(sqrt(avg(e * e)), 7) AS rmse, round(avg(ln(sqr
 def x5_smoothed_scores_by_fold(spark, sf_dir):
     """The same two folds; each predicts with a noise variance of at most 0.05, smoothed over all experts."""
     places, first = one_each(spark, sf_dir)
-    second = read(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 100.0 + 1 + F.col("s_nationkey") / 20.0).alias("x"), (F.col("s_suppkey") % 7).cast("double").alias("obs"))
+    second = read(spark, sf_dir, "supplier").select(supplier_x(1 + F.col("s_nationkey") / 20.0).alias("x"), (F.col("s_suppkey") % 7).cast("double").alias("obs"))
     obs = first.withColumn("fold", F.lit(0)).unionByName(second.withColumn("fold", F.lit(1))).withColumn("y", F.lit(0.0))
-    c = replace(alone(PLAIN, max_dist=5.0, dist_cols=("x",)), coords=["x", "y"])
-    out = cross_validate(places.withColumn("y", F.lit(0.0)), obs, c, ["fold"], smooth={"likelihood_variance": SmoothingConfig(500.0, 1.0, max=0.05)})
+    c = replace(alone(PLAIN, max_dist=5.0 * PER_UNIT, dist_cols=("x",)), coords=["x", "y"])
+    out = cross_validate(places.withColumn("y", F.lit(0.0)), obs, c, ["fold"], smooth={"likelihood_variance": SmoothingConfig(500.0 * PER_UNIT, 1.0, max=0.05)})
     return out["scores"].join(out["folds"], "fold_id").select("fold", "n", F.round("rmse", 7).alias("rmse"), F.round("mean_nll", 7).alias("mean_nll"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldspark.operators.grid import grid_2d
@@ -50,6 +50,20 @@ def experts_sql(n: int = 5) -> str:
     return f"experts AS (SELECT i AS expert_id, {dx / 2} + (i % {n}) * {dx} AS x, {dy / 2} + (i // {n}) * {dy} AS y FROM range({n * n}) r(i))"
 
 
+#: Suppliers as experts stand a hundred apart, at 2000 of these units: whole numbers, which no number of suppliers rounds.
+PER_UNIT = 20
+
+
+def supplier_x(right: Column | float = 0.0) -> Column:
+    """Where a supplier's expert stands, or a place ``right`` of it; in twentieths, where all places are whole numbers."""
+    return F.col("s_suppkey") * (100.0 * PER_UNIT) + F.round(F.lit(right) * PER_UNIT)
+
+
+def in_units(name: str) -> Column:
+    """A coordinate of ``supplier_x`` in the units of its table."""
+    return (F.col(name) / PER_UNIT).alias(name)
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events")
 
