@@ -54,8 +54,8 @@ def _windows(terms: Sequence[Near]) -> dict[str, tuple[float, float]]:
     return {c: (lo, hi) for c, (lo, hi) in out.items() if lo is not None and hi is not None and lo + hi >= 0}
 
 
-def near_join(locations: DataFrame, rows: DataFrame, terms: Sequence[Near], loc_prefix: str = "e_", keep: Sequence[str] | None = None, loc_keep: Sequence[str] | None = None) -> DataFrame:
-    """Pairs of a location and a row within all terms.
+def near_join(locations: DataFrame, rows: DataFrame, terms: Sequence[Near], loc_prefix: str = "e_", keep: Sequence[str] | None = None, loc_keep: Sequence[str] | None = None, same: Sequence[str] = ()) -> DataFrame:
+    """Pairs of a location and a row within all terms, and of equal ``same`` columns.
 
     Columns of the location get ``loc_prefix``.  Only ``keep`` and ``loc_keep`` are carried through
     the shuffle, with the coordinates.  Rows and locations with a NULL coordinate match nothing.
@@ -66,8 +66,8 @@ def near_join(locations: DataFrame, rows: DataFrame, terms: Sequence[Near], loc_
         raise ValueError("no coordinate is bounded on both sides")
     loc_cols = list(dict.fromkeys([*(loc_keep if loc_keep is not None else locations.columns), *coords]))
     row_cols = list(dict.fromkeys([*(keep if keep is not None else rows.columns), *coords]))
-    left = locations.select(*[F.col(c).alias(f"{loc_prefix}{c}") for c in loc_cols])
-    right = rows.select(*row_cols)
+    left = locations.select(*[F.col(c).alias(f"{loc_prefix}{c}") for c in loc_cols], *same)
+    right = rows.select(*row_cols, *same)
     keys = []
     for k, (c, (below, above)) in enumerate(widths.items()):
         size = max((below + above) / 2, 1e-12)
@@ -82,7 +82,7 @@ def near_join(locations: DataFrame, rows: DataFrame, terms: Sequence[Near], loc_
             exact.append(OPERATORS[t.comp](F.col(t.names[0]), F.col(f"{loc_prefix}{t.names[0]}") + t.val))
         else:
             exact.append(OPERATORS[t.comp](distance(t.names, loc_prefix), F.lit(float(t.val))))
-    return left.join(right, keys).where(reduce(lambda a, b: a & b, exact)).drop(*keys)
+    return left.join(right, [*keys, *same]).where(reduce(lambda a, b: a & b, exact)).drop(*keys)
 
 
 def distance(cols: Sequence[str], loc_prefix: str = "e_") -> Column:

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from fieldspark.functions.predicates import combined, run_bounds, select_rows
 from fieldspark.operators.experts import ExpertConfig, fit_experts, long_parameters, predict_experts, select_for_experts, wide_parameters, with_expert_id
-from fieldspark.operators.glue import SmoothingConfig, _all_pairs, glue
+from fieldspark.operators.glue import SmoothingConfig, glue
 from fieldspark.operators.gp import PARAMS
-from fieldspark.operators.nearby import _windows, local_select, prediction_locations
+from fieldspark.operators.nearby import Near, _windows, local_select, near_join, prediction_locations
 from fieldspark.operators.stats import scores
 from fieldspark.sources.scratch import written
 from fieldspark.sources.store import json_text
@@ -152,7 +152,8 @@ def smoothed_per_fold(experts: DataFrame, chosen: DataFrame, fold_table: DataFra
     """expert_id (a run's) and one array per parameter for the pairs ``near``: smoothed over all experts without the fold.
 
     Base fits use all rows of a combination of predicates.  A fold changes the fits of the experts that select
-    one of its rows; the kernel sums of a pair are the base's plus the differences of these.
+    one of its rows; the kernel sums of a pair are the base's plus the differences of these.  Rows so far away that their weights are
+    below rounding are not met (``REACH``); where nothing near is left, all rows are.
     """
     coords, xy = list(c.coords), ("x", "y")
     others = [x for x in coords if x not in xy]
@@ -170,7 +171,7 @@ def smoothed_per_fold(experts: DataFrame, chosen: DataFrame, fold_table: DataFra
     changed = materialise(chosen.join(side, in_fold(fold_cols) & _satisfied(chosen, side)).select("expert_id", "fold_id").distinct(), "xval-changed")
     changed_fit = fit_experts(runs_of(changed), training_of(changed), c)
     named = changed.withColumn("run_id", F.xxhash64("expert_id", "fold_id"))
-    new = long_parameters(changed_fit, coords).withColumnRenamed("expert_id", "run_id").join(named, "run_id").drop("run_id")
+    new = materialise(long_parameters(changed_fit, coords).withColumnRenamed("expert_id", "run_id").join(named, "run_id").drop("run_id"), "xval-new")
     # an expert that lost its fit has no rows in ``new``: its base values go
     old = changed.join(ids, "fold_id").join(base, ["expert_id", "where_id"]).drop("where_id")
     sign = lambda df, k: df.withColumn("_sign", F.lit(float(k)))
@@ -186,30 +187,67 @@ def smoothed_per_fold(experts: DataFrame, chosen: DataFrame, fold_table: DataFra
             v = F.col("value")
             v = v if k.max is None else F.least(v, F.lit(float(k.max)))
             v = v if k.min is None else F.greatest(v, F.lit(float(k.min)))
-            weight = F.exp(-0.5 * (F.pow((F.col("x") - F.col("e_x")) / k.l_x, 2) + F.pow((F.col("y") - F.col("e_y")) / k.l_y, 2)))
             clean = lambda df: df.where((F.col("param") == name) & F.col("value").isNotNull() & ~F.isnan("value")).withColumn("value", v)  # noqa: B023, E731
-            known = clean(base)
-            by = ["where_id", "dim", *others]
-            # sums at every expert's place, with a value of its own or not
             dims = range(len(coords) if name == "lengthscales" else 1)
-            at = experts.select(F.explode("_wheres").alias("where_id"), *coords).distinct().withColumn("dim", F.explode(F.array(*[F.lit(d) for d in dims])))
-            sums = _all_pairs(at, known, "value", *xy, by)
-            sums = sums.groupBy(*by, "e_x", "e_y").agg(F.sum(weight * F.col("value")).alias("_s"), F.sum(weight).alias("_w"))
-            same = reduce(lambda p, q: p & q, [F.col(x).eqNullSafe(F.col(f"e_{x}")) for x in others], F.lit(True))
-            moved = clean(differences).drop("expert_id").join(wanted, "fold_id").where(same)
-            moved = moved.groupBy("expert_id", "fold_id", "dim").agg(F.sum(F.col("_sign") * weight * F.col("value")).alias("_ds"), F.sum(F.col("_sign") * weight).alias("_dw"))
-            full = wanted.join(sums.select("where_id", "dim", *[F.col(x).alias(f"_o_{x}") for x in others], "e_x", "e_y", "_s", "_w"), ["where_id", "e_x", "e_y"])
-            for x in others:
-                full = full.where(F.col(f"e_{x}").eqNullSafe(F.col(f"_o_{x}")))
-            both = full.select("expert_id", "fold_id", "dim", "_s", "_w").join(moved, ["expert_id", "fold_id", "dim"], "full")
-            s, w = (F.coalesce(a, F.lit(0.0)) + F.coalesce(b, F.lit(0.0)) for a, b in (("_s", "_ds"), ("_w", "_dw")))
-            # what is left of a sum whose every term went is rounding
-            mine = both.select("expert_id", "fold_id", F.lit(name).alias("param"), "dim", F.when(w > 1e-12 * F.coalesce("_w", F.lit(0.0)), s / w).alias("value")).where(F.col("value").isNotNull())
+            targets = wanted.withColumn("dim", F.explode(F.array(*[F.lit(d) for d in dims])))
+            value = materialise(_means(targets, clean(base), clean(differences), k, others, kernel_sums), f"xval-means-{name}")
+            # few: experts without a value of their own and far from all others
+            lone = materialise(value.where((F.col("w") < LEAST) | F.col("w").isNull()).select(*targets.columns), f"xval-lone-{name}")
+            far = _means(lone, clean(base), clean(differences), k, others, all_sums)
+            value = value.where(F.col("w") >= LEAST).unionByName(far)
+            mine = value.select("expert_id", "fold_id", F.lit(name).alias("param"), "dim", "value").where(F.col("value").isNotNull())
         out = mine if out is None else out.unionByName(mine)
     runs = near.select(F.xxhash64("expert_id", "fold_id").alias("expert_id"), F.xxhash64("expert_id", "fold_id").alias("run_id"))
     return wide_parameters(out.select(F.xxhash64("expert_id", "fold_id").alias("run_id"), "param", "dim", "value"), runs, ["run_id"])
 
 
+#: Scaled lengths within which a row counts; one outside weighs less than 1e-31, so even 1e12 of them are less than the
+#: rounding of a sum of at least LEAST.  Points with smaller sums meet all rows.
+REACH, LEAST = 12.0, 1e-3
+
+
+def _weight(k: SmoothingConfig) -> Column:
+    return F.exp(-0.5 * (F.pow((F.col("x") - F.col("e_x")) / k.l_x, 2) + F.pow((F.col("y") - F.col("e_y")) / k.l_y, 2)))
+
+
+def _summed(pairs: DataFrame, keys: Sequence[str], k: SmoothingConfig, others: Sequence[str]) -> DataFrame:
+    for x in others:
+        pairs = pairs.where(F.col(x).eqNullSafe(F.col(f"e_{x}")))
+    w = F.col("_sign") * _weight(k)
+    return pairs.groupBy(*keys).agg(F.sum(w * F.col("value")).alias("_s"), F.sum(w).alias("_w"))
+
+
+def kernel_sums(points: DataFrame, rows: DataFrame, keys: Sequence[str], same: Sequence[str], k: SmoothingConfig, others: Sequence[str]) -> DataFrame:
+    """By ``keys`` of the points: sums of weighted values and weights over the rows within REACH, of equal ``same`` columns."""
+    where = [c for c in points.columns if c not in same]
+    left = points.withColumns({"_u": F.col("e_x") / k.l_x, "_v": F.col("e_y") / k.l_y})
+    right = rows.withColumns({"_u": F.col("x") / k.l_x, "_v": F.col("y") / k.l_y})
+    pairs = near_join(left, right, [Near(["_u", "_v"], "<=", REACH)], "l_", ["x", "y", *others, "value", "_sign"], where, same)
+    return _summed(pairs.withColumnsRenamed({f"l_{c}": c for c in where}), keys, k, others)
+
+
+def all_sums(points: DataFrame, rows: DataFrame, keys: Sequence[str], same: Sequence[str], k: SmoothingConfig, others: Sequence[str]) -> DataFrame:
+    """The same over all rows, which are dealt in shares that each point meets."""
+    shares = 4 * int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select("x", "y", *others, "value", "_sign", *same, F.pmod(F.xxhash64("x", "y", "value"), F.lit(shares)).cast("int").alias("_share"))
+    every = points.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    return _summed(every.join(dealt, [*same, "_share"]), keys, k, others)
+
+
+def _means(targets: DataFrame, base: DataFrame, differences: DataFrame, k: SmoothingConfig, others: Sequence[str], sums: Callable) -> DataFrame:
+    """``targets`` with ``w`` and ``value``: the kernel mean of the base and the fold's differences at each."""
+    place = ["where_id", "dim", "e_x", "e_y", *[f"e_{x}" for x in others]]
+    at_base = sums(targets.select(*place).distinct(), base.withColumn("_sign", F.lit(1.0)), place, ["where_id", "dim"], k, others)
+    at_base = at_base.select(*[F.col(c).alias(f"_b_{c}") for c in place], F.col("_s").alias("_bs"), F.col("_w").alias("_bw"))
+    moved = sums(targets, differences, ["expert_id", "fold_id", "dim"], ["fold_id", "dim"], k, others)
+    same = reduce(lambda p, q: p & q, [F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in place])
+    both = targets.join(at_base, same, "left").join(moved, ["expert_id", "fold_id", "dim"], "left")
+    s, w = (F.coalesce(a, F.lit(0.0)) + F.coalesce(b, F.lit(0.0)) for a, b in (("_bs", "_s"), ("_bw", "_w")))
+    # what is left of a sum whose every term went is rounding
+    value = F.when(w > 1e-12 * F.coalesce("_bw", F.lit(0.0)), s / w)
+    return both.select(*targets.columns, w.alias("w"), value.alias("value"))
+
+
 def select_for_experts_with(experts: DataFrame, obs: DataFrame, c: ExpertConfig, extra: Sequence[str]) -> DataFrame:
     """The experts' selections with further columns of the observations."""
     if not extra:
