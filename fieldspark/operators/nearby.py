@@ -116,39 +116,70 @@ def expert_as_location(experts: DataFrame, coords: Sequence[str]) -> DataFrame:
 def nearest(points: DataFrame, truth: DataFrame, cols: Sequence[str], id_col: str, truth_id: str, values: Sequence[str], radius: float) -> DataFrame:
     """The nearest truth row of each point, ties to the smaller truth id.
 
-    One pass looks within ``radius`` by cells of that size.  Points without a hit go down a tree of cells: at
-    each level they keep the cells that may hold their nearest row, by bounds on the distance to the rows in a cell, and
-    at the end meet the rows of these alone.  So lone points cost a few cells a level, wherever the rows lie,
-    and every point with whole coordinates finds its truth row.
+    Places count once on both sides: of truth rows at one place the smallest id can be nearest, and points at one place
+    have the same row.  One pass looks within ``radius``, or less where that many rows lie around the points, by cells of
+    that size.  Points without a hit go down a tree of cells: at each level they keep the cells that may hold their
+    nearest row, by bounds on the distance to the rows in a cell, and at the end meet the rows of these alone.  So lone
+    points cost a few cells a level, wherever the rows lie, and every point with whole coordinates finds its truth row.
     Points or truth rows with a missing coordinate take no part; such points come back with NULLs.
     """
     whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in cols])
-    left, truth = points.where(whole).select(id_col, *cols), truth.where(whole)
     keep = [truth_id, *values]
+    left = written(points.where(whole).select(*cols).distinct(), "nearest-points")
+    first = F.min(F.struct(*keep)).alias("_b")
+    truth = written(truth.where(whole).groupBy(*cols).agg(first).select(*cols, "_b.*"), "nearest-truth")
+    radius = _fitting(left, truth, cols, radius)
     pairs = near_join(left, truth, [Near(list(cols), "<=", radius)], keep=keep)
     best = F.min(F.struct(distance(cols).alias("distance"), *[F.col(c) for c in keep])).alias("_b")
-    found = written(pairs.groupBy(F.col(f"e_{id_col}").alias(id_col)).agg(best).select(id_col, "_b.*"), "nearest")
-    rest = written(left.join(found, id_col, "left_anti"), "nearest-left")
+    found = written(pairs.groupBy(*[F.col(f"e_{c}").alias(c) for c in cols]).agg(best).select(*cols, "_b.*"), "nearest")
+    rest = written(left.join(found, list(cols), "left_anti"), "nearest-left")
     if not rest.isEmpty():
-        found = found.unionByName(nearest_by_cells(rest, truth, cols, id_col, keep, radius))
-    dropped(rest)
-    return points.join(found, id_col, "left")
+        found = found.unionByName(nearest_by_cells(rest, truth, cols, keep, radius))
+    dropped(rest, left, truth)
+    return points.join(found, list(cols), "left").select(*points.columns, "distance", *keep)
+
+
+#: The first pass meets at most so many truth rows a point, on average.
+ROWS_A_POINT = 64
+#: Cells at the foot of the tree are cut further while one has more rows, down to this level.
+ROWS_A_CELL, LOWEST = 256, -16
+
+
+def _cells(cols: Sequence[str], size: float) -> list[Column]:
+    return [F.floor(F.col(c).cast("double") / size).cast("long").alias(f"_k{i}") for i, c in enumerate(cols)]
+
+
+def _fitting(points: DataFrame, truth: DataFrame, cols: Sequence[str], radius: float) -> float:
+    """``radius``, or a smaller one within whose cells the points meet few enough rows."""
+    n, keys = points.count(), [f"_k{i}" for i in range(len(cols))]
+    for _ in range(40):
+        own = points.groupBy(*_cells(cols, radius)).agg(F.count("*").alias("_n"))
+        for k in keys:
+            own = own.withColumn(k, F.explode(F.sequence(F.col(k) - 1, F.col(k) + 1)))
+        pairs = own.join(truth.groupBy(*_cells(cols, radius)).agg(F.count("*").alias("_m")), keys).agg(F.sum(F.col("_n").cast("double") * F.col("_m"))).first()[0] or 0
+        if pairs <= ROWS_A_POINT * n:
+            break
+        radius *= max(1 / 8, min(3 / 4, (ROWS_A_POINT * n / pairs) ** (1 / len(cols))))
+    return radius
 
 
 #: Each level's cells are so many times as wide as those of the level below; a power of two keeps cells inside each other.
 WIDER = 8
 
 
-def nearest_by_cells(points: DataFrame, truth: DataFrame, cols: Sequence[str], id_col: str, keep: Sequence[str], size: float) -> DataFrame:
-    """id_col, distance and ``keep`` of the nearest truth row, by going down levels of cells; written."""
+def nearest_by_cells(points: DataFrame, truth: DataFrame, cols: Sequence[str], keep: Sequence[str], size: float) -> DataFrame:
+    """The coordinates of each place, distance and ``keep`` of its nearest truth row, by going down levels of cells; written."""
     dims = range(len(cols))
-    key = lambda level: [F.floor(F.col(c).cast("double") / (size * WIDER**level)).cast("long").alias(f"_k{i}") for i, c in enumerate(cols)]
+    key = lambda level: _cells(cols, size * float(WIDER) ** level)
     span = truth.agg(*[(F.max(c) - F.min(c)).cast("double").alias(f"s{i}") for i, c in enumerate(cols)]).first()
     if span[0] is None:  # no truth at all
-        return written(points.limit(0).select(id_col, F.lit(0.0).alias("distance"), *[F.lit(None).cast(truth.schema[c].dataType).alias(c) for c in keep]), "nearest")
+        return written(points.limit(0).select(*cols, F.lit(0.0).alias("distance"), *[F.lit(None).cast(truth.schema[c].dataType).alias(c) for c in keep]), "nearest")
     top = 0
     while size * WIDER**top < max(span):
         top += 1
+    foot = 0
+    while foot > LOWEST and truth.groupBy(*key(foot)).count().agg(F.max("count")).first()[0] > ROWS_A_CELL:
+        foot -= 1
 
     def cells(level: int) -> DataFrame:
         """The cells that hold a row, with the box around their rows."""
@@ -160,22 +191,22 @@ def nearest_by_cells(points: DataFrame, truth: DataFrame, cols: Sequence[str], i
         total = lambda parts: reduce(lambda a, b: a + b, [p * p for p in parts])
         least = total([F.greatest(F.lit(0.0), F.col(f"_lo{i}") - x[i], x[i] - F.col(f"_hi{i}")) for i in dims])
         most = total([F.greatest(F.abs(x[i] - F.col(f"_lo{i}")), F.abs(x[i] - F.col(f"_hi{i}"))) for i in dims])
-        bound = F.min(most).over(Window.partitionBy(id_col, *cols))
-        return met.withColumn("_far", bound).where(least <= F.col("_far") * (1 + 1e-9)).select(id_col, *cols, *[F.col(f"_k{i}").alias(f"_p{i}") for i in dims])
+        bound = F.min(most).over(Window.partitionBy(*cols))
+        return met.withColumn("_far", bound).where(least <= F.col("_far") * (1 + 1e-9)).select(*cols, *[F.col(f"_k{i}").alias(f"_p{i}") for i in dims])
 
     first = cells(top).collect()  # the box spans at most two cells an axis
     structs = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in r.asDict()]) for r in first])
-    held = written(possible(points.withColumn("_c", F.explode(structs)).select(id_col, *cols, "_c.*")), "nearest-cells")
-    for level in range(top - 1, -1, -1):
+    held = written(possible(points.withColumn("_c", F.explode(structs)).select(*cols, "_c.*")), "nearest-cells")
+    for level in range(top - 1, foot - 1, -1):
         below = cells(level).select("*", *[F.floor(F.col(f"_k{i}") / WIDER).cast("long").alias(f"_p{i}") for i in dims])
         new = written(possible(held.join(below, [f"_p{i}" for i in dims])), "nearest-cells")
         dropped(held)
         held = new
-    rows = truth.select(*[F.col(c).alias(f"_t{i}") for i, c in enumerate(cols)], *keep, *[k.alias(f"_p{i}") for i, k in enumerate(key(0))])
+    rows = truth.select(*[F.col(c).alias(f"_t{i}") for i, c in enumerate(cols)], *keep, *[k.alias(f"_p{i}") for i, k in enumerate(key(foot))])
     met = held.join(rows, [f"_p{i}" for i in dims])
     away = F.sqrt(reduce(lambda a, b: a + b, [F.pow(F.col(f"_t{i}") - F.col(c), 2) for i, c in enumerate(cols)]))
     best = F.min(F.struct(away.alias("distance"), *[F.col(c) for c in keep])).alias("_b")
-    out = written(met.groupBy(id_col).agg(best).select(id_col, "_b.*"), "nearest")
+    out = written(met.groupBy(*cols).agg(best).select(*cols, "_b.*"), "nearest")
     dropped(held)
     return out
 
