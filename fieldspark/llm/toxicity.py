@@ -5,26 +5,32 @@ as the sum of three hashed vectors: of the whole token, of its first four and it
 Filters over one, two and three tokens, a maximum over the whole text and a logistic layer give the
 score; a text of any length is scored whole.  The model sees texts only, never language or source.
 
-Training uses a bounded sample (``max_per_class`` labelled rows of each class, by hash of the id);
-scoring runs over all rows.  One fifth of the sample is set aside: on it the scores are calibrated
-(two-parameter logistic, reweighted to the class shares of all labelled rows) and a threshold per
-language is chosen, which decides ``flagged``; languages with few set-aside rows get ``base``.
+Training uses all labelled rows that may be learned from.  One fifth, by hash of the id, is set aside; the
+rest is dealt into replicas of about ``replica_rows``, each one row of a table.  The embedding starts from the counts of all
+replicas.  In each of ``rounds`` rounds every replica is trained from the same model in a task, and the
+changes are averaged, those of a hashed vector over the replicas that changed it.  On all rows set aside
+the scores are calibrated (two-parameter logistic, reweighted to the class shares of all labelled rows)
+and a threshold per language is chosen, which decides ``flagged``; languages with few set-aside rows
+get ``base``.  The driver holds one model and sums over the rows.
 
 Null and empty texts get the score of a text without tokens.  Without a label of each class every
-score is 0.  Repeated rows are scored each; input columns other than those named are ignored.
+score is 0.  Repeated rows are scored each, and teach each; of several labels of a document the largest
+counts.  Input columns other than those named are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from copy import deepcopy
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldspark.llm.common import _BYTES, binary_column, chunks, crc_mod, mix, small_batches, table
+from fieldspark.llm.common import _BYTES, binary_column, bit_filter, chunks, crc_mod, dropped, may_hold, mix, small_batches, table, written
 
 _TOKEN = np.zeros(256, bool)
 _TOKEN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -33,6 +39,11 @@ _LOWER[65:91] += 32
 #: Bytes of a token that each hashed feature reads.
 PREFIXES = (None, 4, 5)
 WIDTHS = (1, 2, 3)
+#: Ranges of hashed vectors, each of which one group puts together; the range after the last has all other parameters.
+RANGES = 64
+#: Sums over rows are taken in whole numbers of this step, so that they do not depend on their order.
+STEP = 2.0**-24
+TRIES = np.linspace(0.1, 0.6, 26)
 
 
 @dataclass
@@ -43,7 +54,8 @@ class Config:
     epochs: int = 8
     batch: int = 32
     rate: float = 0.02
-    max_per_class: int = 2500
+    rounds: int = 2
+    replica_rows: int = 4000
     base: float = 0.3
     min_rows: int = 40
     seed: int = 5
@@ -120,19 +132,25 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.logits(texts) + self.shift, -30, 30)))
 
 
-def new_model(c: Config, tokens: np.ndarray, first: np.ndarray, y: np.ndarray) -> Model:
-    """Small random values; the first dimension starts at each bucket's class log odds."""
-    rng = np.random.default_rng(c.seed)
+def bucket_counts(c: Config, tokens: np.ndarray, first: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Documents of each class (toxic, clean) that hold a bucket."""
     size = len(PREFIXES) << c.bits
-    e = rng.normal(0, 0.05, (size, c.dim)).astype(np.float32)
     owner = np.repeat(np.arange(len(y)), np.diff(first))
-    pos = neg = 0
-    for k in range(len(PREFIXES)):  # documents of each class that hold a bucket
+    out = np.zeros((size, 2), np.float64)
+    for k in range(len(PREFIXES)):
         seen = np.unique(owner * size + tokens[:, k])
         bucket, toxic = seen % size, y[seen // size] == 1
-        pos = pos + np.bincount(bucket[toxic], minlength=size)
-        neg = neg + np.bincount(bucket[~toxic], minlength=size)
-    odds = np.log((pos + 1) / (y.sum() + 2)) - np.log((neg + 1) / ((1 - y).sum() + 2))
+        out[:, 0] += np.bincount(bucket[toxic], minlength=size)
+        out[:, 1] += np.bincount(bucket[~toxic], minlength=size)
+    return out
+
+
+def new_model(c: Config, counts: np.ndarray, n_toxic: int, n_clean: int) -> Model:
+    """Small random values; the first dimension starts at each bucket's class log odds."""
+    rng = np.random.default_rng(c.seed)
+    e = rng.normal(0, 0.05, (len(counts), c.dim)).astype(np.float32)
+    pos, neg = counts.T
+    odds = np.log((pos + 1) / (n_toxic + 2)) - np.log((neg + 1) / (n_clean + 2))
     e[:, 0] = np.where(pos + neg >= 3, np.clip(odds, -1, 5) / 3, 0)
     kernels = [rng.normal(0, 0.2, (w, c.dim, c.filters)).astype(np.float32) for w in WIDTHS]
     for k in kernels:
@@ -140,20 +158,45 @@ def new_model(c: Config, tokens: np.ndarray, first: np.ndarray, y: np.ndarray) -
     return Model(c, e, kernels, [np.zeros(c.filters, np.float32) for _ in WIDTHS], np.full(len(WIDTHS) * c.filters, 0.2, np.float32), -1.0)
 
 
-def train(texts: list[bytes], labels: np.ndarray, c: Config) -> Model:
-    """Minimise log loss by mini-batches; only the windows that win a maximum pass gradients."""
-    y = labels.astype(np.float32)
-    parts = [features(run, c.bits) for _, run in chunks(texts)]
-    tokens = np.concatenate([t for t, _ in parts])
-    first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(f) for _, f in parts]))])
-    m = new_model(c, tokens, first, y)
+@dataclass
+class Training:
+    """A model and the sums of squared gradients that its steps are scaled by."""
+
+    model: Model
+    past_e: np.ndarray
+    past: list[np.ndarray]
+    past_b: float = 1e-3
+
+    @classmethod
+    def of(cls, m: Model) -> Training:
+        return cls(m, np.full(m.embedding.shape, 1e-2, np.float32), [np.full(p.shape, 1e-3, np.float32) for p in (*m.kernels, *m.biases, m.weights)])
+
+    def vectors(self) -> np.ndarray:
+        return np.concatenate([self.model.embedding, self.past_e], axis=1)
+
+    def rest(self) -> np.ndarray:
+        m = self.model
+        return np.concatenate([x.ravel() for x in (*m.kernels, *m.biases, m.weights, *self.past, np.array([m.bias, self.past_b]))]).astype(np.float64)
+
+    def put(self, vectors: np.ndarray, rest: np.ndarray) -> None:
+        m, at = self.model, 0
+        m.embedding, self.past_e = (np.ascontiguousarray(x, np.float32) for x in np.split(vectors, 2, axis=1))
+        for x in (*m.kernels, *m.biases, m.weights, *self.past):
+            x[...] = rest[at : at + x.size].reshape(x.shape)
+            at += x.size
+        m.bias, self.past_b = float(rest[-2]), float(rest[-1])
+
+
+def train(t: Training, tokens: np.ndarray, first: np.ndarray, y: np.ndarray, share: np.ndarray, epochs: int, seed: int) -> None:
+    """Minimise log loss by mini-batches; only the windows that win a maximum pass gradients.
+
+    ``share`` is each row's weight.
+    """
+    m, c = t.model, t.model.config
     m.keep = True
-    rng = np.random.default_rng(c.seed + 1)
-    share = np.where(y == 1, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6))
-    dense = [*m.kernels, *m.biases, m.weights]
-    past = [np.full(p.shape, 1e-3, np.float32) for p in dense]
-    past_e, past_b = np.full(m.embedding.shape, 1e-2, np.float32), 1e-3
-    for _ in range(c.epochs):
+    rng = np.random.default_rng(seed)
+    dense, past, past_e, past_b = [*m.kernels, *m.biases, m.weights], t.past, t.past_e, t.past_b
+    for _ in range(epochs):
         order = rng.permutation(len(y))
         for lo in range(0, len(order), c.batch):
             docs = order[lo : lo + c.batch]
@@ -190,61 +233,196 @@ def train(texts: list[bytes], labels: np.ndarray, c: Config) -> Model:
             past_e[rows] += ge * ge
             m.embedding[rows] -= c.rate * ge / np.sqrt(past_e[rows])
     m.keep = False
-    return m
+    t.past_b = past_b
+
+
+def replicas(docs: DataFrame, known: DataFrame, c: Config) -> DataFrame:
+    """aside, replica, n, n_toxic and the packed y, langs, sizes and texts of the labelled documents; a written table."""
+    n_known = known.count()
+    n = [max(1, -(-n_known * share // (5 * c.replica_rows))) for share in (4, 1)]
+    place, aside = F.xxhash64("doc_id"), F.pmod(F.xxhash64("doc_id", F.lit("aside")), F.lit(5)) == 4
+    replica = F.when(aside, n[0] + F.pmod("place", F.lit(n[1]))).otherwise(F.pmod("place", F.lit(n[0]))).cast("int")
+    known = known.select(F.col("doc_id").cast("long"), "y", place.alias("place")).withColumn("replica", replica)
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(bit_filter(known, "place"))  # of fixed size; the texts of other documents stay where they are
+    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).where("doc_id is not null")
+    texts = texts.withColumn("place", place).withColumn("replica", replica)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(may_hold(shared.value, b.column("place").to_numpy())))
+
+    def pack(part: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        part = part.merge(known[["doc_id", "y"]], on="doc_id").sort_values(["place", "doc_id", "text"])
+        y, texts = part["y"].to_numpy(np.int8), part["text"].tolist()
+        if not len(y):
+            return pd.DataFrame({"aside": [], "replica": [], "n": [], "n_toxic": [], "y": [], "langs": [], "sizes": [], "body": []})
+        number = int(part["replica"].iloc[0])
+        return pd.DataFrame({
+            "aside": [number >= n[0]], "replica": [number], "n": [len(y)], "n_toxic": [int(y.sum())], "y": [y.tobytes()],
+            "langs": [part["lang"].tolist()], "sizes": [np.array([len(x) for x in texts], np.int64).tobytes()], "body": [pa.compress(b"".join(texts) or b" ", codec="zstd", asbytes=True)],
+        })
+
+    kept = texts.mapInArrow(keep, "doc_id long, lang string, text binary, place long, replica int")
+    both = [x.repartition(sum(n), "replica").groupBy("replica") for x in (kept, known)]
+    schema = "aside boolean, replica int, n long, n_toxic long, y binary, langs array<string>, sizes binary, body binary"
+    return written(both[0].cogroup(both[1]).applyInPandas(pack, schema), "toxicity-rows")
+
+
+def unpacked(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes], np.ndarray, list[str]]]:
+    """replica, texts, y and languages of each row of ``replicas``."""
+    for r in batch.to_pylist():
+        ends = np.cumsum(np.frombuffer(r["sizes"], np.int64)).tolist()
+        body = pa.decompress(r["body"], decompressed_size=max(ends[-1], 1), codec="zstd", asbytes=True)
+        yield r["replica"], [body[lo:hi] for lo, hi in zip([0, *ends[:-1]], ends, strict=True)], np.frombuffer(r["y"], np.int8), r["langs"]
+
+
+def all_features(texts: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    parts = [features(run, bits) for _, run in chunks(texts)]
+    return np.concatenate([t for t, _ in parts]), np.concatenate([[0], np.cumsum(np.concatenate([np.diff(f) for _, f in parts]))])
+
+
+def put_together(rows: DataFrame, work: Callable[[list[bytes], np.ndarray], tuple[np.ndarray, np.ndarray]], mean: bool, size: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By range, the slots and the sums (or means) of what ``work`` gives for each replica: vectors by slot, and one more vector.
+
+    A mean is over the replicas that have the slot.
+    """
+    step, kind = -(-size // RANGES), np.float32 if mean else np.float64
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for replica, texts, y, _ in unpacked(b):
+                vectors, rest = work(texts, y)
+                slots = np.flatnonzero(vectors.any(axis=1))
+                cut = np.searchsorted(slots, np.arange(RANGES + 1) * step)
+                spans = [slots[lo:hi] for lo, hi in zip(cut[:-1], cut[1:], strict=True)]
+                blobs = [(s.astype(np.int32).tobytes(), vectors[s].astype(np.float32).tobytes()) for s in spans]
+                blobs.append((np.zeros(1, np.int32).tobytes(), rest.astype(np.float32).tobytes()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(range(RANGES + 1), pa.int32()), pa.array([replica] * (RANGES + 1), pa.int32()), *[pa.array(list(x), pa.binary()) for x in zip(*blobs, strict=True)]],
+                    names=["range", "replica", "slots", "vectors"],
+                )
+
+    def merge(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("replica")
+        low = int(part["range"].iloc[0]) * step if part["range"].iloc[0] < RANGES else 0
+        total, n = None, np.zeros(step)
+        for s, v in zip(part["slots"], part["vectors"], strict=True):
+            at = np.frombuffer(s, np.int32) - low
+            if len(at):
+                own = np.frombuffer(v, np.float32).reshape(len(at), -1)
+                total = np.zeros((step, own.shape[1])) if total is None else total
+                total[at] += own
+                n[at] += 1
+        at = np.flatnonzero(n)
+        values = b"" if total is None else (total[at] / n[at, None] if mean else total[at]).astype(kind).tobytes()
+        return pd.DataFrame({"range": part["range"].iloc[:1].tolist(), "slots": [(at + low).astype(np.int32).tobytes()], "vectors": [values]})
+
+    sent = rows.mapInArrow(run, "range int, replica int, slots binary, vectors binary")
+    out = {}
+    for r in sent.groupBy("range").applyInPandas(merge, "range int, slots binary, vectors binary").collect():  # one row a range
+        slots = np.frombuffer(r["slots"], np.int32)
+        out[r["range"]] = slots, np.frombuffer(r["vectors"], kind).reshape(len(slots), -1) if len(slots) else np.zeros((0, 0))
+    return out
+
+
+def trained(rows: DataFrame, c: Config, n: int, n_toxic: int) -> Model:
+    """A model of all rows: replicas are trained side by side, round after round."""
+    size = len(PREFIXES) << c.bits
+    spark = rows.sparkSession
+    counts = np.zeros((size, 2))
+    for at, values in put_together(rows, lambda texts, y: (bucket_counts(c, *all_features(texts, c.bits), y), np.zeros(1)), False, size).values():
+        if values.shape[1] == 2:
+            counts[at] = values
+    t = Training.of(new_model(c, counts, n_toxic, n - n_toxic))
+    weight = {1: 0.5 * n / max(n_toxic, 1), 0: 0.5 * n / max(n - n_toxic, 1)}
+    rounds = min(c.rounds if n > c.replica_rows else 1, c.epochs)
+    for i in range(rounds):
+        shared = spark.sparkContext.broadcast(t)
+        epochs = c.epochs * (i + 1) // rounds - c.epochs * i // rounds
+
+        def work(texts: list[bytes], y: np.ndarray, shared=shared, epochs=epochs, seed=c.seed + 1 + i) -> tuple[np.ndarray, np.ndarray]:
+            own = deepcopy(shared.value)  # a worker's broadcast value serves many tasks
+            vectors, rest = own.vectors(), own.rest()
+            train(own, *all_features(texts, c.bits), y.astype(np.float32), np.where(y == 1, weight[1], weight[0]), epochs, seed)
+            return own.vectors() - vectors, own.rest() - rest
+
+        moved = put_together(rows, work, True, size)
+        vectors, rest = t.vectors(), t.rest()
+        for k, (at, values) in moved.items():
+            if k == RANGES:
+                rest += values[0]
+            elif len(at):
+                vectors[at] += values
+        t.put(vectors, rest)
+        shared.unpersist()
+    return t.model
+
+
+def logits(rows: DataFrame, m: Model) -> DataFrame:
+    """lang, y and z of the rows set aside; a written table."""
+    shared = rows.sparkSession.sparkContext.broadcast(m)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, texts, y, langs in unpacked(b):
+                z = np.concatenate([shared.value.logits(part) for _, part in chunks(texts)]).astype(np.float64)
+                yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(y.astype(np.int32)), pa.array(z)], names=["lang", "y", "z"])
+
+    return written(rows.mapInArrow(run, "lang string, y int, z double"), "toxicity-logits")
+
+
+def calibrate(m: Model, z: DataFrame, positive_share: float) -> None:
+    """Fit slope and shift of the logits, then the best threshold of each language, over all rows of ``z`` (lang, y, z)."""
+    n = {r["y"]: r["n"] for r in z.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    total = sum(n.values())
+    weight = {1: positive_share * total / max(n.get(1, 0), 1), 0: (1 - positive_share) * total / max(n.get(0, 0), 1)}
 
+    def likely(a: float, b: float) -> Column:
+        return 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), a * F.col("z") + b))))
 
-def calibrate(m: Model, z: np.ndarray, y: np.ndarray, lang: list[str], positive_share: float) -> None:
-    """Fit slope and shift of the logits, then the best threshold of each language."""
-    y = y.astype(float)
-    w = np.where(y == 1, positive_share / max(y.mean(), 1e-9), (1 - positive_share) / max(1 - y.mean(), 1e-9))
     a, b = 1.0, 0.0
+    w, x = F.when(F.col("y") == 1, weight[1]).otherwise(weight[0]), F.col("z")
     for _ in range(50):  # Newton steps with a small ridge on the slope
-        p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
-        ga, gb = (w * (p - y) * z).sum() + 0.5 * (a - 1), (w * (p - y)).sum()
+        p = likely(a, b)
         v = w * p * (1 - p)
-        h = np.array([[(v * z * z).sum() + 0.5, (v * z).sum()], [(v * z).sum(), v.sum() + 1e-6]])
-        da, db = np.linalg.solve(h, [ga, gb])
+        terms = [w * (p - F.col("y")) * x, w * (p - F.col("y")), v * x * x, v * x, v]
+        ga, gb, haa, hab, hbb = ((s or 0) * STEP for s in z.agg(*[F.sum(F.round(q / STEP).cast("long")) for q in terms]).first())
+        ga += 0.5 * (a - 1)
+        da, db = np.linalg.solve(np.array([[haa + 0.5, hab], [hab, hbb + 1e-6]]), [ga, gb]).tolist()
         scale = min(1.0, 2.0 / max(abs(da), abs(db), 1e-9))
         a, b = a - scale * da, b - scale * db
+        if max(abs(da), abs(db)) < 1e-6:
+            break
     m.slope, m.shift = max(a, 0.05), b
-    p = 1 / (1 + np.exp(-np.clip(m.slope * z + m.shift, -30, 30)))
-    for name in sorted(set(lang)):
-        own = np.array([x == name for x in lang])
-        if own.sum() < m.config.min_rows or not 0 < y[own].sum() < own.sum():
-            continue
-        tries = np.linspace(0.1, 0.6, 26)
-        f1 = [2 * (w * y * (p >= t))[own].sum() / max((w * y)[own].sum() + (w * (p >= t))[own].sum(), 1e-9) for t in tries]
-        best = np.flatnonzero(np.array(f1) >= max(f1) - 1e-9)
-        m.thresholds[name] = float(tries[best[np.argmin(np.abs(tries[best] - m.config.base))]])
+    p = likely(m.slope, m.shift)
+    hits = [F.sum((p >= float(t)).cast("long")).alias(f"h{i}") for i, t in enumerate(TRIES)]
+    by = z.groupBy("lang").pivot("y", [0, 1]).agg(F.count("z").alias("n"), *hits)
+    for r in by.where(f"`0_n` > 0 and `1_n` > 0 and `0_n` + `1_n` >= {m.config.min_rows}").collect():  # a row a language
+        own, hit, wrong = r["1_n"] * weight[1], *(np.array([r[f"{y}_h{i}"] for i in range(len(TRIES))]) * weight[y] for y in (1, 0))
+        f1 = 2 * hit / np.maximum(own + hit + wrong, 1e-9)
+        best = np.flatnonzero(f1 >= f1.max() - 1e-9)
+        m.thresholds[r["lang"]] = float(TRIES[best[np.argmin(np.abs(TRIES[best] - m.config.base))]])
 
 
 def fit(docs: DataFrame, labels: DataFrame, config: Config | None = None) -> Model | None:
-    """Train on a bounded sample of labelled rows; None if a class has no row."""
+    """Train on all labelled rows; None if a class has no row."""
     c = config or Config()
-    known = labels.select("doc_id", F.col("toxic").alias("y")).where("doc_id is not null and y in (0, 1)")
-    known = known.where(crc_mod("doc_id", 4) != 2)
+    known = labels.where("doc_id is not null and toxic in (0, 1)").where(crc_mod("doc_id", 4) != 2)
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("y"))
     share = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(share) < 2:
         return None
-    order = F.xxhash64("doc_id")
-    picked = None
-    for y in (0, 1):
-        part = known.where(F.col("y") == y).orderBy(order, "doc_id").limit(c.max_per_class)
-        picked = part if picked is None else picked.unionByName(part)
-    # at most 2 * max_per_class ids: small enough for every executor whatever the input
-    rows = docs.select("doc_id", "text", "lang").join(F.broadcast(picked), "doc_id").select("doc_id", "lang", "y", F.col("text").cast("binary").alias("text"), order.alias("o")).collect()
-    rows = sorted({r["doc_id"]: r for r in rows}.values(), key=lambda r: r["o"])
-    if len({r["y"] for r in rows}) < 2:
+    rows = replicas(docs, known, c)
+    n = {r["aside"]: (r["n"], r["n_toxic"]) for r in rows.groupBy("aside").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic")).collect()}
+    every = tuple(map(sum, zip(*n.values(), strict=True))) or (0, 0)
+    if not 0 < every[1] < every[0]:
         return None
-    aside = np.array([i % 5 == 4 for i in range(len(rows))])
-    y = np.array([r["y"] for r in rows])
-    texts = [bytes(r["text"] or b"") for r in rows]
-    if len(set(y[aside])) < 2 or len(set(y[~aside])) < 2:
-        aside[:] = False
-    m = train([t for t, a in zip(texts, aside, strict=True) if not a], y[~aside], c)
-    rest = aside if aside.any() else ~aside
-    z = np.concatenate([m.logits(run) for _, run in chunks([t for t, a in zip(texts, rest, strict=True) if a])])
-    calibrate(m, z.astype(float), y[rest], [r["lang"] or "" for r, a in zip(rows, rest, strict=True) if a], share[1] / sum(share.values()))
+    split = all(0 < n.get(x, (0, 0))[1] < n.get(x, (0, 0))[0] for x in (True, False))
+    m = trained(rows.where("not aside") if split else rows, c, *(n[False] if split else every))
+    z = logits(rows.where("aside") if split else rows, m)
+    calibrate(m, z, share[1] / sum(share.values()))
+    dropped(rows, z)
     return m
 
 
