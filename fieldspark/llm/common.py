@@ -103,6 +103,19 @@ def may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
+def rows_of(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of ``docs`` whose key is in ``ids``; a filter of fixed size keeps most others out of the join's shuffle."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(bit_filter(ids.select(F.xxhash64(key).alias("place")), "place"))
+    rows = docs.withColumn("_place", F.xxhash64(key))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(may_hold(shared.value, b.column("_place").to_numpy())))
+
+    return rows.mapInArrow(keep, rows.schema).drop("_place").join(ids.hint("merge"), key, "left_semi")
+
+
 def chunks(texts: Iterable[bytes | None], most: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
     """(index of the first text, texts) in runs of about ``most`` bytes; null counts as empty."""
     first, run, size = 0, [], 0

@@ -6,19 +6,18 @@ the discount D of a count, a word w after a context c of ``order - 1`` words has
     P(w | c) = (n(c, w) - D) / n(c) + (sum of D over c) / n(c) * P(w | c without its first word)
 
 where lower orders count the distinct words seen before (c, w), and below single words every type and
-one unknown word are equally likely.  Counts come from at most ``max_trusted`` (about) of the documents
-that ``labels`` marks as good, picked by a hash of the id; of the good ones every ``HELD_OUT``-th is
-never counted.  The probabilities and context weights are one table, keyed by fingerprints of n-grams;
+one unknown word are equally likely.  Counts come from all documents that ``labels`` marks as good but
+every ``HELD_OUT``-th by a hash of the id, which is never counted.  The probabilities and context weights are one table, keyed by fingerprints of n-grams;
 group and join steps over that table, sharded by key, make it.
 
 Documents meet the table by joins of counts.  A unit of about ``UNIT_BYTES`` of text sends, shard by
 shard, those of its distinct n-grams that a bit filter of fixed size lets through.  Each shard of the
-model answers all units of a block of ``BLOCK_TASKS`` scan tasks; the model is repeated for each block,
-so neither the groups nor the number of messages of a unit grow with the corpus.  Answers and texts
-(compressed) meet by unit, which gives every document's perplexity.
+model answers all units; there are as many shards as units (``SHARDS`` at least), so neither a unit nor a
+shard grows with the corpus, and the model is sent once.  Answers and texts (compressed) meet by unit,
+which gives every document's perplexity.
 
 A document is kept if its perplexity is at most the threshold of its language: ``slack`` times a
-quantile over the good documents of that language that were not counted; over those of all languages
+quantile over all good documents of that language that were not counted; over those of all languages
 where the language has fewer than ``least``.
 
 Null and empty texts hold one token, the end; repeated rows and rows without a doc_id are scored like
@@ -37,13 +36,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldspark.llm.common import binary_column, bit_filter, chunks, may_hold, mix, small_batches, table, written
+from fieldspark.llm.common import binary_column, bit_filter, chunks, may_hold, mix, rows_of, small_batches, table, written
 from fieldspark.llm.lm_scoring import lookup, packed, tokens, unpacked
 
 ORDER = 2
 HELD_OUT = 5
 UNIT_BYTES = 32 << 20
-BLOCK_TASKS = 32
 SHARDS = 64
 #: A key with more than this share of a join's rows is dealt over SALTS tasks; there are at most 1 / HOT such keys.
 HOT, SALTS = 1 / 200, 16
@@ -164,23 +162,23 @@ def unit_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Recor
             yield int(unit[lo]), b.slice(lo, hi - lo)
 
 
-def shard_of(key: Column) -> Column:
-    return F.shiftrightunsigned(key, 64 - SHARDS.bit_length() + 1).cast("int")
+def shard_of(key: Column, shards: int) -> Column:
+    """By leading bits; ``shards`` is a power of two."""
+    return F.shiftrightunsigned(key, 64 - shards.bit_length() + 1).cast("int")
 
 
-def asked(docs: DataFrame, bits, order: int) -> DataFrame:
-    """block, shard, unit and the unit's distinct n-grams there that the model may hold, in order."""
+def asked(docs: DataFrame, bits, order: int, shards: int) -> DataFrame:
+    """shard, unit and the unit's distinct n-grams there that the model may hold, in order."""
 
     def blobs(unit: int, held: list[np.ndarray]) -> pa.RecordBatch:
         # unsigned order puts the shards, which are leading bits, one after another
         keys = np.unique(np.concatenate(held)).view(np.uint64)
         keys.sort()
-        cut = np.searchsorted(keys, np.arange(SHARDS, dtype=np.uint64) << np.uint64(64 - SHARDS.bit_length() + 1))
+        cut = np.searchsorted(keys, np.arange(shards, dtype=np.uint64) << np.uint64(64 - shards.bit_length() + 1))
         spans = np.append(cut, len(keys))
-        out = [packed(keys[spans[i] : spans[i + 1]].view(np.int64)) for i in range(SHARDS)]
-        block = (unit >> 20) // BLOCK_TASKS
+        out = [packed(keys[spans[i] : spans[i + 1]].view(np.int64)) for i in range(shards)]
         return pa.RecordBatch.from_arrays(
-            [pa.array([block] * SHARDS, pa.int32()), pa.array(range(SHARDS), pa.int32()), pa.array([unit] * SHARDS, pa.int64()), pa.array(out, pa.binary())], names=["block", "shard", "unit", "keys"]
+            [pa.array(range(shards), pa.int32()), pa.array([unit] * shards, pa.int64()), pa.array(out, pa.binary())], names=["shard", "unit", "keys"]
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +198,7 @@ def asked(docs: DataFrame, bits, order: int) -> DataFrame:
         if own is not None:
             yield blobs(own, held)
 
-    return marked(docs).select("text", "task").mapInArrow(run, "block int, shard int, unit bigint, keys binary")
+    return marked(docs).select("text", "task").mapInArrow(run, "shard int, unit bigint, keys binary")
 
 
 def wanted(texts: list[bytes], bits: np.ndarray, order: int) -> np.ndarray:
@@ -210,9 +208,9 @@ def wanted(texts: list[bytes], bits: np.ndarray, order: int) -> np.ndarray:
     return keys[may_hold(bits, keys)]
 
 
-def answers(asks: DataFrame, model: DataFrame, blocks: int) -> DataFrame:
+def answers(asks: DataFrame, model: DataFrame, shards: int) -> DataFrame:
     """unit, shard, and for each key it asked for p and g in half precision; NaN where there is none."""
-    repeated = model.select(shard_of(F.col("key")).alias("shard"), "key", "p", "g", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    dealt = model.select(shard_of(F.col("key"), shards).alias("shard"), "key", "p", "g")
 
     def run(asks: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
         order = np.argsort(part["key"].to_numpy(np.int64))
@@ -226,7 +224,7 @@ def answers(asks: DataFrame, model: DataFrame, blocks: int) -> DataFrame:
             out.append((unit, shard, *(v[at].tobytes() for v in values)))
         return pd.DataFrame(out, columns=["unit", "shard", "p", "g"])
 
-    return asks.groupBy("block", "shard").cogroup(repeated.groupBy("block", "shard")).applyInPandas(run, "unit bigint, shard int, p binary, g binary")
+    return asks.groupBy("shard").cogroup(dealt.groupBy("shard")).applyInPandas(run, "unit bigint, shard int, p binary, g binary")
 
 
 def squeezed(docs: DataFrame) -> DataFrame:
@@ -270,8 +268,9 @@ def perplexities(docs: DataFrame, model: DataFrame, unknown: float, order: int =
     spark = docs.sparkSession
     small_batches(spark)
     bits = spark.sparkContext.broadcast(bit_filter(model, "key"))
-    last = docs.select(F.spark_partition_id().alias("task")).agg(F.max("task")).first()[0] or 0
-    got = answers(asked(docs, bits, order), model, last // BLOCK_TASKS + 1)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(SHARDS, 1 << (size // UNIT_BYTES).bit_length())
+    got = answers(asked(docs, bits, order, shards), model, shards)
 
     def run(texts: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         out = {"doc_id": [], "lang": [], "n_tokens": [], "perplexity": []}
@@ -312,7 +311,7 @@ def perplexities(docs: DataFrame, model: DataFrame, unknown: float, order: int =
     return squeezed(docs).groupBy("unit").cogroup(got.groupBy("unit")).applyInPandas(run, "doc_id bigint, lang string, n_tokens bigint, perplexity double")
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.98, slack: float = 1.05, max_trusted: int = 6_000, least: int = 30, order: int = ORDER, stable: bool = False) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.98, slack: float = 1.05, least: int = 30, order: int = ORDER, stable: bool = False) -> DataFrame:
     """doc_id, lang, n_tokens, perplexity, threshold and kept.
 
     ``stable`` says that ``docs`` is a plain scan of files, whose tasks read the same rows each time; any
@@ -324,9 +323,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.98, slack:
     part = F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT << 20))
     left_out = F.pmod(part, F.lit(HELD_OUT)) == 0
     counted = good.where(~left_out)
-    share = min(1.0, max_trusted / max(counted.count(), 1))
-    picked = counted.where(part < int(share * (HELD_OUT << 20)))
-    trusted = docs.join(F.broadcast(picked), "doc_id", "left_semi")  # about max_trusted ids at most
+    trusted = rows_of(docs.select(F.col("doc_id").cast("long"), "text"), counted, "doc_id")
     counts = written(count_grams(trusted, order), "gram-counts")
     if counts.isEmpty():
         return docs.select(F.col("doc_id").cast("long"), "lang", F.lit(None).cast("long").alias("n_tokens"), F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("kept"))
