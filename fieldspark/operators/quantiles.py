@@ -2,8 +2,10 @@
 
 A bracket is an interval of a group's values in which a wanted rank lies.  Each pass cuts every bracket into ``BINS``
 equal bins, counts them in one aggregation, and keeps the bins that hold a wanted rank; the rows outside are not
-read again.  A bin whose values are all equal is an answer, however many rows it has.  Bins of at most
-``SMALL`` rows are sorted and their ranks picked.  No task holds a group's values, and no map of them is made.
+read again.  A bin whose values are all equal is an answer, however many rows it has.  Of bins of at most
+``SMALL`` rows the distinct values are counted, sorted and their ranks picked.  No task holds a group's values, and no map of
+them is made.  Rows carry numbers and their bracket's path alone: wanted ranks, which are lists, meet bins and distinct values, so
+that rows are counted by hashing and never sorted.
 """
 
 from __future__ import annotations
@@ -48,23 +50,27 @@ def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], by: Sequence[s
         brackets = written(brackets, "quantile-brackets")
         found.append(brackets.where("_lo = _hi").select(*g, F.explode("_ranks").alias("_rank"), F.col("_lo").alias("_value")))
         open_ = brackets.where("_lo < _hi")
-        side = open_.select(*g, "_path", "_n", "_before", "_lo", "_hi", "_ranks")
+        side = open_.select(*g, "_path", "_n", "_lo", "_hi")
+        wanted = open_.select(*g, "_path", "_before", "_ranks")
+        asked = lambda x: x.alias("x").join(wanted.alias("w"), same("x", "w") & (F.col("x._path") == F.col("w._path"))).select("x.*", "w._before", "w._ranks")
         met = rows.alias("r").join(side.alias("b"), same("r", "b") & (F.col("r._path") == F.col("b._path")))
-        met = met.select(*[F.col(f"r.{c}").alias(c) for c in g], F.col("b._path").alias("_path"), F.col("r._v").alias("_v"), F.col("b._n").alias("_n"), F.col("b._before").alias("_before"), F.col("b._lo").alias("_lo"), F.col("b._hi").alias("_hi"), F.col("b._ranks").alias("_ranks"))
+        met = met.select(*[F.col(f"r.{c}").alias(c) for c in g], F.col("b._path").alias("_path"), F.col("r._v").alias("_v"), F.col("b._n").alias("_n"), F.col("b._lo").alias("_lo"), F.col("b._hi").alias("_hi"))
         met = written(met, "quantile-rows")
-        # few rows: sort them
-        order = Window.partitionBy(*g, "_path").orderBy("_v")
-        ranked = met.where(F.col("_n") <= SMALL).withColumn("_rank", F.col("_before") + F.row_number().over(order) - 1)
-        found.append(ranked.where(F.array_contains("_ranks", F.col("_rank"))).select(*g, "_rank", F.col("_v").alias("_value")))
+        # few rows: sort their values
+        few = met.where(F.col("_n") <= SMALL).groupBy(*g, "_path", "_v").agg(F.count("*").alias("_m"))
+        order = Window.partitionBy(*g, "_path").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+        few = asked(few.withColumn("_below", F.sum("_m").over(order) - F.col("_m")))
+        first = F.col("_before") + F.col("_below")
+        found.append(few.select(*g, F.explode(F.filter("_ranks", lambda r: (r >= first) & (r < first + F.col("_m")))).alias("_rank"), F.col("_v").alias("_value")))
         large = met.where(F.col("_n") > SMALL)
         if large.isEmpty():
             break
         # halves, so that the width of the largest bracket is a finite number
         bin_ = F.floor((F.col("_v") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2) * (BINS - 1)).cast("int")
         cut = large.withColumn("_bin", bin_)
-        bins = cut.groupBy(*g, "_path", "_bin").agg(F.count("*").alias("_m"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.first("_before").alias("_before"), F.first("_ranks").alias("_ranks"))
+        bins = cut.groupBy(*g, "_path", "_bin").agg(F.count("*").alias("_m"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
         below = F.sum("_m").over(Window.partitionBy(*g, "_path").orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_m")
-        bins = bins.withColumn("_from", F.col("_before") + below)
+        bins = asked(bins.withColumn("_below", below)).withColumn("_from", F.col("_before") + F.col("_below"))
         bins = bins.withColumn("_ranks", F.filter("_ranks", lambda r: (r >= F.col("_from")) & (r < F.col("_from") + F.col("_m")))).where(F.size("_ranks") > 0)
         path = F.concat_ws("/", "_path", F.col("_bin").cast("string")).alias("_path")
         brackets = bins.select(*g, path, F.col("_m").alias("_n"), F.col("_from").alias("_before"), "_lo", "_hi", "_ranks")
