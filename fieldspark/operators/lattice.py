@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldspark.sources.scratch import written
+
 
 def filled_lattice(df: DataFrame, values: Sequence[str], by: Sequence[str] = (), ix: str = "ix", iy: str = "iy") -> DataFrame:
     """One row for every cell of the box around each group's cells; NULL where there was no row."""
@@ -61,17 +64,24 @@ def bilinear_value(points: DataFrame, raster: DataFrame, x_col: str, y_col: str,
     NaN are left out and the other weights normalised; with none left, or a point without whole coordinates,
     the value is NULL.  Points keep their rows and columns.  Of several raster rows in one cell the mean counts.
 
-    Each distinct position is met once: four rows a position go to an equi-join on the cell.
+    Each square between cells holds its four corners in one row, so a point meets one row by an equi-join on its square.  A small raster
+    goes to the points, which then stay where they are.
     """
     steps = [float(r) for r in (res if isinstance(res, Sequence) else (res, res))]
     place = lambda c, k: (F.col(c).cast("double") - origin[k]) / steps[k]
     r = F.col(val_col).cast("double")
     cells = raster.where(r.isNotNull() & ~F.isnan(r)).groupBy(F.round(place(x_col, 0)).cast("long").alias("_cx"), F.round(place(y_col, 1)).cast("long").alias("_cy")).agg(F.avg(r).alias("_v"))
-    spots = points.select(F.col(x_col).alias("_x"), F.col(y_col).alias("_y")).distinct().where("_x is not null and _y is not null and not isnan(_x) and not isnan(_y)")
-    spots = spots.withColumns({"_u": place("_x", 0), "_w": place("_y", 1)})
-    x0, y0 = F.floor("_u").cast("long"), F.floor("_w").cast("long")
-    fx, fy = F.col("_u") - F.floor("_u"), F.col("_w") - F.floor("_w")
-    corner = lambda i, j: F.struct((x0 + i).alias("_cx"), (y0 + j).alias("_cy"), ((fx if i else 1 - fx) * (fy if j else 1 - fy)).alias("_k"))
-    four = spots.select("_x", "_y", F.explode(F.array(*[corner(i, j) for i in (0, 1) for j in (0, 1)])).alias("c")).select("_x", "_y", "c.*").where("_k > 0")
-    got = four.join(cells, ["_cx", "_cy"]).groupBy("_x", "_y").agg((F.sum(F.col("_k") * F.col("_v")) / F.sum("_k")).alias(out))
-    return points.join(got, (points[x_col] == got["_x"]) & (points[y_col] == got["_y"]), "left").drop("_x", "_y")
+    corners = [(i, j) for i in (0, 1) for j in (0, 1)]
+    at = lambda i, j: F.struct((F.col("_cx") - i).alias("_cx"), (F.col("_cy") - j).alias("_cy"), F.lit(2 * i + j).alias("_k"))
+    squares = cells.select(F.explode(F.array(*[at(i, j) for i, j in corners])).alias("c"), "_v").groupBy("c._cx", "c._cy")
+    # its size, once written, tells whether it can be sent to the points
+    squares = written(squares.agg(*[F.max(F.when(F.col("c._k") == 2 * i + j, F.col("_v"))).alias(f"_v{i}{j}") for i, j in corners]), "raster-squares")
+    u, w = place(x_col, 0), place(y_col, 1)
+    # NaN compares above all numbers
+    whole = lambda c: F.when(F.abs(c) < float(1 << 62), F.floor(c).cast("long"))
+    near = points.withColumns({"_cx": whole(u), "_cy": whole(w)}).join(squares, ["_cx", "_cy"], "left")
+    fx, fy = u - F.floor(u), w - F.floor(w)
+    share = {(i, j): (fx if i else 1 - fx) * (fy if j else 1 - fy) for i, j in corners}
+    used = {k: F.col(f"_v{k[0]}{k[1]}").isNotNull() & (share[k] > 0) for k in corners}
+    total, part = (reduce(lambda a, b: a + b, [F.when(used[k], x[k]).otherwise(0.0) for k in corners]) for x in ({k: share[k] * F.col(f"_v{k[0]}{k[1]}") for k in corners}, share))
+    return near.select(*[F.col(f"`{c}`") for c in points.columns], F.when(part > 0, total / part).alias(out))
