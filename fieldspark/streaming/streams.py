@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from datetime import timedelta
@@ -88,46 +89,59 @@ def read_daily_bins(spark: SparkSession, path: str, val_col: str, x: tuple[str,
 
 
 class TrackNumbers(StatefulProcessor):
-    """Each group's last time and track number, as keyed state."""
+    """The last time and track number of each group of a bucket, as keyed state: one value a bucket."""
 
-    def __init__(self, time_col: str, order: Sequence[str], threshold_us: float, start: int, names: Sequence[str]):
-        self.time_col, self.order, self.threshold_us, self.start, self.names = time_col, list(order), threshold_us, start, list(names)
+    def __init__(self, time_col: str, group: Sequence[str], order: Sequence[str], threshold_us: float, start: int, names: Sequence[str]):
+        self.time_col, self.group, self.order, self.threshold_us, self.start, self.names = time_col, list(group), list(order), threshold_us, start, list(names)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("track", "last_us bigint, track bigint")
+        self.state = handle.getValueState("tracks", "groups binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last, track = self.state.get() if self.state.exists() else (None, self.start)
+        held = pickle.loads(self.state.get()[0]) if self.state.exists() else {}
         part = pd.concat(list(rows), ignore_index=True).sort_values(self.order, na_position="first", kind="stable", ignore_index=True)
+        code = part.groupby(self.group, dropna=False, sort=False).ngroup().to_numpy()
+        place = np.argsort(code, kind="stable")
+        part, code = part.take(place).reset_index(drop=True), code[place]
+        first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        # a bucket's rows have the same columns of the group missing
+        keys = [tuple(None if pd.isna(x) else x for x in k) for k in part.loc[first, self.group].itertuples(index=False, name=None)]
+        never = np.iinfo(np.int64).min
+        last, track = (np.array(x, np.int64) for x in zip(*(held.get(k, (never, self.start)) for k in keys), strict=True))
         known = part[self.time_col].notna().to_numpy()
-        us = part[self.time_col].to_numpy("datetime64[us]").astype("int64")[known]
-        if len(us):
-            # rows older than what was seen before open no track
-            before = np.maximum.accumulate(np.concatenate([[us[0] if last is None else last], us[:-1]]))
-            opened = np.zeros(len(part), np.int64)
-            opened[known] = us - before > self.threshold_us
-            tracks = track + np.cumsum(opened)
-            last, track = int(max(us.max(), before[0])), int(tracks[-1])
-        else:
-            tracks = np.full(len(part), track)
-        if last is not None:
-            self.state.update((last, track))
+        us = pd.Series(part[self.time_col].to_numpy("datetime64[us]").astype("int64"))[known]
+        own = code[known]
+        # rows older than what was seen before open no track
+        seen = np.maximum(us.groupby(own).cummax().to_numpy(), last[own])
+        new = np.concatenate([[True], own[1:] != own[:-1]])[: len(own)]
+        before = np.where(new, np.where(last[own] == never, us, last[own]), np.concatenate([[never], seen])[: len(own)])
+        opened = np.zeros(len(part), np.int64)
+        opened[known] = us.to_numpy() - before > self.threshold_us
+        tracks = track[code] + pd.Series(opened).groupby(code).cumsum().to_numpy()
+        ends = np.append(first[1:], len(part)) - 1
+        np.maximum.at(last, own, us.to_numpy())
+        held |= {k: (int(t), int(n)) for k, t, n in zip(keys, last, tracks[ends], strict=True) if t != never}
+        self.state.update((pickle.dumps(held),))
         yield part.assign(track=tracks)[self.names]
 
     def close(self) -> None:
         pass
 
 
-def stream_tracks(df: DataFrame, time_col: str, group: Sequence[str], order: Sequence[str], threshold: timedelta, start: int = 0) -> DataFrame:
+def stream_tracks(df: DataFrame, time_col: str, group: Sequence[str], order: Sequence[str], threshold: timedelta, start: int = 0, buckets: int = 1024) -> DataFrame:
     """The rows of a stream with their ``track``, which runs on over micro-batches and restarts.
 
     A row more than ``threshold`` after the one before it in its group opens a track.  Batches that come in the order of
     time give what ``number_tracks`` gives on the whole table; a row that comes late takes the group's current
-    track.  Rows without a time take it too.  A task holds a group's rows of one micro-batch, which ``maxFilesPerTrigger`` bounds.
+    track.  Rows without a time take it too.  Groups are dealt into ``buckets``, as a call of Python and an exchange of state cost
+more than numbering a group; a checkpoint goes with their number.  A task holds the rows of a bucket in one micro-batch,
+which ``maxFilesPerTrigger`` bounds.
     """
+    bucket = F.pmod(F.xxhash64(*group), F.lit(buckets)).cast("int")
+    nulls = sum((F.when(F.col(c).isNull(), 1 << i).otherwise(0) for i, c in enumerate(group)), F.lit(0))
     schema = T.StructType([*df.schema.fields, T.StructField("track", T.LongType())])
-    numbers = TrackNumbers(time_col, order, threshold / timedelta(microseconds=1), start, schema.names)
-    return df.groupBy(*group).transformWithStateInPandas(numbers, schema, "append", "none")
+    numbers = TrackNumbers(time_col, group, order, threshold / timedelta(microseconds=1), start, schema.names)
+    return df.withColumns({"_bucket": bucket, "_nulls": nulls}).groupBy("_bucket", "_nulls").transformWithStateInPandas(numbers, schema, "append", "none")
 
 
 @contextmanager
