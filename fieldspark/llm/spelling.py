@@ -302,7 +302,8 @@ def near_words(words: DataFrame) -> DataFrame:
     schema = "key bigint, w string, w_n bigint"
     asking = words.mapInPandas(rows_of(True), schema).select("key", F.col("w").alias("a"), F.col("w_n").alias("a_n"))
     asked = words.mapInPandas(rows_of(False), schema).select("key", F.col("w").alias("b"), F.col("w_n").alias("b_n"))
-    pairs = asking.join(asked, "key").where("a <> b and levenshtein(a, b, 1) = 1")
+    # Spark takes both sides to be about as large as ``words``, but a word makes up to 8 and 36 keys: never broadcast
+    pairs = asking.join(asked.hint("merge"), "key").where("a <> b and levenshtein(a, b, 1) = 1")
     names = ("word", "n", "other", "other_n")
     pairs = written(pairs.select("a", "a_n", "b", "b_n"), "spelling-pairs")
     both = pairs.select("a", "a_n", "b", "b_n").toDF(*names).unionByName(pairs.select("b", "b_n", "a", "a_n").toDF(*names))
@@ -314,7 +315,7 @@ def roots(forms: DataFrame) -> DataFrame:
     reach = written(forms.select("word", F.col("form").alias("root")), "spelling-roots")
     while True:
         on = reach.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        new = written(reach.join(on, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "spelling-roots")
+        new = written(reach.join(on.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "spelling-roots")
         dropped(reach)
         if new.where("moved").isEmpty():
             return new.select("word", "root")
@@ -331,12 +332,12 @@ def spelling_variants(docs: DataFrame, min_length: int = MIN_LENGTH, min_count:
     best = F.min(F.struct((-F.col("other_n")).alias("minus"), "other")).alias("best")
     near = near_words(words).groupBy("word").agg(F.count("*").alias("n_near"), best)
     near = near.select(F.col("word").alias("near_word"), "n_near", F.col("best.other").alias("form"), (-F.col("best.minus")).alias("form_n"))
-    joined = words.join(near, F.col("word") == F.col("near_word"), "left")
+    joined = words.join(near.hint("merge"), F.col("word") == F.col("near_word"), "left")
     ok = F.col("form_n") >= ratio * F.col("n")
     rows = written(joined.select("word", "n", F.when(ok, F.col("form")).alias("form"), F.when(ok, F.col("form_n")).alias("form_n"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near")), "spelling-forms")
     dropped(words)
     ends = roots(rows.where("form is not null")).withColumnRenamed("word", "from_word")
-    return rows.join(ends, F.col("word") == F.col("from_word"), "left").select("word", "n", "form", "form_n", F.coalesce("root", "word").alias("root"), "n_near")
+    return rows.join(ends.hint("merge"), F.col("word") == F.col("from_word"), "left").select("word", "n", "form", "form_n", F.coalesce("root", "word").alias("root"), "n_near")
 
 
 def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
