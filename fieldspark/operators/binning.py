@@ -13,10 +13,11 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from fieldspark.functions.columns import ColumnSpec, add_columns
 from fieldspark.functions.predicates import select_rows
-from fieldspark.operators.stats import statistics
+from fieldspark.operators.stats import statistics, steady_mean
 from fieldspark.sources.store import Store
 
 DEFAULT_RANGE = (-4_500_000.0, 4_500_000.0)
@@ -56,11 +57,11 @@ class Axis:
         return self.low + (index + 0.5) * self.width
 
 
-def _statistic(name: Any, value: Column, position: int) -> tuple[str, Column]:
+def _statistic(name: Any, value: Column, position: int, doubles: bool) -> tuple[str, Column]:
     if isinstance(name, str):
         if name not in STATISTICS:
             raise ValueError(f"unknown statistic {name!r}")
-        return name, STATISTICS[name](value)
+        return name, steady_mean(value) if doubles and name == "mean" else STATISTICS[name](value)
     return getattr(name, "__name__", None) or str(position), name(value)
 
 
@@ -96,7 +97,8 @@ def bin_by(
     for i, _, _ in axes:
         indexed = indexed.where(F.col(i).isNotNull())
     names = list(statistic) if isinstance(statistic, (list, tuple)) else [statistic]
-    stats = [_statistic(s, F.col("_v"), k) for k, s in enumerate(names)]
+    doubles = isinstance(df.schema[val_col].dataType, DoubleType)
+    stats = [_statistic(s, F.col("_v"), k, doubles) for k, s in enumerate(names)]
     single = not isinstance(statistic, (list, tuple))
     outs = {(val_col if single else f"{val_col}_{n}"): (n, c) for n, c in stats}
     keys = [*by, *[i for i, _, _ in axes]]
